@@ -14,6 +14,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probity.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probity.llm.fingerprints import neighbour_fingerprints
+
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.lines import drop_boilerplate
 
@@ -50,6 +62,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probity.llm.warc import build_derivatives
+
+    return build_derivatives(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probity.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.records import read_records, write_records
 
@@ -57,9 +81,13 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_fingerprints": op3_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op8_warc_derivatives": op8_warc_derivatives,
+    "op9_toxicity": op9_toxicity,
     "op10_token_records": op10_token_records,
 }
 
