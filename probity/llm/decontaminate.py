@@ -121,6 +121,8 @@ def align(item: bytes, region: bytes, e: int, width: int) -> tuple[int, int, int
         return exact, exact + len(item), 0
     text = np.frombuffer(region, dtype=np.uint8)
     lo, cells = -e, width + 2 * e + 1
+    if cells <= 0:  # the item would begin more than e characters before the text
+        return None
     big = len(item) + len(region) + 1
     place = lo + np.arange(cells)  # end in the region of each cell of the row
     row = np.where((place >= 0) & (place <= len(text)), 0, big)
@@ -152,6 +154,17 @@ def align(item: bytes, region: bytes, e: int, width: int) -> tuple[int, int, int
 _HITS = "doc_id long, item_id long, start long, length long, edits long"
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The benchmark's items in normal form, at most about ``block_bytes`` of them at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    for b in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = [(r.item_id, normal_form(r.text)) for r in part.toLocalIterator()]
+        yield sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each benchmark item found in a document: doc_id, item_id, start, length, edits.
 
@@ -160,14 +173,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     repeated documents each give their rows; rows of an item with a null id have a null item_id; empty
     tables give no rows. Only doc_id, text, item_id and text are read.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
     spark, found = docs.sparkSession, None
     slim = docs.select("doc_id", "text")
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast(sorted(((r.item_id, normal_form(r.text)) for r in part.toLocalIterator()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+    for block in _blocks(benchmark, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, q, rate)
@@ -181,3 +190,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
         here = slim.mapInArrow(search, _HITS)
         found = here if found is None else found.unionByName(here)
     return found
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all its columns, whose text holds no benchmark item; decided row by row, without a join."""
+    spark = docs.sparkSession
+    for block in _blocks(benchmark, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, q, rate)
+            for batch in sliced(batches):
+                yield batch.filter(pa.array([not index.hits(normal_form(t)) for t in column(batch, "text")], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
