@@ -1,82 +1,20 @@
-"""Helpers that the corpus operators share: the shared folder, written cut points, word splitting."""
+"""Helpers that the corpus operators share: Arrow batches, word splitting, rolling hashes, written cut points."""
 
 from __future__ import annotations
 
-import contextlib
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A word is a run of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-#: Drops a finished job's shuffle files, once what it made lies in the shared folder.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_fallback: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    global _fallback
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if _fallback is None:
-        _fallback = "file://" + tempfile.mkdtemp(prefix="probity-")
-    return _fallback
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/probity-{tag}-{uuid.uuid4().hex}"
+from pyspark.sql import DataFrame
 
+from probity.sources.storage import materialize, new_path, release, shared_dir, table
 
-@contextlib.contextmanager
-def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-    except Exception:  # a Spark version without the setting keeps its files until they are collected
-        yield
-        return
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+__all__ = ["BASE", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix64", "new_path", "release", "shared_dir", "sliced", "table", "word_bounds", "words_of"]
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and gives the planner true sizes."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    with shuffle_cleanup(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._probity_path = path
-    return back
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for frames that no later step reads."""
-    for df in frames:
-        path = getattr(df, "_probity_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+#: A word is a run of anything but ASCII white space.
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -148,7 +86,3 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
-def as_strings(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*[F.col(c) for c in cols])

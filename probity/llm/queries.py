@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from probity.llm.common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -65,7 +65,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.records import read_records, write_records
 
-    return read_records(write_records(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2))
+    return read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2))
 
 
 QUERIES = {
