@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probity.functions import scalars, stats
-from probity.operators import components, evidence, records, samples, vectors
+from probity.operators import components, evidence, images, models, records, samples, vectors
 from probity.sources.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,6 +629,34 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return want.join(found, ["scenario", "category"], "left").select("scenario", F.col("category").alias("expected"), F.coalesce("_hit", F.lit(False)).alias("found"))
 
 
+# Images and models --------------------------------------------------------------------------------------------------
+
+
+@query()
+def image_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of look-alike generated images, as many as the embeddings table has rows."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return components.components(images.near_duplicate_images(images.generated_images(spark, n), 48, 48))
+
+
+@query()
+def image_recurring_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "embeddings").count()
+    return images.recurring_patches(images.generated_images(spark, n), 48, 48, max(8, n // 100))
+
+
+@query()
+def model_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network fitted on the reference vectors against one fitted with another seed, over all vectors."""
+    import numpy as np
+
+    reference = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").orderBy("vec_id").limit(2000).toPandas()
+    x, y = np.array(reference["embedding"].tolist(), dtype=float), reference["label"].to_numpy()
+    one, two = (models.train_network(x, y, tuple(map(str, range(10))), seed=s) for s in (0, 1))
+    df = table(spark, sf_dir, "embeddings")
+    return models.behaviour(models.predictions(df, two, "vec_id", "embedding"), models.predictions(df, one, "vec_id", "embedding"))
+
+
 # Time windows -------------------------------------------------------------------------------------------------------
 
 
