@@ -6,14 +6,15 @@
    collide and are dropped after a count that is summed before the shuffle.
 3. Prefix filter: a pair with T matches of K must share one of each text's K - T + 1 rarest values, in one global
    order of rarity. Long lists are skipped that way: only texts that are made of common values keep one.
-4. Lists of at most ``SMALL`` texts give all their pairs. Of a longer list only the pairs with its
-   smallest id are tried; what that leaves in different components is compared in bounded blocks, signature
-   against signature inside the task, and only pairs of at least T matches leave it. Blocks that lie in one
-   component are skipped, so a group of near copies costs what its size costs, not the square.
-5. Pairs with T matches are confirmed on full shingle sets, and the links' connected components found.
-
-T is low enough (30 of 64 at a similarity of 0.75, where 48 are expected with a deviation of 3.5) that a true link is
-missed with a probability of about 1e-7.
+4. Lists of at most ``SMALL`` texts give all their pairs; of a longer list only the pairs with its
+   smallest id are tried. Pairs with T matches are confirmed on full shingle sets, and the links' components found.
+5. Texts of longer lists that are still in different components are compared within their family (texts
+   that share such lists) on full sets, in bounded blocks: a pair of blocks gives only the links that join its
+   components, and blocks of one component don't meet. So a group of near copies forms no pairs as rows. Families over ``FAMILY``
+   texts are compared list by list instead, on signatures first.
+
+T is low enough (32 of 64 at a similarity of 0.75, where 48 are expected with a deviation of 3.5) that a true link of
+the least similarity is missed with a probability of about 1e-5, one of 0.8 with less than 1e-8.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.common import Rolling, column, materialize, mix64, release, sliced, word_bounds
-from probity.llm.components import components
+from probity.operators.components import components
 
 WORDS = 5
-COORDINATES, MATCHES = 64, 30
+COORDINATES, MATCHES = 64, 32
 #: Similarity as a share of hundred.
 SIMILAR = 75
 #: Longest list whose pairs are all tried; block of a longer one.
 SMALL, BLOCK = 8, 512
+#: Largest family whose full sets are sent to its pairs of blocks.
+FAMILY = 20_000
+#: Most ids (8 bytes each) that are sent to all tasks to pick out their rows.
+SENT_IDS = 1_000_000
 
 _RNG = np.random.default_rng(5)
 _FACTORS = _RNG.integers(0, 2**62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,52 +106,97 @@ def _common(x: Column, y: Column) -> Column:
     return F.size(F.array_intersect(x, y))
 
 
-def _block_pairs(lists: DataFrame) -> DataFrame:
-    """Candidate pairs inside long lists (list, node, component, ks): those of different components with T matches."""
-    # Blocks are ranges of (component, node) positions in each list, found by counts, not by sorting a list in one task.
-    sized = lists.withColumn("_bin", F.pmod(F.xxhash64("component"), F.lit(4096)))
-    bins = sized.groupBy("list", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    cut = bins.withColumn("_cuts", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    blocks = cut.select("list", "_bin", "_cuts", (F.col("_lo") == F.col("_hi")).alias("_one"), "_lo", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("_part"))
-    left = blocks.select("list", F.col("_bin").alias("_b1"), F.col("_part").alias("_p1"), F.col("_one").alias("_o1"), F.col("_lo").alias("_l1"))
-    right = blocks.select("list", F.col("_bin").alias("_b2"), F.col("_part").alias("_p2"), F.col("_one").alias("_o2"), F.col("_lo").alias("_l2"))
-    ordered = (F.col("_b1") < F.col("_b2")) | ((F.col("_b1") == F.col("_b2")) & (F.col("_p1") <= F.col("_p2")))
-    apart = ~(F.col("_o1") & F.col("_o2") & (F.col("_l1") == F.col("_l2")))
-    # Few blocks each: a list of n texts has n / BLOCK + (components) of them.
-    meets = left.join(right, "list").where(ordered & apart).withColumn("_meet", F.xxhash64("list", "_b1", "_p1", "_b2", "_p2"))
-    sides = meets.select("list", F.col("_b1").alias("_bin"), F.col("_p1").alias("_part"), "_meet", F.lit(0).alias("side")).union(
-        meets.where((F.col("_b1") != F.col("_b2")) | (F.col("_p1") != F.col("_p2"))).select("list", F.col("_b2").alias("_bin"), F.col("_p2").alias("_part"), "_meet", F.lit(1).alias("side"))
-    )
-    placed = sized.join(cut.select("list", "_bin", "_cuts"), ["list", "_bin"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int"))
-    dealt = placed.join(sides, ["list", "_bin", "_part"]).select("_meet", "side", "node", "component", "ks")
+def _meetings(rows: DataFrame, group: str, carry: list[str]) -> DataFrame:
+    """``rows`` (group, node, component, ...) dealt to pairs of blocks of one group: _meet, side, node, component, carry.
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        two = rows[rows["side"] == 1]
-        one = rows[rows["side"] == 0]
-        if two.empty:
-            two = one
-        # Matches by an inverted count over coordinate values of the smaller side.
-        posted: dict[int, list[int]] = {}
-        for j, ks in enumerate(two["ks"]):
-            for v in ks:
-                posted.setdefault(int(v), []).append(j)
-        nodes, comps = two["node"].to_numpy(), two["component"].to_numpy()
-        a, b = [], []
-        for node, comp, ks in zip(one["node"], one["component"], one["ks"], strict=True):
-            hits = [posted[int(v)] for v in ks if int(v) in posted]
-            if len(hits) < MATCHES:
-                continue
-            counts = np.bincount(np.concatenate(hits), minlength=len(nodes))
-            for j in np.flatnonzero((counts >= MATCHES) & (comps != comp)):
-                a.append(min(int(node), int(nodes[j])))
-                b.append(max(int(node), int(nodes[j])))
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+    A component that fills a block has blocks of its own, the others share blocks; two blocks of one component
+    don't meet.
+    """
+    crowd = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("_n"))
+    crowd = crowd.withColumn("_own", F.when(F.col("_n") * 2 >= BLOCK, F.col("component")))
+    bins = crowd.groupBy(group, "_own").agg(F.ceil(F.sum("_n") / BLOCK).cast("int").alias("_cuts"))
+    block_key = F.xxhash64(group, F.coalesce(F.col("_own").cast("string"), F.lit("shared")), "_part")
+    blocks = bins.select(group, "_own", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("_part")).withColumn("_block", block_key)
+    left, right = (blocks.select(group, F.col("_own").alias(f"_o{i}"), F.col("_block").alias(f"_k{i}")) for i in (1, 2))
+    meets = left.join(right, group).where((F.col("_k1") <= F.col("_k2")) & ~F.coalesce(F.col("_o1") == F.col("_o2"), F.lit(False)))
+    meets = meets.withColumn("_meet", F.xxhash64("_k1", "_k2"))
+    sides = meets.select(F.col("_k1").alias("_block"), "_meet", F.lit(0).alias("side")).union(meets.where("_k1 <> _k2").select(F.col("_k2"), "_meet", F.lit(1)))
+    placed = rows.join(crowd.select(group, "component", "_own"), [group, "component"]).join(bins.withColumnsRenamed({group: "_g", "_own": "_w"}), (F.col(group) == F.col("_g")) & F.col("_own").eqNullSafe(F.col("_w")))
+    placed = placed.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")).withColumn("_block", block_key)
+    return placed.join(sides, "_block").select("_meet", "side", "node", "component", *carry)
+
+
+def _family_links(members: DataFrame) -> DataFrame:
+    """Links between components inside families (family, node, component, shingles), by exact overlaps of full sets.
+
+    Each pair of blocks gives only as many links as join its components, however many pairs are similar.
+    """
 
-    return dealt.groupBy("_meet").applyInPandas(compare, "a long, b long").distinct()
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        two = one if two.empty else two
+        sets = [np.asarray(x, dtype=np.int64) for x in two["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owners = np.repeat(np.arange(len(sets)), sizes)[order]
+        values, first = np.unique(flat[order], return_index=True)
+        counts = np.diff(np.append(first, len(flat)))
+        other, nodes = two["component"].to_numpy(), two["node"].to_numpy()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
 
+        a, b = [], []
+        for node, own, shingles in zip(one["node"], one["component"], one["shingles"], strict=True):
+            mine = np.asarray(shingles, dtype=np.int64)
+            at = np.searchsorted(values, mine)
+            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == mine)]
+            n = counts[at]
+            spread = np.repeat(first[at] - np.append(0, n.cumsum()[:-1]), n) + np.arange(n.sum())
+            both = np.bincount(owners[spread], minlength=len(sets))
+            for j in np.flatnonzero((both * 100 >= SIMILAR * (len(mine) + sizes - both)) & (other != own)):
+                x, y = root(int(own)), root(int(other[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(min(int(node), int(nodes[j])))
+                    b.append(max(int(node), int(nodes[j])))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return _meetings(members, "family", ["shingles"]).groupBy("_meet").applyInPandas(compare, "a long, b long")
+
+
+def _list_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs inside long lists (list, node, component, inter, size, sig) that may be links between components.
+
+    inter is the overlap with the list's smallest id p where that is known: two texts share at most the smaller
+    overlap with p plus the smaller rest, which rules most pairs out before signatures are compared.
+    """
 
-def links_of(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Confirmed links between representatives (node, sig), as (links, components); None without candidates."""
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        alone = two.empty
+        two = one if alone else two
+        x, y = ({c: part[c].to_numpy() for c in ("node", "component", "inter", "size")} for part in (one, two))
+        shared = np.minimum(x["inter"][:, None], y["inter"][None, :]) + np.minimum((x["size"] - x["inter"])[:, None], (y["size"] - y["inter"])[None, :])
+        smaller = np.minimum(x["size"][:, None], y["size"][None, :])
+        unknown = (x["inter"] < 0)[:, None] | (y["inter"] < 0)[None, :]
+        shared = np.minimum(np.where(unknown, smaller, shared), smaller)
+        may = (shared * 100 >= SIMILAR * (x["size"][:, None] + y["size"][None, :] - shared)) & (x["component"][:, None] != y["component"][None, :])
+        i, j = np.nonzero(np.triu(may, 1) if alone else may)
+        a, b = np.stack(one["sig"].to_list()), np.stack(two["sig"].to_list())
+        matches = np.concatenate([np.zeros(0, dtype=np.int64), *((a[i[n : n + 65536]] == b[j[n : n + 65536]]).sum(axis=1) for n in range(0, len(i), 65536))])
+        u, v = x["node"][i[matches >= MATCHES]], y["node"][j[matches >= MATCHES]]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}, dtype="int64")
+
+    return _meetings(lists, "list", ["inter", "size", "sig"]).groupBy("_meet").applyInPandas(compare, "a long, b long").distinct()
+
+
+def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, component) of the representatives (node, n, sig) that are linked with another."""
     postings = reps.select("node", F.explode("sig").alias("list"))
     shared = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = postings.join(shared, "list")
@@ -164,38 +214,62 @@ def links_of(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] |
     tried = materialize(_joined(pairs, own, "ks").where(_common(F.col("_x"), F.col("_y")) >= MATCHES).select("a", "b"), "pairs")
     nodes = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
     sets = materialize(_sets(docs, nodes), "sets")
-    links = materialize(confirm(tried, sets), "links")
+    overlaps = materialize(overlap(tried, sets), "overlaps")
+    release(tried, sets)
+    links = linked(overlaps)
     found = components(links)
-    # Long lists that still hold more than one component: the exact way for what their stars left.
-    rest = prefix.join(sizes.where(F.col("m") > SMALL).select("list"), "list").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = materialize(rest, "rest")
+    # Long lists that still hold more than one component.
+    long = prefix.join(sizes.where(F.col("m") > SMALL).select("list", "pivot"), "list")
+    rest = materialize(long.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
     mixed = rest.groupBy("list").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("list")
-    left = materialize(rest.join(mixed, "list").join(own.select("node", "ks"), "node"), "mixed")
+    left = materialize(rest.join(mixed, "list"), "mixed")
+    release(own, prefix, rest)
     if left.limit(1).count():
-        more = materialize(_block_pairs(left).join(tried, ["a", "b"], "left_anti"), "more")
-        if more.limit(1).count():
-            nodes = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-            extra = materialize(_sets(docs, nodes), "more-sets")
-            again = materialize(links.union(confirm(more, extra)), "more-links")
-            release(extra, links)
-            links = again
-            found = components(links)
-        release(more)
-    release(own, prefix, tried, sets, rest, left)
-    return links, found
+        # Texts that share a mixed list are of one family; the lists of a family mostly hold the same texts.
+        family = components(left.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
+        sized = family.groupBy("family").agg(F.count(F.lit(1)).alias("_m"))
+        few = sized.where(F.col("_m") <= FAMILY).select("family")
+        members = left.select("node", "component").distinct().join(family.join(few, "family"), "node")
+        members = materialize(members, "members")
+        sets = materialize(_sets(docs, members.select("node").distinct()), "sets")
+        more = [_family_links(members.join(sets, "node"))]
+        if sized.where(F.col("_m") > FAMILY).limit(1).count():
+            known = overlaps.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n").alias("inter"))
+            many = left.join(family.join(few, "family", "left_anti"), "node").join(known, ["pivot", "node"], "left").join(reps.select("node", F.col("n_shingles").alias("size"), "sig"), "node")
+            inter = F.when(F.col("node") == F.col("pivot"), F.col("size")).otherwise(F.coalesce("inter", F.lit(-1))).cast("long")
+            pairs = materialize(_list_pairs(many.select("list", "node", "component", inter.alias("inter"), "size", "sig")).join(overlaps, ["a", "b"], "left_anti"), "more")
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            more.append(linked(overlap(pairs, materialize(_sets(docs, ends), "sets"))))
+        joined = links
+        for extra in more:
+            joined = joined.union(extra)
+        found = components(materialize(joined, "links"))
+        release(members, sets)
+    release(left, overlaps)
+    return found
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids to join with: sent to all tasks while they are at most ``SENT_IDS``, else left to a shuffled join."""
+    ids = materialize(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Full sets of the given representatives: a row of ``docs`` for each, by id and word sequence."""
-    texts = docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
+    """Full sets of the given representatives; their texts are found where they are, while they are few."""
+    texts = docs.join(_few(nodes), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
     return shingle_sets(texts)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= SIMILAR * union."""
-    n = _common(F.col("_x"), F.col("_y"))
-    union = F.size("_x") + F.size("_y") - n
-    return _joined(pairs, sets, "shingles").where(n * 100 >= union * SIMILAR).select("a", "b").distinct()
+def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n, whole: sizes of the intersection and the union of the full sets of each pair."""
+    n = _common(F.col("_x"), F.col("_y")).cast("long")
+    sized = _joined(pairs, sets, "shingles").select("a", "b", n.alias("n"), (F.size("_x") + F.size("_y")).cast("long").alias("both"))
+    return sized.distinct().select("a", "b", "n", (F.col("both") - F.col("n")).alias("whole"))
+
+
+def linked(overlaps: DataFrame) -> DataFrame:
+    return overlaps.where(F.col("n") * 100 >= F.col("whole") * SIMILAR).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,9 +286,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # Copies of a word sequence: the least id of each, summed before the shuffle.
     firsts = materialize(named.groupBy("key").agg(F.min("doc_id").alias("node")), "firsts")
-    reps = named.join(firsts, "key").where(F.col("doc_id") == F.col("node")).select("node", "key", "sig").dropDuplicates(["node", "key"]).select("node", "sig")
+    reps = named.join(firsts, "key").where(F.col("doc_id") == F.col("node")).select("node", "key", "n_shingles", "sig").dropDuplicates(["node", "key"]).select("node", "n_shingles", "sig")
     reps = materialize(reps, "representatives")
-    _, found = links_of(slim, reps)
+    found = links_of(slim, reps)
     base = signed.select("doc_id", "n_shingles", "key")
     out = base.join(firsts, "key", "left").join(found, "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node", "doc_id"))
@@ -223,5 +297,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all its columns, but one document of each component: that of the smallest id."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(_few(dropped), docs["doc_id"] == F.col("__gone"), "left_anti")
