@@ -26,14 +26,14 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(df: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """One row for each host that has boilerplate: _host, __pb_lines (array of line digests)."""
+    """One row for each host that has boilerplate: _host, _lines (array of line digests)."""
     pages = df.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
     totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     keys = F.array_distinct(F.transform(F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\r"))) > 0), _key))
     lines = pages.where(F.col("_text").isNotNull()).select("_host", F.explode(keys).alias("_key"))
     counts = lines.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
     over = counts.alias("c").join(totals.alias("t"), F.col("c._host").eqNullSafe(F.col("t._host"))).where(F.col("_n") > F.lit(float(ratio)) * F.col("_pages"))
-    return over.groupBy("c._host").agg(F.collect_list("_key").alias("__pb_lines"))
+    return over.groupBy("c._host").agg(F.collect_list("_key").alias("_lines"))
 
 
 def drop_boilerplate(
@@ -46,15 +46,20 @@ def drop_boilerplate(
     A null host is a host of its own; a null text stays null with no lines; repeated rows count as pages
     each; an empty table gives an empty result.
     """
-    bad = materialize(boilerplate_lines(df, host_col, text_col, ratio, min_pages).select(F.col("_host").alias("__pb_host"), "__pb_lines"), "lines")
-    joined = df.join(bad, F.col(host_col).eqNullSafe(F.col("__pb_host")), "left")
+    tag = "__pb"
+    while any(c.startswith(tag) for c in df.columns):
+        tag += "_"
+    host, lines, left = f"{tag}host", f"{tag}lines", f"{tag}left"
+    bad = boilerplate_lines(df, host_col, text_col, ratio, min_pages)
+    bad = materialize(bad.select(F.col("_host").alias(host), F.col("_lines").alias(lines)), "lines")
+    joined = df.join(bad, F.col(host_col).eqNullSafe(F.col(host)), "left")
     every = F.split(F.col(text_col), "\n")
-    kept = F.filter(every, lambda x: ~F.array_contains(F.col("__pb_lines"), _key(x)))
-    marked = joined.withColumn("__pb_kept", F.when(F.col("__pb_lines").isNull(), every).otherwise(kept))
-    n = F.coalesce(F.size(every), F.lit(0))
+    kept = F.filter(every, lambda x: ~F.array_contains(F.col(lines), _key(x)))
+    marked = joined.withColumn(left, F.when(F.col(lines).isNull(), every).otherwise(kept))
+    n = F.size(every)
     out = marked.withColumns({
         "_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"),
-        "_n_dropped": F.when(F.col(text_col).isNull(), 0).otherwise(n - F.size("__pb_kept")).cast("long"),
-        text_col: F.when(F.col("__pb_lines").isNull(), F.col(text_col)).otherwise(F.array_join("__pb_kept", "\n")),
+        "_n_dropped": F.when(F.col(text_col).isNull(), 0).otherwise(n - F.size(left)).cast("long"),
+        text_col: F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
     })
-    return out.drop("__pb_host", "__pb_lines", "__pb_kept")
+    return out.drop(host, lines, left)
