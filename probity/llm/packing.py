@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from probity.llm.common import column
-from probity.llm.tokens import CachedEncoder
+from probity.llm.common import column, sliced
+from probity.llm.tokens import encoder_for
 
 LONG = 1024
 TIERS = (1024, 512, 256, 128)
@@ -132,7 +132,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = CachedEncoder(tokenizer_path), struct.pack("<I", end_id)
+        encoder, end = encoder_for(tokenizer_path), struct.pack("<I", end_id)
         base = TaskContext.get().partitionId() << 38
         sequences = steps = held = 0
         ids: list[int | None] = []
@@ -159,7 +159,7 @@ def pack_documents(
             ids, coded = [], []
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, c in zip(column(batch, "doc_id"), encoder.encode([t or "" for t in column(batch, "text")]), strict=True):
                 ids.append(doc_id)
                 coded.append(c + end)

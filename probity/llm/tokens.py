@@ -2,20 +2,28 @@
 
 A single space between two characters that aren't white space always begins a new pre-token in the
 byte-level and word-end patterns this is used with, so the stretches between such spaces encode
-independently of each other. A text whose spaces are all of that kind is cut there, its stretches are
-looked up in a bounded table and the library encodes only those not met yet; every other text is
-encoded by the library as a whole. Either way the ids are the library's ids for the whole text.
+independently of each other; so does a single line feed, which is a pre-token of its own, and so do
+letters and the stops or commas that follow them. A text whose white space is all of that kind is cut there, its
+stretches are looked up in a bounded table and the library encodes only those not met yet; every other
+text is encoded by the library as a whole. Either way the ids are the library's ids for the whole text.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+from array import array
 from collections.abc import Sequence
 
-#: Distinct stretches kept by one worker (about 100 MB); a full table is emptied and filled anew.
-CACHE_WORDS = 400_000
+import numpy as np
+
+#: Distinct stretches in each of the two generations that a worker keeps (about 70 MB each). When the
+#: younger is full it becomes the older one; what is met again moves to the younger.
+CACHE_WORDS = 350_000
 #: Texts encoded by one call to the library.
 _CALL = 20_000
+#: Words of letters put into one call as one text.
+_JOIN = 500
 
 
 class CachedEncoder:
@@ -25,36 +33,87 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
         self.limit = cache_words
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.old_first: dict[str, bytes] = {}
+        self.old_rest: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        import numpy as np
-
         out: list[bytes] = []
         for i in range(0, len(texts), _CALL):
-            for e in self.tokenizer.encode_batch_fast(list(texts[i : i + _CALL]), add_special_tokens=False):
-                out.append(np.array(e.ids, dtype="<u4").tobytes())
+            coded = self.tokenizer.encode_batch_fast(list(texts[i : i + _CALL]), add_special_tokens=False)
+            out.extend([array("I", e.ids).tobytes() for e in coded])
+        return out
+
+    def _encode_letters(self, words: Sequence[str], lead: str) -> list[bytes]:
+        """As ``_encode`` of words of letters only, many in one text: each is then one pre-token."""
+        out: list[bytes] = []
+        for i in range(0, len(words), _JOIN):
+            part = words[i : i + _JOIN]
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            raw, at = array("I", e.ids).tobytes(), np.array(e.word_ids, dtype=np.int64)
+            ends = ((np.flatnonzero(np.diff(at)) + 1) * 4).tolist()
+            if not len(at) or len(ends) + 1 != len(part):  # a letter that falls apart when it is normalised
+                out.extend(self._encode([lead + w for w in part]))
+                continue
+            out.extend([raw[a:b] for a, b in zip([0, *ends], [*ends, len(raw)], strict=True)])
         return out
 
     @staticmethod
     def _independent(piece: str) -> bool:
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace() and "<|" not in piece
+        bare = piece[1:] if piece[:1] == "\n" else piece
+        return bool(bare) and not bare[0].isspace() and not bare[-1].isspace() and "<|" not in bare
+
+    def _learn(self, table: dict[str, bytes], old: dict[str, bytes], new: set[str], lead: str) -> None:
+        """Add the stretches of ``new`` that may be cut out; ``lead`` stands before those without a line feed."""
+        known = new & old.keys()
+        table.update((w, old[w]) for w in known)
+        letters: set[str] = set()
+        ended, whole = [], []
+        for w in new - known if known else new:
+            stem = w.rstrip(".,")
+            if lead and stem.isalpha():
+                # Letters and the stops after them are different pre-tokens.
+                letters.add(stem)
+                if len(stem) != len(w):
+                    ended.append(w)
+            elif self._independent(w):
+                whole.append(w)
+        stems = list(letters.difference(table))
+        table.update(zip(stems, self._encode_letters(stems, lead), strict=True))
+        table.update(zip(whole, self._encode([w if w[0] == "\n" else lead + w for w in whole]), strict=True))
+        stops = list({w[len(w.rstrip(".,")) :] for w in ended}.difference(self.stops))
+        self.stops.update(zip(stops, self._encode(stops), strict=True))
+        for w in ended:
+            stem = w.rstrip(".,")
+            table[w] = table[stem] + self.stops[w[len(stem) :]]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        collecting = gc.isenabled()
+        gc.disable()  # strings and bytes in a large table make no cycles
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_texts(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.rest) + len(self.first) > self.limit:
-            self.first, self.rest = {}, {}
-        cut = [t.split(" ") for t in texts]
-        new_first = {p[0] for p in cut} - self.first.keys()
+            self.old_first, self.old_rest, self.first, self.rest = self.first, self.rest, {}, {}
+            self.stops = {}
+        if self.lowers:  # the library lowers each letter alone; only a final sigma is different for a whole word
+            texts = [t if "\u03a3" in t else t.lower() for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
         seen: set[str] = set()
         for p in cut:
             seen.update(p[1:])
-        new_rest = seen - self.rest.keys()
-        for table, new, lead in ((self.first, new_first, ""), (self.rest, new_rest, " ")):
-            good = [w for w in new if self._independent(w)]
-            table.update(zip(good, self._encode([lead + w for w in good]), strict=True))
+        self._learn(self.first, self.old_first, {p[0] for p in cut} - self.first.keys(), "")
+        self._learn(self.rest, self.old_rest, seen - self.rest.keys(), " ")
         out: list[bytes | None] = []
         whole: list[int] = []
         for i, p in enumerate(cut):
@@ -67,3 +126,14 @@ class CachedEncoder:
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
+
+
+_ENCODERS: dict[str, CachedEncoder] = {}
+
+
+def encoder_for(path: str) -> CachedEncoder:
+    """This worker's encoder of a file, with the words that earlier tasks have met."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = CachedEncoder(path)
+    return _ENCODERS[path]
