@@ -92,6 +92,45 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2))
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+low AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (h) WHERE lo < doc_id),
+gone AS (SELECT doc_id, list_sort(list(p)) AS ps FROM hit GROUP BY doc_id),
+edge AS (SELECT doc_id, count(*) AS n_spans, max(len) AS longest_span FROM (SELECT doc_id, count(*) AS len FROM (
+  SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit) GROUP BY doc_id, g) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(ps, j)) END, ' '), '')) AS kept_sha256,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(longest_span, 0)::BIGINT AS longest_span
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN edge USING (doc_id)
+"""
+
+OP5_SQL = """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+b AS (SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT + 1 AS size, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, source, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32, md5('17:' || doc_id) AS h FROM b, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY (2.0::DOUBLE * r - 1) / (2.0::DOUBLE * n), source, h, doc_id) - 1 AS p, count(*) OVER () AS whole FROM r),
+k AS (SELECT *, (16 * p) // whole AS k FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, k::INTEGER AS shard, (p - (k * whole + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM k
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sha256(array_to_string(w[i : i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a AS node, a AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a),
+c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -105,4 +144,4 @@ QUERIES = {
     "op10_token_records": op10_token_records,
 }
 
-ORACLES = {"op4_line_dedup": OP4_SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": OP5_SQL, "op7_near_duplicates": OP7_SQL}
