@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probity.functions import scalars, stats
-from probity.operators import components, evidence, images, models, records, samples, vectors
+from probity.operators import cases, components, evidence, images, models, records, samples, vectors
 from probity.sources.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,6 +629,80 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return want.join(found, ["scenario", "category"], "left").select("scenario", F.col("category").alias("expected"), F.coalesce("_hit", F.lit(False)).alias("found"))
 
 
+_AUDIT = """
+WITH a AS (SELECT event_id + 1 AS seq, ['inference.verified', 'case.note', 'report.generated', 'dataset.imported'][event_id % 4 + 1] AS event_type,
+  CASE WHEN event_id % 4 = 0 THEN 'inference:' || (event_id % 50) ELSE 'CASE-' || (user_id % 20) END AS asset FROM events),
+c AS (SELECT DISTINCT 'CASE-' || (user_id % 20) AS case_id, (user_id % 20) * 100 AS opened FROM events),
+f AS (SELECT DISTINCT 'CASE-' || (user_id % 20) AS case_id, 'inference:' || (user_id % 50) AS asset FROM events)
+"""
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events")
+    case = F.concat(F.lit("CASE-"), (F.col("user_id") % 20).cast("string"))
+    kinds = F.element_at(F.array(*map(F.lit, ("inference.verified", "case.note", "report.generated", "dataset.imported"))), (F.col("event_id") % 4).cast("int") + 1)
+    asset = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("inference:"), (F.col("event_id") % 50).cast("string"))).otherwise(case)
+    opened = e.select(case.alias("case_id"), (F.col("user_id") % 20 * 100).alias("opened")).distinct()
+    affected = e.select(case.alias("case_id"), F.concat(F.lit("inference:"), (F.col("user_id") % 50).cast("string")).alias("asset")).distinct()
+    return e.select((F.col("event_id") + 1).alias("seq"), kinds.alias("event_type"), asset.alias("asset")), opened, affected
+
+
+@query(_AUDIT + """
+SELECT DISTINCT case_id, seq, event_type FROM (SELECT c.case_id, opened, seq, event_type FROM a JOIN c ON asset = case_id UNION ALL
+  SELECT c.case_id, opened, seq, event_type FROM a JOIN f USING (asset) JOIN c ON c.case_id = f.case_id WHERE event_type = 'inference.verified') WHERE seq > opened""")
+def follow_up_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.follow_ups(*_audit(spark, sf_dir))
+
+
+@query(_AUDIT + "SELECT seq, event_type FROM a WHERE seq > 500 AND event_type <> 'report.generated'")
+def timeline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.timeline(_audit(spark, sf_dir)[0], 500).select("seq", "event_type")
+
+
+@query("""
+WITH f AS (SELECT event_id AS id, [event_id * 2, event_id * 2 + 1] AS ev FROM events WHERE event_id % 100 = 0), x AS (SELECT id, unnest([0, 1]) AS place, unnest(ev) AS evidence_id FROM f)
+SELECT id AS finding, place::INTEGER AS place, evidence_id, CASE WHEN e.event_id IS NOT NULL THEN sha256(e.props) END AS sha256 FROM x LEFT JOIN events e ON e.event_id = evidence_id
+""")
+def evidence_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    findings = e.where("event_id % 100 = 0").select(F.col("event_id").alias("id"), F.array(F.col("event_id") * 2, F.col("event_id") * 2 + 1).alias("evidence"))
+    return cases.evidence_of(findings, e.select(F.col("event_id").alias("id"), F.sha2("props", 256).alias("sha256")))
+
+
+@query("""
+WITH d AS (SELECT user_id AS case_id, event_id AS seq, upper(['accept', 'Review', 'QUARANTINE', 'other'][event_id % 4 + 1]) AS disposition, event_type AS actor FROM events WHERE event_id % 9 = 0),
+k AS (SELECT case_id, list(seq || ':' || disposition || ':' || actor ORDER BY seq) AS h, arg_max(disposition, seq) AS last FROM d WHERE disposition <> 'OTHER' GROUP BY 1)
+SELECT case_id, coalesce(last, 'none') AS disposition, CASE WHEN last IS NULL THEN 'OPEN' WHEN last = 'ACCEPT' THEN 'CLOSED' WHEN last = 'QUARANTINE' THEN 'QUARANTINED' ELSE 'UNDER REVIEW' END AS status,
+  coalesce(array_to_string(h, ','), '') AS history FROM (SELECT DISTINCT user_id AS case_id FROM events) LEFT JOIN k USING (case_id)
+""")
+def disposition_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    pick = F.element_at(F.array(*map(F.lit, ("accept", "Review", "QUARANTINE", "other"))), (F.col("event_id") % 4).cast("int") + 1)
+    decisions = e.where("event_id % 9 = 0").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), pick.alias("disposition"), F.col("event_type").alias("by"))
+    opened = e.select(F.col("user_id").alias("case_id"), F.lit("none").alias("disposition"), F.lit("OPEN").alias("status"), F.array().cast("array<string>").alias("history")).distinct()
+    return cases.set_dispositions(opened, decisions).withColumn("history", F.array_join("history", ","))
+
+
+@query("""
+SELECT event_id AS record_id, CASE WHEN event_id % 3 = 0 OR user_id % 10 >= 8 OR event_id % 7 = 0 THEN 'skipped' WHEN event_id % 11 = 0 THEN 'fail' ELSE 'pass' END AS "check" FROM events
+""")
+def reexecution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    recs = e.select(F.col("event_id").alias("record_id"), (F.col("event_id") % 3 != 0).alias("input_ok"), (F.col("user_id") % 10).cast("string").alias("model_sha256"), F.col("event_type").alias("label"))
+    again = e.where("event_id % 7 <> 0").select(F.col("event_id").alias("record_id"), F.when(F.col("event_id") % 11 == 0, "changed").otherwise(F.col("event_type")).alias("label"))
+    return cases.reexecution(recs, again, spark.range(8).select(F.col("id").cast("string").alias("sha256")))
+
+
+@query("""
+SELECT 'sample:' || doc_id AS src, 'batch:' || source AS dst, 'PART_OF' AS rel FROM documents WHERE source <> 'src3' UNION ALL
+SELECT DISTINCT 'batch:' || source, 'contributor:' || (CASE WHEN substr(source, 4)::INTEGER < 10 THEN 'a' ELSE 'b' END), 'CONTRIBUTED_BY' FROM documents WHERE source <> 'src3'
+""")
+def provenance_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    who = F.when(F.substring("source", 4, 9).cast("int") < 10, "a").otherwise("b")
+    return cases.provenance_edges(docs.select(F.col("doc_id").cast("string").alias("sample"), F.when(F.col("source") != "src3", F.col("source")).alias("batch"), who.alias("contributor")))
+
+
 # Images and models --------------------------------------------------------------------------------------------------
 
 
