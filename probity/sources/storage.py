@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if _fallback is None:
-        _fallback = "file://" + tempfile.mkdtemp(prefix="probity-")
+        local = tempfile.mkdtemp(prefix="probity-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        _fallback = f"file://{local}"
     return _fallback
 
 
