@@ -44,7 +44,7 @@ PRIOR, DRIFT = 50.0, 0.25
 ERRORS, LEAST_WEIGHT = 1.75, 1.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
-_MEMO = 300_000
+_MEMO = 100_000
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
                 words = {token(r) for r in set(text.lower().split())} if text else set()
                 words.discard("")
                 seen[label].update(words.union(*map(prefix_tokens, words)))
-            if len(seen[0]) + len(seen[1]) > 400_000:
+            if len(seen[0]) + len(seen[1]) > 150_000:
                 yield from out()
         yield from out()
 
