@@ -16,6 +16,8 @@ from probity.llm.queries import tokenizer_path
 from probity.llm.toxicity import drop_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that an encoder keeps in each generation: fewer than alone, as the workers have done other stages before.
+PACKING_WORDS = 120_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -42,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token pieces in sequences of at most 1024 ids."""
-    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), cache_words=PACKING_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from probity.llm.common import column, sliced
-from probity.llm.tokens import encoder_for
+from probity.llm.tokens import CACHE_WORDS, encoder_for
 
 LONG = 1024
 TIERS = (1024, 512, 256, 128)
@@ -122,7 +122,7 @@ def step_groups(pieces: list[Piece], windows: list[int], step: int = STEP) -> li
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS, unit_tokens: int = UNIT_TOKENS
+    docs: DataFrame, tokenizer_path: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS, unit_tokens: int = UNIT_TOKENS, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text), end each with ``end_id`` and pack them; one row for each piece.
 
@@ -132,7 +132,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_for(tokenizer_path), struct.pack("<I", end_id)
+        encoder, end = encoder_for(tokenizer_path, cache_words), struct.pack("<I", end_id)
         base = TaskContext.get().partitionId() << 38
         sequences = steps = held = 0
         ids: list[int | None] = []

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.llm.common import column, materialize, new_path
-from probity.llm.tokens import CachedEncoder
+from probity.llm.common import column, materialize, new_path, sliced
+from probity.llm.tokens import encoder_for
 
 MASK_DELTA = 0xA282EAD8
 INDEX_MAGIC = b"PBIDX001"
@@ -94,7 +94,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     folder = folder or new_path(docs.sparkSession, "records")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = struct.pack("<I", end_id)
         pid = TaskContext.get().partitionId()
@@ -102,7 +102,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         store, base = _open(folder)
         docs_n = tokens = at = 0
         data = index = None
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = column(batch, "doc_id"), [t or "" for t in column(batch, "text")]
             for doc_id, coded in zip(ids, encoder.encode(texts), strict=True):
                 if data is None:

@@ -14,16 +14,17 @@ import gc
 import os
 from array import array
 from collections.abc import Sequence
+from unicodedata import is_normalized
 
-import numpy as np
-
-#: Distinct stretches in each of the two generations that a worker keeps (about 70 MB each). When the
+#: Distinct stretches in each of the two generations that a worker keeps (about 90 MB each). When the
 #: younger is full it becomes the older one; what is met again moves to the younger.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 300_000
 #: Texts encoded by one call to the library.
 _CALL = 20_000
-#: Words of letters put into one call as one text.
-_JOIN = 500
+
+#: Byte-level models spell each byte as a letter: printable ones as themselves, the others by the letters from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class CachedEncoder:
@@ -34,7 +35,10 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         normalizer = self.tokenizer.normalizer
-        self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.normalizes = normalizer is not None
+        self.lowers = self.normalizes and normalizer.normalize_str("A") == "a"
+        self.mark: str | None = None
+        self.mark = self._find_mark()
         self.limit = cache_words
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
@@ -50,19 +54,33 @@ class CachedEncoder:
         return out
 
     def _encode_letters(self, words: Sequence[str], lead: str) -> list[bytes]:
-        """As ``_encode`` of words of letters only, many in one text: each is then one pre-token."""
+        """As ``_encode`` of words of letters only: one pre-token each, which the model takes as it is."""
+        if self.mark is None:
+            return self._encode([lead + w for w in words])
         out: list[bytes] = []
-        for i in range(0, len(words), _JOIN):
-            part = words[i : i + _JOIN]
-            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            raw, at = array("I", e.ids).tobytes(), np.array(e.word_ids, dtype=np.int64)
-            ends = ((np.flatnonzero(np.diff(at)) + 1) * 4).tolist()
-            if not len(at) or len(ends) + 1 != len(part):  # a letter that falls apart when it is normalised
-                out.extend(self._encode([lead + w for w in part]))
-                continue
-            out.extend([raw[a:b] for a, b in zip([0, *ends], [*ends, len(raw)], strict=True)])
+        tokenize, mark = self.tokenizer.model.tokenize, self.mark if lead else ""
+        for w in words:
+            if w.isascii():
+                spelt = w
+            elif not self.normalizes or is_normalized("NFC", w):
+                spelt = w.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            else:
+                spelt = None
+            if spelt is None or self.lowers and w != w.lower():
+                out.extend(self._encode([lead + w]))
+            else:
+                out.append(array("I", [t.id for t in tokenize(mark + spelt)]).tobytes())
         return out
 
+    def _find_mark(self) -> str | None:
+        """What stands for the space before a word in the model's alphabet; None if the model's input is of another kind."""
+        sample = ["a", "word", "stra\u00dfe", "\u4e2d", "na\u00efve", "\u017ea\u0142o\u015b\u0107"]
+        want = self._encode([" " + w for w in sample])
+        for self.mark in (" ".translate(_BYTE_LETTERS), ""):
+            if self._encode_letters(sample, " ") == want:
+                return self.mark
+        return None
+
     @staticmethod
     def _independent(piece: str) -> bool:
         bare = piece[1:] if piece[:1] == "\n" else piece
@@ -73,24 +91,31 @@ class CachedEncoder:
         known = new & old.keys()
         table.update((w, old[w]) for w in known)
         letters: set[str] = set()
-        ended, whole = [], []
+        ended, broken, whole = [], [], []
         for w in new - known if known else new:
             stem = w.rstrip(".,")
-            if lead and stem.isalpha():
+            if stem.isalpha():
                 # Letters and the stops after them are different pre-tokens.
                 letters.add(stem)
                 if len(stem) != len(w):
                     ended.append(w)
+            elif stem[:1] == "\n" and stem[1:].isalpha():
+                broken.append(w)
             elif self._independent(w):
                 whole.append(w)
         stems = list(letters.difference(table))
         table.update(zip(stems, self._encode_letters(stems, lead), strict=True))
         table.update(zip(whole, self._encode([w if w[0] == "\n" else lead + w for w in whole]), strict=True))
-        stops = list({w[len(w.rstrip(".,")) :] for w in ended}.difference(self.stops))
+        firsts = list({w.rstrip(".,")[1:] for w in broken}.difference(self.first))
+        self.first.update(zip(firsts, self._encode_letters(firsts, ""), strict=True))
+        stops = list({w[len(w.rstrip(".,")) :] for w in (*ended, *broken)}.union(("\n",)).difference(self.stops))
         self.stops.update(zip(stops, self._encode(stops), strict=True))
         for w in ended:
             stem = w.rstrip(".,")
             table[w] = table[stem] + self.stops[w[len(stem) :]]
+        for w in broken:
+            stem = w.rstrip(".,")
+            table[w] = self.stops["\n"] + self.first[stem[1:]] + self.stops[w[len(stem) :]]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -131,9 +156,10 @@ class CachedEncoder:
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
-def encoder_for(path: str) -> CachedEncoder:
+def encoder_for(path: str, cache_words: int = CACHE_WORDS) -> CachedEncoder:
     """This worker's encoder of a file, with the words that earlier tasks have met."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = CachedEncoder(path)
+    _ENCODERS[path].limit = cache_words
     return _ENCODERS[path]
