@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_LABEL, VOTE_SHARE = 11, 0.7
+#: Vectors of the current window.
+WINDOW = 60
 #: A reference block that is sent to the tasks has at most so many vectors.
 BLOCK_ROWS = 20_000
 

@@ -37,7 +37,7 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE h AS (SELECT doc_id, sha256(text) AS t, sha256(left(text, 200)) AS p FROM documents),
+WITH RECURSIVE h AS (SELECT doc_id, sha256(text) AS t, sha256(lower(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS p FROM documents),
 keys AS (SELECT doc_id, t AS k FROM h UNION ALL SELECT doc_id, p FROM h),
 firsts AS (SELECT k, min(doc_id) AS a FROM keys GROUP BY k HAVING count(*) > 1),
 links AS (SELECT DISTINCT a, doc_id AS b FROM keys JOIN firsts USING (k) WHERE a <> doc_id),
@@ -47,7 +47,8 @@ SELECT node, min(other) AS component FROM reach GROUP BY node
 """)
 def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return components.components(samples.duplicate_links(docs, "doc_id", F.col("text"), F.substring("text", 1, 200)))
+    spaced = F.lower(F.regexp_replace("text", r"[ \t\n\r]+", " "))
+    return components.components(samples.duplicate_links(docs, "doc_id", F.col("text"), spaced))
 
 
 @query("""
@@ -198,34 +199,41 @@ def mahalanobis_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id < 400),
-p AS (SELECT a.vec_id % 2 AS x, b.vec_id % 2 AS y, list_sum(list_transform(list_zip(a.e, b.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d, a.vec_id = b.vec_id AS own FROM v a, v b),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, cur FROM (
+  (SELECT *, 0 AS cur FROM embeddings WHERE vec_id % 4 = 0 ORDER BY vec_id DESC LIMIT 200) UNION ALL (SELECT *, 1 AS cur FROM embeddings WHERE vec_id % 4 <> 0 ORDER BY vec_id DESC LIMIT 60))),
+p AS (SELECT a.cur AS x, b.cur AS y, list_sum(list_transform(list_zip(a.e, b.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d, a.vec_id = b.vec_id AS own FROM v a, v b),
 w AS (SELECT median(d) AS s FROM p WHERE NOT own)
 SELECT x, y, count(*) AS n, round(avg(exp(-(CASE WHEN own THEN 0 ELSE d END) / s)), 6) AS kernel_mean FROM p, w GROUP BY x, y
 """)
 def mmd_kernel_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kernel means of two windows of 200 vectors, the size of window that the test is defined for."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 400").select("vec_id", "embedding")
-    a, b = v.select(F.col("vec_id").alias("i"), F.col("embedding").alias("e")), v.select(F.col("vec_id").alias("j"), F.col("embedding").alias("f"))
+    """The kernel means of the two windows that the test is defined for: the latest 200 reference and 60 current vectors."""
+    v = _windows(spark, sf_dir)
+    a, b = v.select(F.col("vec_id").alias("i"), F.col("embedding").alias("e"), F.col("cur").alias("x")), v.select(F.col("vec_id").alias("j"), F.col("embedding").alias("f"), F.col("cur").alias("y"))
     apart = F.aggregate(F.zip_with("e", "f", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, t: s + t)
-    pairs = a.join(F.broadcast(b)).select((F.col("i") % 2).alias("x"), (F.col("j") % 2).alias("y"), (F.col("i") == F.col("j")).alias("own"), apart.alias("d"))
+    pairs = a.join(F.broadcast(b)).select("x", "y", (F.col("i") == F.col("j")).alias("own"), apart.alias("d"))
     width = pairs.where(~F.col("own")).agg(F.percentile("d", 0.5).alias("s"))
     kernel = F.exp(-F.when(F.col("own"), 0.0).otherwise(F.col("d")) / F.col("s"))
     return pairs.join(F.broadcast(width)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(kernel), 6).alias("kernel_mean"))
 
 
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, reference = _split(spark, sf_dir)
+    last = lambda df, n, cur: df.orderBy(F.col("vec_id").desc()).limit(n).withColumn("cur", F.lit(cur))
+    return last(reference, 200, 0).unionByName(last(queries, vectors.WINDOW, 1))
+
+
 @query()
 def mmd_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MMD and its permutation probability of one reference and one current window of 200 vectors, in one task."""
+    """MMD and its permutation probability of the same two windows, in one task."""
     import numpy as np
     import pandas as pd
 
     def test(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.array(rows[rows["vec_id"] % 2 == i]["embedding"].tolist()) for i in (0, 1))
+        x, y = (np.array(rows[rows["cur"] == i]["embedding"].tolist()) for i in (0, 1))
         value, p = stats.mmd_test(x, y)
         return pd.DataFrame({"mmd": [value], "p_value": [p]})
 
-    return table(spark, sf_dir, "embeddings").where("vec_id < 400").withColumn("window", F.lit("both")).groupBy("window").applyInPandas(test, "mmd double, p_value double")
+    return _windows(spark, sf_dir).withColumn("window", F.lit("both")).groupBy("window").applyInPandas(test, "mmd double, p_value double")
 
 
 # Manifests and records ----------------------------------------------------------------------------------------------
@@ -359,8 +367,8 @@ def registered_digest_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT event_id AS record_id, user_id AS stream, event_id // 3 AS seq, CASE WHEN event_id % 31 = 4 THEN event_id - 4 ELSE event_id END AS nonce, event_type AS signer, event_id % 17 <> 2 AS hash_ok FROM events WHERE event_id % 2 = 0),
-a AS (SELECT user_id AS stream, event_id // 3 AS seq, event_id - 1 AS nonce FROM events WHERE event_id % 2 = 1 AND event_id < 200),
+WITH i AS (SELECT event_id AS record_id, user_id AS stream, event_id // 3 AS seq, CASE WHEN event_id % 31 = 4 THEN event_id - 4 ELSE event_id END AS nonce, event_type AS signer, event_id % 17 <> 2 AS hash_ok FROM events WHERE ts >= TIMESTAMP '2024-01-11'),
+a AS (SELECT user_id AS stream, event_id // 3 AS seq, event_id AS nonce FROM events WHERE ts < TIMESTAMP '2024-01-11'),
 l AS (SELECT stream, max(seq) AS last FROM a GROUP BY 1),
 j AS (SELECT i.*, row_number() OVER (PARTITION BY i.nonce ORDER BY i.stream, seq, record_id) > 1 OR nonce IN (SELECT nonce FROM a) AS bad_nonce, seq <= coalesce(last, 0) AS bad_seq FROM i LEFT JOIN l USING (stream)),
 r AS (SELECT *, list_filter([CASE WHEN NOT hash_ok THEN 'record hash mismatch' END, CASE WHEN signer = 'error' THEN 'untrusted signer' END, CASE WHEN bad_nonce THEN 'nonce already used' END,
@@ -369,11 +377,11 @@ SELECT record_id, len(reasons) = 0 AS accepted, coalesce(array_to_string(reasons
 """)
 def ingest_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    incoming = e.where("event_id % 2 = 0").select(
+    incoming = e.where("ts >= timestamp_ntz'2024-01-11'").select(
         F.col("event_id").alias("record_id"), F.col("user_id").alias("stream"), F.expr("event_id div 3").alias("seq"),
         F.when(F.col("event_id") % 31 == 4, F.col("event_id") - 4).otherwise(F.col("event_id")).alias("nonce"), F.col("event_type").alias("signer"), (F.col("event_id") % 17 != 2).alias("hash_ok"),
     )
-    log = e.where("event_id % 2 = 1 and event_id < 200").select(F.col("user_id").alias("stream"), F.expr("event_id div 3").alias("seq"), (F.col("event_id") - 1).alias("nonce"))
+    log = e.where("ts < timestamp_ntz'2024-01-11'").select(F.col("user_id").alias("stream"), F.expr("event_id div 3").alias("seq"), F.col("event_id").alias("nonce"))
     trusted = e.where("event_type <> 'error'").select(F.col("event_type").alias("signer")).distinct()
     return records.ingest_admission(incoming, log, trusted)
 
@@ -491,7 +499,7 @@ def region_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Findings, evidence, cases ------------------------------------------------------------------------------------------
 
 _FINDINGS = """
-WITH f AS (SELECT event_id AS id, user_id AS case_id, ['dataset', 'model', 'inference', 'distribution', 'governance'][event_id % 5 + 1] AS pillar, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][(event_id * 7) % 11 % 5 + 1] AS severity,
+WITH f AS (SELECT event_id AS id, user_id AS case_id, day(ts) AS day, ['dataset', 'model', 'inference', 'distribution', 'governance'][event_id % 5 + 1] AS pillar, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][(event_id * 7) % 11 % 5 + 1] AS severity,
   (event_id * 7) % 11 % 5 AS rank, CASE WHEN event_id % 3 = 0 THEN 'REAL' ELSE 'HEURISTIC' END AS method_status, ((event_id % 90) + 10)::DOUBLE / 100 AS confidence,
   CASE WHEN event_id % 7 = 0 THEN 'model.substitution' WHEN event_id % 2 = 0 THEN 'inference.replay_blocked' ELSE 'other' END AS category FROM events)
 """
@@ -502,18 +510,17 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
     return e.select(
-        i.alias("id"), F.col("user_id").alias("case_id"), pick(("dataset", "model", "inference", "distribution", "governance"), i % 5).alias("pillar"), pick(scalars.SEVERITIES, (i * 7) % 11 % 5).alias("severity"),
+        i.alias("id"), F.col("user_id").alias("case_id"), F.dayofmonth("ts").alias("day"), pick(("dataset", "model", "inference", "distribution", "governance"), i % 5).alias("pillar"), pick(scalars.SEVERITIES, (i * 7) % 11 % 5).alias("severity"),
         F.when(i % 3 == 0, "REAL").otherwise("HEURISTIC").alias("method_status"), ((i % 90 + 10).cast("double") / 100).alias("confidence"),
         F.when(i % 7 == 0, "model.substitution").when(i % 2 == 0, "inference.replay_blocked").otherwise("other").alias("category"),
     )
 
 
 @query(_FINDINGS + """
-SELECT case_id, count(*) AS n, round(1 - exp(sum(ln(CASE WHEN rank = 0 THEN 1.0::DOUBLE ELSE 1 - [0.05, 0.2, 0.45, 0.75, 0.95][rank + 1]::DOUBLE * confidence END))), 3) AS risk_score FROM f WHERE id % 40 = 0 GROUP BY 1
+SELECT case_id, day::INTEGER AS day, count(*) AS n, round(1 - exp(sum(ln(CASE WHEN rank = 0 THEN 1.0::DOUBLE ELSE 1 - [0.05, 0.2, 0.45, 0.75, 0.95][rank + 1]::DOUBLE * confidence END))), 3) AS risk_score FROM f GROUP BY ALL
 """)
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _findings(spark, sf_dir).where("id % 40 = 0")
-    return f.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), evidence.risk(F.col("severity"), F.col("confidence")).alias("risk_score"))
+    return _findings(spark, sf_dir).groupBy("case_id", "day").agg(F.count(F.lit(1)).alias("n"), evidence.risk(F.col("severity"), F.col("confidence")).alias("risk_score"))
 
 
 @query(_FINDINGS + "SELECT case_id, count(*) FILTER (rank > 0) AS findings, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(rank) + 1] AS max_severity FROM f GROUP BY 1")
@@ -572,7 +579,7 @@ def props_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
-b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT DISTINCT src AS node FROM b WHERE src LIKE 'customer:%' AND substr(src, 10)::BIGINT < 20),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_acctbal < -900),
 h1 AS (SELECT DISTINCT dst AS node FROM b JOIN h0 ON src = node WHERE dst NOT IN (SELECT node FROM h0)),
 h2 AS (SELECT DISTINCT dst AS node FROM b JOIN h1 ON src = node WHERE node NOT LIKE 'region:%' AND dst NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1)),
 h3 AS (SELECT DISTINCT dst AS node FROM b JOIN h2 ON src = node WHERE node NOT LIKE 'region:%' AND dst NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1 UNION SELECT node FROM h2))
@@ -580,7 +587,7 @@ SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT
 """)
 def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
-    seeds = table(spark, sf_dir, "customer").where("c_custkey < 20").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
+    seeds = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
     return components.neighbourhood(edges, seeds, 3, ("region:",))
 
 
@@ -593,24 +600,24 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'IN_NATION' AS rel FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'IN_REGION' FROM nation),
-n AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_custkey % 3 = 0 UNION SELECT 'nation:' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)
+n AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_mktsegment = 'HOUSEHOLD' UNION SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey <> 2)
 SELECT src, dst, rel FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)
 """)
 def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
-    n = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
+    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'HOUSEHOLD'").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
+    n = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
     return components.insert_edges(c.union(n), _edges(spark, sf_dir).union(_edges(spark, sf_dir)))
 
 
 @query("""
-WITH f AS (SELECT event_id AS id, user_id AS grp, event_id % 13 AS x, event_id % 17 AS y, ['dataset', 'model', 'distribution'][event_id % 3 + 1] AS pillar FROM events WHERE event_id < 300)
-SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.id < b.id AND a.pillar <> b.pillar AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND a.grp % 10 = b.grp % 10
+WITH f AS (SELECT event_id AS id, user_id AS grp, event_id % 13 AS x, event_id % 17 AS y, ['dataset', 'model', 'distribution'][event_id % 3 + 1] AS pillar FROM events)
+SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.id < b.id AND a.pillar <> b.pillar AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND a.grp = b.grp
 """)
 def correlation_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigger proximity as a join of cells: each point meets the cells around its own, so no pair outside is made."""
-    e = table(spark, sf_dir, "events").where("event_id < 300")
+    e = table(spark, sf_dir, "events")
     pillar = F.element_at(F.array(*map(F.lit, ("dataset", "model", "distribution"))), (F.col("event_id") % 3).cast("int") + 1)
-    f = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("grp"), (F.col("event_id") % 13).alias("x"), (F.col("event_id") % 17).alias("y"), pillar.alias("pillar"))
+    f = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("grp"), (F.col("event_id") % 13).alias("x"), (F.col("event_id") % 17).alias("y"), pillar.alias("pillar"))
     cell = lambda c: F.floor(F.col(c) / 2)
     near = lambda c: F.explode(F.array(*[cell(c) + d for d in (-1, 0, 1)]))
     a = f.select(F.col("id").alias("a"), "grp", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("pillar").alias("ap"), near("x").alias("cx"), F.col("y")).select("a", "grp", "ax", "ay", "ap", "cx", near("y").alias("cy"))
@@ -619,13 +626,13 @@ def correlation_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT DISTINCT user_id % 12 AS scenario, event_type AS category FROM events WHERE event_id % 5 = 0), g AS (SELECT DISTINCT user_id % 12 AS scenario, event_type AS category FROM events WHERE event_id % 400 = 1)
+WITH x AS (SELECT DISTINCT user_id % 12 AS scenario, event_type AS category FROM events), g AS (SELECT DISTINCT user_id % 12 AS scenario, event_type AS category FROM events WHERE value > 300)
 SELECT x.scenario, x.category AS expected, g.category IS NOT NULL AS found FROM x LEFT JOIN g USING (scenario, category)
 """)
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 12).alias("scenario"), F.col("event_type").alias("category"))
-    found = e.where("event_id % 400 = 1").select("scenario", "category").distinct().withColumn("_hit", F.lit(True))
-    want = e.where("event_id % 5 = 0").select("scenario", "category").distinct()
+    e = table(spark, sf_dir, "events").select("value", (F.col("user_id") % 12).alias("scenario"), F.col("event_type").alias("category"))
+    found = e.where("value > 300").select("scenario", "category").distinct().withColumn("_hit", F.lit(True))
+    want = e.select("scenario", "category").distinct()
     return want.join(found, ["scenario", "category"], "left").select("scenario", F.col("category").alias("expected"), F.coalesce("_hit", F.lit(False)).alias("found"))
 
 
@@ -660,17 +667,17 @@ def timeline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT event_id AS id, [event_id * 2, event_id * 2 + 1] AS ev FROM events WHERE event_id % 100 = 0), x AS (SELECT id, unnest([0, 1]) AS place, unnest(ev) AS evidence_id FROM f)
+WITH f AS (SELECT event_id AS id, [event_id * 2, event_id * 2 + 1] AS ev FROM events), x AS (SELECT id, unnest([0, 1]) AS place, unnest(ev) AS evidence_id FROM f)
 SELECT id AS finding, place::INTEGER AS place, evidence_id, CASE WHEN e.event_id IS NOT NULL THEN sha256(e.props) END AS sha256 FROM x LEFT JOIN events e ON e.event_id = evidence_id
 """)
 def evidence_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    findings = e.where("event_id % 100 = 0").select(F.col("event_id").alias("id"), F.array(F.col("event_id") * 2, F.col("event_id") * 2 + 1).alias("evidence"))
+    findings = e.select(F.col("event_id").alias("id"), F.array(F.col("event_id") * 2, F.col("event_id") * 2 + 1).alias("evidence"))
     return cases.evidence_of(findings, e.select(F.col("event_id").alias("id"), F.sha2("props", 256).alias("sha256")))
 
 
 @query("""
-WITH d AS (SELECT user_id AS case_id, event_id AS seq, upper(['accept', 'Review', 'QUARANTINE', 'other'][event_id % 4 + 1]) AS disposition, event_type AS actor FROM events WHERE event_id % 9 = 0),
+WITH d AS (SELECT user_id AS case_id, event_id AS seq, upper(['accept', 'Review', 'QUARANTINE', 'other'][event_id % 4 + 1]) AS disposition, event_type AS actor FROM events),
 k AS (SELECT case_id, list(seq || ':' || disposition || ':' || actor ORDER BY seq) AS h, arg_max(disposition, seq) AS last FROM d WHERE disposition <> 'OTHER' GROUP BY 1)
 SELECT case_id, coalesce(last, 'none') AS disposition, CASE WHEN last IS NULL THEN 'OPEN' WHEN last = 'ACCEPT' THEN 'CLOSED' WHEN last = 'QUARANTINE' THEN 'QUARANTINED' ELSE 'UNDER REVIEW' END AS status,
   coalesce(array_to_string(h, ','), '') AS history FROM (SELECT DISTINCT user_id AS case_id FROM events) LEFT JOIN k USING (case_id)
@@ -678,7 +685,7 @@ SELECT case_id, coalesce(last, 'none') AS disposition, CASE WHEN last IS NULL TH
 def disposition_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     pick = F.element_at(F.array(*map(F.lit, ("accept", "Review", "QUARANTINE", "other"))), (F.col("event_id") % 4).cast("int") + 1)
-    decisions = e.where("event_id % 9 = 0").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), pick.alias("disposition"), F.col("event_type").alias("by"))
+    decisions = e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), pick.alias("disposition"), F.col("event_type").alias("by"))
     opened = e.select(F.col("user_id").alias("case_id"), F.lit("none").alias("disposition"), F.lit("OPEN").alias("status"), F.array().cast("array<string>").alias("history")).distinct()
     return cases.set_dispositions(opened, decisions).withColumn("history", F.array_join("history", ","))
 
