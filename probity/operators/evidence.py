@@ -68,7 +68,8 @@ def chains(findings: DataFrame, links: DataFrame) -> DataFrame:
 def risk(severity: Column, confidence: Column) -> Column:
     """1 - product of (1 - weight * confidence) without INFO, three places; the product is a sum of logarithms."""
     factor = F.when(severity == "INFO", 1.0).otherwise(1.0 - severity_weight(severity) * confidence)
-    return F.round(1 - F.when(F.min(factor) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.when(factor > 0, factor))))), 3)
+    product = F.when(F.min(factor) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.when(factor > 0, factor)))))
+    return F.round(F.round(1 - product, 9), 3)  # first to nine places, so that halves fall the same way on any engine
 
 
 def pillar_status(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -517,7 +517,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FINDINGS + """
-SELECT case_id, day::INTEGER AS day, count(*) AS n, round(1 - exp(sum(ln(CASE WHEN rank = 0 THEN 1.0::DOUBLE ELSE 1 - [0.05, 0.2, 0.45, 0.75, 0.95][rank + 1]::DOUBLE * confidence END))), 3) AS risk_score FROM f GROUP BY ALL
+SELECT case_id, day::INTEGER AS day, count(*) AS n, round((1 - exp(sum(ln(CASE WHEN rank = 0 THEN 1.0::DOUBLE ELSE 1 - [0.05, 0.2, 0.45, 0.75, 0.95][rank + 1]::DOUBLE * confidence END))))::DECIMAL(18, 9), 3)::DOUBLE AS risk_score FROM f GROUP BY ALL
 """)
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).groupBy("case_id", "day").agg(F.count(F.lit(1)).alias("n"), evidence.risk(F.col("severity"), F.col("confidence")).alias("risk_score"))
@@ -579,7 +579,7 @@ def props_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
-b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_acctbal < -900),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_acctbal < -500),
 h1 AS (SELECT DISTINCT dst AS node FROM b JOIN h0 ON src = node WHERE dst NOT IN (SELECT node FROM h0)),
 h2 AS (SELECT DISTINCT dst AS node FROM b JOIN h1 ON src = node WHERE node NOT LIKE 'region:%' AND dst NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1)),
 h3 AS (SELECT DISTINCT dst AS node FROM b JOIN h2 ON src = node WHERE node NOT LIKE 'region:%' AND dst NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1 UNION SELECT node FROM h2))
@@ -587,7 +587,7 @@ SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT
 """)
 def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
-    seeds = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
+    seeds = table(spark, sf_dir, "customer").where("c_acctbal < -500").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
     return components.neighbourhood(edges, seeds, 3, ("region:",))
 
 
