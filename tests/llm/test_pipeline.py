@@ -45,3 +45,14 @@ def test_run_is_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns[:4] == ["doc_id", "start", "length", "ids_crc32"] and out.count() > 0
     assert Path(sf_dir).exists()
+
+
+def test_edges_pass_every_stage(spark, make, sf_dir):
+    """Nulls in any column, empty and long texts, repeated rows and an empty table go through all stages."""
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "same text of a few words here", "en", None), (3, "same text of a few words here", "en", None), (None, "without an id", None, "a"), (4, "word " * 30_000, "en", "a"), (5, " \n\t", "en", "a")]
+    for docs, least in ((make(rows), 5), (make(rows).where("false"), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            if name != "packing":
+                assert docs.columns == list(corpus_pipeline.COLUMNS)
+        assert docs.select("doc_id").distinct().count() >= least
