@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency: drop lines that a large share of a host's pages contain.
 
 For each host, the pages that contain a line are divided by all pages of the host; lines over the
-ratio (and on at least ``min_pages`` pages) are boilerplate there and are dropped from its pages.
+ratio are boilerplate there and are dropped from its pages. The ratio alone decides; ``min_pages`` only keeps
+what doesn't repeat: a line of one page, or of a page and one copy of it, which near-dedup handles.
 
 Counting shuffles only host and line digest, summed before the shuffle, so a line that a third of all
 pages holds arrives as one row from each task. A host's boilerplate lines are at most its mean lines
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from probity.llm.common import materialize
 
 RATIO = 0.05
-MIN_PAGES = 10
+#: A pair of equal pages isn't boilerplate; from three pages on the ratio decides, on a host of any size.
+MIN_PAGES = 3
 
 
 def _key(line: Column) -> Column:

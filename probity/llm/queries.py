@@ -32,10 +32,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: The floor that OP4_SQL states (n >= 10); the pipeline's stage uses the operator's own.
+OP4_MIN_PAGES = 10
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.lines import drop_boilerplate
 
-    out = drop_boilerplate(table(spark, sf_dir, "documents"))
+    out = drop_boilerplate(table(spark, sf_dir, "documents"), min_pages=OP4_MIN_PAGES)
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 

@@ -19,5 +19,14 @@ def test_rules(make):
     assert got[305] == ("5", 2, 1)
 
 
+def test_small_hosts(make):
+    """On hosts of 9 and 50 pages the ratio decides; lines of a page and its one copy stay."""
+    docs = [(i, f"Menu\nbody {i // 2}", "en", "nine") for i in range(9)]
+    docs += [(100 + i, f"Footer\nbody {i}" if i < 3 else f"Rare\nbody {i}" if i < 5 else f"body {i}", "en", "fifty") for i in range(50)]
+    got = {r.doc_id: r.text for r in drop_boilerplate(make(docs)).collect()}
+    assert [got[i] for i in range(9)] == [f"body {i // 2}" for i in range(9)]
+    assert [got[100], got[102], got[103], got[104], got[149]] == ["body 0", "body 2", "Rare\nbody 3", "Rare\nbody 4", "body 49"]
+
+
 def test_empty(make):
     assert drop_boilerplate(make([(1, "a")]).where("false")).count() == 0
