@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions import stats
+from probity.operators.vectors import BLOCK_ROWS
+from probity.sources.storage import materialize
 
 #: Least window, significance after correction, and the limits of a local frame.
 LEAST_WINDOW, SIGNIFICANT = 20, 0.01
 LOCAL_Z, ALSO_Z, ALSO_MOST, GLOBAL_Z = 5.0, 3.0, 3, 3.0
+#: Search for a median over all pairs: bins of a pass, distances that are sorted at once, rows that meet a block at a time.
+BINS, SORTED, CHUNK = 4096, 200_000, 256
 
 
 def feature_tests(long: DataFrame, feature: str, value: str, is_current: Column) -> DataFrame:
@@ -48,3 +57,134 @@ def attribution(window: DataFrame) -> DataFrame:
         .otherwise("PASS")
     )
     return window.withColumn("status", status)
+
+
+class Pairs:
+    """Squared distances of every vector to every vector (id, embedding, cur), for kernel sums over whole tables.
+
+    The vectors are sent in blocks of at most ``block_rows``; each task measures its rows against a block
+    in small chunks. No pair is left out and none is stored.
+    """
+
+    def __init__(self, df: DataFrame, block_rows: int = BLOCK_ROWS) -> None:
+        self.df = materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism, "id"), "pairs")
+        self.n = self.df.count()
+        blocks = max(1, -(-self.n // block_rows))
+        self.sent = []
+        for b in range(blocks):
+            rows = self.df.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
+            if len(rows):
+                self.sent.append(df.sparkSession.sparkContext.broadcast(_arrays(rows)))
+
+    def over(self, fn: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+        """fn(ids, cur, own, squares, the block's cur) of every chunk of rows and block."""
+
+        def one(sent) -> DataFrame:
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                ids, cur, matrix = sent.value
+                norms = np.einsum("ij,ij->i", matrix, matrix)
+                for batch in batches:
+                    for i in range(0, len(batch), CHUNK):
+                        a, c, x = _arrays(batch.iloc[i : i + CHUNK])
+                        scale = np.einsum("ij,ij->i", x, x)[:, None] + norms
+                        squares = np.clip(scale - 2.0 * (x @ matrix.T), 0.0, None)
+                        own = a[:, None] == ids
+                        # Equal vectors are at 0, not at what rounding leaves.
+                        squares[own | (squares <= 1e-13 * scale)] = 0.0
+                        yield fn(a, c, own, squares, cur)
+
+            return self.df.mapInPandas(run, schema)
+
+        return reduce(DataFrame.unionByName, map(one, self.sent))
+
+    def median(self, positive: bool = False) -> float:
+        """The median distance of two different vectors (only of those apart, if ``positive``); 0 without any.
+
+        Passes of ``BINS`` counts narrow the range that holds the middle rank until its values can be sorted.
+        """
+
+        def kept(own: np.ndarray, squares: np.ndarray) -> np.ndarray:
+            return squares[(squares > 0) if positive else ~own]
+
+        def extent(a, c, own, squares, cur) -> pd.DataFrame:
+            d = kept(own, squares)
+            return pd.DataFrame({"n": [len(d)], "top": [d.max() if len(d) else 0.0]})
+
+        n, top = self.over(extent, "n long, top double").agg(F.sum("n"), F.max("top")).first()
+        if not n or not top:
+            return 0.0
+        low, high, before, inside, rank = 0.0, top * (1 + 1e-9), 0, n, (n - 1) // 2
+        while inside > SORTED and high - low > 1e-12 * high:
+
+            def count(a, c, own, squares, cur, low=low, high=high) -> pd.DataFrame:
+                d = kept(own, squares)
+                at = np.clip(np.floor((d - low) * (BINS / (high - low))), -1, BINS).astype(np.int64) + 1
+                k = np.bincount(at, minlength=BINS + 2)
+                return pd.DataFrame({"bin": np.flatnonzero(k), "n": k[k > 0]})
+
+            counts = np.zeros(BINS + 2, dtype=np.int64)
+            for r in self.over(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+                counts[r.bin] = r.n
+            ends = counts.cumsum()
+            at = min(max(int(np.searchsorted(ends, rank, side="right")), 1), BINS)
+            width = (high - low) / BINS
+            before, inside, low, high = int(ends[at - 1]), int(counts[at]), low + (at - 1) * width, low + at * width
+
+        def rest(a, c, own, squares, cur) -> pd.DataFrame:
+            d = kept(own, squares)
+            part, above = d[(d >= low) & (d < high)], d[d >= high]
+            values, k = np.unique(part, return_counts=True)
+            return pd.DataFrame({"d": [*values, *([above.min()] if len(above) else [])], "n": [*k, *([0] if len(above) else [])]})
+
+        got = self.over(rest, "d double, n long").groupBy("d").agg(F.sum("n").alias("n")).groupBy("n", "d").count().orderBy("d").collect()
+        values, ends = np.array([r.d for r in got if r.n]), np.cumsum([r.n for r in got if r.n])
+        above = [r.d for r in got if not r.n]
+        if not len(values):  # a value on the edge of the last range
+            return float(above[0] if above else low)
+        place = lambda k: values[min(int(np.searchsorted(ends, k - before, side="right")), len(values) - 1)]
+        first = place(rank)
+        if n % 2:
+            return float(first)
+        return float((first + (place(rank + 1) if rank + 1 - before < ends[-1] or not above else above[0])) / 2)
+
+    def kernel_sums(self, width: float) -> DataFrame:
+        """id, x, y, n, total: of each vector of kind x the sum of its RBF kernel with all n vectors of kind y."""
+
+        def sums(a, c, own, squares, cur) -> pd.DataFrame:
+            kernel = np.exp(squares / -width) if width else (squares == 0).astype(float)
+            return pd.concat([pd.DataFrame({"id": a, "x": c, "y": y, "n": int((cur == y).sum()), "total": kernel[:, cur == y].sum(axis=1)}) for y in (0, 1)])
+
+        return self.over(sums, "id long, x int, y int, n long, total double").where("n > 0")
+
+
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return rows["id"].to_numpy(dtype=np.int64), rows["cur"].to_numpy(dtype=np.int32), np.array(rows["embedding"].tolist(), dtype=np.float64)
+
+
+def mmd_permutation(pairs: Pairs, permutations: int = 200, seed: int = 0) -> tuple[float, float]:
+    """``stats.mmd_test`` of all reference vectors (cur 0) against the current ones (cur 1), both ordered by id.
+
+    With weights 1/n, and -1/m on a set S of m vectors, the form w' K w needs only the kernel's whole sum, its row sums
+    on S and the few values inside S; so the reference's kernel is summed in blocks and never held.
+    """
+    place = pairs.df.select("cur", "id").toPandas().sort_values(["cur", "id"])
+    ids, m = place["id"].to_numpy(), int(place["cur"].sum())
+    n = len(ids) - m
+    rng = np.random.default_rng(seed)
+    weights = np.repeat([1.0 / n, -1.0 / m], [n, m])
+    sets = [np.flatnonzero(w < 0) for w in (weights, *(rng.permutation(weights) for _ in range(permutations)))]
+    width = pairs.median(positive=True) or 1.0
+    sums = pairs.kernel_sums(width).groupBy("id").agg(F.sum("total").alias("r")).toPandas().set_index("id")["r"].reindex(ids).to_numpy()
+    used = np.unique(np.concatenate(sets))
+    wanted = pairs.df.sparkSession.createDataFrame(pd.DataFrame({"id": ids[used]}), "id long")
+    held = pairs.df.join(F.broadcast(wanted), "id", "left_semi").select("id", "embedding").toPandas().set_index("id")["embedding"].reindex(ids[used])
+    matrix = np.array(held.tolist(), dtype=np.float64)
+
+    def inside(s: np.ndarray) -> float:
+        x = matrix[np.searchsorted(used, s)]
+        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=-1)
+        return float(np.exp(d / -width).sum())
+
+    a, b = 1.0 / n, 1.0 / n + 1.0 / m
+    values = np.array([a * a * sums.sum() - 2 * a * b * sums[s].sum() + b * b * inside(s) for s in sets])
+    return float(values[0]), float((1 + np.count_nonzero(values[1:] >= values[0])) / (permutations + 1))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probity.functions import scalars, stats
-from probity.operators import cases, components, evidence, images, models, records, samples, vectors
+from probity.operators import cases, components, evidence, images, models, records, samples, shift, vectors
 from probity.sources.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,34 +206,23 @@ w AS (SELECT median(d) AS s FROM p WHERE NOT own)
 SELECT x, y, count(*) AS n, round(avg(exp(-(CASE WHEN own THEN 0 ELSE d END) / s)), 6) AS kernel_mean FROM p, w GROUP BY x, y
 """)
 def mmd_kernel_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kernel means of the two windows that the test is defined for: the latest 200 reference and 60 current vectors."""
-    v = _windows(spark, sf_dir)
-    a, b = v.select(F.col("vec_id").alias("i"), F.col("embedding").alias("e"), F.col("cur").alias("x")), v.select(F.col("vec_id").alias("j"), F.col("embedding").alias("f"), F.col("cur").alias("y"))
-    apart = F.aggregate(F.zip_with("e", "f", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, t: s + t)
-    pairs = a.join(F.broadcast(b)).select("x", "y", (F.col("i") == F.col("j")).alias("own"), apart.alias("d"))
-    width = pairs.where(~F.col("own")).agg(F.percentile("d", 0.5).alias("s"))
-    kernel = F.exp(-F.when(F.col("own"), 0.0).otherwise(F.col("d")) / F.col("s"))
-    return pairs.join(F.broadcast(width)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(kernel), 6).alias("kernel_mean"))
+    """The kernel means of all reference vectors and the latest 60 current ones, the window that the test is defined for."""
+    pairs = _windows(spark, sf_dir)
+    sums = pairs.kernel_sums(pairs.median()).groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return sums.select("x", "y", "n", F.round(F.col("total") / F.col("n"), 6).alias("kernel_mean"))
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str) -> shift.Pairs:
     queries, reference = _split(spark, sf_dir)
-    last = lambda df, n, cur: df.orderBy(F.col("vec_id").desc()).limit(n).withColumn("cur", F.lit(cur))
-    return last(reference, 200, 0).unionByName(last(queries, vectors.WINDOW, 1))
+    latest = queries.orderBy(F.col("vec_id").desc()).limit(vectors.WINDOW)
+    both = reference.withColumn("cur", F.lit(0)).unionByName(latest.withColumn("cur", F.lit(1)))
+    return shift.Pairs(both.select(F.col("vec_id").alias("id"), "embedding", "cur"))
 
 
 @query()
 def mmd_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MMD and its permutation probability of the same two windows, in one task."""
-    import numpy as np
-    import pandas as pd
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.array(rows[rows["cur"] == i]["embedding"].tolist()) for i in (0, 1))
-        value, p = stats.mmd_test(x, y)
-        return pd.DataFrame({"mmd": [value], "p_value": [p]})
-
-    return _windows(spark, sf_dir).withColumn("window", F.lit("both")).groupBy("window").applyInPandas(test, "mmd double, p_value double")
+    """MMD and its permutation probability of the same vectors."""
+    return spark.createDataFrame([shift.mmd_permutation(_windows(spark, sf_dir))], "mmd double, p_value double")
 
 
 # Manifests and records ----------------------------------------------------------------------------------------------

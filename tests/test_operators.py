@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from probity.functions import scalars, stats
-from probity.operators import components, evidence, records, samples, vectors
+from probity.operators import components, evidence, records, samples, shift, vectors
+from probity.plans import catalogue
 from probity.sources import datasets, storage
 
 
@@ -32,6 +33,25 @@ def test_running_totals_match_a_plain_sum(spark):
     assert all(r.cum_n == r.v + 1 for r in stats.running_totals(df, "v", ["n"], bins=16).collect())
 
 
+def test_mmd_reads_the_whole_reference(spark, tmp_path, monkeypatch):
+    """1,000 vectors have 250 of the reference; blocks and the median's passes change nothing."""
+    x = np.random.default_rng(1).normal(size=(1000, 8)).round(3)
+    x[::50] = x[0]
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    i = np.arange(1000)
+    ref, cur = x[i % 4 == 0], x[i % 4 != 0][-60:]
+    z = np.vstack([ref, cur])
+    d = ((z[:, None] - z[None]) ** 2).sum(-1)
+    k = np.exp(-d / np.median(d[~np.eye(len(z), dtype=bool)]))
+    n, want = {0: slice(0, 250), 1: slice(250, 310)}, stats.mmd_test(ref, cur)
+    for rows, most in ((20_000, 10**6), (100, 50)):
+        monkeypatch.setattr(shift, "SORTED", most)
+        monkeypatch.setattr(shift.Pairs.__init__, "__defaults__", (rows,))
+        got = {(r.x, r.y): (r.n, r.kernel_mean) for r in catalogue.mmd_kernel_mean(spark, str(tmp_path)).collect()}
+        assert got == {(a, b): (k[n[a], n[b]].size, pytest.approx(k[n[a], n[b]].mean(), abs=1e-6)) for a in n for b in n}
+        assert tuple(catalogue.mmd_permutation_p(spark, str(tmp_path)).first()) == pytest.approx(want, abs=1e-9)
+
+
 def test_mmd_tells_a_shift():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 4))
