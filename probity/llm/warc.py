@@ -48,7 +48,8 @@ _BLOCK = frozenset(
     "header hr html body head title li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
 _HREF = re.compile(r"\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_LANG = re.compile(r"[\w-]+")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _GAPS = re.compile(r"[ \t\r\f\v ]+")
 
@@ -87,6 +88,21 @@ def links(page: str, base: str) -> list[dict[str, str]]:
     return out
 
 
+def language(page: str) -> str | None:
+    """The lang (or xml:lang) attribute of the first html tag, or else of the first tag that has one, wherever in the page it is."""
+    first = None
+    for m in _TAG.finditer(page):
+        name = m.group(2)
+        if not name or name.startswith("/") or not m.group(3) or first and name.lower() != "html":
+            continue
+        found = next((a for a in _ATTRIBUTE.finditer(m.group(3)) if a.group(1).lower() in ("lang", "xml:lang")), None)
+        value = _LANG.match(next((g for g in found.groups()[1:] if g is not None), "")) if found else None
+        if value and name.lower() == "html":
+            return value.group()
+        first = first or (value.group() if value else None)
+    return first
+
+
 def http_block(page: str) -> tuple[bytes, bytes, dict[str, str]]:
     """The HTTP message of a stored page: whole block, payload and headers."""
     payload = page.encode("utf-8", "surrogatepass")
@@ -103,11 +119,10 @@ def derive(page_id: int | None, url: str | None, page: str | None, captured: str
     source = record_id("response", str(page_id), url, payload_digest)
     info = record_id("warcinfo", file, captured)
     title = _TITLE.search(page)
-    language = _LANG.search(page[:2000])
     found = {
         "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": url, "WARC-Date": captured, "WARC-Block-Digest": block_digest, "WARC-Payload-Digest": payload_digest, "Content-Length": str(len(block))},
         "HTTP-Response-Metadata": {"Status": 200, "Headers": headers, "Entity-Digest": payload_digest, "Entity-Length": len(payload)},
-        "HTML-Metadata": {"Title": plain_text(title.group(1)) if title else None, "Language": language.group(1) if language else None, "Links": links(page, url)},
+        "HTML-Metadata": {"Title": plain_text(title.group(1)) if title else None, "Language": language(page), "Links": links(page, url)},
     }
     text, meta = plain_text(page), json.dumps(found, ensure_ascii=False, separators=(",", ":"))
     rows = [(page_id, "response", source, None, info, url, captured, "application/http; msgtype=response", block_digest, payload_digest, len(block), None)]

@@ -2,7 +2,7 @@ import base64
 import hashlib
 import json
 
-from probity.llm.warc import build_derivatives, plain_text, read_warc, write_warc
+from probity.llm.warc import build_derivatives, language, plain_text, read_warc, write_warc
 
 PAGE = """<!DOCTYPE html><html lang="fr"><head><title>Caf&eacute; &amp; co</title><style>p{}</style><script>var t="<p>no</p>";</script></head>
 <body><nav><a href="/a">A</a></nav><!-- hidden --><p>One <b>two</b><br>three<p title="a > b">four &lt;five&gt;<img src='x.png'></body></html>"""
@@ -18,6 +18,16 @@ def test_text():
     assert plain_text("a<script>never closed") == "a" and plain_text("") == ""
 
 
+def test_language_of_the_whole_page(spark):
+    late = f"<!-- {'x' * 10_000} lang=xx --><script>lang='yy'</script><p title='lang=zz' data-lang='ww'>a</p><HTML class=a lang = 'pt-BR'>"
+    got = spark.createDataFrame([(1, "u", late)], "page_id long, url string, html string")
+    meta = [json.loads(r.block) for r in build_derivatives(got).where("record_type = 'metadata'").collect()]
+    assert meta[0]["HTML-Metadata"]["Language"] == "pt-BR"
+    assert language("<html><body lang=de><p lang=en>") == "de" and language("<body lang=de><html lang=fr>") == "fr"
+    assert language("no tag lang=en") is None and language("<html lang=''><p lang=it>") == "it"
+    assert language('<html xmlns="x" xml:lang="nl">') == "nl"
+
+
 def test_linked_records(spark):
     got = build_derivatives(pages(spark)).collect()
     assert len(got) == 18
