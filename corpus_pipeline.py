@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a whole item of the benchmark; parts of items and items under 24 bytes are not looked for."""
     return drop_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 

@@ -4,7 +4,7 @@ A passage within e edits of an item of m characters keeps at least m - q + 1 - q
 q-grams, all on diagonals (place in the text minus place in the item) at most e apart. Shared q-grams
 are counted in overlapping bands of diagonals, bands that reach the bound are verified by banded
 alignment. Characters are the bytes of the normal form: lower case, every run of white space or
-ASCII punctuation one space.
+ASCII punctuation one space. Only whole items count: a quote of a part of an item is not found.
 
 The benchmark is the query set: its q-gram index is sent to the tasks in blocks of at most about
 ``BLOCK_BYTES`` of benchmark text, one pass over the documents for each block (one pass for any usual
@@ -193,7 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all its columns, whose text holds no benchmark item; decided row by row, without a join."""
+    """The rows of ``docs``, all its columns, whose text holds no whole benchmark item; a quoted part of one stays; decided row by row, without a join."""
     spark = docs.sparkSession
     for block in _blocks(benchmark, block_bytes):
         sent = spark.sparkContext.broadcast(block)
