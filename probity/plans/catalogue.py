@@ -717,10 +717,10 @@ def image_recurring_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A network fitted on the reference vectors against one fitted with another seed, over all vectors."""
+    """A network fitted on all reference vectors against one fitted with another seed, over all vectors."""
     import numpy as np
 
-    reference = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").orderBy("vec_id").limit(2000).toPandas()
+    reference = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select("vec_id", "embedding", "label").toPandas().sort_values("vec_id")
     x, y = np.array(reference["embedding"].tolist(), dtype=float), reference["label"].to_numpy()
     one, two = (models.train_network(x, y, tuple(map(str, range(10))), seed=s) for s in (0, 1))
     df = table(spark, sf_dir, "embeddings")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probity.operators import cases, models
+from probity.plans import catalogue
 
 
 def test_onnx_gives_what_the_network_gives(spark):
@@ -20,6 +21,21 @@ def test_onnx_gives_what_the_network_gives(spark):
         onnx_models.load("m.pt", b"", ())
 
 
+def test_networks_learn_from_every_reference_row(spark, tmp_path, monkeypatch):
+    spark.range(8_400).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"), (F.col("id") % 10).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    fit, seen = models.train_network, []
+    monkeypatch.setattr(models, "train_network", lambda x, y, *a, **k: seen.append(len(x)) or fit(x, y, *a, steps=2, **k))
+    assert catalogue.model_behaviour(spark, str(tmp_path)).first().n == 8_400 and seen == [2_100, 2_100]
+
+
+def test_gradient_parts_sum_to_the_whole(monkeypatch):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(50, 4)), rng.integers(0, 3, 50)
+    whole = models.train_network(x, y, ("a", "b", "c"), steps=20)
+    monkeypatch.setattr(models, "FIT_ROWS", 7)
+    assert np.allclose(models.train_network(x, y, ("a", "b", "c"), steps=20).predict(x), whole.predict(x))
+
+
 def test_graph_runs_are_replaced_apart(spark, tmp_path):
     make = lambda run, n: spark.range(n).select(F.concat(F.lit("n:"), "id").alias("id"), F.lit(run).alias("run_id"))
     for run, n in (("r1", 3), ("r2", 2), ("r1", 1)):
