@@ -1,4 +1,6 @@
+import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -6,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from probity.llm import toxicity
 from probity.llm.toxicity import drop_toxic, score_documents, segments
 
 
@@ -78,3 +81,54 @@ def test_one_class_or_no_labels(spark, make):
         assert {(r.score, r.predicted) for r in score_documents(docs, truth).collect()} == {(0.0, 0)}
         assert drop_toxic(docs, truth).count() == 2
     assert score_documents(docs.where(F.lit(False)), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_model_from_its_definition(spark, make, words):
+    """Weights, lambda, location and scores of the registered way against plain loops over the training texts."""
+    rows, labels = corpus(words, 300)
+    truth = {d: t for d, _, t in labels}
+    learnt = [(t, truth[d]) for d, t in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    seen = {0: {}, 1: {}}
+    for text, label in learnt:
+        held = {w.strip(string.punctuation) for w in text.lower().split()} - {""}
+        for tok in held | {"^" + w[:k] for w in held for k in toxicity.PREFIXES if len(w) > k}:
+            seen[label][tok] = seen[label].get(tok, 0) + 1
+    size = {y: sum(t == y for _, t in learnt) for y in (0, 1)}
+    strength = min(toxicity.PRIOR, len(learnt) / 10)
+    want = {}
+    for tok in seen[0].keys() | seen[1].keys():
+        n = {y: seen[y].get(tok, 0) for y in (0, 1)}
+        if sum(n.values()) >= toxicity.LEAST_DOCS:
+            share = strength * sum(n.values()) / len(learnt)
+            odds = {y: math.log((n[y] + share) / (size[y] + strength - n[y] - share + 1e-6)) for y in (0, 1)}
+            error = math.sqrt(1 / (n[0] + share) + 1 / (n[1] + share))
+            weight = math.copysign(max(abs(odds[1] - odds[0]) - toxicity.ERRORS * error, 0), odds[1] - odds[0])
+            if abs(weight) >= toxicity.LEAST_WEIGHT:
+                want[tok] = weight
+    model = toxicity.train(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.weights.keys() == want.keys() and all(abs(model.weights[t] - want[t]) < 1e-9 for t in want)
+
+    def plain_scores(text):
+        used, out = {}, []
+        for raw in text.lower().split():
+            word = raw.strip(string.punctuation)
+            best = max([want[t] for t in [word, *["^" + word[:k] for k in toxicity.PREFIXES if len(word) > k]] if t in want], default=0.0)
+            s = best - toxicity.DRIFT
+            if s > 0:
+                used[raw] = used.get(raw, 0) + 1
+                s = (s + toxicity.DRIFT) / used[raw] - toxicity.DRIFT
+            out.append(s)
+        return out
+
+    clean = [plain_scores(t) for t, y in learnt if y == 0]
+    every = np.round(np.concatenate(clean), 1)
+    assert abs(np.exp(model.lam * every).mean() - 1) < 1e-3 or model.lam in (1.0, 0.05)
+    top = [max([model.lam * s[2] - math.log(len(x) + 1) for s in plain_segments(x)], default=-30.0) for x in clean]
+    assert abs(model.location - max(float(np.quantile(top, 0.99)), -3.0)) < 1e-6
+    a, b, c = model.curve
+    got = {r.doc_id: r.score for r in score_documents(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for d, text in rows[:60]:
+        x = plain_scores(text)
+        over = [e for e in (model.lam * s[2] - math.log(len(x) + 1) - model.location for s in plain_segments(x)) if e > 0]
+        z = min(max(a + b * max(over, default=0.0) + c * math.log1p(sum(over)), -30), 30)
+        assert abs(got[d] - 1 / (1 + math.exp(-z))) < 1e-6
