@@ -4,7 +4,10 @@ A passage within e edits of an item of m characters keeps at least m - q + 1 - q
 q-grams, all on diagonals (place in the text minus place in the item) at most e apart. Shared q-grams
 are counted in overlapping bands of diagonals, bands that reach the bound are verified by banded
 alignment. Characters are the bytes of the normal form: lower case, every run of white space or
-ASCII punctuation one space. Only whole items count: a quote of a part of an item is not found.
+ASCII punctuation one space. All regions of an item that a text holds are found; of regions that overlap the one of
+the fewest edits. Items under ``SHORT`` bytes have an edit budget of 0 and must stand at word borders; those of fewer
+than q bytes are searched by grams of their own length. Only whole items count: a quote of a part of an
+item is not found, and a single word of fewer than q bytes is no passage.
 
 The benchmark is the query set: its q-gram index is sent to the tasks in blocks of at most about
 ``BLOCK_BYTES`` of benchmark text, one pass over the documents for each block (one pass for any usual
@@ -13,6 +16,7 @@ benchmark). Nothing is shuffled, so copies and hot sources make no hot task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +29,11 @@ from probity.llm.common import Rolling, column, sliced
 Q = 10
 #: Edits allowed for each character of an item.
 EDIT_RATE = 0.08
-#: Items whose normal form is shorter say nothing about a leak and are not searched.
-MIN_ITEM = 24
+#: Items whose normal form is shorter are found only verbatim and between word borders.
+SHORT = 24
 BLOCK_BYTES = 4_000_000
+#: Postings of a text's q-grams that are expanded at a time.
+POSTINGS = 2_000_000
 _BITS = 22
 
 _SPACES = bytes(i for i in range(128) if not chr(i).isalnum())
@@ -59,8 +65,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], q: int = Q, rate: float = EDIT_RATE) -> None:
         self.q = q
-        self.items = [(k, t) for k, t in items if len(t) >= max(MIN_ITEM, q)]
-        self.budget = np.array([edit_budget(len(t), q, rate) for _, t in self.items], dtype=np.int64)
+        self.items = [(k, t) for k, t in items if len(t) >= q]
+        self.brief: dict[int, list[tuple[int, bytes]]] = {}
+        for k, t in items:
+            if len(t) < q and b" " in t:
+                self.brief.setdefault(len(t), []).append((k, t))
+        self.budget = np.array([edit_budget(len(t), q, rate) if len(t) >= SHORT else 0 for _, t in self.items], dtype=np.int64)
         self.need = np.array([len(t) - q + 1 for _, t in self.items], dtype=np.int64) - q * self.budget
         self.lengths = np.array([len(t) for _, t in self.items], dtype=np.int64)
         hashes = [grams(t, q) for _, t in self.items]
@@ -74,8 +84,12 @@ class Index:
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[self.keys >> np.uint64(64 - _BITS)] = True
 
-    def candidates(self, data: bytes) -> Iterator[tuple[int, int]]:
-        """(item, lowest diagonal) of each band that holds q-grams enough."""
+    def candidates(self, data: bytes, postings: int = POSTINGS) -> Iterator[tuple[int, int]]:
+        """(item, lowest diagonal) of each band that holds q-grams enough.
+
+        Grams are taken in the order of the text, at most about ``postings`` of their postings at a time; a
+        band that the next gram lies beyond is complete, so only bands around the place that is read are held.
+        """
         h = grams(data, self.q)
         at = np.flatnonzero(self.bits[h >> np.uint64(64 - _BITS)]) if len(h) else h
         if not len(at) or not len(self.keys):
@@ -85,30 +99,56 @@ class Index:
         at, k = at[real], k[real]
         if len(at) < (self.need.min() if len(self.need) else 1):
             return
-        n = self.count[k]
-        posting = np.repeat(self.first[k] - np.append(0, n.cumsum()[:-1]), n) + np.arange(n.sum())
-        item, diagonal = self.item[posting], np.repeat(at, n) - self.place[posting]
-        # Bands are 2e + 1 diagonals wide and start every e + 1, so any e + 1 neighbouring ones share a band.
-        step = self.budget[item] + 1
-        low = np.floor_divide(diagonal, step)
-        for band in (low, low - 1):
-            key = item.astype(np.int64) << 40 | (band + (1 << 38))
-            found, counts = np.unique(key, return_counts=True)
-            who = found >> 40
-            for f, i in zip(found[counts >= self.need[who]], who[counts >= self.need[who]], strict=True):
-                yield int(i), int(((int(f) & ((1 << 40) - 1)) - (1 << 38)) * (int(self.budget[i]) + 1))
+        ends = self.count[k].cumsum()
+        held, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + postings, side="right")))
+            n = self.count[k[lo:hi]]
+            posting = np.repeat(self.first[k[lo:hi]] - np.append(0, n.cumsum()[:-1]), n) + np.arange(n.sum())
+            item, diagonal = self.item[posting], np.repeat(at[lo:hi], n) - self.place[posting]
+            # Bands are 2e + 1 diagonals wide and start every e + 1, so any e + 1 neighbouring ones share a band.
+            low = np.floor_divide(diagonal, self.budget[item] + 1)
+            keys = np.concatenate([item.astype(np.int64) << 40 | (band + (1 << 38)) for band in (low, low - 1)])
+            held, back = np.unique(np.concatenate([held, keys]), return_inverse=True)
+            sums = np.bincount(back, weights=np.concatenate([sums, np.ones(len(keys), dtype=np.int64)]), minlength=len(held)).astype(np.int64)
+            who = held >> 40
+            start = ((held & ((1 << 40) - 1)) - (1 << 38)) * (self.budget[who] + 1)
+            over = start + 2 * self.budget[who] + self.lengths[who] - self.q < at[hi] if hi < len(at) else np.ones(len(held), dtype=bool)
+            yield from zip(who[over & (sums >= self.need[who])].tolist(), start[over & (sums >= self.need[who])].tolist(), strict=True)
+            held, sums, lo = held[~over], sums[~over], hi
+
+    def _verbatim(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """Items of fewer than q bytes at their places between word borders."""
+        for size, items in self.brief.items():
+            h = grams(data, size)
+            for item_id, t in items:
+                for at in np.flatnonzero(h == grams(t, size)[0]).tolist():
+                    if data[at : at + size] == t and _between_words(data, at, at + size):
+                        yield item_id, at, at + size, 0
 
     def hits(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of each item found in ``data``: the best verified region of each."""
-        best: dict[int, tuple[int, int, int]] = {}
+        """(item id, start, end, edits) of each region that holds an item; overlapping regions give the best one."""
+        found: dict[int, set[tuple[int, int, int]]] = {}
         for i, low in self.candidates(data):
             e = int(self.budget[i])
             start = max(0, low - e)
             region = data[start : low + 2 * e + 1 + int(self.lengths[i]) + e]
-            found = align(self.items[i][1], region, e, low + 2 * e + 1 - start)
-            if found and (i not in best or (found[2], found[0] + start) < (best[i][2], best[i][0])):
-                best[i] = (found[0] + start, found[1] + start, found[2])
-        return [(self.items[i][0], *x) for i, x in sorted(best.items())]
+            got = align(self.items[i][1], region, e, low + 2 * e + 1 - start)
+            if got and (self.lengths[i] >= SHORT or _between_words(data, got[0] + start, got[1] + start)):
+                found.setdefault(i, set()).add((got[2], got[0] + start, got[1] + start))
+        out = []
+        for i, regions in sorted(found.items()):
+            taken: list[tuple[int, int, int, int]] = []
+            for edits, s, t in sorted(regions):
+                if all(t <= u or s >= v for _, u, v, _ in taken):
+                    taken.append((self.items[i][0], s, t, edits))
+            out += sorted(taken, key=lambda x: x[1])
+        return out + list(self._verbatim(data))
+
+
+def _between_words(data: bytes, start: int, end: int) -> bool:
+    return (start == 0 or data[start - 1 : start] == b" ") and (end == len(data) or data[end : end + 1] == b" ")
 
 
 def align(item: bytes, region: bytes, e: int, width: int) -> tuple[int, int, int] | None:
@@ -165,21 +205,32 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         yield sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
+_built: dict[str, Index] = {}
+
+
+def _index(token: str, items: list[tuple[int, bytes]], q: int, rate: float) -> Index:
+    """The block's index; a Python worker keeps the last one for its next tasks."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = Index(items, q, rate)
+    return _built[token]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each benchmark item found in a document: doc_id, item_id, start, length, edits.
+    """One row for each region of a document that holds a benchmark item: doc_id, item_id, start, length, edits.
 
-    start and length are bytes of the text's normal form, for the region with the fewest edits (then the first).
-    Null texts and null items match nothing; items with a normal form under ``MIN_ITEM`` bytes are not searched;
-    repeated documents each give their rows; rows of an item with a null id have a null item_id; empty
+    start and length are bytes of the text's normal form; regions of one item don't overlap.
+    Null texts, null items and empty ones match nothing; items under ``SHORT`` bytes match verbatim at word borders,
+    a single word under q bytes isn't searched; repeated documents each give their rows; rows of an item with a null id have a null item_id; empty
     tables give no rows. Only doc_id, text, item_id and text are read.
     """
     spark, found = docs.sparkSession, None
     slim = docs.select("doc_id", "text")
     for block in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+        sent, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, q, rate)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            index = _index(token, sent.value, q, rate)
             for batch in sliced(batches):
                 rows = []
                 for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
@@ -196,10 +247,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     """The rows of ``docs``, all its columns, whose text holds no whole benchmark item; a quoted part of one stays; decided row by row, without a join."""
     spark = docs.sparkSession
     for block in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+        sent, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, q, rate)
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            index = _index(token, sent.value, q, rate)
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not index.hits(normal_form(t)) for t in column(batch, "text")], pa.bool_()))
 
