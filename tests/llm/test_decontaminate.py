@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from probity.llm.decontaminate import Index, align, drop_leaks, edit_budget, find_leaks, normal_form
+from probity.llm.queries import QUERIES
 
 
 def plain_best(item, text):
@@ -72,3 +74,48 @@ def test_empty(spark, make):
     docs = make([(1, "text")])
     assert find_leaks(docs, none).count() == 0 and drop_leaks(docs, none).count() == 1
     assert find_leaks(docs.where("false"), none).count() == 0
+
+
+def test_short_items_are_found_verbatim(spark, make):
+    bench = spark.createDataFrame([(1, "ten bytes."), (2, "abcdefghij"), (3, "a bc"), (4, "word"), (5, "twenty three bytes in all")], "item_id long, text string")
+    docs = make([(1, "so TEN  bytes it is"), (2, "xabcdefghij abcdefghijk"), (3, "x, abcdefghij"), (4, "a bcd xa bc"), (5, "(a) BC!"), (6, "word"), (7, "twenty-three bytes in all; twenty three bites in all")])
+    got = sorted((r.doc_id, r.item_id, r.start, r.edits) for r in find_leaks(docs, bench).collect())
+    assert got == [(1, 1, 3, 0), (3, 2, 2, 0), (5, 3, 0, 0), (7, 5, 0, 0), (7, 5, 26, 1)]
+    assert {r.doc_id for r in drop_leaks(docs, bench).collect()} == {2, 4, 6}
+
+
+def test_every_region_and_any_part_size(words):
+    item, other = (normal_form(" ".join(words(30, i))) for i in (1, 2))
+    rng = random.Random(6)
+    gap = normal_form(" ".join(words(50, 3)))
+    text = b" ".join([gap, item, gap, edit(item, 3, rng), item, gap, other, item])
+    index = Index([(1, item), (2, other)])
+    hits = index.hits(text)
+    exact = [i for i in range(len(text)) if text.startswith(item, i)]
+    assert [h[1] for h in hits if h[0] == 1 and not h[3]] == exact and len(exact) == 3
+    assert len([h for h in hits if h[0] == 1]) == 4 and len([h for h in hits if h[0] == 2]) == 1
+    for most in (1, 7, 1000):
+        assert set(index.candidates(text, most)) == set(index.candidates(text))
+
+
+def test_registered_query_against_all_alignments(spark, sf_dir):
+    """Every document and item of the smallest tables: linked if and only if the least edits are within the budget."""
+    docs, items = ([(r[0], normal_form(r[1])) for r in spark.read.parquet(f"{sf_dir}/{n}.parquet").select(i, "text").collect()] for n, i in (("documents", "doc_id"), ("benchmark", "item_id")))
+    want = set()
+    for d, text in docs:
+        chars, ramp = np.frombuffer(text, dtype=np.uint8), np.arange(len(text) + 1)
+        for k, item in items:
+            e, row = edit_budget(len(item)), np.zeros(len(text) + 1, dtype=np.int64)
+            # By the lemma's own premise a document without a shared gram of an (e + 1)th of the item can't hold it.
+            piece = len(item) // (e + 1)
+            if not any(item[i : i + piece] in text for i in range(0, len(item) - piece + 1, piece)):
+                continue
+            for i, c in enumerate(item, 1):
+                new = np.minimum(row + 1, np.append(i, row[:-1] + (chars != c)))
+                row = np.minimum.accumulate(new - ramp) + ramp
+            if row.min() <= e:
+                want.add((d, k, int(row.min())))
+    best = {}
+    for r in QUERIES["op2_decontamination"](spark, sf_dir).collect():
+        best[r.doc_id, r.item_id] = min(best.get((r.doc_id, r.item_id), 10**6), r.edits)
+    assert {(*k, v) for k, v in best.items()} == want and want
