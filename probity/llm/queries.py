@@ -32,14 +32,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
-#: The floor that OP4_SQL states (n >= 10); the pipeline's stage uses the operator's own.
-OP4_MIN_PAGES = 10
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.lines import drop_boilerplate
 
-    out = drop_boilerplate(table(spark, sf_dir, "documents"), min_pages=OP4_MIN_PAGES)
+    out = drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
@@ -48,7 +44,7 @@ WITH totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source)
      lines AS (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))))) AS line
                FROM documents),
      bad AS (SELECT l.source, l.line FROM (SELECT source, line, count(*) AS n FROM lines WHERE length(line) > 0 GROUP BY ALL) l
-             JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n >= 10 AND l.n > 0.05::DOUBLE * t.pages),
+             JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n >= 3 AND l.n > 0.05::DOUBLE * t.pages),
      lists AS (SELECT source, list(line) AS bad_lines FROM bad GROUP BY source),
      kept AS (SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS every,
                      list_filter(string_split(d.text, chr(10)),

@@ -1,4 +1,6 @@
-from probity.llm.lines import drop_boilerplate
+from pyspark.sql import functions as F
+
+from probity.llm.lines import drop_boilerplate, host_of
 
 
 def test_rules(make):
@@ -30,3 +32,21 @@ def test_small_hosts(make):
 
 def test_empty(make):
     assert drop_boilerplate(make([(1, "a")]).where("false")).count() == 0
+
+
+def test_columns_of_the_same_names_stay(make):
+    df = make([(i, f"Menu\n{i}") for i in range(4)]).selectExpr("*", "'a' AS _n_lines", "'b' AS _n_dropped")
+    out = drop_boilerplate(df)
+    assert {(r["_n_lines"], r["_n_dropped"], r["_n_lines_"], r["_n_dropped_"], r.text) for r in out.collect()} == {("a", "b", 2, 1, str(i)) for i in range(4)}
+
+
+def test_sites_of_addresses(spark):
+    urls = [("https://A.example:8080/x?y", "u1"), ("http://me@a.example/z#k", "u2"), ("ftp://b.example", "u3"), ("no address", "u4"), (None, "u5")]
+    df = spark.createDataFrame(urls, "url string, id string").withColumn("host", host_of(F.col("url")))
+    assert [r.host for r in df.orderBy("id").collect()] == ["a.example", "a.example", "b.example", None, None]
+
+
+def test_pages_by_host(spark):
+    rows = [(i, f"http://{'big' if i < 40 else 'small'}.example/{i}", "Home | About\npage " + str(i)) for i in range(44)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, text string").withColumn("host", host_of(F.col("url")))
+    assert {r.text for r in drop_boilerplate(pages, "host").collect()} == {f"page {i}" for i in range(44)}
