@@ -4,12 +4,13 @@ Every document is cut into full long windows; its remainder is routed to the sma
 holds it. Long windows are packed first: each takes one remainder of its tier and its gap is filled from
 the shorter tiers, largest fitting remainder first, and at last by the head of a longer one. Then the next tier is
 packed the same way, so a window of any tier is full. What is left over at the end is less than one long
-window; it is cut into tier windows too, and only its last piece is padded. Sequences of a unit are dealt to step groups
+window; it is cut into tier windows too, and the rest of less than the shortest tier into powers of two, so no
+sequence is padded. Sequences of a unit are dealt to step groups
 in snake order of their attention cost, tier by tier, so that steps carry equal work.
 
 Packing needs no exchange: a unit is a bounded stretch of one input partition, so memory is bounded, a
-hot source makes no hot task, and a task that is run again packs the same rows in the same way. Padding is less than
-one shortest tier for each unit of up to ``UNIT_TOKENS`` tokens.
+hot source makes no hot task, and a task that is run again packs the same rows in the same way. Each unit of up to ``UNIT_TOKENS`` tokens ends in at
+most a handful of sequences under the shortest tier.
 """
 
 from __future__ import annotations
@@ -81,14 +82,11 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[Piece
         while left >= tier and shelf.items and shelf.items[-1][0] > below:
             left -= tier
             _fill(tier, shelf, docs, pieces, windows)
-    # Less than a window of the last remainders' tier is left: the largest tiers that it fills, then one padded.
-    for tier in tiers:
+    # Less than a window of the last remainders' tier is left: the largest tiers that it fills, then powers of two.
+    for tier in (*tiers, *(1 << k for k in reversed(range(tiers[-1].bit_length())))):
         while left >= tier:
             left -= tier
             _fill(tier, shelf, docs, pieces, windows)
-    if left:
-        _fill(left, shelf, docs, pieces, windows)
-        windows[-1] = left if left & (left - 1) == 0 else long
     return pieces, windows
 
 

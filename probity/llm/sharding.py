@@ -28,9 +28,10 @@ def stratified_shards(
 ) -> DataFrame:
     """Deal the rows of ``df`` into ``shards``; returns id, stratum, ``carry``, shard int, slot long.
 
-    ``slot`` counts from 0 without gaps in every shard. A null stratum is a stratum of its own; a
-    null id is ranked by the seed alone; repeated ids and rows are each dealt, ties go by the carried
-    columns. Fewer rows than shards leave the last shards empty, an empty table gives no rows. Other
+    ``slot`` counts from 0 without gaps in every shard. A null stratum is a stratum of its own; rows of a
+    null id are ranked by the seed and the carried columns, so many of them share no bin; repeated ids and rows are each
+    dealt, ties go by the carried columns. Rows of equal texts are dealt as any others: a group may be far larger than a
+    shard, so it is spread, like its source, over all shards. Fewer rows than shards leave the last shards empty, an empty table gives no rows. Other
     columns of ``df``, whatever their names, are not read.
     """
     named = df.select(
@@ -39,7 +40,7 @@ def stratified_shards(
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
     )
     ties = [f"_c{i}" for i in range(len(carry))]
-    keyed = named.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null")))))
+    keyed = named.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.concat_ws(":", F.lit("null"), *[F.col(c).cast("string") for c in ties])))))
     keyed = keyed.withColumn("_bin", F.substring("_h", 1, 3))
     # Rank within the stratum: rows in lower bins, plus the place within the bin.
     counts = keyed.groupBy("_stratum", "_bin").agg(F.count(F.lit(1)).alias("_n"))
