@@ -6,8 +6,9 @@ and content); from it follow
 - a conversion record: the page's plain text,
 both of which name the response by WARC-Refers-To and WARC-Refers-To-Target-URI, and the warcinfo
 record of their derivative file by WARC-Warcinfo-ID. Every page is built on its own in one pass, with
-no exchange. ``write_warc`` stores records as gzip members, one file a task, and ``read_warc`` reads
-such files back through Spark's ``binaryFile`` source.
+no exchange. Pages are stored without their HTTP status and headers, so these are constructed (200, type and
+length). ``write_warc`` stores records as gzip members, one file a task, and ``read_warc`` streams such
+files back, one record at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO, NamedTuple
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -41,7 +43,11 @@ RECORD = (
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 _TYPES = [pa.int64() if c.split()[1] == "long" else pa.string() for c in RECORD.split(", ")]
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[a-zA-Z][a-zA-Z0-9]*)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9]*\b")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content isn't text.
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
+_END_TITLE = re.compile(r"</title\s*>", re.I)
 #: Elements that begin a new line of text.
 _BLOCK = frozenset(
     "address article aside blockquote br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -50,7 +56,6 @@ _BLOCK = frozenset(
 _HREF = re.compile(r"\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _LANG = re.compile(r"[\w-]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _GAPS = re.compile(r"[ \t\r\f\v ]+")
 
 
@@ -62,49 +67,116 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(31).join(parts))}>"
 
 
-def plain_text(page: str) -> str:
-    """The text a reader sees: no scripts, styles or comments, block elements on lines of their own."""
+class Tag(NamedTuple):
+    """A tag, comment or hidden element of a page: where it lies, its name (empty for comments) and what follows the name."""
+
+    start: int
+    end: int
+    name: str
+    rest: str
+    hidden: bool
 
-    def swap(m: re.Match) -> str:
-        name = m.group(2)
-        return ("\n" if name.lstrip("/").lower() in _BLOCK else "") if name else " " if m.group(1) else ""
 
-    lines = (_GAPS.sub(" ", x).strip() for x in entities.unescape(_TAG.sub(swap, page)).split("\n"))
+def tags(page: str) -> Iterator[Tag]:
+    """The markup of a page in order, in one pass over it.
+
+    A tag ends at the first ``>`` outside quotes; a quote that is never closed is no quote. Once a tag has no such end,
+    quotes count no more, and without any further ``>`` the rest of the page is text, so nothing is read twice.
+    """
+    at, quotes = 0, True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield Tag(at, end, "", "", False)
+            at = end
+            continue
+        named = _NAME.match(page, at + 1)
+        if not named and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        first = page.find(">", at + 1)
+        if first < 0:
+            return
+        close = first
+        if named and quotes:
+            close = _tag_end(page, named.end())
+            if close < 0:
+                close, quotes = first, False
+        name = named.group().lower() if named else ""
+        if name in _HIDDEN:
+            over = _HIDDEN[name].search(page, first + 1)
+            end = over.end() if over else len(page)
+            yield Tag(at, end, name, page[named.end() : first], True)
+        else:
+            end = close + 1
+            yield Tag(at, end, name, page[named.end() : close] if named else "", False)
+        at = end
+
+
+def _tag_end(page: str, at: int) -> int:
+    while stop := _STOP.search(page, at):
+        if stop.group() == ">":
+            return stop.start()
+        closed = page.find(stop.group(), stop.end())
+        at = stop.end() if closed < 0 else closed + 1
+    return -1
+
+
+def plain_text(page: str) -> str:
+    """The text a reader sees: no scripts, styles or comments, block elements on lines of their own."""
+    parts, at = [], 0
+    for tag in tags(page):
+        parts += [page[at : tag.start], " " if tag.hidden else "\n" if tag.name.lstrip("/") in _BLOCK else ""]
+        at = tag.end
+    parts.append(page[at:])
+    lines = (_GAPS.sub(" ", x).strip() for x in entities.unescape("".join(parts)).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def links(page: str, base: str) -> list[dict[str, str]]:
     """Addresses that tags of the page name, in order, made absolute."""
     out = []
-    for m in _TAG.finditer(page):
-        if m.group(2) and m.group(3):
-            for a in _HREF.finditer(m.group(3)):
+    for tag in tags(page):
+        if not tag.hidden:
+            for a in _HREF.finditer(tag.rest):
                 value = entities.unescape(next(g for g in a.groups()[1:] if g is not None))
                 try:
                     url = urljoin(base, value)
                 except ValueError:
                     url = value
-                out.append({"path": f"{m.group(2).upper()}@/{a.group(1).lower()}", "url": url})
+                out.append({"path": f"{tag.name.upper()}@/{a.group(1).lower()}", "url": url})
     return out
 
 
+def title(page: str) -> str | None:
+    """The text of the first title element that is closed."""
+    for tag in tags(page):
+        if tag.name == "title":
+            over = _END_TITLE.search(page, tag.end)
+            return plain_text(page[tag.end : over.start()]) if over else None
+    return None
+
+
 def language(page: str) -> str | None:
     """The lang (or xml:lang) attribute of the first html tag, or else of the first tag that has one, wherever in the page it is."""
     first = None
-    for m in _TAG.finditer(page):
-        name = m.group(2)
-        if not name or name.startswith("/") or not m.group(3) or first and name.lower() != "html":
+    for tag in tags(page):
+        if tag.hidden or not tag.rest or tag.name.startswith("/") or first and tag.name != "html":
             continue
-        found = next((a for a in _ATTRIBUTE.finditer(m.group(3)) if a.group(1).lower() in ("lang", "xml:lang")), None)
+        found = next((a for a in _ATTRIBUTE.finditer(tag.rest) if a.group(1).lower() in ("lang", "xml:lang")), None)
         value = _LANG.match(next((g for g in found.groups()[1:] if g is not None), "")) if found else None
-        if value and name.lower() == "html":
+        if value and tag.name == "html":
             return value.group()
         first = first or (value.group() if value else None)
     return first
 
 
 def http_block(page: str) -> tuple[bytes, bytes, dict[str, str]]:
-    """The HTTP message of a stored page: whole block, payload and headers."""
+    """The HTTP message of a stored page: whole block, payload and headers.
+
+    Pages are stored without status and headers, so both are constructed: 200, the type and the length of the page.
+    """
     payload = page.encode("utf-8", "surrogatepass")
     headers = {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(payload))}
     head = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n"
@@ -118,11 +190,10 @@ def derive(page_id: int | None, url: str | None, page: str | None, captured: str
     block_digest, payload_digest = digest(block), digest(payload)
     source = record_id("response", str(page_id), url, payload_digest)
     info = record_id("warcinfo", file, captured)
-    title = _TITLE.search(page)
     found = {
         "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": url, "WARC-Date": captured, "WARC-Block-Digest": block_digest, "WARC-Payload-Digest": payload_digest, "Content-Length": str(len(block))},
         "HTTP-Response-Metadata": {"Status": 200, "Headers": headers, "Entity-Digest": payload_digest, "Entity-Length": len(payload)},
-        "HTML-Metadata": {"Title": plain_text(title.group(1)) if title else None, "Language": language(page), "Links": links(page, url)},
+        "HTML-Metadata": {"Title": title(page), "Language": language(page), "Links": links(page, url)},
     }
     text, meta = plain_text(page), json.dumps(found, ensure_ascii=False, separators=(",", ":"))
     rows = [(page_id, "response", source, None, info, url, captured, "application/http; msgtype=response", block_digest, payload_digest, len(block), None)]
@@ -150,8 +221,10 @@ def build_derivatives(pages: DataFrame, captured: str = CAPTURED, file: str = "c
 
 
 def frame_record(row: dict) -> bytes:
-    """One WARC/1.0 record as a gzip member of its own."""
+    """One WARC/1.0 record as a gzip member of its own; a block that doesn't have its digest is refused."""
     block = (row["block"] or "").encode("utf-8", "surrogatepass")
+    if digest(block) != row["block_digest"]:
+        raise ValueError(f"the block of {row['record_id']} isn't the one its digest is of")
     fields = [
         ("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["warc_date"]),
         ("WARC-Target-URI", row["target_uri"]), ("WARC-Refers-To", row["refers_to"]),
@@ -163,7 +236,12 @@ def frame_record(row: dict) -> bytes:
 
 
 def write_warc(records: DataFrame, kind: str, folder: str | None = None) -> DataFrame:
-    """Write all ``kind`` records (metadata or conversion); returns the manifest: file, records, folder."""
+    """Write all ``kind`` records (metadata or conversion); returns the manifest: file, records, folder.
+
+    Response rows carry no block (see ``build_derivatives``), so they can't be written from it.
+    """
+    if kind == "response":
+        raise ValueError("response rows carry headers and digests only; write metadata or conversion records")
     folder = folder or new_path(records.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,32 +264,47 @@ def write_warc(records: DataFrame, kind: str, folder: str | None = None) -> Data
     return manifest.withColumn("folder", F.lit(folder))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record in a file of gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data)
+def parse_warc(source: BinaryIO, piece: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record in a file of gzip members, read ``piece`` bytes at a time; one record is held."""
+    member, raw, data = zlib.decompressobj(31), [], b""
+    while data or (data := source.read(piece)):
+        raw.append(member.decompress(data))
         data = member.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-        yield headers, rest[: int(headers["Content-Length"])]
+        if member.eof:
+            head, _, rest = b"".join(raw).partition(b"\r\n\r\n")
+            headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+            yield headers, rest[: int(headers["Content-Length"])]
+            member, raw = zlib.decompressobj(31), []
+    if raw and any(raw):
+        raise ValueError("the file ends inside a record")
+
+
+_BACK = "record_id string, record_type string, refers_to string, target_uri string, block string"
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """record_id, record_type, refers_to, target_uri, block of all records in the manifest's files."""
-    spark = manifest.sparkSession
-    folders = [r.folder for r in manifest.select("folder").distinct().collect()]
-    if not folders:
-        return spark.createDataFrame([], "record_id string, record_type string, refers_to string, target_uri string, block string")
-    files = spark.read.format("binaryFile").load(folders).withColumn("file", F.element_at(F.split("path", "/"), -1))
-    listed = files.join(manifest.select("file"), "file", "left_semi").select("content")
+    """record_id, record_type, refers_to, target_uri, block of all records in the manifest's files, one task a file at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in column(batch, "content"):
-                rows = []
-                for h, block in parse_warc(content):
-                    rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), block.decode("utf-8", "surrogatepass")))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["record_id", "record_type", "refers_to", "target_uri", "block"])
+        from pyarrow import fs
 
-    return arrow_map(listed, run, "record_id string, record_type string, refers_to string, target_uri string, block string")
+        for batch in batches:
+            for folder, name in zip(column(batch, "folder"), column(batch, "file"), strict=True):
+                store, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+                rows, held = [], 0
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    for h, block in parse_warc(f):
+                        rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), block.decode("utf-8", "surrogatepass")))
+                        held += len(block)
+                        if len(rows) == 1024 or held > 1 << 25:
+                            yield _back(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield _back(rows)
+
+    files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arrow_map(manifest.select("folder", "file").repartition(files, "file"), run, _BACK)
+
+
+def _back(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _BACK.split(", ")])

@@ -1,9 +1,15 @@
 import base64
 import hashlib
+import io
 import json
+import time
 
-from probity.llm.warc import build_derivatives, language, plain_text, read_warc, write_warc
+import pytest
 
+from probity.llm.queries import QUERIES
+from probity.llm.warc import build_derivatives, derive, frame_record, language, links, parse_warc, plain_text, read_warc, tags, title, write_warc
+
+BREAKS = set("address article aside blockquote br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html body head title li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 PAGE = """<!DOCTYPE html><html lang="fr"><head><title>Caf&eacute; &amp; co</title><style>p{}</style><script>var t="<p>no</p>";</script></head>
 <body><nav><a href="/a">A</a></nav><!-- hidden --><p>One <b>two</b><br>three<p title="a > b">four &lt;five&gt;<img src='x.png'></body></html>"""
 
@@ -57,3 +63,84 @@ def test_files_round_trip(spark, tmp_path):
 def test_empty(spark):
     none = build_derivatives(pages(spark).where("false"))
     assert none.count() == 0 and read_warc(write_warc(none, "metadata")).count() == 0
+
+
+def test_broken_markup():
+    assert plain_text("a < b <3 <> c <b") == "a < b <3 <> c <b" and plain_text("1<p title='x>2") == "1\n2"
+    assert plain_text('x<a title="<b>">y</a>') == "xy" and plain_text('x<a t="<b>" y') == 'x" y'
+    assert [t.name for t in tags("<P><!-- <a> --></p><?php x?><!DOCTYPE html><style>a>b{}</style>")] == ["p", "", "/p", "", "", "style"]
+    assert title("<title>a <i>b</i></title >c") == "a b" and title("<title>open") is None and title("<script><title>x</title></script>") is None
+    assert links("<a href=x><script src='y'></script><img src=\"z\">", "http://h/") == [{"path": "A@/href", "url": "http://h/x"}, {"path": "IMG@/src", "url": "http://h/z"}]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\">", "<!", "<title", '<a ">" ', "<script ", "&"])
+def test_broken_pages_take_time_in_proportion(part):
+    took = []
+    for n in (20_000, 160_000):
+        start = time.perf_counter()
+        derive(1, "http://h/", part * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_reader_holds_one_record():
+    rows = [{"block": "x" * i, "block_digest": derive_digest("x" * i), "record_id": f"<{i}>", "record_type": "conversion", "warc_date": "d", "target_uri": "u", "refers_to": None, "warcinfo_id": None, "content_type": "t"} for i in range(300)]
+    data = b"".join(map(frame_record, rows))
+    for piece in (1, 100, 1 << 16):
+        assert [b for _, b in parse_warc(io.BytesIO(data), piece)] == [r["block"].encode() for r in rows]
+    with pytest.raises(ValueError):
+        list(parse_warc(io.BytesIO(data[:-3])))
+    with pytest.raises(ValueError):
+        frame_record(rows[5] | {"block": "other"})
+
+
+def derive_digest(block):
+    return "sha1:" + base64.b32encode(hashlib.sha1(block.encode()).digest()).decode()
+
+
+def test_responses_are_not_written_without_their_block(spark):
+    with pytest.raises(ValueError):
+        write_warc(build_derivatives(pages(spark)), "response")
+
+
+def test_registered_query_by_another_parser(spark, sf_dir):
+    """All pages of the smallest table against Python's own HTML parser, digests and lengths."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.hidden, self.urls, self.lang = [], 0, [], None
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template")
+            if not self.hidden:
+                self.urls += [v for k, v in attrs if k in ("href", "src")]
+            self.lang = self.lang or (dict(attrs).get("lang") if tag == "html" else None)
+            self.words.append(" ") if tag in BREAKS else None
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template")
+            self.words.append(" ") if tag in BREAKS else None
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words.append(data)
+
+    source = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = QUERIES["op8_warc_derivatives"](spark, sf_dir).collect()
+    assert len(got) == 3 * len(source)
+    for r in got:
+        page = source[r.page_id]
+        reader = Reader()
+        reader.feed(page.html or "")
+        reader.close()
+        if r.record_type == "conversion":
+            assert r.block.split() == "".join(reader.words).split()
+        elif r.record_type == "metadata":
+            meta = json.loads(r.block)["HTML-Metadata"]
+            assert len(meta["Links"]) == len(reader.urls) and meta["Language"] == reader.lang
+        if r.block is not None:
+            assert (r.block_digest, r.content_length) == (derive_digest(r.block), len(r.block.encode()))
+        else:
+            assert r.payload_digest == derive_digest(page.html or "")
