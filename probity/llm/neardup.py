@@ -9,9 +9,11 @@
 4. Lists of at most ``SMALL`` texts give all their pairs; of a longer list only the pairs with its
    smallest id are tried. Pairs with T matches are confirmed on full shingle sets, and the links' components found.
 5. Texts of longer lists that are still in different components are compared within their family (texts
-   that share such lists) on full sets, in bounded blocks: a pair of blocks gives only the links that join its
-   components, and blocks of one component don't meet. So a group of near copies forms no pairs as rows. Families over ``FAMILY``
-   texts are compared list by list instead, on signatures first.
+   that share such lists) on full sets, in blocks bounded by texts and by shingles: a pair of blocks gives only the
+   links that join its components. Blocks of one component don't meet, nor do blocks whose set sizes are too far
+   apart for a link. So a group of near copies forms no pairs as rows, and families of any size are treated alike.
+
+Lists of more than ``HOT`` texts are joined by sending their few rows to all tasks, so no task gets a whole list.
 
 T is low enough (32 of 64 at a similarity of 0.75, where 48 are expected with a deviation of 3.5) that a true link of
 the least similarity is missed with a probability of about 1e-5, one of 0.8 with less than 1e-8.
@@ -35,10 +37,10 @@ WORDS = 5
 COORDINATES, MATCHES = 64, 32
 #: Similarity as a share of hundred.
 SIMILAR = 75
-#: Longest list whose pairs are all tried; block of a longer one.
-SMALL, BLOCK = 8, 512
-#: Largest family whose full sets are sent to its pairs of blocks.
-FAMILY = 20_000
+#: Longest list whose pairs are all tried; from what length on a list isn't dealt to one task.
+SMALL, HOT = 8, 1000
+#: Most texts (about) and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Most ids (8 bytes each) that are sent to all tasks to pick out their rows.
 SENT_IDS = 1_000_000
 
@@ -106,28 +108,42 @@ def _common(x: Column, y: Column) -> Column:
     return F.size(F.array_intersect(x, y))
 
 
-def _meetings(rows: DataFrame, group: str, carry: list[str]) -> DataFrame:
-    """``rows`` (group, node, component, ...) dealt to pairs of blocks of one group: _meet, side, node, component, carry.
+def _on_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` (list, ...) with the columns of ``lists`` (written; list, m and others), for those in it.
+
+    Lists of over ``HOT`` texts are at most 1 in ``HOT`` rows; their part is joined where the rows are.
+    """
+    hot = _few(lists.where(F.col("m") > HOT))
+    cold = rows.join(hot.select("list"), "list", "left_anti").join(lists.where(F.col("m") <= HOT), "list")
+    return cold.unionByName(rows.join(hot, "list"))
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """``rows`` (family, node, component, size, shingles) dealt to pairs of blocks of one family: _meet, side, node, component, shingles.
 
-    A component that fills a block has blocks of its own, the others share blocks; two blocks of one component
-    don't meet.
+    A block holds texts of one size class, a step of 4/3, as a link joins sets of the same or of neighbouring classes.
+    A component that fills a block has blocks of its own, the others share blocks; two blocks of one
+    component don't meet.
     """
-    crowd = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("_n"))
-    crowd = crowd.withColumn("_own", F.when(F.col("_n") * 2 >= BLOCK, F.col("component")))
-    bins = crowd.groupBy(group, "_own").agg(F.ceil(F.sum("_n") / BLOCK).cast("int").alias("_cuts"))
-    block_key = F.xxhash64(group, F.coalesce(F.col("_own").cast("string"), F.lit("shared")), "_part")
-    blocks = bins.select(group, "_own", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("_part")).withColumn("_block", block_key)
-    left, right = (blocks.select(group, F.col("_own").alias(f"_o{i}"), F.col("_block").alias(f"_k{i}")) for i in (1, 2))
-    meets = left.join(right, group).where((F.col("_k1") <= F.col("_k2")) & ~F.coalesce(F.col("_o1") == F.col("_o2"), F.lit(False)))
-    meets = meets.withColumn("_meet", F.xxhash64("_k1", "_k2"))
+    rows = rows.withColumn("_class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / SIMILAR))).cast("int"))
+    crowd = rows.groupBy("family", "component", "_class").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_s"))
+    crowd = materialize(crowd.withColumn("_own", F.when(F.col("_n") * 2 >= BLOCK, F.col("component"))), "crowd")
+    weight = F.greatest(F.sum("_n") / BLOCK, F.sum("_s") / BLOCK_SHINGLES)
+    bins = materialize(crowd.groupBy("family", "_class", "_own").agg(F.ceil(weight).cast("int").alias("_cuts")), "bins")
+    block_key = F.xxhash64("family", "_class", F.coalesce(F.col("_own").cast("string"), F.lit("shared")), "_part")
+    blocks = bins.select("family", "_class", "_own", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("_part")).withColumn("_block", block_key)
+    left, right = (blocks.select("family", F.col("_class").alias(f"_c{i}"), F.col("_own").alias(f"_o{i}"), F.col("_block").alias(f"_k{i}")) for i in (1, 2))
+    apart = F.coalesce(F.col("_o1") == F.col("_o2"), F.lit(False)) | (F.abs(F.col("_c1") - F.col("_c2")) > 1)
+    meets = left.join(right, "family").where((F.col("_k1") <= F.col("_k2")) & ~apart).withColumn("_meet", F.xxhash64("_k1", "_k2"))
     sides = meets.select(F.col("_k1").alias("_block"), "_meet", F.lit(0).alias("side")).union(meets.where("_k1 <> _k2").select(F.col("_k2"), "_meet", F.lit(1)))
-    placed = rows.join(crowd.select(group, "component", "_own"), [group, "component"]).join(bins.withColumnsRenamed({group: "_g", "_own": "_w"}), (F.col(group) == F.col("_g")) & F.col("_own").eqNullSafe(F.col("_w")))
+    cuts = crowd.select("family", "component", "_class", "_own").join(bins.withColumnsRenamed({"family": "_g", "_class": "_d", "_own": "_w"}), (F.col("family") == F.col("_g")) & (F.col("_class") == F.col("_d")) & F.col("_own").eqNullSafe(F.col("_w")))
+    placed = rows.join(_few(cuts.drop("_g", "_d", "_w")), ["family", "component", "_class"])
     placed = placed.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")).withColumn("_block", block_key)
-    return placed.join(sides, "_block").select("_meet", "side", "node", "component", *carry)
+    return placed.join(sides, "_block").select("_meet", "side", "node", "component", "shingles")
 
 
 def _family_links(members: DataFrame) -> DataFrame:
-    """Links between components inside families (family, node, component, shingles), by exact overlaps of full sets.
+    """Links between components inside families (family, node, component, size, shingles), by exact overlaps of full sets.
 
     Each pair of blocks gives only as many links as join its components, however many pairs are similar.
     """
@@ -166,33 +182,7 @@ def _family_links(members: DataFrame) -> DataFrame:
                     b.append(max(int(node), int(nodes[j])))
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    return _meetings(members, "family", ["shingles"]).groupBy("_meet").applyInPandas(compare, "a long, b long")
-
-
-def _list_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs inside long lists (list, node, component, inter, size, sig) that may be links between components.
-
-    inter is the overlap with the list's smallest id p where that is known: two texts share at most the smaller
-    overlap with p plus the smaller rest, which rules most pairs out before signatures are compared.
-    """
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        alone = two.empty
-        two = one if alone else two
-        x, y = ({c: part[c].to_numpy() for c in ("node", "component", "inter", "size")} for part in (one, two))
-        shared = np.minimum(x["inter"][:, None], y["inter"][None, :]) + np.minimum((x["size"] - x["inter"])[:, None], (y["size"] - y["inter"])[None, :])
-        smaller = np.minimum(x["size"][:, None], y["size"][None, :])
-        unknown = (x["inter"] < 0)[:, None] | (y["inter"] < 0)[None, :]
-        shared = np.minimum(np.where(unknown, smaller, shared), smaller)
-        may = (shared * 100 >= SIMILAR * (x["size"][:, None] + y["size"][None, :] - shared)) & (x["component"][:, None] != y["component"][None, :])
-        i, j = np.nonzero(np.triu(may, 1) if alone else may)
-        a, b = np.stack(one["sig"].to_list()), np.stack(two["sig"].to_list())
-        matches = np.concatenate([np.zeros(0, dtype=np.int64), *((a[i[n : n + 65536]] == b[j[n : n + 65536]]).sum(axis=1) for n in range(0, len(i), 65536))])
-        u, v = x["node"][i[matches >= MATCHES]], y["node"][j[matches >= MATCHES]]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}, dtype="int64")
-
-    return _meetings(lists, "list", ["inter", "size", "sig"]).groupBy("_meet").applyInPandas(compare, "a long, b long").distinct()
+    return _meetings(members).groupBy("_meet").applyInPandas(compare, "a long, b long")
 
 
 def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -205,8 +195,8 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("rare"))
     own = materialize(own.select("node", F.transform("rare", lambda x: x["list"]).alias("ks"), room.cast("int").alias("room")).where("room > 0"), "coordinates")
     prefix = materialize(own.select("node", F.explode(F.slice("ks", F.lit(1), F.col("room"))).alias("list")), "prefix")
-    sizes = prefix.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1")
-    inside = prefix.join(sizes, "list")
+    sizes = materialize(prefix.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1"), "sizes")
+    inside = _on_lists(prefix, sizes)
     small = inside.where(F.col("m") <= SMALL).groupBy("list").agg(F.sort_array(F.collect_list("node")).alias("g"))
     all_pairs = small.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a < b")
     stars = inside.where((F.col("m") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
@@ -219,31 +209,19 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     links = linked(overlaps)
     found = components(links)
     # Long lists that still hold more than one component.
-    long = prefix.join(sizes.where(F.col("m") > SMALL).select("list", "pivot"), "list")
-    rest = materialize(long.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
-    mixed = rest.groupBy("list").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("list")
-    left = materialize(rest.join(mixed, "list"), "mixed")
-    release(own, prefix, rest)
+    rest = _on_lists(prefix, sizes.where(F.col("m") > SMALL)).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = materialize(rest.select("list", "node", "component", "m", "pivot"), "rest")
+    mixed = rest.groupBy("list").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.first("m").alias("m")).where("_x < _y").select("list", "m")
+    mixed = materialize(mixed, "mixed-lists")
+    left = materialize(_on_lists(rest.drop("m"), mixed).select("node", "component", "pivot"), "mixed")
+    release(own, prefix, rest, sizes, mixed)
     if left.limit(1).count():
         # Texts that share a mixed list are of one family; the lists of a family mostly hold the same texts.
         family = components(left.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
-        sized = family.groupBy("family").agg(F.count(F.lit(1)).alias("_m"))
-        few = sized.where(F.col("_m") <= FAMILY).select("family")
-        members = left.select("node", "component").distinct().join(family.join(few, "family"), "node")
-        members = materialize(members, "members")
+        members = materialize(left.select("node", "component").distinct().join(family, "node"), "members")
         sets = materialize(_sets(docs, members.select("node").distinct()), "sets")
-        more = [_family_links(members.join(sets, "node"))]
-        if sized.where(F.col("_m") > FAMILY).limit(1).count():
-            known = overlaps.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n").alias("inter"))
-            many = left.join(family.join(few, "family", "left_anti"), "node").join(known, ["pivot", "node"], "left").join(reps.select("node", F.col("n_shingles").alias("size"), "sig"), "node")
-            inter = F.when(F.col("node") == F.col("pivot"), F.col("size")).otherwise(F.coalesce("inter", F.lit(-1))).cast("long")
-            pairs = materialize(_list_pairs(many.select("list", "node", "component", inter.alias("inter"), "size", "sig")).join(overlaps, ["a", "b"], "left_anti"), "more")
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            more.append(linked(overlap(pairs, materialize(_sets(docs, ends), "sets"))))
-        joined = links
-        for extra in more:
-            joined = joined.union(extra)
-        found = components(materialize(joined, "links"))
+        more = _family_links(members.join(sets, "node").withColumn("size", F.size("shingles")))
+        found = components(materialize(links.union(more), "links"))
         release(members, sets)
     release(left, overlaps)
     return found

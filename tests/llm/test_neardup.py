@@ -58,13 +58,23 @@ def test_equals_brute_force(make, words):
     assert run(make(docs)) == brute(docs)
 
 
-def test_large_families_by_lists(make, words, monkeypatch):
-    monkeypatch.setattr(neardup, "FAMILY", 5)
+def test_hot_lists_and_blocks_bounded_by_shingles(make, words, monkeypatch):
+    """The same result where every list of over 5 texts counts as hot, and blocks hold few shingles."""
+    monkeypatch.setattr(neardup, "HOT", 5)
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
     docs = group(words, random.Random(9), words(120, 3), range(70), 10)
     assert run(make(docs)) == brute(docs)
 
 
+def test_sizes_far_apart(make, words, monkeypatch):
+    """A family whose texts differ in length, cut from one text, so links join neighbouring size classes."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    base = words(260, 12)
+    docs = [(i, " ".join(base[: 100 + 7 * (i % 23)])) for i in range(60)] + group(words, random.Random(13), base, range(100, 130), 8)
+    assert run(make(docs)) == brute(docs)
+
+
 def test_small_blocks(make, words, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     docs = group(words, random.Random(11), words(120, 4), range(60), 12)
