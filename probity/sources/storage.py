@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _fallback: str | None = None
+#: Paths that were given out, for ``scratch``.
+_given: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a local folder where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a local folder if everything runs in one process, else an error."""
     global _fallback
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _fallback is None:
         local = tempfile.mkdtemp(prefix="probity-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
@@ -36,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/probity-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/probity-{tag}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
 
 
 @contextlib.contextmanager
@@ -63,13 +70,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    with contextlib.suppress(ValueError):
+        _given.remove(path)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what ``materialize`` wrote for frames that no later step reads."""
     for df in frames:
         path = getattr(df, "_probity_path", None)
         if path:
-            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete at its end all paths that were given out inside, but those of written frames put on the list."""
+    before, kept = len(_given), []
+    try:
+        yield kept
+    finally:
+        stay = {getattr(df, "_probity_path", None) for df in kept}
+        for path in _given[before:]:
+            if path not in stay:
+                _delete(spark, path)
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
