@@ -14,6 +14,7 @@ from probity.llm.neardup import keep_one
 from probity.llm.packing import pack_documents
 from probity.llm.queries import tokenizer_path
 from probity.llm.toxicity import drop_toxic
+from probity.sources.storage import release, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words that an encoder keeps in each generation: fewer than alone, as the workers have done other stages before.
@@ -38,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a whole item of the benchmark; parts of items and items under 24 bytes are not looked for."""
+    """Documents without a whole item of the benchmark; items under 24 bytes count verbatim, parts of items aren't looked for."""
     return drop_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -57,10 +58,17 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written as Parquet in the shared folder and read again."""
+    """All stages in order; each result is written as Parquet in the shared folder and read again.
+
+    What a stage wrote meanwhile is deleted after it, and its input once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch(spark) as kept:
+            docs = materialize(stage(spark, before, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        release(before)
     return docs
 
 
