@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,27 +13,38 @@ from pyspark.sql import types as T
 
 from probity.functions import pixels
 from probity.functions.scalars import hamming
+from probity.sources.storage import materialize
 
 NEAR_BITS, NEAR_DIFFERENCE = 14, 8.0
-#: Two hashes that differ in at most NEAR_BITS of 64 bits agree in one of NEAR_BITS + 1 stretches.
-STRETCHES = NEAR_BITS + 1
+#: Stretches of a hash that are looked up, and their bits. Of two hashes that differ in at most NEAR_BITS places one of
+#: four stretches differs in at most three: two changes of the one and one of the other make them equal.
+STRETCHES, WIDE = 4, 16
+
+
+def _changes(most: int) -> list[int]:
+    """All 16-bit masks of at most so many bits."""
+    return [sum(1 << b for b in bits) for n in range(most + 1) for bits in itertools.combinations(range(WIDE), n)]
 
 
 def near_duplicate_images(images: DataFrame, height: int, width: int) -> DataFrame:
     """Links (a, b) between images (id, rgb) that look alike: few different hash bits, then a small shifted difference.
 
-    By the pigeonhole principle a pair shares a stretch of its hash exactly; stretches block the join, and
-    pixels are compared only of pairs that pass the bits. Exact copies are linked to their first image and leave the join.
+    Stretches of the hash block the join: each is looked up with all changes of up to two bits on one side and of
+    up to one on the other (137 and 17 values), so about 4 % of unlike pairs meet. Pixels are compared only of pairs
+    that pass the bits. Exact copies are linked to their first image and leave the join.
     """
-    hashed = images.select("id", "rgb", F.xxhash64("rgb").alias("x"), F.md5("rgb").alias("copy"))
+    hashed = images.select("id", "rgb", F.md5("rgb").alias("copy"))
     firsts = hashed.groupBy("copy").agg(F.min("id").alias("first"))
     copies = hashed.join(firsts, "copy").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     one = hashed.join(firsts, F.col("id") == F.col("first"), "left_semi").withColumn("bits", pixels.udf(pixels.difference_hash, height, width, T.LongType())("rgb"))
-    edges = [round(i * 64 / STRETCHES) for i in range(STRETCHES + 1)]
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft("bits", lo), 64 - (hi - lo)).alias("v")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    keyed = one.select("id", "bits", F.explode(parts).alias("k"))
-    left, right = (keyed.select("k", F.col("id").alias(i), F.col("bits").alias(f"{i}_bits")) for i in ("a", "b"))
-    pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & (hamming(F.col("a_bits"), F.col("b_bits")) <= NEAR_BITS)).select("a", "b").distinct()
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("bits", i * WIDE).bitwiseAND(F.lit((1 << WIDE) - 1)).cast("int").alias("v")) for i in range(STRETCHES)])
+    cut = one.select("id", "bits", F.explode(parts).alias("p")).select("id", "bits", "p.i", "p.v")
+    met = []
+    for tag, most in (("a", 2), ("b", 1)):
+        masks = F.explode(F.array(*map(F.lit, _changes(most))))
+        met.append(cut.select(F.col("id").alias(tag), F.col("bits").alias(f"{tag}_bits"), "i", "v", masks.alias("m")).withColumn("v", F.col("v").bitwiseXOR(F.col("m"))).drop("m"))
+    close = (F.col("a") != F.col("b")) & (hamming(F.col("a_bits"), F.col("b_bits")) <= NEAR_BITS)
+    pairs = met[0].join(met[1], ["i", "v"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     @F.pandas_udf(T.DoubleType())
     def difference(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -47,8 +59,9 @@ def near_duplicate_images(images: DataFrame, height: int, width: int) -> DataFra
 def recurring_patches(images: DataFrame, height: int, width: int, least: int, member: str = "id") -> DataFrame:
     """x, y, key, members of squares that the same quantised pixels fill at the same place in at least ``least`` members.
 
-    ``member`` names the column that is counted, such as the cluster of duplicates. Of overlapping squares (within six
-    pixels, over four fifths of the members shared) the one of most members stays.
+    ``member`` names the column that is counted, such as the cluster of duplicates. Squares are taken by their members, the
+    most first (then from the top left); one that lies within six pixels of a taken one, in x and y, and shares over four
+    fifths of its members with it is left out.
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,12 +70,25 @@ def recurring_patches(images: DataFrame, height: int, width: int, least: int, me
             yield pd.DataFrame({"member": batch[member].to_numpy()[at], "x": x, "y": y, "key": key})
 
     schema = f"member {dict(images.dtypes)[member]}, x int, y int, key long"
-    spots = images.select(member, "rgb").mapInPandas(find, schema).distinct()
-    counted = spots.groupBy("x", "y", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= least)
-    # Overlapping candidates of one patch hold the same members: they are compared by a digest sum of those.
-    held = spots.join(counted, ["x", "y", "key"]).groupBy("x", "y", "key", "members").agg(F.sum(F.pmod(F.xxhash64("member"), F.lit(1 << 40))).alias("who"))
-    near = Window.partitionBy("who", "members", F.floor(F.col("x") / 12), F.floor(F.col("y") / 12)).orderBy("y", "x", "key")
-    return held.withColumn("_n", F.row_number().over(near)).where("_n = 1").select("x", "y", "key", "members")
+    spots = materialize(images.select(member, "rgb").mapInPandas(find, schema).distinct(), "spots")
+    counted = materialize(spots.groupBy("x", "y", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= least), "squares")
+    place = F.struct((-F.col("members")).alias("m"), "y", "x", "key")
+    held = spots.join(counted, ["x", "y", "key"]).select("member", place.alias("p"))
+    # Squares of one image that overlap: at most the image's area for each member.
+    late, early = held.select("member", F.col("p").alias("p")), held.select("member", F.col("p").alias("q"))
+    near = (F.col("q") < F.col("p")) & (F.abs(F.col("p.x") - F.col("q.x")) <= pixels.PATCH) & (F.abs(F.col("p.y") - F.col("q.y")) <= pixels.PATCH)
+    shared = late.join(early, "member").where(near).groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
+    covers = materialize(shared.where(F.col("n") > -0.8 * F.col("p.m")).select("p", "q"), "covers")
+    # A square is decided once all that could cover it are: taken if none of them is.
+    state = counted.select(place.alias("p"), F.lit(None).cast("boolean").alias("taken"))
+    while True:
+        by = state.select(F.col("p").alias("q"), F.col("taken").alias("_t"))
+        seen = covers.join(by, "q").groupBy("p").agg(F.bool_or(F.coalesce("_t", F.lit(False))).alias("_hit"), F.bool_or(F.col("_t").isNull()).alias("_open"))
+        hit, free = F.coalesce("_hit", F.lit(False)), ~F.coalesce("_open", F.lit(False))
+        state = materialize(state.join(seen, "p", "left").select("p", F.coalesce("taken", F.when(hit, False).when(free, True)).alias("taken")), "taken")
+        if not state.where("taken is null").limit(1).count():
+            break
+    return state.where("taken").select("p.x", "p.y", "p.key", (-F.col("p.m")).alias("members"))
 
 
 def generated_images(spark, n: int, size: int = 48, seed: int = 0) -> DataFrame:
@@ -87,3 +113,29 @@ def generated_images(spark, n: int, size: int = 48, seed: int = 0) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "source", "label", "rgb"])
 
     return spark.range(n).mapInPandas(draw, "id long, source string, label int, rgb binary")
+
+
+def vector_images(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", size: int = 48, amplitude: float = 160.0) -> DataFrame:
+    """id, rgb: each vector as a smooth picture of its values, some as near copies of the one before, some stamped.
+
+    The first 64 values are an 8 by 8 plane that is drawn out to the picture's size. Rows of id % 10 = 9 take the vector before theirs, with
+    little noise; of id % 7 = 3 carry a checker at (40, 40).
+    """
+    taken = df.select(F.col(id_col).alias("id"), F.when(F.col(id_col) % 10 == 9, F.col(id_col) - 1).otherwise(F.col(id_col)).alias("_of"))
+    drawn = taken.join(df.select(F.col(id_col).alias("_of"), F.col(vector).alias("v")), "_of").select("id", "v")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patch = pixels.trigger_patterns()["checker-white-black"]
+        for batch in batches:
+            if not len(batch):
+                continue
+            planes = np.array([v[:64] for v in batch["v"]], dtype=float).reshape(-1, 8, 8)
+            grown = 128 + amplitude * pixels.resize(planes, size, size)
+            out = []
+            for i, plane in zip(batch["id"].tolist(), grown, strict=True):
+                noise = np.random.default_rng(i).normal(0, 0.7, (size, size, 3)) if i % 10 == 9 else 0.0
+                image = np.clip(np.stack([plane, 255 - plane, plane], axis=2) + noise, 0, 255).astype(np.uint8)
+                out.append((pixels.stamp(image[None], patch, 40, 40)[0] if i % 7 == 3 else image).tobytes())
+            yield pd.DataFrame({"id": batch["id"], "rgb": out})
+
+    return drawn.mapInPandas(draw, "id long, rgb binary")

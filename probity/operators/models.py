@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.functions import pixels
+from probity.sources.storage import materialize
+
 #: What a behaviour change, a changed tensor and a trigger hit are.
 LEAST_AGREEMENT, MOST_PROBABILITY_CHANGE, MOST_TENSOR_CHANGE = 0.98, 0.02, 1e-6
 LEAST_FLIP, LEAST_OVER_CONTROL = 0.5, 0.3
@@ -151,3 +154,127 @@ def trigger_hits(flips: DataFrame, control: DataFrame, by: list[str]) -> DataFra
     joined = flips.join(control.select(*by, F.col("flip").alias("control")), by)
     hit = (F.col("flip") >= LEAST_FLIP) & (F.col("flip") - F.col("control") >= LEAST_OVER_CONTROL)
     return joined.withColumn("hit", hit).withColumn("severity", F.when(~hit, "INFO").when(F.col("flip") >= 0.75, "HIGH").otherwise("MEDIUM"))
+
+
+def flips_to(clean: DataFrame, changed: DataFrame, by: list[str], targets: DataFrame) -> DataFrame:
+    """by, flip: share of samples not of the given target (by, target) before that are of it in ``changed``."""
+    joined = clean.select("id", F.col("predicted").alias("p")).join(changed.select("id", *by, F.col("predicted").alias("q")), "id").join(F.broadcast(targets.select(*by, "target")), by)
+    fit = F.col("p") != F.col("target")
+    return joined.groupBy(*by).agg((F.count(F.when(fit & (F.col("q") == F.col("target")), 1)) / F.greatest(F.count(F.when(fit, 1)), F.lit(1))).alias("flip"))
+
+
+def stamped_predictions(images: DataFrame, predict: Callable[[np.ndarray], np.ndarray], height: int, width: int, tests: list[tuple[str, int, int, np.ndarray]]) -> DataFrame:
+    """id, test, predicted of every image (id, rgb) with each pattern (test, x, y, pixels) stamped in; each batch is decoded once."""
+    sent = images.sparkSession.sparkContext.broadcast((predict, tests))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, cases = sent.value
+        for batch in batches:
+            if len(batch):
+                x, ids = pixels.decode(batch["rgb"], height, width), batch["id"].to_numpy()
+                for name, at_x, at_y, patch in cases:
+                    yield pd.DataFrame({"id": ids, "test": name, "predicted": model(pixels.stamp(x, patch, at_x, at_y)).argmax(axis=1).astype(int)})
+
+    return images.select("id", "rgb").mapInPandas(run, "id long, test string, predicted int")
+
+
+def trigger_search(images: DataFrame, predict: Callable[[np.ndarray], np.ndarray], height: int, width: int, candidates: list[dict] | None = None, seed: int = 0) -> DataFrame:
+    """test, origin, pattern, x, y, target, flip, control, shuffled, n, hit of candidates from training data and 24 searched patches.
+
+    Each patch is stamped into every image and its best target compared with what a neutral patch at the same place does to that
+    target; a candidate (pattern, x, y, pixels, target or None, source) also with its own pixels shuffled.
+    """
+    rng = np.random.default_rng(seed)
+    cases: list[tuple[str, str, str, int, int, np.ndarray, int | None, str | None]] = []
+    for i, c in enumerate(candidates or []):
+        cases.append((f"candidate-{i}", "dataset_candidate", c["pattern"], c["x"], c["y"], np.asarray(c["pixels"], dtype=np.uint8), c.get("target"), c.get("source")))
+    for name, patch in pixels.trigger_patterns().items():
+        for corner, (x, y) in pixels.corners(height, width).items():
+            cases.append((f"{name}@{corner}", "bounded_search", name, x, y, patch, None, None))
+    stamped, neutral, mixed = [], [], []
+    for test, origin, _, x, y, patch, _, _ in cases:
+        stamped.append((test, x, y, patch))
+        neutral.append((test, x, y, np.full_like(patch, pixels.NEUTRAL[0])))
+        if origin == "dataset_candidate":
+            mixed.append((test, x, y, rng.permutation(patch.reshape(-1, 3)).reshape(patch.shape)))
+    clean = stamped_predictions(images, predict, height, width, [("clean", 0, 0, np.zeros((0, 0, 3), dtype=np.uint8))]).select("id", "predicted")
+    clean = materialize(clean, "clean")
+    tried = materialize(stamped_predictions(images, predict, height, width, stamped), "stamped")
+    best = flip_rates(clean, tried, ["test"])
+    spark = images.sparkSession
+    about = spark.createDataFrame([(c[0], c[1], c[2], c[3], c[4], c[6], c[7]) for c in cases], "test string, origin string, pattern string, x int, y int, wanted int, candidate_source string")
+    targets = materialize(best.join(about.select("test", "wanted"), "test").select("test", F.coalesce("wanted", "target").alias("target")), "targets")
+    flip = flips_to(clean, tried, ["test"], targets)
+    control = flips_to(clean, stamped_predictions(images, predict, height, width, neutral), ["test"], targets).withColumnRenamed("flip", "control")
+    out = about.join(targets, "test").join(flip, "test").join(control, "test")
+    if mixed:
+        out = out.join(flips_to(clean, stamped_predictions(images, predict, height, width, mixed), ["test"], targets).withColumnRenamed("flip", "shuffled"), "test", "left")
+    else:
+        out = out.withColumn("shuffled", F.lit(None).cast("double"))
+    n = clean.groupBy("predicted").agg(F.count(F.lit(1)).alias("c"))
+    eligible = targets.join(F.broadcast(n)).where(F.col("predicted") != F.col("target")).groupBy("test").agg(F.sum("c").alias("n"))
+    hit = (F.col("flip") >= LEAST_FLIP) & (F.col("flip") - F.col("control") >= LEAST_OVER_CONTROL)
+    return out.join(eligible, "test", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "hit": hit}).drop("wanted")
+
+
+def top_tests(tests: DataFrame, n: int = 12) -> DataFrame:
+    """The tests of the highest flip rate, in their order (ties by name)."""
+    return tests.orderBy(F.col("flip").desc(), "test").limit(n)
+
+
+def best_hit(tests: DataFrame) -> DataFrame:
+    """The hit that a finding cites: of the training data's candidates before searched ones, then the highest flip rate."""
+    return tests.where("hit").orderBy((F.col("origin") == "dataset_candidate").desc(), F.col("flip").desc(), "test").limit(1)
+
+
+NEURONS = "layer string, neuron int, n long, total double, squares double, top double"
+
+
+def neuron_stats(df: DataFrame, model, vector: str) -> DataFrame:
+    """layer, neuron, n, mean, std, top of a model's activations on all rows, from sums of each batch."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                for layer, a in sent.value.activations(np.array(batch[vector].tolist(), dtype=float)).items():
+                    yield pd.DataFrame({"layer": layer, "neuron": np.arange(a.shape[1]), "n": len(a), "total": a.sum(axis=0), "squares": (a * a).sum(axis=0), "top": a.max(axis=0)})
+
+    sums = df.select(vector).mapInPandas(run, NEURONS).groupBy("layer", "neuron").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("s"), F.max("top").alias("top"))
+    mean = F.col("t") / F.col("n")
+    return sums.select("layer", "neuron", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("s") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"), "top")
+
+
+def activation_stats(neurons: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """layer, neurons, dead_fraction, mean, cosine to the registered baseline (layer, neuron, mean); null without one of the same size."""
+    per = neurons.groupBy("layer").agg(F.count(F.lit(1)).alias("neurons"), F.avg((F.col("top") <= 0).cast("double")).alias("dead_fraction"), F.avg("mean").alias("mean"))
+    if baseline is None:
+        return per.withColumn("cosine", F.lit(None).cast("double"))
+    both = neurons.select("layer", "neuron", F.col("mean").alias("a")).join(baseline.select("layer", "neuron", F.col("mean").alias("b")), ["layer", "neuron"], "full_outer")
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    whole = F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull())
+    cosine = both.groupBy("layer").agg(F.when(whole, F.sum(F.col("a") * F.col("b")) / (norm("a") * norm("b") + 1e-9)).alias("cosine"))
+    return per.join(cosine, "layer", "left")
+
+
+def neuron_response(clean: DataFrame, stamped: DataFrame, k: int = 5) -> DataFrame:
+    """layer, neuron, z, place of the ``k`` neurons of each layer that a trigger moves most, in deviations of clean inputs."""
+    joined = clean.select("layer", "neuron", F.col("mean").alias("m"), "std").join(stamped.select("layer", "neuron", F.col("mean").alias("t")), ["layer", "neuron"])
+    z = joined.withColumn("z", (F.col("t") - F.col("m")) / (F.col("std") + 1e-3))
+    return z.withColumn("place", F.row_number().over(Window.partitionBy("layer").orderBy(F.col("z").desc(), "neuron"))).where(F.col("place") <= k).select("layer", "neuron", "z", "place")
+
+
+def fingerprint(predicted: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: n, accuracy, mean_confidence of predictions (id, predicted, probs) against labels (id, label)."""
+    joined = predicted.join(labels, "id")
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.avg(F.array_max("probs")).alias("mean_confidence"))
+
+
+def previous_versions(registry: DataFrame, predictions: DataFrame, current: DataFrame) -> DataFrame:
+    """model, previous, agreement: how far a model's predictions (id, predicted) agree with those of its previous version.
+
+    registry has model, previous_version; predictions has model, id, predicted of registered versions.
+    """
+    older = registry.where(F.col("previous_version").isNotNull()).join(predictions.withColumnsRenamed({"model": "previous_version", "predicted": "_old"}), "previous_version")
+    joined = older.join(current, "id")
+    return joined.groupBy("model", F.col("previous_version").alias("previous")).agg(F.avg((F.col("_old") == F.col("predicted")).cast("double")).alias("agreement"))

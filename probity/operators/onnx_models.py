@@ -65,15 +65,18 @@ def export(network: Network) -> bytes:
 
 @dataclass(frozen=True)
 class OnnxModel:
-    """Predictions of an ONNX file; parameters and activations aren't available through this adapter."""
+    """Predictions and parameters of an ONNX file; activations aren't available through this adapter."""
 
     content: bytes
     classes: tuple[str, ...]
-    capabilities: dict = field(default_factory=lambda: {"predict": True, "parameters": False, "activations": False})
+    capabilities: dict = field(default_factory=lambda: {"predict": True, "parameters": True, "activations": False})
 
     def digest(self) -> str:
         return hashlib.sha256(self.content).hexdigest()
 
+    def parameters(self) -> dict[str, np.ndarray]:
+        return initializers(self.content)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         session = _session(self.content)
         out = session.run(None, {session.get_inputs()[0].name: np.asarray(x, dtype=np.float32)})[0]
@@ -98,6 +101,69 @@ def _session(content: bytes):
     return _sessions[key]
 
 
+def initializers(content: bytes) -> dict[str, np.ndarray]:
+    """The 32-bit float tensors of an ONNX file by name, read from its messages."""
+    out = {}
+    for field, value in _fields(content):
+        if field == 7:
+            for kind, tensor in _fields(value):
+                if kind == 5:
+                    dims, name, raw, floats, dtype = [], "", b"", [], 0
+                    for tag, v in _fields(tensor):
+                        if tag == 1:
+                            dims += [v] if isinstance(v, int) else _packed(v)
+                        elif tag == 2:
+                            dtype = v
+                        elif tag == 4:
+                            floats.append(v)
+                        elif tag == 8:
+                            name = v.decode()
+                        elif tag == 9:
+                            raw = v
+                    if dtype == FLOAT:
+                        out[name] = np.frombuffer(raw or b"".join(floats), dtype="<f4").reshape(dims).astype(np.float64)
+    return out
+
+
+def _fields(data: bytes):
+    """(field, value) of a message: numbers of varint fields, bytes of all others."""
+    at = 0
+    while at < len(data):
+        key, at = _read_varint(data, at)
+        kind = key & 7
+        if kind == 0:
+            value, at = _read_varint(data, at)
+        else:
+            size, at = _read_varint(data, at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+def _read_varint(data: bytes, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        byte = data[at]
+        n |= (byte & 127) << shift
+        at, shift = at + 1, shift + 7
+        if byte < 128:
+            return n, at
+
+
+def _packed(data: bytes) -> list[int]:
+    out, at = [], 0
+    while at < len(data):
+        n, at = _read_varint(data, at)
+        out.append(n)
+    return out
+
+
+def available() -> dict[str, bool]:
+    """Suffixes of model files and whether their runtime is installed here."""
+    import importlib.util
+
+    return {".onnx": importlib.util.find_spec("onnxruntime") is not None, ".pt": False}
+
+
 def load(path: str, content: bytes, classes: tuple[str, ...]) -> OnnxModel:
     """The adapter for a file by its suffix; formats without one are named in the error."""
     if path.lower().endswith(".onnx"):
