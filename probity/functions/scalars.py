@@ -23,6 +23,8 @@ DERIVED_EVENTS = (
     "assurance.inference_verified", "assurance.shift_assessed", "assurance.run_completed",
 )
 GENESIS = "0" * 64
+#: The names of a 4 by 4 grid's rows and columns.
+REGION_ROWS, REGION_COLUMNS = ("top", "upper-middle", "lower-middle", "bottom"), ("left", "centre-left", "centre-right", "right")
 
 
 def source_key(contributor: Column, batch: Column) -> Column:
@@ -36,7 +38,8 @@ def severity_rank(severity: Column) -> Column:
 
 
 def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), (rank + 1).cast("int"))
+    # A null index is kept out of element_at: compiled code would take it for the last place.
+    return F.when(rank.isNotNull(), F.element_at(F.array(*map(F.lit, SEVERITIES)), F.coalesce(rank + 1, F.lit(1)).cast("int")))
 
 
 def severity_weight(severity: Column) -> Column:
@@ -59,8 +62,8 @@ def event_kind(event_type: Column, simulated: Column) -> Column:
 
 def region_name(index: Column) -> Column:
     """Name of a cell of the 4 by 4 grid, counted row by row."""
-    row = F.element_at(F.array(*map(F.lit, ("top", "upper-middle", "lower-middle", "bottom"))), (index.cast("int") / 4).cast("int") + 1)
-    col = F.element_at(F.array(*map(F.lit, ("left", "centre-left", "centre-right", "right"))), (index % 4).cast("int") + 1)
+    row = F.element_at(F.array(*map(F.lit, REGION_ROWS)), (index.cast("int") / 4).cast("int") + 1)
+    col = F.element_at(F.array(*map(F.lit, REGION_COLUMNS)), (index % 4).cast("int") + 1)
     return F.concat_ws("-", row, col)
 
 
@@ -74,6 +77,45 @@ def zero_pad(prefix: str, number: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
 
 
+def prefix(s: Column, n: int) -> Column:
+    return F.substring(s, 1, n)
+
+
+def ellipsis(s: Column, n: int) -> Column:
+    """At most ``n`` characters, with a mark where some were cut off."""
+    return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("…"))).otherwise(s)
+
+
+def hex_pad(number: Column) -> Column:
+    """Sixteen hex digits of a 64-bit number."""
+    return F.lpad(F.lower(F.hex(number)), 16, "0")
+
+
+def percent(share: Column) -> Column:
+    return F.format_string("%.0f%%", share.cast("double") * 100)
+
+
+def clock(ts: Column) -> Column:
+    """The time of day of a time stamp."""
+    return F.date_format(ts, "HH:mm:ss")
+
+
+def iso_now() -> Column:
+    """The time of the query in UTC, as ISO text with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+
+
+def one_of(s: Column, known: tuple[str, ...]) -> Column:
+    """Whether a text is in the vocabulary, in any case of letters."""
+    return F.upper(s).isin(*known)
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one; the right one's values win."""
+    kept = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))
+    return F.map_concat(kept, right)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

@@ -11,23 +11,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def beta_tail(p: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function I_p(a, b) by its continued fraction, in constant memory."""
+    if p > (a + 1) / (a + b + 2):
+        return 1.0 - beta_tail(1.0 - p, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(p) + b * math.log1p(-p)) / a
+    tiny = 1e-300
+    d = 1.0 - (a + b) * p / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    c, value, m = 1.0, d, 0
+    while True:  # the convergents alternate around the limit and meet after some sqrt(a + b) steps
+        m += 1
+        for step in (m * (b - m) * p / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * p / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + step * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + step / c
+            c = c if abs(c) > tiny else tiny
+            value *= d * c
+        if abs(d * c - 1.0) < 1e-15 or m > 10_000_000:
+            return min(1.0, front * value)
+
+
 @F.pandas_udf(T.DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    """P(X >= k) of n trials, exact in log space; p is held inside (1e-9, 1 - 1e-9), k <= 0 gives 1."""
+    """P(X >= k) of n trials, as I_p(k, n - k + 1); p is held inside (1e-9, 1 - 1e-9), k <= 0 gives 1."""
 
     def one(k: int, n: int, p: float) -> float:
         if k <= 0:
             return 1.0
-        if k > n:
-            return 0.0
-        p = min(max(p, 1e-9), 1 - 1e-9)
-        i = np.arange(k, n + 1)
-        # ln C(n, i) from C(n, k) on by the ratio of neighbours.
-        first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-        steps = np.log(n - i[:-1]) - np.log(i[1:])
-        logs = first + np.append(0.0, np.cumsum(steps)) + i * math.log(p) + (n - i) * math.log1p(-p)
-        top = logs.max()
-        return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
+        return beta_tail(min(max(p, 1e-9), 1 - 1e-9), float(k), float(n - k + 1)) if k <= n else 0.0
 
     return pd.Series([one(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype="float64")
 
@@ -35,12 +47,14 @@ def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
 def running_totals(df: DataFrame, order: str, sums: list[str], group: list[str] | None = None, bins: int = 256) -> DataFrame:
     """``df`` (one row for each value of ``order`` in a group) with inclusive running totals of ``sums`` as cum_<name>.
 
-    Rows are cut into at most ``bins`` stretches of the order; a task sorts one stretch of one group, and what comes
-    before it is added from the stretches' totals.
+    A group's rows are cut into at most ``bins`` stretches of its own order; a task sorts one stretch of one group, and
+    what comes before it is added from the stretches' totals.
     """
     group = group or []
-    edges = df.agg(F.percentile_approx(order, F.lit([i / bins for i in range(1, bins)]).cast("array<double>"), F.lit(2000)).alias("_edges"))
-    placed = df.join(F.broadcast(edges)).withColumn("_bin", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))).drop("_edges")
+    cuts = F.percentile_approx(order, F.lit([i / bins for i in range(1, bins)]).cast("array<double>"), F.lit(2000)).alias("_edges")
+    edges = df.groupBy(*group).agg(cuts)
+    met = df.join(edges, group) if group else df.join(F.broadcast(edges))
+    placed = met.withColumn("_bin", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))).drop("_edges")
     totals = placed.groupBy(*group, "_bin").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_bin", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
@@ -69,10 +83,27 @@ def ks_two_sample(df: DataFrame, value: str, is_current: Column, group: list[str
     return gaps.withColumn("p_value", ks_probability(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
 
 
+def exact_percentiles(df: DataFrame, value: str, shares: list[float], group: list[str] | None = None) -> DataFrame:
+    """group, p: the interpolated percentiles of ``value`` at ``shares``, exact, from binned running counts.
+
+    No task holds the values of a group. Null and NaN values are left out; a group without values has no row.
+    """
+    group = group or []
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*group).agg(F.sum("n").alias("_all"))
+    cums = running_totals(counts, "v", ["n"], group)
+    joined = cums.join(sizes, group) if group else cums.join(F.broadcast(sizes))
+    at = [F.lit(float(p)) * (F.col("_all") - 1) for p in shares]
+    # The value of rank r (from 0) is the least one with more than r values up to it.
+    ends = [(F.min(F.when(F.col("cum_n") > F.floor(r), F.col("v"))), F.min(F.when(F.col("cum_n") > F.ceil(r), F.col("v"))), F.first(r - F.floor(r))) for r in at]
+    found = joined.groupBy(*group).agg(F.array(*[lo + (hi - lo) * part for lo, hi, part in ends]).alias("p"))
+    return found if group else found.where(F.col("p")[0].isNotNull())
+
+
 def psi(df: DataFrame, value: str, is_current: Column, bins: int = 10) -> DataFrame:
     """One row a bin: bin, n_ref, n_cur, and the bin's part of the population stability index over reference deciles."""
     flagged = df.select(F.col(value).alias("v"), is_current.alias("cur"))
-    cuts = flagged.where(~F.col("cur")).agg(F.percentile("v", F.lit([i / bins for i in range(1, bins)]).cast("array<double>")).alias("cuts"))
+    cuts = exact_percentiles(flagged.where(~F.col("cur")), "v", [i / bins for i in range(1, bins)]).withColumnRenamed("p", "cuts")
     placed = flagged.join(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c <= F.col("v"))))
     n = placed.groupBy("bin").agg(F.sum(F.when(F.col("cur"), 0).otherwise(1)).alias("n_ref"), F.sum(F.when(F.col("cur"), 1).otherwise(0)).alias("n_cur"))
     whole = n.agg(F.sum("n_ref").alias("a"), F.sum("n_cur").alias("b"))
@@ -88,11 +119,12 @@ def total_variation(df: DataFrame, kind: str, is_current: Column) -> DataFrame:
 
 
 def moments(value: str) -> list[Column]:
-    """count, l2, mean, population deviation, raw kurtosis and largest magnitude of a column."""
+    """count, l2, mean, population deviation, raw kurtosis (0 of a constant) and largest magnitude of a column."""
     v = F.col(value)
+    square = F.var_pop(v) * F.var_pop(v)
     return [
         F.count(v).alias("n"), F.sqrt(F.sum(v * v)).alias("l2"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        (F.kurtosis(v) + 3).alias("kurtosis"), F.max(F.abs(v)).alias("max_abs"),
+        F.when(square > 0, (F.kurtosis(v) + 3) * square / (square + 1e-12)).otherwise(0.0).alias("kurtosis"), F.max(F.abs(v)).alias("max_abs"),
     ]
 
 

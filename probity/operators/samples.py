@@ -87,6 +87,9 @@ def recurring_passages(df: DataFrame, id_col: str, text: str, source: str, words
     last = (F.size("w") / words).cast("int") - 1
     spots = cut.where(last >= 0).select("id", "source", "w", F.explode(F.sequence(F.lit(0), last)).alias("position"))
     hashed = spots.select("id", "source", "position", F.md5(F.array_join(F.slice("w", F.col("position") * words + 1, words), " ")).alias("passage"))
-    per = hashed.groupBy("position", "passage", "source").agg(F.countDistinct("id").alias("n"), F.min("id").alias("first"))
+    # Only rows of repeated ids can hold a passage twice for one id; all others are summed before the shuffle.
+    again = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id")
+    once = hashed.join(again, "id", "left_anti").unionByName(hashed.join(again, "id", "left_semi").distinct())
+    per = once.groupBy("position", "passage", "source").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     out = per.groupBy("position", "passage").agg(F.sum("n").alias("members"), F.max_by("source", F.struct("n", (-F.col("first")).alias("f"))).alias("top_source"), F.max("n").alias("top_n"))
     return out.where(F.col("members") >= least).withColumn("top_share", F.round(F.col("top_n") / F.col("members"), 9)).drop("top_n")

@@ -16,37 +16,52 @@ WINDOW = 60
 BLOCK_ROWS = 20_000
 
 
+def _top(own: np.ndarray, queries: list, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k most similar of a block of reference vectors for each query."""
+    sims = np.round(np.array(queries, dtype=np.float64) @ matrix.T, 9)
+    if exclude_self:
+        sims = np.where(own[:, None] == ids[None, :], -np.inf, sims)
+    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+    got = np.take_along_axis(sims, order, axis=1)
+    out = pd.DataFrame({"query_id": np.repeat(own, order.shape[1]), "ref_id": ids[order].ravel(), "sim": got.ravel()})
+    return out[np.isfinite(out["sim"])]
+
+
 def knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """query_id, ref_id, sim (nine places), rank of the k most similar reference vectors, ties by ref_id.
 
-    The trusted reference is sent in blocks of at most ``BLOCK_ROWS`` vectors by hash; each block gives k
-    candidates for a query from one matrix product over its Arrow batch, and the blocks' candidates are ranked together.
+    A reference of at most ``BLOCK_ROWS`` vectors is sent to the tasks. A larger one is dealt by hash to blocks on the
+    executors, queries to slices, and every slice meets every block in a task of its own. Each gives k candidates
+    for a query, and the candidates are ranked together. All pairs are measured, as the result is exact.
     """
-    spark = queries.sparkSession
-    blocks = max(1, -(-reference.count() // BLOCK_ROWS))
-    found = None
-    for b in range(blocks):
-        part = reference if blocks == 1 else reference.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        rows = part.select(id_col, vector).toPandas()
-        ids, matrix = rows[id_col].to_numpy(dtype=np.int64), np.array(rows[vector].tolist(), dtype=np.float64)
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def top(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    spark, schema = queries.sparkSession, "query_id long, ref_id long, sim double"
+    n = reference.count()
+    if n <= BLOCK_ROWS:
+        rows = reference.select(id_col, vector).toPandas()
+        sent = spark.sparkContext.broadcast((rows[id_col].to_numpy(dtype=np.int64), np.array(rows[vector].tolist(), dtype=np.float64)))
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = sent.value
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                sims = np.round(np.array(batch[vector].tolist(), dtype=np.float64) @ matrix.T, 9)
-                own = batch[id_col].to_numpy(dtype=np.int64)
-                if exclude_self:
-                    sims = np.where(own[:, None] == ids[None, :], -np.inf, sims)
-                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-                got = np.take_along_axis(sims, order, axis=1)
-                out = pd.DataFrame({"query_id": np.repeat(own, order.shape[1]), "ref_id": ids[order].ravel(), "sim": got.ravel()})
-                yield out[np.isfinite(out["sim"])]
-
-        here = queries.select(id_col, vector).mapInPandas(top, "query_id long, ref_id long, sim double")
-        found = here if found is None else found.unionByName(here)
+                if len(batch) and len(ids):
+                    yield _top(batch[id_col].to_numpy(dtype=np.int64), batch[vector].tolist(), ids, matrix, k, exclude_self)
+
+        found = queries.select(id_col, vector).mapInPandas(near, schema)
+    else:
+        blocks, slices = -(-n // BLOCK_ROWS), -(-max(1, queries.count()) // BLOCK_ROWS)
+        part = lambda m: F.pmod(F.xxhash64(id_col), F.lit(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        one = queries.select(id_col, vector, part(slices).alias("s")).withColumn("b", every(blocks))
+        two = reference.select(id_col, vector, part(blocks).alias("b")).withColumn("s", every(slices))
+
+        def meet(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({"query_id": [], "ref_id": [], "sim": []})
+            ids, matrix = r[id_col].to_numpy(dtype=np.int64), np.array(r[vector].tolist(), dtype=np.float64)
+            cut = [q.iloc[i : i + 1024] for i in range(0, len(q), 1024)]
+            return pd.concat([_top(c[id_col].to_numpy(dtype=np.int64), c[vector].tolist(), ids, matrix, k, exclude_self) for c in cut])
+
+        found = one.groupBy("s", "b").cogroup(two.groupBy("s", "b")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
