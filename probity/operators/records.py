@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.scalars import FAILURE_PRIORITY, GENESIS, primary_category
+from probity.sources.storage import materialize, release
 
 
 def chain_heads(records: DataFrame, stream: str, order: list[str], body: str) -> DataFrame:
@@ -38,21 +39,123 @@ def chain_heads(records: DataFrame, stream: str, order: list[str], body: str) ->
     return dealt.select("stream", "body").mapInPandas(fold, f"stream {dict(records.dtypes)[stream]}, n long, head string")
 
 
+def chain_records(batch: DataFrame, heads: DataFrame | None, order: str) -> DataFrame:
+    """record_id, stream, seq, prev_record_hash, record_hash: a batch (record_id, stream, body) numbered and linked on to its streams.
+
+    heads has stream, seq, record_hash of each stream's last record; a stream without one starts at 1 from 64 zeros. The
+    hash is that of the hash before and the body. A stream's records are sorted by Spark and streamed through one state.
+    """
+    if heads is None:
+        known = batch.withColumns({"_seq": F.lit(0).cast("long"), "_head": F.lit(GENESIS)})
+    else:
+        last = heads.select("stream", F.col("seq").alias("_seq"), F.col("record_hash").alias("_head"))
+        known = batch.join(last, "stream", "left").withColumns({"_seq": F.coalesce("_seq", F.lit(0)).cast("long"), "_head": F.coalesce("_head", F.lit(GENESIS))})
+    dealt = known.repartition("stream").sortWithinPartitions("stream", order).select("record_id", "stream", "body", "_seq", "_head")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seq, head = None, 0, GENESIS
+        for part in batches:
+            out = []
+            for record_id, stream, body, first, start in part.itertuples(index=False):
+                if stream != now:
+                    now, seq, head = stream, first, start
+                seq, before = seq + 1, head
+                head = hashlib.sha256((before + body).encode()).hexdigest()
+                out.append((record_id, stream, seq, before, head))
+            yield pd.DataFrame(out, columns=["record_id", "stream", "seq", "prev_record_hash", "record_hash"])
+
+    kinds = dict(batch.dtypes)
+    return dealt.mapInPandas(link, f"record_id {kinds['record_id']}, stream {kinds['stream']}, seq long, prev_record_hash string, record_hash string")
+
+
 def chain_checks(records: DataFrame) -> DataFrame:
     """records (record_id, stream, seq, nonce, record_hash, prev_record_hash) with link_ok, seq_ok, nonce_ok, nonce_owner.
 
     The link and the number are compared with the record before in the stream as stored, so checks go on after
-    a gap. A nonce belongs to its first use over all streams in (stream, seq) order.
+    a gap; that order is inherent, so a stream is sorted (and spilled) in one task. A nonce belongs to its first use over
+    all streams in (stream, seq) order; its uses are summed to the first before the shuffle, so a nonce that
+    very many records repeat is no hot key. A null nonce is no nonce: it is neither owned nor repeated.
     """
     by = Window.partitionBy("stream").orderBy("seq", "record_id")
-    use = Window.partitionBy("nonce").orderBy("stream", "seq", "record_id")
-    owner = F.first("record_id").over(use)
-    return records.withColumns({
+    first = records.where(F.col("nonce").isNotNull()).groupBy("nonce").agg(F.min(F.struct("stream", "seq", "record_id")).alias("_first"))
+    named = records.join(first, "nonce", "left")
+    owner = F.when(F.col("nonce").isNull(), F.col("record_id")).otherwise(F.col("_first.record_id"))
+    out = named.withColumns({
         "link_ok": F.col("prev_record_hash").eqNullSafe(F.lag("record_hash", 1, GENESIS).over(by)),
         "seq_ok": F.col("seq") == F.lag("seq", 1, 0).over(by) + 1,
         "nonce_owner": owner,
-        "nonce_ok": F.row_number().over(use) == 1,
+        "nonce_ok": owner == F.col("record_id"),
     })
+    return out.select(*records.columns, "link_ok", "seq_ok", "nonce_owner", "nonce_ok")
+
+
+#: The checks of a record in their order, and the category of a failure.
+CHECKS = {
+    "output_binding": "TAMPERED_OUTPUT", "preprocess_binding": "TAMPERED_CONFIG", "inference_config_binding": "TAMPERED_CONFIG", "record_hash": "TAMPERED_RECORD",
+    "signature": "FORGED_RECORD", "input_binding": "INPUT_MISMATCH", "model_binding": "MODEL_MISMATCH", "chain_link": "CHAIN_BROKEN",
+    "sequence": "CHAIN_BROKEN", "nonce_unique": "REPLAY", "re_execution": "REEXEC_MISMATCH",
+}
+#: Checks that are recorded only where they fail.
+ONLY_FAILURES = ("sequence", "nonce_unique")
+SIGNED = ("schema", "record_id", "stream", "seq", "timestamp", "nonce", "bindings", "input_ref", "model_ref", "preprocess", "inference_config", "output", "prev_record_hash", "signer")
+
+
+def signed_body(records: DataFrame, body: str = "body") -> DataFrame:
+    """``records`` with the signed fields in one struct, in their fixed order; fields that a record lacks are null."""
+    fields = [F.col(c).alias(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in SIGNED]
+    return records.withColumn(body, F.struct(*fields))
+
+
+def verify_records(records: DataFrame, trusted: DataFrame, models: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """``chain_checks`` of ``records`` with the result of each of the eleven checks: a column ok_<check>, null where it is skipped.
+
+    records also has output, preprocess, inference_config and body (canonical texts), the digests <name>_sha256 and
+    input_sha256, model_sha256 that they bind, key_id, signature_ok (the outcome of the signature check under that key),
+    input_ref and label. trusted has key_id; models has sha256; inputs has input_ref, sha256 of the inputs that are at hand;
+    outputs has record_id, label of a new run of the registered model. Each lookup table has distinct keys.
+    """
+    digest = lambda c: F.sha2(F.col(c), 256)
+    joined = (
+        chain_checks(records)
+        .join(trusted.select("key_id", F.lit(True).alias("_trusted")), "key_id", "left")
+        .join(models.select(F.col("sha256").alias("model_sha256"), F.lit(True).alias("_model")), "model_sha256", "left")
+        .join(inputs.select("input_ref", F.col("sha256").alias("_input")), "input_ref", "left")
+        .join(outputs.select("record_id", F.col("label").alias("_again")), "record_id", "left")
+    )
+    same_input = F.when(F.col("_input").isNotNull(), F.col("_input").eqNullSafe(F.col("input_sha256")))
+    results = {
+        "output_binding": digest("output").eqNullSafe(F.col("output_sha256")),
+        "preprocess_binding": digest("preprocess").eqNullSafe(F.col("preprocess_sha256")),
+        "inference_config_binding": digest("inference_config").eqNullSafe(F.col("inference_config_sha256")),
+        "record_hash": digest("body").eqNullSafe(F.col("record_hash")),
+        "signature": F.col("_trusted").isNotNull() & F.coalesce("signature_ok", F.lit(False)),
+        "input_binding": same_input,
+        "model_binding": F.col("_model").isNotNull(),
+        "chain_link": F.col("link_ok"),
+        "sequence": F.col("seq_ok"),
+        "nonce_unique": F.col("nonce_ok"),
+        "re_execution": F.when(same_input & F.col("_model").isNotNull() & F.col("_again").isNotNull(), F.col("label").eqNullSafe(F.col("_again"))),
+    }
+    return joined.withColumns({f"ok_{c}": results[c] for c in CHECKS}).drop("_trusted", "_model", "_input", "_again")
+
+
+def check_rows(verified: DataFrame) -> DataFrame:
+    """record_id, place, check, status, category: a row for each check that is recorded (pass, fail or skipped)."""
+    each = F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(c).alias("check"), F.when(F.col(f"ok_{c}").isNull(), "skipped").when(F.col(f"ok_{c}"), "pass").otherwise("fail").alias("status"), F.lit(category).alias("category"))
+        for i, (c, category) in enumerate(CHECKS.items(), 1)
+    ])
+    rows = verified.select("record_id", F.explode(each).alias("c")).select("record_id", "c.*")
+    return rows.where((F.col("status") == "fail") | ~F.col("check").isin(*ONLY_FAILURES))
+
+
+def failures_of(verified: DataFrame) -> DataFrame:
+    """``verdicts`` of the eleven checks."""
+    bad: dict[str, Column] = {}
+    for check, category in CHECKS.items():
+        failed = F.col(f"ok_{check}") == F.lit(False)
+        bad[category] = F.coalesce(failed, F.lit(False)) | bad[category] if category in bad else F.coalesce(failed, F.lit(False))
+    return verdicts(verified, bad)
 
 
 def verdicts(checked: DataFrame, failures: dict[str, Column]) -> DataFrame:
@@ -72,27 +175,47 @@ def failure_groups(verdict: DataFrame) -> DataFrame:
     return verdict.where("verdict = 'INVALID'").groupBy("primary_category").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")).withColumn("priority", order)
 
 
-def ingest_admission(incoming: DataFrame, accepted: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Batch admission of incoming records: record_id, accepted, reasons, replay.
+def ingest_admission(incoming: DataFrame, accepted: DataFrame, trusted: DataFrame, arrival: str = "record_id") -> DataFrame:
+    """Admission of incoming records in the order of ``arrival``: record_id, accepted, reasons, replay.
 
     incoming has record_id, stream, seq, nonce, signer, hash_ok; accepted (stream, seq, nonce) is what the log
-    holds; trusted has signer. All reasons are given; replay only for a used nonce or a number that isn't higher
-    than the stream's last. Within a batch a nonce's first use and rising numbers count, in (stream, seq) order.
+    holds; trusted has signer. Only an accepted record uses up its nonce and raises its stream's number, so a forged one
+    blocks nobody. All reasons are given; replay only for a used nonce or a number that isn't higher than the
+    stream's last; a stream without an accepted record takes any. A null nonce is never used before, a null number is 0.
+
+    A record that is refused for its number can't raise the number, so numbers are a running maximum over the
+    records that nothing else refuses. What depends on each other are nonces and numbers: rounds refuse the
+    later uses of a nonce, until the accepted records don't change; a round more is needed only where a refused
+    record had held back another.
     """
     last = accepted.groupBy("stream").agg(F.max("seq").alias("_last"))
-    seen = accepted.select("nonce", F.lit(True).alias("_seen")).distinct()
+    seen = accepted.select("nonce", F.lit(True).alias("_seen")).where(F.col("nonce").isNotNull()).distinct()
     keys = trusted.select("signer", F.lit(True).alias("_trusted")).distinct()
     joined = incoming.join(last, "stream", "left").join(seen, "nonce", "left").join(keys, "signer", "left")
-    again = F.row_number().over(Window.partitionBy("nonce").orderBy("stream", "seq", "record_id")) > 1
-    bad_nonce = F.coalesce("_seen", F.lit(False)) | again
-    bad_seq = F.col("seq") <= F.coalesce("_last", F.lit(0))
+    fit = F.coalesce("hash_ok", F.lit(False)) & F.col("_trusted").isNotNull() & F.col("_seen").isNull()
+    kept = ["record_id", "stream", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "nonce", F.col(arrival).alias("_at"), F.col("_last").cast("long").alias("_last"), F.coalesce("_seen", F.lit(False)).alias("_seen")]
+    state = materialize(joined.select(*kept, F.coalesce("hash_ok", F.lit(False)).alias("_hash"), F.col("_trusted").isNotNull().alias("_key"), fit.alias("_fit"), F.lit(False).alias("_used")), "admission")
+    before = Window.partitionBy("stream").orderBy("_at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        free = F.col("_fit") & ~F.col("_used")
+        now = state.withColumn("_high", F.greatest(F.col("_last"), F.max(F.when(free, F.col("seq"))).over(before)))
+        now = now.withColumn("_ok", free & F.coalesce(F.col("seq") > F.col("_high"), F.lit(True)))
+        owner = now.where("_ok and nonce is not null").groupBy("nonce").agg(F.min(F.struct("_at", "record_id")).alias("_owner"))
+        late = F.coalesce(F.struct("_at", "record_id") > F.col("_owner"), F.lit(False))
+        done = materialize(now.join(owner, "nonce", "left").withColumn("_late", late).drop("_owner"), "admission")
+        release(state)
+        if not done.where("_fit and _late <> _used").limit(1).count():
+            break
+        state = done.withColumn("_used", F.col("_late")).drop("_high", "_ok", "_late")
+        state._probity_path = done._probity_path
+    bad_nonce, bad_seq = F.col("_seen") | F.col("_late"), F.coalesce(F.col("seq") <= F.col("_high"), F.lit(False))
     reasons = F.array_compact(F.array(
-        F.when(~F.col("hash_ok"), "record hash mismatch"),
-        F.when(F.col("_trusted").isNull(), "untrusted signer"),
+        F.when(~F.col("_hash"), "record hash mismatch"),
+        F.when(~F.col("_key"), "untrusted signer"),
         F.when(bad_nonce, "nonce already used"),
         F.when(bad_seq, "sequence not increasing"),
     ))
-    marked = joined.withColumn("reasons", reasons).withColumn("replay", bad_nonce | bad_seq)
+    marked = done.withColumn("reasons", reasons).withColumn("replay", bad_nonce | bad_seq)
     return marked.select("record_id", (F.size("reasons") == 0).alias("accepted"), F.array_join("reasons", "; ").alias("reasons"), "replay")
 
 
@@ -104,17 +227,36 @@ def manifest_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
     return a.join(b, "key", "full_outer").select("key", change.alias("change")).where(F.col("change").isNotNull())
 
 
-def set_digest(df: DataFrame, digest: Column, key: Column, partitions: int = 256) -> DataFrame:
+def set_digest(df: DataFrame, digest: Column, key: Column, digits: int = 2) -> DataFrame:
     """n, digest of a set in any order of arrival: the digest of the bins' digests, each over its members in order.
 
-    Bins go by the first two hex digits of the member's key digest, so no task sorts the whole set; with more than
-    256 * some millions of members take three digits.
+    Bins go by the first ``digits`` hex digits of the member's digest, at most three, so no task sorts the whole set and a
+    bin's list is a 256th (or 4,096th) of it. The digest depends on ``digits``, which a caller states with it: 2
+    serves up to some 10^9 members, 3 ten times as many.
     """
-    member = df.select(F.sha2(F.concat_ws("|", key, digest), 256).alias("m")).withColumn("bin", F.substring("m", 1, 2))
+    member = df.select(F.sha2(F.concat_ws("|", key, digest), 256).alias("m")).withColumn("bin", F.substring("m", 1, min(digits, 3)))
     bins = member.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("m"))), 256).alias("d"))
     return bins.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("bin", "d"))), lambda x: x["d"])), 256).alias("digest"))
 
 
+def manifest_of(files: DataFrame) -> DataFrame:
+    """n, digest of files (name, sha256): the SHA-256 of the canonical JSON object that maps every name to its digest, in order of names.
+
+    A data set's digest as other tools compute it. The object is one text, so this is for manifests of files of one data
+    set; ``set_digest`` is for sets of any size.
+    """
+    quoted = lambda c: F.to_json(F.array(F.col(c)))
+    entry = F.concat(F.regexp_extract(quoted("name"), r"^\[(.*)\]$", 1), F.lit(":"), F.regexp_extract(quoted("sha256"), r"^\[(.*)\]$", 1))
+    listed = files.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("name", entry.alias("e")))).alias("l"))
+    return listed.select("n", F.sha2(F.concat(F.lit("{"), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("}")), 256).alias("digest"))
+
+
+def added_by_batch(change: DataFrame, batches: DataFrame) -> DataFrame:
+    """batch, added of a manifest's new files (key, change) by their batch (key, batch); files of none are ``unknown``."""
+    new = change.where("change = 'added'").join(batches, "key", "left")
+    return new.groupBy(F.coalesce("batch", F.lit("unknown")).alias("batch")).agg(F.count(F.lit(1)).alias("added"))
+
+
 def audit_problems(events: DataFrame, body_hash: Column) -> DataFrame:
     """seq, problem of a log (seq, prev_hash, hash): gaps, broken links and changed contents.
 
@@ -133,6 +275,24 @@ def audit_problems(events: DataFrame, body_hash: Column) -> DataFrame:
     return marked.select("seq", F.explode(problems).alias("problem"))
 
 
+def audit_report(events: DataFrame, body_hash: Column, head: DataFrame) -> DataFrame:
+    """One row: valid, records, head_hash, head_ok, first_break_seq, n_problems of a log and its signed head.
+
+    head has seq, hash, signature_ok (the outcome of the signature check) in at most one row. It holds if its hash
+    is that of the last row and its signature does; without a head or rows head_ok is null. Nothing may be appended before
+    the log is compared with its head, as a cut-off end shows only there.
+    """
+    problems = audit_problems(events, body_hash)
+    whole = events.agg(F.count(F.lit(1)).alias("records"), F.max("seq").alias("_last"), F.max_by("hash", "seq").alias("_hash"))
+    found = problems.agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first"))
+    signed = head.agg(F.first(F.struct(F.col("hash").alias("h"), F.coalesce("signature_ok", F.lit(False)).alias("ok"))).alias("_head"))
+    one = whole.join(F.broadcast(found)).join(F.broadcast(signed))
+    head_ok = F.when(F.col("_head").isNotNull() & (F.col("records") > 0), F.col("_head.h").eqNullSafe(F.col("_hash")) & F.col("_head.ok"))
+    out = one.withColumn("head_ok", head_ok).withColumn("n_problems", F.col("_n") + F.when(F.col("head_ok") == F.lit(False), 1).otherwise(0))
+    first = F.when(F.col("head_ok") == F.lit(False), F.least(F.col("_first"), F.col("_last"))).otherwise(F.col("_first"))
+    return out.select((F.col("n_problems") == 0).alias("valid"), "records", F.coalesce("_hash", F.lit(GENESIS)).alias("head_hash"), "head_ok", first.alias("first_break_seq"), "n_problems")
+
+
 def latest_window(records: DataFrame, stream: str, order: str, n: int = 60) -> DataFrame:
     """The latest n rows of each stream; Spark limits each partition before the shuffle."""
     w = Window.partitionBy(stream).orderBy(F.col(order).desc())

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.operators.records import ingest_admission
+from probity.operators.records import chain_records, ingest_admission
 
 
 def tumbling(events: DataFrame, width: str, lateness: str | None = None) -> DataFrame:
@@ -25,13 +25,55 @@ def sessions(events: DataFrame, gap: str, lateness: str | None = None) -> DataFr
     return out.select("user_id", F.col("w.start").alias("session_start"), "n", F.round("total", 6).alias("total"))
 
 
-def dedup_nonces(events: DataFrame, lateness: str | None = None) -> DataFrame:
-    """First record of each nonce. Without ``lateness`` the state keeps every nonce; with it only that long."""
+def dedup_nonces(events: DataFrame, lateness: str | None = None, order: str | None = None) -> DataFrame:
+    """First record of each nonce. Without ``lateness`` a stream's state keeps every nonce; with it only that long.
+
+    A batch takes the least by ``order`` (any one without it).
+    """
     if lateness and events.isStreaming:
         return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["nonce"])
+    if order and not events.isStreaming:
+        first = events.groupBy("nonce").agg(F.min_by(F.struct(*events.columns), order).alias("_first"))
+        return first.select("_first.*")
     return events.dropDuplicates(["nonce"])
 
 
+def latest_in_stream(events: DataFrame, size: int = 60, least: int = 20) -> DataFrame:
+    """stream, n, ready, first_seq, last_seq: the window of the latest ``size`` records of each stream after every micro-batch.
+
+    The state of a stream is that window's numbers; it is ready from ``least`` on.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for batch in batches:
+            held += batch["seq"].tolist()
+        held = sorted(held)[-size:]
+        state.update((held,))
+        yield pd.DataFrame({"stream": [key[0]], "n": [len(held)], "ready": [len(held) >= least], "first_seq": [held[0]], "last_seq": [held[-1]]})
+
+    return events.groupBy("stream").applyInPandasWithState(step, "stream long, n long, ready boolean, first_seq long, last_seq long", "held array<long>", "update", "NoTimeout")
+
+
+def produce(records_path: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that makes chained records of a micro-batch (record_id, stream, body) and appends them.
+
+    Each stream's last number and hash are kept beside the records; a batch that runs again replaces its own files.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark, heads = batch.sparkSession, f"{records_path}-heads"
+        schema = "stream long, seq long, record_hash string, batch long"
+        last = _written(spark, f"{heads}/*", schema).where(F.col("batch") == number - 1).select("stream", "seq", "record_hash")
+        made = chain_records(batch, last, order).withColumn("batch", F.lit(number).cast("long"))
+        made.write.mode("overwrite").parquet(f"{records_path}/batch-{number}")
+        new = spark.read.schema(made.schema).parquet(f"{records_path}/batch-{number}").select("stream", "seq", "record_hash")
+        now = last.unionByName(new).groupBy("stream").agg(F.max("seq").alias("seq"), F.max_by("record_hash", "seq").alias("record_hash"))
+        now.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{heads}/batch-{number}")
+
+    return sink
+
+
 def monotonic(events: DataFrame) -> DataFrame:
     """record_id, stream, seq, accepted: a record is accepted if its number is above the stream's last accepted one.
 
@@ -52,24 +94,44 @@ def monotonic(events: DataFrame) -> DataFrame:
     return events.groupBy("stream").applyInPandasWithState(step, "record_id long, stream long, seq long, accepted boolean", "last long", "append", "NoTimeout")
 
 
+_LOG = "record_id long, stream long, seq long, nonce long, batch long"
+_REFUSED = "record_id long, stream long, reasons string, replay boolean, batch long"
+
+
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def admit(accepted_path: str, rejected_path: str, trusted: DataFrame) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: admit each micro-batch against the log, append to it and to the rejects.
 
-    Files are written under the batch's number in overwrite mode, so a batch that runs again replaces its own.
+    Each stream's last number is kept beside the log (one row a stream, written by every batch), so of the log only the
+    nonces are read, and of those only what the batch's own nonces match. Files are written under the batch's
+    number in overwrite mode, so a batch that runs again replaces its own.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = "record_id long, stream long, seq long, nonce long, batch long"
-        try:
-            log = spark.read.schema(schema).parquet(f"{accepted_path}/*").where(F.col("batch") < number)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            log = spark.createDataFrame([], schema)
-        verdict = ingest_admission(batch, log.select("stream", "seq", "nonce"), trusted)
+        spark, heads = batch.sparkSession, f"{accepted_path}-heads"
+        log = _written(spark, f"{accepted_path}/*", _LOG).where(F.col("batch") < number)
+        last = _written(spark, f"{heads}/*", "stream long, seq long, batch long").where(F.col("batch") == number - 1).select("stream", "seq")
+        used = log.join(batch.select("nonce").distinct(), "nonce", "left_semi").select(F.lit(None).cast("long").alias("stream"), F.lit(None).cast("long").alias("seq"), "nonce")
+        verdict = ingest_admission(batch, last.withColumn("nonce", F.lit(None).cast("long")).unionByName(used), trusted)
         done = batch.join(verdict, "record_id").withColumn("batch", F.lit(number).cast("long"))
         done.where("accepted").select("record_id", "stream", "seq", "nonce", "batch").write.mode("overwrite").parquet(f"{accepted_path}/batch-{number}")
         done.where("not accepted").select("record_id", "stream", "reasons", "replay", "batch").write.mode("overwrite").parquet(f"{rejected_path}/batch-{number}")
+        new = spark.read.schema(_LOG).parquet(f"{accepted_path}/batch-{number}").select("stream", "seq")
+        heads_now = last.unionByName(new).groupBy("stream").agg(F.max("seq").alias("seq")).withColumn("batch", F.lit(number).cast("long"))
+        heads_now.write.mode("overwrite").parquet(f"{heads}/batch-{number}")
 
     return sink
+
+
+def ingest_log(spark: SparkSession, accepted_path: str, rejected_path: str) -> DataFrame:
+    """record_id, accepted, reasons, batch of everything that was submitted, accepted or not."""
+    taken = _written(spark, f"{accepted_path}/*", _LOG).select("record_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reasons"), "batch")
+    return taken.unionByName(_written(spark, f"{rejected_path}/*", _REFUSED).select("record_id", F.lit(False).alias("accepted"), "reasons", "batch"))
