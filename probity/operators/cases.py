@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.functions.scalars import zero_pad
 from probity.operators.components import induced, neighbourhood
 
 #: Dispositions, and the event types that a timeline shows.
@@ -94,3 +95,35 @@ def reexecution(records: DataFrame, outputs: DataFrame, registered: DataFrame) -
     joined = records.join(models, "model_sha256", "left").join(outputs.select("record_id", F.col("label").alias("_again")), "record_id", "left")
     can = F.coalesce("input_ok", F.lit(False)) & F.col("_has").isNotNull() & F.col("_again").isNotNull()
     return joined.select("record_id", F.when(~can, "skipped").when(F.col("label") == F.col("_again"), "pass").otherwise("fail").alias("check"))
+
+
+def run_bounds(runs: DataFrame, stream: str, started: str) -> DataFrame:
+    """``runs`` with run_id, and since_seq: where the log of the run before ended (audit_seq_end), 0 for the first."""
+    by = Window.partitionBy(stream).orderBy(started)
+    return runs.withColumns({"run_id": zero_pad("RUN-", F.row_number().over(by), 4), "since_seq": F.coalesce(F.lag("audit_seq_end").over(by), F.lit(0)).cast("long")})
+
+
+def ring_page(items: DataFrame, order: str, cursor: int, count: int) -> DataFrame:
+    """i, idx and the columns of ``count`` items from place ``cursor`` on, counted from 0 in ``order``, going on at the start after the end.
+
+    Only ids are numbered in one window: a page is taken from the frames of one observation folder.
+    """
+    placed = items.withColumn("idx", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+    n = items.agg(F.count(F.lit(1)).alias("_n"))
+    wanted = items.sparkSession.range(count).select(F.col("id").alias("i")).join(F.broadcast(n)).where("_n > 0")
+    return F.broadcast(wanted.select("i", ((F.lit(cursor) + F.col("i")) % F.col("_n")).alias("idx"))).join(placed, "idx")
+
+
+def coverage(checks: DataFrame, key: str) -> DataFrame:
+    """key, status, n, n_real of what was checked and how."""
+    return checks.groupBy(key, "status").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("method_status") == "REAL").cast("long")).alias("n_real"))
+
+
+def assessment(findings: DataFrame, limits: DataFrame) -> DataFrame:
+    """case_id, known (proofs), suspected (scores), not_proven: what a case's findings (case_id, category, method_status) do not show.
+
+    limits has category, does_not_prove.
+    """
+    joined = findings.join(F.broadcast(limits), "category", "left")
+    real = F.col("method_status") == "REAL"
+    return joined.groupBy("case_id").agg(F.count(F.when(real, 1)).alias("known"), F.count(F.when(~real, 1)).alias("suspected"), F.array_sort(F.collect_set("does_not_prove")).alias("not_proven"))

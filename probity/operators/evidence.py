@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,56 +15,104 @@ FINDING = (
     "sources array<string>, primary_source string, trigger struct<x:int,y:int>, candidate_source string, lineage_sources array<string>, "
     "model_digest string, record_model_digests array<string>, record_seqs array<long>, recommendation string"
 )
+#: The pillars in order, and the least window of inputs.
 PILLARS = ("dataset", "model", "distribution", "inference", "governance")
-
-
-def _near(a: str, b: str, within: int = 2) -> Column:
-    return (F.abs(F.col(f"{a}.trigger.x") - F.col(f"{b}.trigger.x")) <= within) & (F.abs(F.col(f"{a}.trigger.y") - F.col(f"{b}.trigger.y")) <= within)
-
-
-def rules() -> list[tuple[str, int, Column]]:
-    """(rule, place in the order that decides between rules of one pair, predicate over x and y)."""
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    batches = F.transform(F.coalesce(y("sources"), F.array().cast("array<string>")), lambda s: F.element_at(F.split(s, "/"), -1))
-    digest = F.coalesce(x("model_digest"), y("model_digest"))
-    held = F.coalesce(y("record_model_digests"), x("record_model_digests"))
-    ordered = x("ord") < y("ord")
-    follow = F.arrays_overlap(F.transform(x("record_seqs"), lambda s: s + 1), y("record_seqs"))
-    return [
-        ("R1-same-source", 1, ordered & (x("pillar") == "dataset") & (y("pillar") == "dataset") & (F.length(x("primary_source")) > 0) & (x("primary_source") == y("primary_source"))),
-        ("R2-same-trigger", 2, ordered & (x("pillar") != y("pillar")) & _near("x", "y")),
-        ("R3-data-to-model", 3, (x("category") == "model.backdoor_behaviour") & F.array_contains(y("sources"), x("candidate_source"))),
-        ("R4-lineage", 4, (x("pillar") == "model") & F.arrays_overlap(x("lineage_sources"), batches)),
-        ("R5-model-binding", 5, ordered & F.array_contains(F.array(F.lit("model,inference"), F.lit("inference,model")), F.concat_ws(",", x("pillar"), y("pillar"))) & F.array_contains(held, digest)),
-        ("R6-chain-successor", 6, (x("category") == "inference.record_replacement") & (y("category") == "inference.chain_broken") & follow),
-    ]
-
-
-def correlate(findings: DataFrame) -> DataFrame:
-    """a, b, rule, strength: strong links by the first rule that a pair meets, and context links for what has none.
-
-    Findings of a run are few (each sums up a detector); their pairs are one join by inequality of ids.
+LEAST_WINDOW = 20
+
+
+#: How far apart (in x and y) two triggers of one place may lie, and the rules' names.
+NEAR = 2
+RULES = ("R1-same-source", "R2-same-trigger", "R3-data-to-model", "R4-lineage", "R5-model-binding", "R6-chain-successor", "R0-same-pipeline")
+BACKDOOR, REPLACED, BROKEN = "model.backdoor_behaviour", "inference.record_replacement", "inference.chain_broken"
+
+
+def _pairs(findings: DataFrame, keys: list[str], left: dict[str, Column], right: dict[str, Column], where: tuple[Column, Column]) -> DataFrame:
+    """keys, a, b, oa, ob of findings of one run that agree on the named values (arrays give each of their members)."""
+    sides = []
+    for tag, values, keep in (("a", left, where[0]), ("b", right, where[1])):
+        side = findings.where(keep).select(*keys, F.col("id").alias(tag), F.col("ord").alias(f"o{tag}"), *[v.alias(n) for n, v in values.items()])
+        for n, t in side.dtypes:
+            if n in values and t.startswith("array"):
+                side = side.withColumn(n, F.explode(n))
+        sides.append(side)
+    return sides[0].join(sides[1], [*keys, *left]).where(F.col("a") != F.col("b"))
+
+
+def rule_links(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b, oa, rule, place of every rule that a pair of findings meets; each rule is a join on equal values."""
+    dataset, forward = F.col("pillar") == "dataset", F.col("oa") < F.col("ob")
+    batches = F.transform("sources", lambda s: F.element_at(F.split(s, "/"), -1))
+    one = _pairs(findings, keys, {"v": F.col("primary_source")}, {"v": F.col("primary_source")}, (dataset & (F.length("primary_source") > 0),) * 2).where(forward)
+    # A place falls into one cell of a grid, and the other finding looks into the cells around its own.
+    cell = lambda c, d: F.floor((F.col(f"trigger.{c}") + d) / F.lit(NEAR + 1)).cast("long")
+    around = F.array(*[F.struct((cell("x", 0) + i).alias("i"), (cell("y", 0) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    placed = findings.where("trigger.x is not null and trigger.y is not null")
+    at = lambda tag: [F.col("id").alias(tag), F.col("ord").alias(f"o{tag}"), F.col("pillar").alias(f"p{tag}"), F.col("trigger.x").alias(f"x{tag}"), F.col("trigger.y").alias(f"y{tag}")]
+    here = placed.select(*keys, *at("a"), F.struct(cell("x", 0).alias("i"), cell("y", 0).alias("j")).alias("v"))
+    two = here.join(placed.select(*keys, *at("b"), F.explode(around).alias("v")), [*keys, "v"])
+    two = two.where(forward & (F.col("pa") != F.col("pb")) & (F.abs(F.col("xa") - F.col("xb")) <= NEAR) & (F.abs(F.col("ya") - F.col("yb")) <= NEAR))
+    three = _pairs(findings, keys, {"v": F.col("candidate_source")}, {"v": F.array_distinct("sources")}, ((F.col("category") == BACKDOOR) & (F.length("candidate_source") > 0), F.lit(True)))
+    four = _pairs(findings, keys, {"v": F.array_distinct("lineage_sources")}, {"v": F.array_distinct(batches)}, (F.col("pillar") == "model", F.lit(True)))
+    bound = F.col("pillar").isin("model", "inference")
+    other = F.when(F.col("pillar") == "model", "inference").otherwise("model")
+    ends = [findings.where(bound).select(*keys, F.col("id").alias(t), F.col("ord").alias(f"o{t}"), (F.col("pillar") if t == "a" else other).alias("v"), F.col("model_digest").alias(f"d{t}"), F.col("record_model_digests").alias(f"r{t}")) for t in "ab"]
+    five = ends[0].join(ends[1], [*keys, "v"]).where(forward & F.array_contains(F.coalesce("rb", "ra"), F.coalesce("da", "db")))
+    six = _pairs(findings, keys, {"v": F.transform("record_seqs", lambda s: s + 1)}, {"v": F.col("record_seqs")}, (F.col("category") == REPLACED, F.col("category") == BROKEN))
+    # Between rules of one pair the first decides; the third and fourth are tried from the earlier finding first.
+    places = (F.lit(1), F.lit(2), F.when(forward, 3).otherwise(5), F.when(forward, 4).otherwise(6), F.lit(7), F.lit(8))
+    out = None
+    for rule, place, found in zip(RULES, places, (one, two, three, four, five, six), strict=False):
+        found = found.select(*keys, "a", "b", "oa", F.lit(rule).alias("rule"), place.alias("place"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def correlate(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, a, b, rule, strength: strong links by the first rule that a pair meets, and context links for what has none.
+
+    Findings are compared inside one run (``keys``); ids are unique over runs. A finding above INFO without a strong link is
+    linked to the first of its run that has one, or else to the first other one.
+    """
+    keys = list(keys or [])
+    pair = [*keys, F.least("a", "b"), F.greatest("a", "b")]
+    one = Window.partitionBy(*pair).orderBy("place", "oa")
+    strong = rule_links(findings, keys).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*keys, "a", "b", "rule", F.lit("strong").alias("strength"))
+    linked = strong.select(*keys, F.col("a").alias("id")).union(strong.select(*keys, "b")).distinct().withColumn("_linked", F.lit(True))
+    real = findings.where("severity <> 'INFO'").select(*keys, "id", "ord").join(linked, [*keys, "id"], "left").withColumn("_linked", F.coalesce("_linked", F.lit(False)))
+    firsts = real.groupBy(*keys).agg(
+        F.min_by("id", F.when(F.col("_linked"), F.col("ord"))).alias("_l"), F.max("_linked").alias("_any"), F.min_by("id", "ord").alias("_first"),
+    )
+    first = real.join(firsts, keys) if keys else real.join(F.broadcast(firsts))
+    seconds = first.where(F.col("id") != F.col("_first")).groupBy(*keys).agg(F.min_by("id", "ord").alias("_second"))
+    lone = first.where(~F.col("_linked"))
+    lone = lone.join(seconds, keys, "left") if keys else lone.join(F.broadcast(seconds), F.lit(True), "left")
+    anchor = F.when(F.col("_any"), F.col("_l")).when(F.col("id") != F.col("_first"), F.col("_first")).otherwise(F.col("_second"))
+    lone = lone.select(*keys, F.col("id").alias("a"), anchor.alias("b"), "ord").where(F.col("b").isNotNull())
+    context = lone.withColumn("_n", F.row_number().over(Window.partitionBy(*pair).orderBy("ord"))).where("_n = 1")
+    return strong.unionByName(context.select(*keys, "a", "b", F.lit(RULES[-1]).alias("rule"), F.lit("context").alias("strength")))
+
+
+def chains(findings: DataFrame, links: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, chain, chain_id, place, size, pillars, n_pillars, max_severity, strong of the components over strong links.
+
+    chain is the least finding id. Chains are numbered by their length (with INFO findings), the longest first and then
+    the one met first; those without a finding above INFO are left out after that. place orders what is left: most
+    pillars, then the highest severity. size and pillars count findings above INFO.
     """
-    x, y = findings.alias("x"), findings.alias("y")
-    named = F.array_compact(F.array(*[F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(i).alias("i"), F.lit(r).alias("rule"))) for r, i, p in rules()]))
-    pairs = x.join(y, F.col("x.id") != F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.ord").alias("oa"), F.array_min(named).alias("hit")).where("hit is not null")
-    one = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("hit.i", "oa")
-    strong = pairs.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("a", "b", F.col("hit.rule").alias("rule"), F.lit("strong").alias("strength"))
-    linked = strong.select(F.col("a").alias("id")).union(strong.select("b")).distinct().withColumn("_linked", F.lit(True))
-    real = findings.where("severity <> 'INFO'").select("id", "ord").join(linked, "id", "left").withColumn("_linked", F.coalesce("_linked", F.lit(False)))
-    anchor = real.select(F.col("id").alias("b"), F.struct((~F.col("_linked")).alias("late"), "ord").alias("place"))
-    lone = real.where(~F.col("_linked")).join(anchor, F.col("id") != F.col("b")).groupBy("id", "ord").agg(F.min_by("b", "place").alias("b"))
-    first = Window.partitionBy(F.least("id", "b"), F.greatest("id", "b")).orderBy("ord")
-    context = lone.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("id").alias("a"), "b", F.lit("R0-same-pipeline").alias("rule"), F.lit("context").alias("strength"))
-    return strong.unionByName(context)
-
-
-def chains(findings: DataFrame, links: DataFrame) -> DataFrame:
-    """chain, size, pillars, n_pillars, max_severity, strong of the components over strong links."""
+    keys = list(keys or [])
     found = components(links.where("strength = 'strong'").select("a", "b"))
-    member = findings.where("severity <> 'INFO'").join(found, F.col("id") == F.col("node"), "left").withColumn("chain", F.coalesce("component", "id"))
-    out = member.groupBy("chain").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("pillar")).alias("pillars"), F.max(severity_rank(F.col("severity"))).alias("_r"), F.max(F.col("component").isNotNull()).alias("strong"))
-    return out.select("chain", "size", "pillars", F.size("pillars").alias("n_pillars"), severity_name(F.col("_r")).alias("max_severity"), "strong")
+    member = findings.join(found, F.col("id") == F.col("node"), "left").withColumn("chain", F.coalesce("component", "id"))
+    real = F.col("severity") != "INFO"
+    per = member.groupBy(*keys, "chain").agg(
+        F.count(F.lit(1)).alias("_all"), F.min("ord").alias("_first"), F.count(F.when(real, 1)).alias("size"), F.collect_set(F.when(real, F.col("pillar"))).alias("_p"),
+        F.max(F.when(real, severity_rank(F.col("severity")))).alias("_r"), F.max(F.col("component").isNotNull()).alias("strong"),
+    )
+    by = Window.partitionBy(*(keys or [F.lit(0)]))
+    named = per.withColumn("_n", F.row_number().over(by.orderBy(F.col("_all").desc(), "_first"))).where("size > 0")
+    pillars = F.filter(F.array(*map(F.lit, PILLARS)), lambda p: F.array_contains("_p", p))
+    out = named.withColumns({"pillars": pillars, "n_pillars": F.size("_p")})
+    place = F.row_number().over(by.orderBy(F.col("n_pillars").desc(), F.col("_r").desc(), "_n"))
+    return out.select(*keys, "chain", F.concat(F.lit("CH-"), F.col("_n").cast("string")).alias("chain_id"), place.alias("place"), "size", "pillars", "n_pillars", severity_name(F.col("_r")).alias("max_severity"), "strong")
 
 
 def risk(severity: Column, confidence: Column) -> Column:
@@ -72,45 +122,68 @@ def risk(severity: Column, confidence: Column) -> Column:
     return F.round(F.round(1 - product, 9), 3)  # first to nine places, so that halves fall the same way on any engine
 
 
-def pillar_status(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per pillar: findings above INFO, highest severity, status."""
+#: The distribution status that a finding's category states.
+SHIFT_STATUS = {"distribution.localized_manipulation": "SUSPICIOUS", "distribution.environmental_drift": "DRIFT", "distribution.unattributed_shift": "INCONCLUSIVE"}
+
+
+def pillar_status(findings: DataFrame, keys: list[str] | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """keys, pillar, findings (above INFO), max_severity, status of all five pillars of every run.
+
+    ``runs`` has the keys of all runs (a run may have no finding) and may have window_size: a window of fewer
+    than 20 inputs says nothing about distribution. Without it the runs are those of the findings.
+    """
     keys = keys or []
     rank = severity_rank(F.col("severity"))
-    real = findings.where("severity <> 'INFO'")
     hard = (F.col("method_status") == "REAL") & (rank >= 3)
-    per = real.groupBy(*keys, "pillar").agg(
+    shift = F.array_position(F.array(*map(F.lit, SHIFT_STATUS)), F.col("category"))
+    per = findings.where("severity <> 'INFO'").groupBy(*keys, "pillar").agg(
         F.count(F.lit(1)).alias("findings"), F.max(rank).alias("r"), F.max(hard.cast("int")).alias("hard"),
         F.max(F.col("category").isin("model.substitution", "model.manifest_tampered").cast("int")).alias("swapped"),
-        F.max((F.col("category") != "inference.replay_blocked").cast("int")).alias("broken"),
+        F.max((F.col("category") != "inference.replay_blocked").cast("int")).alias("broken"), F.min(F.when(shift > 0, shift)).alias("shift"),
     )
+    if runs is None:
+        runs = findings.select(*keys).distinct() if keys else findings.sparkSession.range(1).select()
+    every = runs.withColumn("pillar", F.explode(F.array(*map(F.lit, PILLARS))))
+    few = F.coalesce(F.col("window_size") < LEAST_WINDOW, F.lit(True)) if "window_size" in runs.columns else F.lit(False)
+    joined = every.join(per, [*keys, "pillar"], "left").withColumn("n", F.coalesce("findings", F.lit(0)).cast("long"))
     status = (
         F.when(F.col("pillar") == "dataset", F.when((F.col("hard") == 1) | (F.col("r") >= 4), "FAIL").when(F.col("r") >= 2, "WARNING").otherwise("PASS"))
         .when(F.col("pillar") == "model", F.when(F.col("swapped") == 1, "FAIL").when(F.col("r") >= 2, "REVIEW").otherwise("PASS"))
-        .when(F.col("pillar") == "inference", F.when(F.col("broken") == 1, "FAILED").otherwise("WARNING"))
-        .when(F.col("pillar") == "governance", "FAIL")
-        .otherwise("SUSPICIOUS")
+        .when(F.col("pillar") == "inference", F.when(F.col("broken") == 1, "FAILED").when(F.col("n") > 0, "WARNING").otherwise("PASS"))
+        .when(F.col("pillar") == "governance", F.when(F.col("n") > 0, "FAIL").otherwise("PASS"))
+        .when(few, "INSUFFICIENT_DATA")
+        .otherwise(reduce(lambda c, s: c.when(F.col("shift") == s[0], s[1]), enumerate(SHIFT_STATUS.values(), 1), F.when(F.lit(False), "PASS")).otherwise("PASS"))
     )
-    return per.select(*keys, "pillar", "findings", severity_name(F.col("r")).alias("max_severity"), status.alias("status"))
+    return joined.select(*keys, "pillar", F.col("n").alias("findings"), severity_name(F.col("r")).alias("max_severity"), status.alias("status"))
 
 
-def overall(statuses: DataFrame, keys: list[str]) -> DataFrame:
+def overall(statuses: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, overall: UNTRUSTED with any failure, TRUSTED if all five pillars pass, else REVIEW REQUIRED."""
     bad, fine = F.bool_or(F.col("status").isin("FAIL", "FAILED")), F.bool_and(F.col("status") == "PASS")
-    return statuses.groupBy(*keys).agg(F.when(bad, "UNTRUSTED").when(fine, "TRUSTED").otherwise("REVIEW REQUIRED").alias("overall"))
+    return statuses.groupBy(*(keys or [])).agg(F.when(bad, "UNTRUSTED").when(fine, "TRUSTED").otherwise("REVIEW REQUIRED").alias("overall"))
 
 
-def case_of(findings: DataFrame, chain_table: DataFrame) -> DataFrame:
-    """One row: severity (escalated one level by a strong chain over three pillars), risk_score, disposition, next_steps."""
+def case_of(findings: DataFrame, chain_table: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, severity, escalated, risk_score, disposition, status, n_findings, n_informational, next_steps of each run's case.
+
+    A case opens with a finding of MEDIUM or more. A strong chain over three pillars raises the severity by one level.
+    """
+    keys = keys or []
     rank = severity_rank(F.col("severity"))
-    real = findings.where("severity <> 'INFO'")
-    f = real.agg(
-        F.max(rank).alias("r"), risk(F.col("severity"), F.col("confidence")).alias("risk_score"),
-        F.max(((F.col("method_status") == "REAL") & (rank >= 3)).cast("int")).alias("hard"), F.max(((F.col("pillar") == "model") & (rank >= 3)).cast("int")).alias("model_high"),
-        F.array_sort(F.collect_list(F.struct((-rank).alias("r"), "ord", "recommendation"))).alias("steps"),
+    real = F.col("severity") != "INFO"
+    f = findings.groupBy(*keys).agg(
+        F.max(F.when(real, rank)).alias("r"), risk(F.col("severity"), F.col("confidence")).alias("risk_score"),
+        F.max((real & (F.col("method_status") == "REAL") & (rank >= 3)).cast("int")).alias("hard"), F.max(((F.col("pillar") == "model") & (rank >= 3)).cast("int")).alias("model_high"),
+        F.count(F.when(real, 1)).alias("n_findings"), F.count(F.when(~real, 1)).alias("n_informational"),
+        F.array_sort(F.collect_list(F.when(real, F.struct((-rank).alias("r"), "ord", "recommendation")))).alias("steps"),
     )
     high = F.col("max_severity").isin("HIGH", "CRITICAL")
-    c = chain_table.agg(F.max((F.col("strong") & (F.col("n_pillars") >= 3)).cast("int")).alias("wide"), F.max((F.col("strong") & (F.col("n_pillars") >= 2) & high).cast("int")).alias("multi"))
-    both = f.join(F.broadcast(c))
+    c = chain_table.groupBy(*keys).agg(F.max((F.col("strong") & (F.col("n_pillars") >= 3)).cast("int")).alias("wide"), F.max((F.col("strong") & (F.col("n_pillars") >= 2) & high).cast("int")).alias("multi"))
+    both = f.join(c, keys, "left") if keys else f.join(F.broadcast(c))
     escalated = (F.coalesce("wide", F.lit(0)) == 1) & (F.col("r") < 4)
-    disposition = F.when((F.col("hard") == 1) | (F.col("model_high") == 1) | (F.col("multi") == 1), "QUARANTINE").when(F.col("r") >= 2, "REVIEW").otherwise("ACCEPT")
+    disposition = F.when((F.col("hard") == 1) | (F.col("model_high") == 1) | (F.col("multi") == 1), "QUARANTINE").otherwise("REVIEW")
     steps = F.slice(F.array_distinct(F.array_compact(F.transform("steps", lambda s: s["recommendation"]))), 1, 8)
-    return both.where("r is not null").select(severity_name(F.col("r") + escalated.cast("int")).alias("severity"), escalated.alias("escalated"), "risk_score", disposition.alias("disposition"), steps.alias("next_steps"))
+    return both.where("r >= 2").select(
+        *keys, severity_name(F.col("r") + escalated.cast("int")).alias("severity"), escalated.alias("escalated"), "risk_score", disposition.alias("disposition"),
+        F.when(disposition == "QUARANTINE", "QUARANTINE RECOMMENDED").otherwise("REVIEW REQUIRED").alias("status"), "n_findings", "n_informational", steps.alias("next_steps"),
+    )

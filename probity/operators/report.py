@@ -9,8 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of each list that a report carries.
-ROWS = {"findings": 1000, "evidence": 1000, "audit": 80}
+from probity.operators.records import set_digest
+
+#: The log's last rows that a report shows, and the most rows of a list that it holds itself; longer ones go to a table beside it.
+AUDIT_ROWS, INLINE = 80, 10_000
 
 
 def canonical(value: Any) -> bytes:
@@ -27,16 +29,31 @@ def holds(report: dict) -> bool:
     return with_integrity(report)["integrity"] == report.get("integrity")
 
 
-def build(case: DataFrame, findings: DataFrame, chains: DataFrame, audit: DataFrame) -> dict:
-    """A report of one case: bounded lists, the last audit rows, findings by severity."""
-    take = lambda df, n: [r.asDict(recursive=True) for r in df.limit(n).collect()]
+def build(case: DataFrame, findings: DataFrame, chains: DataFrame, audit: DataFrame, beside: str | None = None) -> dict:
+    """A report of one case: all findings and chains, the last audit rows.
+
+    A list of more than ``INLINE`` rows is written whole to the folder ``beside`` and named in the report with its rows and
+    an order-independent digest; without such a folder it is an error, never a cut list.
+    """
+
+    def rows(name: str, df: DataFrame) -> list | dict:
+        n = df.count()
+        if n <= INLINE:
+            return [r.asDict(recursive=True) for r in df.collect()]
+        if beside is None:
+            raise ValueError(f"{n} {name} don't fit into a report; name a folder for them")
+        df.write.mode("overwrite").parquet(f"{beside}/{name}")
+        whole = set_digest(df.select(F.to_json(F.struct("*")).alias("j")), F.col("j"), F.lit("")).first()
+        return {"rows": n, "folder": f"{beside}/{name}", "digest": whole.digest}
+
     row = case.first()
+    last = audit.orderBy(F.col("seq").desc()).limit(AUDIT_ROWS).collect()
     body = {
         "schema": "probity.report/1",
         "case": row.asDict(recursive=True) if row else None,
-        "findings": take(findings.orderBy("ord"), ROWS["findings"]),
-        "chains": take(chains.orderBy(F.col("n_pillars").desc(), F.col("size").desc(), "chain"), ROWS["evidence"]),
-        "audit": sorted(take(audit.orderBy(F.col("seq").desc()), ROWS["audit"]), key=lambda r: r["seq"]),
+        "findings": rows("findings", findings.orderBy("ord")),
+        "chains": rows("chains", chains.orderBy("place")),
+        "audit": sorted((r.asDict(recursive=True) for r in last), key=lambda r: r["seq"]),
         "not_claimed": ["identity or intent of a contributor", "a calibrated probability of compromise"],
     }
     return with_integrity(body)
@@ -48,3 +65,9 @@ def save(spark: SparkSession, report: dict, path: str) -> None:
 
 def manifest(model_id: str, version: str, digest: str, access: str, fingerprint: str, lineage: dict) -> dict:
     return with_integrity({"model_id": model_id, "version": version, "sha256": digest, "access": access, "fingerprint": fingerprint, "lineage": lineage})
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """report of each report in a folder, the newest name first."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -2).alias("report"))
+    return files.distinct().orderBy(F.col("report").desc())

@@ -31,6 +31,23 @@ def feature_tests(long: DataFrame, feature: str, value: str, is_current: Column)
     return joined.select("feature", "n_ref", "n_cur", "ks", adjusted.alias("p_adjusted"), (adjusted < SIGNIFICANT).alias("shifted"), ((F.col("c") - F.col("r")) / (F.abs("r") + 1e-6)).alias("change"))
 
 
+def window_shift(long: DataFrame, keys: list[str], feature: str = "feature", value: str = "v", is_current: str = "cur") -> DataFrame:
+    """keys, n, shifted_features, shifted, driver, driver_fraction of each window's features (keys, feature, v, cur).
+
+    Each feature is tested against the reference of its window, corrected by their number. The driver is the feature with the
+    largest share of current values outside the reference's 1 to 99 percentile (the first by name on a tie).
+    """
+    by = [*keys, feature]
+    tests = stats.ks_two_sample(long, value, F.col(is_current), by)
+    many = tests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    band = stats.exact_percentiles(long.where(~F.col(is_current)), value, [0.01, 0.99], by)
+    out = (F.col(value) < F.col("p")[0]) | (F.col(value) > F.col("p")[1])
+    outside = long.where(is_current).join(band, by).groupBy(*by).agg(F.avg(out.cast("double")).alias("_out"))
+    joined = tests.join(many, keys).join(outside, by).withColumn("_s", (F.least(F.lit(1.0), F.col("p_value") * F.col("_m")) < SIGNIFICANT).cast("int"))
+    per = joined.groupBy(*keys).agg(F.max("n_cur").alias("n"), F.sum("_s").cast("long").alias("shifted_features"), F.max("_out").alias("driver_fraction"), F.min(F.struct((-F.col("_out")).alias("o"), F.col(feature).alias("f"))).alias("_d"))
+    return per.select(*keys, "n", "shifted_features", (F.col("shifted_features") > 0).alias("shifted"), F.col("_d.f").alias("driver"), "driver_fraction")
+
+
 def top_changes(tests: DataFrame, k: int = 3) -> DataFrame:
     return tests.orderBy(F.abs("change").desc(), "feature").limit(k)
 

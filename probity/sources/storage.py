@@ -130,3 +130,65 @@ def append_chained(spark: SparkSession, events: list[dict], path: str, head: tup
     if rows:
         spark.createDataFrame(rows, "seq long, event_type string, actor string, asset string, details string, prev_hash string, hash string").write.mode("append").parquet(path)
     return seq, prev
+
+
+class Store:
+    """Documents, values and counters as append-only Parquet in one folder; the newest version of a key is in force.
+
+    Writers are the driver of one run; readers take the newest row of each key, so nothing is rewritten.
+    """
+
+    _DOCS = "name string, id string, run_id string, version long, doc string"
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._version = (self._all().agg(F.max("version")).first()[0] or 0) if self._written() else 0
+
+    def _written(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/docs")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(self._DOCS).parquet(f"{self.root}/docs") if self._written() else self.spark.createDataFrame([], self._DOCS)
+
+    def put(self, name: str, docs: dict[str, object], run_id: str | None = None) -> None:
+        """Insert or replace documents of a table."""
+        import json
+
+        self._version += 1
+        rows = [(name, k, run_id, self._version, json.dumps(v, sort_keys=True, ensure_ascii=False)) for k, v in docs.items()]
+        if rows:
+            self.spark.createDataFrame(rows, self._DOCS).coalesce(1).write.mode("append").partitionBy("name").parquet(f"{self.root}/docs")
+
+    def documents(self, name: str, run_id: str | None = None) -> DataFrame:
+        """id, run_id, doc of a table, by id; of one run if it is named."""
+        newest = latest(self._all().where(F.col("name") == name), ["id"], "version")
+        return (newest.where(F.col("run_id") == run_id) if run_id else newest).select("id", "run_id", "doc").orderBy("id")
+
+    def get(self, name: str, key: str, default: object = None) -> object:
+        import json
+
+        row = self.documents(name).where(F.col("id") == key).first()
+        return json.loads(row.doc) if row else default
+
+    def set_value(self, key: str, value: object) -> None:
+        self.put("values", {key: value})
+
+    def value(self, key: str, default: object = None) -> object:
+        return self.get("values", key, default)
+
+    def next_ids(self, counter: str, prefix: str, width: int, n: int = 1) -> list[str]:
+        """The next ``n`` ids of a counter, such as F-001; a number of more digits keeps them."""
+        last = int(self.get("counters", counter, 0))
+        self.put("counters", {counter: last + n})
+        return [f"{prefix}{i:0{width}d}" for i in range(last + 1, last + n + 1)]
+
+    def clear(self) -> None:
+        """Drop all tables: what a restored workspace starts from."""
+        _delete(self.spark, f"{self.root}/docs")
+        self._version = 0
+
+
+def records_of(records: DataFrame, stream: str | None = None) -> DataFrame:
+    """One stream's records by number, or all by stream and number; the filter reaches the scan."""
+    return records.where(F.col("stream") == stream).orderBy("seq") if stream is not None else records.orderBy("stream", "seq")
