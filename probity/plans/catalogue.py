@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probity.functions import scalars, stats
+from probity.functions import pixels, scalars, stats
 from probity.operators import cases, components, evidence, images, models, records, samples, shift, vectors
-from probity.sources.storage import table
+from probity.sources.storage import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,7 +200,7 @@ def mahalanobis_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, cur FROM (
-  (SELECT *, 0 AS cur FROM embeddings WHERE vec_id % 4 = 0 ORDER BY vec_id DESC LIMIT 200) UNION ALL (SELECT *, 1 AS cur FROM embeddings WHERE vec_id % 4 <> 0 ORDER BY vec_id DESC LIMIT 60))),
+  SELECT *, 0 AS cur FROM embeddings WHERE vec_id % 4 = 0 UNION ALL (SELECT *, 1 AS cur FROM embeddings WHERE vec_id % 4 <> 0 ORDER BY vec_id DESC LIMIT 60))),
 p AS (SELECT a.cur AS x, b.cur AS y, list_sum(list_transform(list_zip(a.e, b.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d, a.vec_id = b.vec_id AS own FROM v a, v b),
 w AS (SELECT median(d) AS s FROM p WHERE NOT own)
 SELECT x, y, count(*) AS n, round(avg(exp(-(CASE WHEN own THEN 0 ELSE d END) / s)), 6) AS kernel_mean FROM p, w GROUP BY x, y
@@ -355,22 +355,29 @@ def registered_digest_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("""
-WITH i AS (SELECT event_id AS record_id, user_id AS stream, event_id // 3 AS seq, CASE WHEN event_id % 31 = 4 THEN event_id - 4 ELSE event_id END AS nonce, event_type AS signer, event_id % 17 <> 2 AS hash_ok FROM events WHERE ts >= TIMESTAMP '2024-01-11'),
-a AS (SELECT user_id AS stream, event_id // 3 AS seq, event_id AS nonce FROM events WHERE ts < TIMESTAMP '2024-01-11'),
-l AS (SELECT stream, max(seq) AS last FROM a GROUP BY 1),
-j AS (SELECT i.*, row_number() OVER (PARTITION BY i.nonce ORDER BY i.stream, seq, record_id) > 1 OR nonce IN (SELECT nonce FROM a) AS bad_nonce, seq <= coalesce(last, 0) AS bad_seq FROM i LEFT JOIN l USING (stream)),
-r AS (SELECT *, list_filter([CASE WHEN NOT hash_ok THEN 'record hash mismatch' END, CASE WHEN signer = 'error' THEN 'untrusted signer' END, CASE WHEN bad_nonce THEN 'nonce already used' END,
-  CASE WHEN bad_seq THEN 'sequence not increasing' END], lambda x: x IS NOT NULL) AS reasons FROM j)
-SELECT record_id, len(reasons) = 0 AS accepted, coalesce(array_to_string(reasons, '; '), '') AS reasons, bad_nonce OR bad_seq AS replay FROM r
-""")
+_ADMISSION = """
+i AS (SELECT event_id AS record_id, user_id AS stream, event_id // 90 AS seq, CASE WHEN event_id % 31 = 4 THEN event_id - 4 WHEN event_id % 37 = 5 THEN event_id + 3 WHEN event_id % 50 = 9 THEN event_id // 2 ELSE event_id END AS nonce, event_type AS signer, event_id % 17 <> 2 AS hash_ok,
+  row_number() OVER (ORDER BY event_id) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-11'),
+lg AS (SELECT user_id AS stream, event_id // 90 AS seq, event_id AS nonce FROM events WHERE ts < TIMESTAMP '2024-01-11' AND user_id % 3 <> 0),
+walk AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS record_id, NULL::VARCHAR AS reasons, NULL::BOOLEAN AS replay, (SELECT map_from_entries(list({'k': stream, 'v': last})) FROM (SELECT stream, max(seq) AS last FROM lg GROUP BY 1)) AS lasts, []::BIGINT[] AS used
+  UNION ALL
+  SELECT i.k, i.record_id, c.reasons, c.bad_nonce OR c.bad_seq, CASE WHEN c.reasons = '' THEN map_concat(w.lasts, MAP {i.stream: i.seq}) ELSE w.lasts END, CASE WHEN c.reasons = '' THEN list_append(w.used, i.nonce) ELSE w.used END
+  FROM walk w JOIN i ON i.k = w.k + 1,
+  LATERAL (SELECT i.nonce IN (SELECT nonce FROM lg) OR list_contains(w.used, i.nonce) AS bad_nonce, coalesce(i.seq <= w.lasts[i.stream], false) AS bad_seq) b,
+  LATERAL (SELECT b.bad_nonce, b.bad_seq, array_to_string(list_filter([CASE WHEN NOT i.hash_ok THEN 'record hash mismatch' END, CASE WHEN i.signer = 'error' THEN 'untrusted signer' END, CASE WHEN b.bad_nonce THEN 'nonce already used' END,
+    CASE WHEN b.bad_seq THEN 'sequence not increasing' END], lambda x: x IS NOT NULL), '; ') AS reasons) c)
+"""
+
+
+@query("WITH RECURSIVE " + _ADMISSION + "SELECT record_id, reasons = '' AS accepted, reasons, replay FROM walk WHERE k > 0")
 def ingest_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in the order they arrive; the SQL walks through them one by one, keeping each stream's number and the nonces."""
     e = table(spark, sf_dir, "events")
-    incoming = e.where("ts >= timestamp_ntz'2024-01-11'").select(
-        F.col("event_id").alias("record_id"), F.col("user_id").alias("stream"), F.expr("event_id div 3").alias("seq"),
-        F.when(F.col("event_id") % 31 == 4, F.col("event_id") - 4).otherwise(F.col("event_id")).alias("nonce"), F.col("event_type").alias("signer"), (F.col("event_id") % 17 != 2).alias("hash_ok"),
-    )
-    log = e.where("ts < timestamp_ntz'2024-01-11'").select(F.col("user_id").alias("stream"), F.expr("event_id div 3").alias("seq"), F.col("event_id").alias("nonce"))
+    i = F.col("event_id")
+    nonce = F.when(i % 31 == 4, i - 4).when(i % 37 == 5, i + 3).when(i % 50 == 9, F.expr("event_id div 2")).otherwise(i)
+    incoming = e.where("ts >= timestamp_ntz'2024-01-11'").select(i.alias("record_id"), F.col("user_id").alias("stream"), F.expr("event_id div 90").alias("seq"), nonce.alias("nonce"), F.col("event_type").alias("signer"), (i % 17 != 2).alias("hash_ok"))
+    log = e.where("ts < timestamp_ntz'2024-01-11' and user_id % 3 <> 0").select(F.col("user_id").alias("stream"), F.expr("event_id div 90").alias("seq"), i.alias("nonce"))
     trusted = e.where("event_type <> 'error'").select(F.col("event_type").alias("signer")).distinct()
     return records.ingest_admission(incoming, log, trusted)
 
@@ -460,7 +467,7 @@ def moments_and_kurtosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(quantile_cont(value, 0.995), 6) AS p995 FROM events GROUP BY 1")
 def percentile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.lit([0.01, 0.5, 0.99, 0.995]).cast("array<double>")).alias("p"))
+    got = stats.exact_percentiles(table(spark, sf_dir, "events"), "value", [0.01, 0.5, 0.99, 0.995], ["event_type"])
     return got.select("event_type", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p1", "p50", "p99", "p995"))])
 
 
@@ -470,7 +477,7 @@ SELECT l_linestatus, count(*) AS n, round(avg(CASE WHEN l_extendedprice < lo OR
 """)
 def outside_reference_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    band = items.where("l_returnflag = 'A'").groupBy("l_linestatus").agg(F.percentile("l_extendedprice", F.lit([0.01, 0.99]).cast("array<double>")).alias("q"))
+    band = stats.exact_percentiles(items.where("l_returnflag = 'A'"), "l_extendedprice", [0.01, 0.99], ["l_linestatus"]).withColumnRenamed("p", "q")
     out = (F.col("l_extendedprice") < F.col("q")[0]) | (F.col("l_extendedprice") > F.col("q")[1])
     return items.where("l_returnflag = 'R'").join(F.broadcast(band), "l_linestatus").groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(out.cast("double")), 9).alias("outside"))
 
@@ -490,7 +497,8 @@ def region_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FINDINGS = """
 WITH f AS (SELECT event_id AS id, user_id AS case_id, day(ts) AS day, ['dataset', 'model', 'inference', 'distribution', 'governance'][event_id % 5 + 1] AS pillar, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][(event_id * 7) % 11 % 5 + 1] AS severity,
   (event_id * 7) % 11 % 5 AS rank, CASE WHEN event_id % 3 = 0 THEN 'REAL' ELSE 'HEURISTIC' END AS method_status, ((event_id % 90) + 10)::DOUBLE / 100 AS confidence,
-  CASE WHEN event_id % 7 = 0 THEN 'model.substitution' WHEN event_id % 2 = 0 THEN 'inference.replay_blocked' ELSE 'other' END AS category FROM events)
+  CASE WHEN event_id % 5 = 3 THEN ['distribution.localized_manipulation', 'distribution.environmental_drift', 'distribution.unattributed_shift'][event_id % 3 + 1]
+    WHEN event_id % 7 = 0 THEN 'model.substitution' WHEN event_id % 2 = 0 THEN 'inference.replay_blocked' ELSE 'other' END AS category FROM events)
 """
 
 
@@ -501,7 +509,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         i.alias("id"), F.col("user_id").alias("case_id"), F.dayofmonth("ts").alias("day"), pick(("dataset", "model", "inference", "distribution", "governance"), i % 5).alias("pillar"), pick(scalars.SEVERITIES, (i * 7) % 11 % 5).alias("severity"),
         F.when(i % 3 == 0, "REAL").otherwise("HEURISTIC").alias("method_status"), ((i % 90 + 10).cast("double") / 100).alias("confidence"),
-        F.when(i % 7 == 0, "model.substitution").when(i % 2 == 0, "inference.replay_blocked").otherwise("other").alias("category"),
+        F.when(i % 5 == 3, pick(evidence.SHIFT_STATUS, i % 3)).when(i % 7 == 0, "model.substitution").when(i % 2 == 0, "inference.replay_blocked").otherwise("other").alias("category"),
     )
 
 
@@ -519,12 +527,14 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STATUS = _FINDINGS + """,
-p AS (SELECT case_id, pillar, count(*) AS findings, max(rank) AS r, bool_or(method_status = 'REAL' AND rank >= 3) AS hard, bool_or(category = 'model.substitution') AS swapped, bool_or(category <> 'inference.replay_blocked') AS broken
-  FROM f WHERE rank > 0 GROUP BY ALL),
-st AS (SELECT case_id, pillar, findings, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][r + 1] AS max_severity, CASE pillar
+p AS (SELECT case_id, pillar, count(*) AS findings, max(rank) AS r, bool_or(method_status = 'REAL' AND rank >= 3) AS hard, bool_or(category = 'model.substitution') AS swapped, bool_or(category <> 'inference.replay_blocked') AS broken,
+  min(list_position(['distribution.localized_manipulation', 'distribution.environmental_drift', 'distribution.unattributed_shift'], category)) AS shift FROM f WHERE rank > 0 GROUP BY ALL),
+ev AS (SELECT case_id, unnest(['dataset', 'model', 'distribution', 'inference', 'governance']) AS pillar FROM (SELECT DISTINCT case_id FROM f)),
+st AS (SELECT ev.case_id, ev.pillar, coalesce(findings, 0) AS findings, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][r + 1] AS max_severity, CASE ev.pillar
   WHEN 'dataset' THEN CASE WHEN hard OR r >= 4 THEN 'FAIL' WHEN r >= 2 THEN 'WARNING' ELSE 'PASS' END
   WHEN 'model' THEN CASE WHEN swapped THEN 'FAIL' WHEN r >= 2 THEN 'REVIEW' ELSE 'PASS' END
-  WHEN 'inference' THEN CASE WHEN broken THEN 'FAILED' ELSE 'WARNING' END WHEN 'governance' THEN 'FAIL' ELSE 'SUSPICIOUS' END AS status FROM p)
+  WHEN 'inference' THEN CASE WHEN broken THEN 'FAILED' WHEN findings > 0 THEN 'WARNING' ELSE 'PASS' END WHEN 'governance' THEN CASE WHEN findings > 0 THEN 'FAIL' ELSE 'PASS' END
+  ELSE coalesce(['SUSPICIOUS', 'DRIFT', 'INCONCLUSIVE'][shift], 'PASS') END AS status FROM ev LEFT JOIN p ON p.case_id = ev.case_id AND p.pillar = ev.pillar)
 """
 
 
@@ -702,17 +712,29 @@ def provenance_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Images and models --------------------------------------------------------------------------------------------------
 
 
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.vector_images(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def image_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of look-alike generated images, as many as the embeddings table has rows."""
-    n = table(spark, sf_dir, "embeddings").count()
-    return components.components(images.near_duplicate_images(images.generated_images(spark, n), 48, 48))
+    """Components of look-alike pictures of the embeddings."""
+    return components.components(images.near_duplicate_images(materialize(_pictures(spark, sf_dir), "pictures"), 48, 48))
 
 
 @query()
 def image_recurring_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").count()
-    return images.recurring_patches(images.generated_images(spark, n), 48, 48, max(8, n // 100))
+    return images.recurring_patches(_pictures(spark, sf_dir), 48, 48, max(8, n // 100))
+
+
+@query()
+def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, the eight statistics of each picture, the 16 regions' means and its descriptor's length."""
+    made = _pictures(spark, sf_dir)
+    stat, region, vector = (pixels.udf(k, 48, 48)("rgb") for k in (pixels.image_stats, pixels.region_stats, pixels.embed))
+    got = made.select("id", stat.alias("s"), region.alias("r"), vector.alias("e"))
+    return got.select("id", *[F.round(F.col("s")[i], 6).alias(n) for i, n in enumerate(pixels.STATS)], F.round(F.col("r")[0], 6).alias("region_0"), F.round(F.sqrt(scalars.dot(F.col("e"), F.col("e"))), 4).alias("length"))
 
 
 @query()
@@ -750,7 +772,24 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id, count(*) AS n FROM events GROUP BY ALL")
 def nonce_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+    """First use of each nonce (here user and type), and how often it was used."""
+    from probity.streaming.ingest import dedup_nonces
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.concat_ws("|", "user_id", "event_type").alias("nonce"))
+    uses = e.groupBy("nonce").agg(F.count(F.lit(1)).alias("n"))
+    return dedup_nonces(e, order="event_id").join(uses, "nonce").select("user_id", "event_type", "event_id", "n")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id AS record_id, event_id::VARCHAR || '|' || event_type AS body FROM events),
+w AS (SELECT stream, seq, record_id, repeat('0', 64) AS prev_record_hash, sha256(repeat('0', 64) || body) AS record_hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.stream, e.seq, e.record_id, w.record_hash, sha256(w.record_hash || body) FROM w JOIN e ON e.stream = w.stream AND e.seq = w.seq + 1)
+SELECT * FROM w
+""")
+def chained_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records made from events, numbered and linked in their streams."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("record_id"), F.col("user_id").alias("stream"), F.struct("ts", "event_id").alias("at"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("body"))
+    return records.chain_records(e, None, "at").select("stream", "seq", "record_id", "prev_record_hash", "record_hash")
 
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (NOT ok) AS gaps, count(*) FILTER (role = before) AS repeats FROM (SELECT conv_id, role, lag(role) OVER w AS before, turn = lag(turn, 1, -1) OVER w + 1 AS ok FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY 1")
@@ -760,3 +799,4 @@ def conversation_turn_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum((~F.col("ok")).cast("long")).alias("gaps"), F.sum(F.coalesce(F.col("role") == F.col("before"), F.lit(False)).cast("long")).alias("repeats"))
 
 
+from probity.plans import detectors, runs, selftest  # noqa: E402, F401  they register their queries
