@@ -160,7 +160,7 @@ def ring_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS id, 'CASE-' || lpad(o_orderkey::VARCHAR, 4, '0') AS case_id, o_orderpriority AS severity, o_orderstatus AS status, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS place FROM orders QUALIFY place <= 6
+SELECT o_orderkey AS id, 'CASE-' || CASE WHEN o_orderkey < 1000 THEN lpad(o_orderkey::VARCHAR, 4, '0') ELSE o_orderkey::VARCHAR END AS case_id, o_orderpriority AS severity, o_orderstatus AS status, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS place FROM orders QUALIFY place <= 6
 """)
 def newest_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's list: the six newest, projected."""
