@@ -1,8 +1,11 @@
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 
+from probity.llm import fingerprints as module
 from probity.llm.fingerprints import edited_text, fingerprint, likeness, neighbour_fingerprints
+from probity.llm.queries import QUERIES
 
 
 def plain_distance(a, b):
@@ -50,3 +53,37 @@ def test_lone_and_empty(make):
     one = neighbour_fingerprints(make([(1, "abcd efgh")])).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcd abcd").hexdigest()
     assert neighbour_fingerprints(make([(1, "a")]).where("false")).count() == 0
+
+
+def plain_fingerprint(text):
+    """By definition, with loops: rolling sum of seven bytes, boundaries one under multiples of the block size, a character for each chunk."""
+    data = text.encode("utf-8", "surrogatepass")
+    if not data:
+        return "3::"
+    rolled = []
+    for i in range(len(data)):
+        h = sum(int(module._VALUES[data[i - j]]) * int(module._FACTORS[j]) for j in range(min(module.WINDOW, i + 1))) % 2**32
+        h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+        rolled.append(h ^ h >> 13)
+    signatures, block = {}, 3
+    while True:
+        ends = [i + 1 for i, h in enumerate(rolled) if h % block == block - 1]
+        chunks = [data[a:b] for a, b in zip([0, *ends], [*ends, len(data)], strict=True) if b > a]
+        signatures[block] = (len(ends), "".join(module.ALPHABET[zlib.crc32(c) * 0x9E3779B1 % 2**32 >> 26] for c in chunks))
+        if block > 3 and signatures[block // 2][0] < module.MOST:
+            return f"{block // 2}:{signatures[block // 2][1]}:{signatures[block][1]}"
+        block *= 2
+
+
+def test_registered_query_against_plain_code(spark, sf_dir):
+    """Every row of the smallest table: edited texts, fingerprints and likeness without the module's functions."""
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    want = {}
+    for k, (doc_id, text) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        marks = [plain_fingerprint(t) for t in (text, edited, following)]
+        want[doc_id] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), marks[0], marks[1], round(plain_likeness(marks[0], marks[1]), 9), round(plain_likeness(marks[0], marks[2]), 9))
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in QUERIES["op3_fingerprints"](spark, sf_dir).collect()}
+    assert got == want

@@ -41,6 +41,42 @@ def test_stages(spark, sf_dir, tmp_path):
         assert r["sum(length)"] == r["max(doc_tokens)"]
 
 
+def test_stages_against_plain_code(spark, sf_dir, tmp_path):
+    """Line dedup, near-dedup and packing on their own inputs, by loops over all rows."""
+    from tests.llm.test_neardup import brute
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    before = [r.asDict() for r in docs.collect()]
+
+    cut = {r.doc_id: (r.text, r.n_chars) for r in stages["line_dedup"](spark, docs, sf_dir).collect()}
+    trim = lambda line: line.strip(" \t\r")
+    held, pages = {}, {}
+    for r in before:
+        pages[r["source"]] = pages.get(r["source"], 0) + 1
+        for line in {trim(x) for x in r["text"].split("\n")} - {""}:
+            held[r["source"], line] = held.get((r["source"], line), 0) + 1
+    for r in before:
+        left = [x for x in r["text"].split("\n") if (n := held.get((r["source"], trim(x)), 0)) < 3 or n <= 0.05 * pages[r["source"]]]
+        assert cut[r["doc_id"]] == ("\n".join(left), len("\n".join(left)))
+
+    kept = {r.doc_id for r in stages["near_dedup"](spark, docs, sf_dir).collect()}
+    assert kept == {d for d, _, c, _ in brute([(r["doc_id"], r["text"]) for r in before]) if c == d}
+
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = {}
+    for r in stages["packing"](spark, docs, sf_dir).collect():
+        packed.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for r in before:
+        n, at = len(coder.encode(r["text"], add_special_tokens=False).ids) + 1, 0
+        for start, length, whole in sorted(packed[r["doc_id"]]):
+            assert (start, whole) == (at, n)
+            at += length
+        assert at == n
+
+
 def test_run_is_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns[:4] == ["doc_id", "start", "length", "ids_crc32"] and out.count() > 0
