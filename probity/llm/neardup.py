@@ -39,6 +39,8 @@ COORDINATES, MATCHES = 64, 32
 SIMILAR = 75
 #: Longest list whose pairs are all tried; from what length on a list isn't dealt to one task.
 SMALL, HOT = 8, 1000
+#: Tasks that the pairs of one text are dealt to, where they are more than ``HOT``.
+SALTS = 64
 #: Most texts (about) and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Most ids (8 bytes each) that are sent to all tasks to pick out their rows.
@@ -98,10 +100,18 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _joined(pairs: DataFrame, values: DataFrame, col: str) -> DataFrame:
-    """``pairs`` (a, b) with ``col`` of both ends as _x and _y; ``values`` has one row a node."""
+    """``pairs`` (a, b; written) with ``col`` of both ends as _x and _y; ``values`` has one row a node.
+
+    The pairs of a text that is the first of more than ``HOT`` are dealt to ``SALTS`` tasks, each with a copy of its value.
+    """
     left = values.select(F.col("node").alias("b"), F.col(col).alias("_y"))
     right = values.select(F.col("node").alias("a"), F.col(col).alias("_x"))
-    return pairs.join(left, "b").join(right, "a")
+    hot = _few(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("a"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    many = pairs.join(hot, "a", "left_semi").withColumn("_salt", salt).join(left, "b")
+    copies = right.join(hot, "a", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = pairs.join(hot, "a", "left_anti").join(left, "b").join(right, "a")
+    return rest.unionByName(many.join(copies, ["a", "_salt"]).drop("_salt"))
 
 
 def _common(x: Column, y: Column) -> Column:
@@ -200,12 +210,12 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     small = inside.where(F.col("m") <= SMALL).groupBy("list").agg(F.sort_array(F.collect_list("node")).alias("g"))
     all_pairs = small.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a < b")
     stars = inside.where((F.col("m") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    pairs = all_pairs.union(stars).distinct()
+    pairs = materialize(all_pairs.union(stars).distinct(), "candidates")
     tried = materialize(_joined(pairs, own, "ks").where(_common(F.col("_x"), F.col("_y")) >= MATCHES).select("a", "b"), "pairs")
     nodes = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
     sets = materialize(_sets(docs, nodes), "sets")
     overlaps = materialize(overlap(tried, sets), "overlaps")
-    release(tried, sets)
+    release(pairs, tried, sets)
     links = linked(overlaps)
     found = components(links)
     # Long lists that still hold more than one component.
