@@ -2,14 +2,17 @@
 
 1. Exact copies of a word sequence are settled by one digest each: all of a later copy repeats the first.
 2. Seeds. In every ``LENGTH`` words the least hash of their ``GRAM``-word sequences is the anchor (winnowing), so a
-   passage of that length which two documents share has the same anchor in both. Documents are joined
-   on anchors; those of one document alone are dropped by a count that is summed before the shuffle.
-3. Extension. Around its shared anchors a document is extended word by word to both sides: every
-   stretch of ``LENGTH`` words whose anchor is shared is looked up by a 128-bit digest, for the smallest id that
-   holds it. Stretches that hold in an earlier document overlap or touch along a repeat; their union
-   is the document's maximal repeats. No pair of documents is ever formed, so a passage that very many share costs one row
-   for each of them.
-4. Words in a maximal repeat are removed.
+   passage of that length which two documents share has the same anchor in both, at the same place of it. Anchors of
+   one document alone are dropped by a count that is summed before the shuffle.
+3. Join. Each occurrence of a shared anchor is paired with one: the first place in the smallest document that holds the
+   anchor. So an anchor that very many documents hold costs one row for each of them, never pairs among them.
+4. Extension. Both occurrences carry the hashes of the ``REACH`` words to either side. The match is extended word by word to the
+   left and to the right as far as they are equal; of ``LENGTH`` words or more it is a repeat. An anchor's
+   reach is all that its own stretches cover, and every stretch of a longer repeat has its own anchor, so the union of a document's
+   matches is its maximal repeats.
+5. An exact check follows for stretches that the extension didn't match: their anchor's first place goes on differently, but
+   another document may go on alike. They are looked up by a 128-bit digest of their words, for the smallest id that holds them.
+6. Words in a repeat are removed.
 
 Phases are written to the shared folder and their shuffles dropped, so disk holds one phase at a time.
 Texts are moved once, and only of documents that share an anchor.
@@ -18,19 +21,26 @@ Texts are moved once, and only of documents that share an anchor.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import BASE, Rolling, column, materialize, release, sliced, word_bounds, words_of
+from probity.llm.common import BASE, Rolling, column, materialize, mix64, release, sliced, word_bounds, words_of
 
 LENGTH = 13
 GRAM = 5
-_BASE2 = 0xD6E8FEB86659FD93
+#: Rows from which on a key isn't dealt to one task, and the most such keys (some 200 bytes each) that are sent to all.
+HOT, SENT = 1000, 50_000
+#: Words to either side of an anchor that its stretches can hold.
+REACH = LENGTH - GRAM
+_RNG = np.random.default_rng(13)
+_DIGESTS = _RNG.integers(0, 2**62, (2, 2 * REACH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -44,19 +54,11 @@ def anchors_of(rolling: Rolling, starts: np.ndarray, ends: np.ndarray, length: i
     return low
 
 
-def stretches(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor and two digests of each stretch of ``length`` words."""
-    one, two = Rolling(data, BASE), Rolling(data, _BASE2)
-    lo, hi = starts[: len(starts) - length + 1], ends[length - 1 :]
-    return anchors_of(one, starts, ends, length), one.ranges(lo, hi).view(np.int64), two.ranges(lo, hi).view(np.int64)
-
-
-def covered(hit: np.ndarray, n_words: int, length: int = LENGTH) -> np.ndarray:
-    """Which words lie in a stretch that is hit."""
+def covered(starts: np.ndarray, stops: np.ndarray, n_words: int) -> np.ndarray:
+    """Which words lie in one of the stretches from ``starts`` to before ``stops``."""
     edge = np.zeros(n_words + 1, dtype=np.int64)
-    at = np.flatnonzero(hit)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + length, n_words), -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, stops, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -109,41 +111,119 @@ def _pack(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, packed binary")
 
 
-def _extend(held: DataFrame) -> DataFrame:
-    """w1, w2, doc: the stretches of each held text whose anchor is shared."""
+_OCCURRENCE = "anchor long, doc long, tid long, pos int, nearest int, farthest int, context binary"
+
+
+def occurrences(words: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """anchor, pos, nearest, farthest, context of the places at which a text's shared anchors stand.
+
+    nearest and farthest tell the stretches whose anchor it is: they begin so many words before pos. context
+    has the hashes of the ``REACH`` words before pos, the nearest first, and of those after the anchor; 0 beyond the text.
+    """
+    data, starts, ends = word_bounds(words)
+    rolling, n = Rolling(data, BASE), len(words)
+    grams = rolling.ranges(starts[: n - GRAM + 1], ends[GRAM - 1 :])
+    first = np.arange(n - LENGTH + 1)
+    pos = first + sliding_window_view(grams, REACH + 1).argmin(axis=1)
+    kept = np.isin(grams[pos], shared)
+    pos, first = pos[kept], first[kept]
+    # Stretches with one place as their anchor follow each other.
+    at = np.flatnonzero(np.diff(pos, prepend=-1))
+    last = np.append(at[1:], len(pos))[: len(at)] - 1
+    place = pos[at]
+    hashes = np.append(rolling.ranges(starts, ends) | np.uint64(1), np.uint64(0))
+    step = np.arange(REACH)
+    before, after = place[:, None] - 1 - step, place[:, None] + GRAM + step
+    context = hashes[np.concatenate([np.where(before >= 0, before, n), np.minimum(after, n)], axis=1)]
+    return grams[place], place, place - first[last], place - first[at], context
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint64).reshape(len(values), -1)
+
+
+def _places(held: DataFrame) -> DataFrame:
+    """The ``occurrences`` of each held text (doc_id, tid, packed, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        for batch in sliced(batches):
-            one, two, owners = [], [], []
-            for doc_id, packed, shared in zip(column(batch, "doc_id"), column(batch, "packed"), column(batch, "anchors"), strict=True):
-                data, starts, ends = word_bounds(open_.decompress(packed).split(b" "))
-                anchor, w1, w2 = stretches(data, starts, ends)
-                at = np.flatnonzero(np.isin(anchor, np.array(shared, dtype=np.int64).view(np.uint64)))
-                w1, first = np.unique(w1[at], return_index=True)
-                one.append(w1)
-                two.append(w2[at][first])
-                owners.append(np.full(len(w1), doc_id, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, two, owners)], names=["w1", "w2", "doc"])
+        for batch in sliced(batches, 128):
+            cols: list[list] = [[] for _ in range(7)]
+            for doc_id, tid, packed, shared in zip(*(column(batch, c) for c in ("doc_id", "tid", "packed", "anchors")), strict=True):
+                anchor, pos, near, far, context = occurrences(open_.decompress(packed).split(b" "), np.array(shared, dtype=np.int64).view(np.uint64))
+                for c, v in zip(cols, (anchor.view(np.int64), np.full(len(pos), doc_id), np.full(len(pos), tid), pos, near, far, context), strict=True):
+                    c.append(v)
+            if cols[0]:
+                flat = [np.concatenate(c) for c in cols]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[pa.array(v, k) for v, k in zip(flat, kinds, strict=False)], _binary(flat[6])], names=[c.split()[0] for c in _OCCURRENCE.split(", ")])
 
-    return held.select("doc_id", "packed", "anchors").mapInArrow(run, "w1 long, w2 long, doc long")
+    return held.select("doc_id", "tid", "packed", "anchors").mapInArrow(run, _OCCURRENCE)
+
+
+_MATCH = "doc long, tid long, start int, stop int, w1 long, w2 long"
+
+
+def extend(anchor: np.ndarray, near: np.ndarray, far: np.ndarray, own: np.ndarray, context: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Words that each occurrence shares with its partner to the left and to the right, and the stretches it doesn't match.
+
+    Those are given for each number of words they begin before the anchor: that number, the rows, and two digests.
+    """
+    same = (context == other) & (context != 0)
+    left, right = (np.cumprod(same[:, half], axis=1).sum(axis=1) for half in (slice(0, REACH), slice(REACH, None)))
+    rest = []
+    for i in range(REACH + 1):
+        rows = np.flatnonzero((near <= i) & (i <= far) & ~own & ((left < i) | (right < REACH - i)))
+        if len(rows):
+            used = np.r_[0:i, REACH : 2 * REACH - i]
+            salted = anchor[rows].view(np.uint64) * np.uint64(2 * i + 1)
+            one, two = (mix64((context[rows][:, used] * factors[used]).sum(axis=1, dtype=np.uint64) + salted) for factors in _DIGESTS)
+            rest.append((i, rows, one.view(np.int64), two.view(np.int64)))
+    return left, right, rest
+
+
+def _matches(paired: DataFrame) -> DataFrame:
+    """doc, tid, start, stop of repeats (w1 null), and with digests w1, w2 of stretches still to be looked up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                batch = whole.slice(at, 8192)
+                col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+                num = {c: col(c).to_numpy() for c in ("anchor", "doc", "tid", "pos", "nearest", "farthest", "rdoc", "rtid", "rpos")}
+                own = (num["doc"] == num["rdoc"]) & (num["tid"] == num["rtid"]) & (num["pos"] == num["rpos"])
+                left, right, rest = extend(num["anchor"], num["nearest"], num["farthest"], own, _matrix(col("context")), _matrix(col("rcontext")))
+                hit = np.flatnonzero((left + right >= REACH) & (num["doc"] > num["rdoc"]))
+                rows = np.concatenate([hit, *[r[1] for r in rest]]).astype(np.int64)
+                start = np.concatenate([(num["pos"] - left)[hit], *[num["pos"][r[1]] - r[0] for r in rest]])
+                stop = np.concatenate([(num["pos"] + GRAM + right)[hit], *[num["pos"][r[1]] - r[0] + LENGTH for r in rest]])
+                none = np.zeros(len(hit), dtype=np.int64)
+                absent = np.arange(len(rows)) < len(hit)
+                digests = [pa.array(np.concatenate([none, *[r[k] for r in rest]]), pa.int64(), mask=absent) for k in (2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(num["doc"][rows], pa.int64()), pa.array(num["tid"][rows], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *digests], names=[c.split()[0] for c in _MATCH.split(", ")])
+
+    return paired.mapInArrow(run, _MATCH)
 
 
 def _remove(held: DataFrame) -> DataFrame:
-    """doc_id, key, removed, kept_sha, spans, longest of held texts with their repeated stretches."""
+    """doc_id, key, removed, kept_sha, spans, longest of held texts with their repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        for batch in sliced(batches):
+        for batch in sliced(batches, 128):
             removed, shas, spans, longest = [], [], [], []
-            for packed, repeated in zip(column(batch, "packed"), column(batch, "repeated"), strict=True):
+            for packed, starts, stops in zip(*(column(batch, c) for c in ("packed", "starts", "stops")), strict=True):
                 words = open_.decompress(packed).split(b" ")
-                data, starts, ends = word_bounds(words)
-                lo, hi = starts[: len(words) - LENGTH + 1], ends[LENGTH - 1 :]
-                gone = covered(np.isin(Rolling(data, BASE).ranges(lo, hi).view(np.int64), np.array(repeated, dtype=np.int64)), len(words))
+                gone = covered(np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64), len(words))
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).hexdigest())
+                shas.append(hashlib.sha256(b" ".join(itertools.compress(words, (~gone).tolist()))).hexdigest())
                 spans.append(len(edges) // 2)
                 longest.append(int((edges[1::2] - edges[::2]).max()) if len(edges) else 0)
             yield pa.RecordBatch.from_arrays(
@@ -151,7 +231,21 @@ def _remove(held: DataFrame) -> DataFrame:
                 names=["doc_id", "key", "removed", "kept_sha", "spans", "longest"],
             )
 
-    return held.select("doc_id", "key", "packed", "repeated").mapInArrow(run, "doc_id long, key binary, removed long, kept_sha string, spans long, longest long")
+    return held.select("doc_id", "key", "packed", "starts", "stops").mapInArrow(run, "doc_id long, key binary, removed long, kept_sha string, spans long, longest long")
+
+
+def _paired(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``one`` (written; a row for each key, n rows have it).
+
+    Keys of more than ``HOT`` rows are at most 1 in ``HOT``; while they are few they are sent to where their rows are, so
+    no task gets all rows of a passage that very many share.
+    """
+    hot = one.where(F.col("n") > HOT)
+    if hot.count() > SENT:
+        return rows.join(one, keys)
+    sent = F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col("n") <= HOT), keys)
+    return cold.unionByName(rows.join(sent, keys))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -181,15 +275,22 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     few = wanted.select("_id").distinct()
     texts = _pack(slim.join(few, F.col("doc_id") == F.col("_id"), "left_semi"))
     held = texts.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key"))).dropDuplicates(["doc_id", "key"])
-    held = materialize(held.select("doc_id", "key", "packed", "anchors"), "held")
+    held = materialize(held.select("doc_id", "key", F.xxhash64("key").alias("tid"), "packed", "anchors"), "held")
     release(wanted)
 
-    known = _extend(held).groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    known = materialize(known.select("w1", "w2", "lo"), "stretches")
-    again = _extend(held).join(known, ["w1", "w2"]).where(F.col("doc") > F.col("lo"))
-    marks = materialize(again.groupBy("doc").agg(F.collect_set("w1").alias("repeated")), "marks")
-    release(known)
-    marked = held.join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "key", "packed", "repeated")
+    places = materialize(_places(held), "places")
+    partner = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tid", "pos", "context")).alias("_r"))
+    partner = materialize(partner.select("anchor", "n", *[F.col(f"_r.{c}").alias(f"r{c}") for c in ("doc", "tid", "pos", "context")]), "partners")
+    found = materialize(_matches(_paired(places, partner, ["anchor"])), "matches")
+    release(places, partner)
+    open_ = found.where(F.col("w1").isNotNull())
+    known = open_.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    known = materialize(known.select("w1", "w2", "n", "lo"), "stretches")
+    also = _paired(open_, known, ["w1", "w2"]).where(F.col("doc") > F.col("lo"))
+    every = found.where(F.col("w1").isNull()).select("doc", "tid", "start", "stop").union(also.select("doc", "tid", "start", "stop"))
+    marks = materialize(every.groupBy("doc", "tid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "marks")
+    release(found, known)
+    marked = held.join(marks.withColumnRenamed("tid", "_tid"), (F.col("doc_id") == F.col("doc")) & (F.col("tid") == F.col("_tid"))).select("doc_id", "key", "packed", "starts", "stops")
     cut = materialize(_remove(marked), "removed")
     release(held, marks)
 

@@ -1,6 +1,10 @@
 import hashlib
+import random
 import re
 
+import numpy as np
+
+from probity.llm import substrings
 from probity.llm.substrings import LENGTH, repeated_passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,3 +54,40 @@ def test_equals_brute_force(make, words):
 
 def test_empty_table(make):
     assert run(make([(1, "a")]).where("false")) == []
+
+
+def test_repeats_that_part_ways(make, words, monkeypatch):
+    """Passages that share a seed but go on differently, chains of partial copies, periodic texts, hot keys."""
+    monkeypatch.setattr(substrings, "HOT", 3)
+    rng = random.Random(4)
+    base = words(60, 20)
+    docs = []
+    for i in range(40):
+        a, n = rng.randrange(40), rng.randrange(8, 30)
+        piece = base[a : a + n]
+        docs.append((i, " ".join(words(rng.randrange(15), 100 + i) + piece + words(rng.randrange(15), 200 + i) + base[: rng.randrange(20)])))
+    few = ["x", "y"]
+    docs += [(50 + i, " ".join(rng.choice(few) for _ in range(60))) for i in range(8)] + [(70 + i, "a b c d e " * (3 + i)) for i in range(4)]
+    docs += [(80, " ".join(base)), (80, " ".join(base[::-1])), (81, " ".join(base[::-1][5:30]))]
+    assert run(make(docs)) == brute(docs)
+    monkeypatch.setattr(substrings, "SENT", 0)
+    assert run(make(docs[:25])) == brute(docs[:25])
+
+
+def test_extension_by_words():
+    """Each occurrence's match is as long as the words agree, and only stretches it doesn't reach are looked up."""
+    words_a = [b"w%d" % i for i in range(40)]
+    words_b = [b"v%d" % i for i in range(10)] + words_a[5:30] + [b"u%d" % i for i in range(10)]
+    from probity.llm.common import BASE, Rolling, word_bounds
+
+    data, starts, ends = word_bounds(words_a)
+    shared = np.unique(substrings.anchors_of(Rolling(data, BASE), starts, ends))
+    a, b = substrings.occurrences(words_a, shared), substrings.occurrences(words_b, shared)
+    for k in range(len(b[0])):
+        j = int(np.flatnonzero(a[0] == b[0][k])[0])
+        one = [x[k : k + 1] for x in (b[0].view(np.int64), b[2], b[3])]
+        left, right, rest = substrings.extend(*one, np.array([False]), b[4][k : k + 1], a[4][j : j + 1])
+        at = int(b[1][k])
+        assert left[0] == min(8, at - 10) and right[0] == min(8, 35 - at - 5)
+        for i, rows, _, _ in rest:
+            assert len(rows) == 1 and (at - i < 10 or at - i + 13 > 35)
