@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from probity.sources.storage import materialize, new_path, release, shared_dir, table
 
-__all__ = ["BASE", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix64", "new_path", "release", "shared_dir", "sliced", "table", "word_bounds", "words_of"]
+__all__ = ["BASE", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix64", "new_path", "release", "shared_dir", "sliced", "sliced_by_size", "table", "word_bounds", "words_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,5 +85,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def sliced_by_size(batches: Iterator[pa.RecordBatch], name: str, rows: int = 2048, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, whose texts in column ``name`` are at most ``size`` bytes unless one alone is longer."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            stop = min(max(stop, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from probity.llm.common import column, sliced
+from probity.llm.common import column, sliced_by_size
 from probity.llm.tokens import CACHE_WORDS, encoder_for
 
 LONG = 1024
@@ -157,7 +157,7 @@ def pack_documents(
             ids, coded = [], []
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-        for batch in sliced(batches):
+        for batch in sliced_by_size(batches, "text"):
             for doc_id, c in zip(column(batch, "doc_id"), encoder.encode([t or "" for t in column(batch, "text")]), strict=True):
                 ids.append(doc_id)
                 coded.append(c + end)

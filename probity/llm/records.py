@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.llm.common import column, materialize, new_path, sliced
+from probity.llm.common import column, materialize, new_path, sliced_by_size
 from probity.llm.tokens import encoder_for
 
 MASK_DELTA = 0xA282EAD8
@@ -102,7 +102,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         store, base = _open(folder)
         docs_n = tokens = at = 0
         data = index = None
-        for batch in sliced(batches):
+        for batch in sliced_by_size(batches, "text"):
             ids, texts = column(batch, "doc_id"), [t or "" for t in column(batch, "text")]
             for doc_id, coded in zip(ids, encoder.encode(texts), strict=True):
                 if data is None:

@@ -37,6 +37,7 @@ class CachedEncoder:
         normalizer = self.tokenizer.normalizer
         self.normalizes = normalizer is not None
         self.lowers = self.normalizes and normalizer.normalize_str("A") == "a"
+        self.ids = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1)]
         self.mark: str | None = None
         self.mark = self._find_mark()
         self.limit = cache_words
@@ -58,7 +59,7 @@ class CachedEncoder:
         if self.mark is None:
             return self._encode([lead + w for w in words])
         out: list[bytes] = []
-        tokenize, mark = self.tokenizer.model.tokenize, self.mark if lead else ""
+        tokenize, mark, ids = self.tokenizer.model.tokenize, self.mark if lead else "", self.ids
         for w in words:
             if w.isascii():
                 spelt = w
@@ -69,7 +70,7 @@ class CachedEncoder:
             if spelt is None or self.lowers and w != w.lower():
                 out.extend(self._encode([lead + w]))
             else:
-                out.append(array("I", [t.id for t in tokenize(mark + spelt)]).tobytes())
+                out.append(b"".join([ids[t.id] for t in tokenize(mark + spelt)]))
         return out
 
     def _find_mark(self) -> str | None:
@@ -88,33 +89,35 @@ class CachedEncoder:
 
     def _learn(self, table: dict[str, bytes], old: dict[str, bytes], new: set[str], lead: str) -> None:
         """Add the stretches of ``new`` that may be cut out; ``lead`` stands before those without a line feed."""
-        known = new & old.keys()
-        table.update((w, old[w]) for w in known)
         letters: set[str] = set()
         ended, broken, whole = [], [], []
-        for w in new - known if known else new:
-            stem = w.rstrip(".,")
-            if stem.isalpha():
-                # Letters and the stops after them are different pre-tokens.
-                letters.add(stem)
-                if len(stem) != len(w):
-                    ended.append(w)
-            elif stem[:1] == "\n" and stem[1:].isalpha():
-                broken.append(w)
-            elif self._independent(w):
-                whole.append(w)
+        held = old.get
+        for w in new:
+            ids = held(w)
+            if ids is not None:
+                table[w] = ids
+            elif w.isalpha():
+                letters.add(w)
+            else:
+                stem = w.rstrip(".,")
+                if stem.isalpha():
+                    # Letters and the stops after them are different pre-tokens.
+                    ended.append((w, stem))
+                elif stem[:1] == "\n" and stem[1:].isalpha():
+                    broken.append((w, stem))
+                elif self._independent(w):
+                    whole.append(w)
+        letters.update([stem for _, stem in ended])
         stems = list(letters.difference(table))
         table.update(zip(stems, self._encode_letters(stems, lead), strict=True))
         table.update(zip(whole, self._encode([w if w[0] == "\n" else lead + w for w in whole]), strict=True))
-        firsts = list({w.rstrip(".,")[1:] for w in broken}.difference(self.first))
+        firsts = list({stem[1:] for _, stem in broken}.difference(self.first))
         self.first.update(zip(firsts, self._encode_letters(firsts, ""), strict=True))
-        stops = list({w[len(w.rstrip(".,")) :] for w in (*ended, *broken)}.union(("\n",)).difference(self.stops))
+        stops = list({w[len(stem) :] for w, stem in (*ended, *broken)}.union(("\n",)).difference(self.stops))
         self.stops.update(zip(stops, self._encode(stops), strict=True))
-        for w in ended:
-            stem = w.rstrip(".,")
+        for w, stem in ended:
             table[w] = table[stem] + self.stops[w[len(stem) :]]
-        for w in broken:
-            stem = w.rstrip(".,")
+        for w, stem in broken:
             table[w] = self.stops["\n"] + self.first[stem[1:]] + self.stops[w[len(stem) :]]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
