@@ -4,14 +4,16 @@
 2. Seeds. In every ``LENGTH`` words the least hash of their ``GRAM``-word sequences is the anchor (winnowing), so a
    passage of that length which two documents share has the same anchor in both, at the same place of it. Anchors of
    one document alone are dropped by a count that is summed before the shuffle.
-3. Join. Each occurrence of a shared anchor is paired with one: the first place in the smallest document that holds the
-   anchor. So an anchor that very many documents hold costs one row for each of them, never pairs among them.
+3. Join. Occurrences of a shared anchor meet in the order of document and place, and each is paired with one: the first.
+   So an anchor that very many documents hold costs one row for each of them, never pairs among them. Those of more
+   than ``HOT`` documents are dealt to ``SALTS`` groups, each with a first occurrence of its own.
 4. Extension. Both occurrences carry the hashes of the ``REACH`` words to either side. The match is extended word by word to the
    left and to the right as far as they are equal; of ``LENGTH`` words or more it is a repeat. An anchor's
    reach is all that its own stretches cover, and every stretch of a longer repeat has its own anchor, so the union of a document's
    matches is its maximal repeats.
 5. An exact check follows for stretches that the extension didn't match: their anchor's first place goes on differently, but
-   another document may go on alike. They are looked up by a 128-bit digest of their words, for the smallest id that holds them.
+   another document may go on alike. They are looked up by a 128-bit digest of their words, for the smallest id that holds
+   them; so are the stretches of the first document in each group of a dealt anchor, which another group may hold earlier.
 6. Words in a repeat are removed.
 
 Phases are written to the shared folder and their shuffles dropped, so disk holds one phase at a time.
@@ -35,8 +37,10 @@ from probity.llm.common import BASE, Rolling, column, materialize, mix64, releas
 
 LENGTH = 13
 GRAM = 5
-#: Rows from which on a key isn't dealt to one task, and the most such keys (some 200 bytes each) that are sent to all.
-HOT, SENT = 1000, 50_000
+#: Rows from which on a key isn't dealt to one task, the groups its rows are dealt to, and the most such keys that are sent to all.
+HOT, SALTS, SENT = 1000, 64, 50_000
+#: Bytes of a word's hash in a context: of 10^12 comparisons with another word 0.004 are taken for equal.
+_WORD = 6
 #: Words to either side of an anchor that its stretches can hold.
 REACH = LENGTH - GRAM
 _RNG = np.random.default_rng(13)
@@ -111,7 +115,7 @@ def _pack(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, packed binary")
 
 
-_OCCURRENCE = "anchor long, doc long, tid long, pos int, nearest int, farthest int, context binary"
+_OCCURRENCE = "anchor long, salt int, doc long, tid long, pos int, reach int, context binary"
 
 
 def occurrences(words: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -138,48 +142,53 @@ def occurrences(words: list[bytes], shared: np.ndarray) -> tuple[np.ndarray, ...
     return grams[place], place, place - first[last], place - first[at], context
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    width = rows.shape[1] * rows.itemsize
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+def _packed(context: np.ndarray) -> pa.Array:
+    raw = np.ascontiguousarray(np.ascontiguousarray(context, dtype="<u8").view(np.uint8).reshape(len(context), -1, 8)[:, :, :_WORD]).reshape(len(context), -1)
+    offsets = np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-def _matrix(values: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint64).reshape(len(values), -1)
+def _unpacked(values: pa.Array) -> np.ndarray:
+    out = np.zeros((len(values), 2 * REACH, 8), dtype=np.uint8)
+    out[:, :, :_WORD] = np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint8).reshape(len(values), 2 * REACH, _WORD)
+    return out.view("<u8")[:, :, 0]
 
 
 def _places(held: DataFrame) -> DataFrame:
-    """The ``occurrences`` of each held text (doc_id, tid, packed, anchors)."""
+    """The ``occurrences`` of each held text (doc_id, tid, packed, anchors, hot); salt is 0 for all but hot anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in sliced(batches, 128):
             cols: list[list] = [[] for _ in range(7)]
-            for doc_id, tid, packed, shared in zip(*(column(batch, c) for c in ("doc_id", "tid", "packed", "anchors")), strict=True):
+            for doc_id, tid, packed, shared, hot in zip(*(column(batch, c) for c in ("doc_id", "tid", "packed", "anchors", "hot")), strict=True):
                 anchor, pos, near, far, context = occurrences(open_.decompress(packed).split(b" "), np.array(shared, dtype=np.int64).view(np.uint64))
-                for c, v in zip(cols, (anchor.view(np.int64), np.full(len(pos), doc_id), np.full(len(pos), tid), pos, near, far, context), strict=True):
+                anchor = anchor.view(np.int64)
+                salt = np.where(np.isin(anchor, np.array(hot, dtype=np.int64)), 1 + doc_id % SALTS, 0)
+                for c, v in zip(cols, (anchor, salt, np.full(len(pos), doc_id), np.full(len(pos), tid), pos, near * 16 + far, context), strict=True):
                     c.append(v)
             if cols[0]:
                 flat = [np.concatenate(c) for c in cols]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*[pa.array(v, k) for v, k in zip(flat, kinds, strict=False)], _binary(flat[6])], names=[c.split()[0] for c in _OCCURRENCE.split(", ")])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[pa.array(v, k) for v, k in zip(flat, kinds, strict=False)], _packed(flat[6])], names=[c.split()[0] for c in _OCCURRENCE.split(", ")])
 
-    return held.select("doc_id", "tid", "packed", "anchors").mapInArrow(run, _OCCURRENCE)
+    return held.select("doc_id", "tid", "packed", "anchors", "hot").mapInArrow(run, _OCCURRENCE)
 
 
 _MATCH = "doc long, tid long, start int, stop int, w1 long, w2 long"
 
 
-def extend(anchor: np.ndarray, near: np.ndarray, far: np.ndarray, own: np.ndarray, context: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Words that each occurrence shares with its partner to the left and to the right, and the stretches it doesn't match.
+def extend(anchor: np.ndarray, near: np.ndarray, far: np.ndarray, skip: np.ndarray, every: np.ndarray, context: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Words that each occurrence shares with its partner to the left and to the right, and the stretches to be looked up.
 
-    Those are given for each number of words they begin before the anchor: that number, the rows, and two digests.
+    Those are what the match doesn't cover, none of ``skip`` and all of ``every``; they are given for each number of words
+    that they begin before the anchor: that number, the rows, and two digests.
     """
     same = (context == other) & (context != 0)
     left, right = (np.cumprod(same[:, half], axis=1).sum(axis=1) for half in (slice(0, REACH), slice(REACH, None)))
     rest = []
     for i in range(REACH + 1):
-        rows = np.flatnonzero((near <= i) & (i <= far) & ~own & ((left < i) | (right < REACH - i)))
+        rows = np.flatnonzero((near <= i) & (i <= far) & (every | ~skip & ((left < i) | (right < REACH - i))))
         if len(rows):
             used = np.r_[0:i, REACH : 2 * REACH - i]
             salted = anchor[rows].view(np.uint64) * np.uint64(2 * i + 1)
@@ -188,27 +197,38 @@ def extend(anchor: np.ndarray, near: np.ndarray, far: np.ndarray, own: np.ndarra
     return left, right, rest
 
 
-def _matches(paired: DataFrame) -> DataFrame:
-    """doc, tid, start, stop of repeats (w1 null), and with digests w1, w2 of stretches still to be looked up."""
+def _matches(places: DataFrame) -> DataFrame:
+    """doc, tid, start, stop of repeats (w1 null), and with digests w1, w2 of stretches still to be looked up.
+
+    Occurrences of an anchor (and salt) are sorted by Spark and streamed past the first one, so a task holds one batch.
+    """
+    fields = ("anchor", "salt", "doc", "tid", "pos", "reach")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                batch = whole.slice(at, 8192)
-                col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                num = {c: col(c).to_numpy() for c in ("anchor", "doc", "tid", "pos", "nearest", "farthest", "rdoc", "rtid", "rpos")}
-                own = (num["doc"] == num["rdoc"]) & (num["tid"] == num["rtid"]) & (num["pos"] == num["rpos"])
-                left, right, rest = extend(num["anchor"], num["nearest"], num["farthest"], own, _matrix(col("context")), _matrix(col("rcontext")))
-                hit = np.flatnonzero((left + right >= REACH) & (num["doc"] > num["rdoc"]))
-                rows = np.concatenate([hit, *[r[1] for r in rest]]).astype(np.int64)
-                start = np.concatenate([(num["pos"] - left)[hit], *[num["pos"][r[1]] - r[0] for r in rest]])
-                stop = np.concatenate([(num["pos"] + GRAM + right)[hit], *[num["pos"][r[1]] - r[0] + LENGTH for r in rest]])
-                none = np.zeros(len(hit), dtype=np.int64)
-                absent = np.arange(len(rows)) < len(hit)
-                digests = [pa.array(np.concatenate([none, *[r[k] for r in rest]]), pa.int64(), mask=absent) for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(num["doc"][rows], pa.int64()), pa.array(num["tid"][rows], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *digests], names=[c.split()[0] for c in _MATCH.split(", ")])
-
-    return paired.mapInArrow(run, _MATCH)
+        first: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in sliced(batches, 8192):
+            rows = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in fields])
+            context = _unpacked(batch.column(batch.schema.get_field_index("context")))
+            if first is not None:  # the group that the last batch ended in goes on
+                rows, context = np.concatenate([first[0], rows], axis=1), np.concatenate([first[1], context])
+            begins = np.flatnonzero(np.append(True, (np.diff(rows[:2], axis=1) != 0).any(axis=0)))
+            of = np.repeat(begins, np.diff(np.append(begins, rows.shape[1])))
+            carried, first = int(first is not None), (rows[:, begins[-1:]], context[begins[-1:]])
+            rows, mate, context, other = rows[:, carried:], rows[:, of[carried:]], context[carried:], context[of[carried:]]
+            anchor, salt, doc, tid, pos, reach = rows
+            mine = doc == mate[2]
+            own = mine & (tid == mate[3]) & (pos == mate[4])
+            left, right, rest = extend(anchor, reach // 16, reach % 16, own, mine & (salt > 0), context, other)
+            hit = np.flatnonzero((left + right >= REACH) & ~mine)
+            at = np.concatenate([hit, *[r[1] for r in rest]]).astype(np.int64)
+            start = np.concatenate([(pos - left)[hit], *[pos[r[1]] - r[0] for r in rest]])
+            stop = np.concatenate([(pos + GRAM + right)[hit], *[pos[r[1]] - r[0] + LENGTH for r in rest]])
+            absent = np.arange(len(at)) < len(hit)
+            digests = [pa.array(np.concatenate([np.zeros(len(hit), dtype=np.int64), *[r[k] for r in rest]]), pa.int64(), mask=absent) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(tid[at], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *digests], names=[c.split()[0] for c in _MATCH.split(", ")])
+
+    dealt = places.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "tid", "pos")
+    return dealt.mapInArrow(run, _MATCH)
 
 
 def _remove(held: DataFrame) -> DataFrame:
@@ -265,24 +285,22 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
 
     seeds = materialize(_seeds(slim), "seeds")
-    shared = materialize(seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor"), "anchors")
-    own = materialize(seeds.join(shared, "anchor").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "own")
+    held_by = seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = materialize(held_by.select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
+    both = [F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")]
+    own = materialize(seeds.join(shared, "anchor").groupBy("doc").agg(*both), "own")
     release(seeds, shared)
     # Only first copies are extended: the smallest document that holds a stretch is always one.
     leading = whole.join(firsts, "key").where(F.col("doc_id") == F.col("first")).select("doc_id", "key").distinct()
-    wanted = materialize(leading.join(own, F.col("doc_id") == F.col("doc")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "anchors"), "wanted")
+    wanted = materialize(leading.join(own, F.col("doc_id") == F.col("doc")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "anchors", "hot"), "wanted")
     release(own)
     few = wanted.select("_id").distinct()
     texts = _pack(slim.join(few, F.col("doc_id") == F.col("_id"), "left_semi"))
     held = texts.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key"))).dropDuplicates(["doc_id", "key"])
-    held = materialize(held.select("doc_id", "key", F.xxhash64("key").alias("tid"), "packed", "anchors"), "held")
+    held = materialize(held.select("doc_id", "key", F.xxhash64("key").alias("tid"), "packed", "anchors", "hot"), "held")
     release(wanted)
 
-    places = materialize(_places(held), "places")
-    partner = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tid", "pos", "context")).alias("_r"))
-    partner = materialize(partner.select("anchor", "n", *[F.col(f"_r.{c}").alias(f"r{c}") for c in ("doc", "tid", "pos", "context")]), "partners")
-    found = materialize(_matches(_paired(places, partner, ["anchor"])), "matches")
-    release(places, partner)
+    found = materialize(_matches(_places(held)), "matches")
     open_ = found.where(F.col("w1").isNotNull())
     known = open_.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     known = materialize(known.select("w1", "w2", "n", "lo"), "stretches")

@@ -86,7 +86,7 @@ def test_extension_by_words():
     for k in range(len(b[0])):
         j = int(np.flatnonzero(a[0] == b[0][k])[0])
         one = [x[k : k + 1] for x in (b[0].view(np.int64), b[2], b[3])]
-        left, right, rest = substrings.extend(*one, np.array([False]), b[4][k : k + 1], a[4][j : j + 1])
+        left, right, rest = substrings.extend(*one, np.array([False]), np.array([False]), b[4][k : k + 1], a[4][j : j + 1])
         at = int(b[1][k])
         assert left[0] == min(8, at - 10) and right[0] == min(8, 35 - at - 5)
         for i, rows, _, _ in rest:
