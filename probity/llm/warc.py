@@ -123,10 +123,13 @@ def _tag_end(page: str, at: int) -> int:
     return -1
 
 
-def plain_text(page: str) -> str:
-    """The text a reader sees: no scripts, styles or comments, block elements on lines of their own."""
+def plain_text(page: str, markup: list[Tag] | None = None) -> str:
+    """The text a reader sees: no scripts, styles or comments, block elements on lines of their own.
+
+    ``markup`` is what ``tags`` gives for the page, here and below, where it is at hand.
+    """
     parts, at = [], 0
-    for tag in tags(page):
+    for tag in tags(page) if markup is None else markup:
         parts += [page[at : tag.start], " " if tag.hidden else "\n" if tag.name.lstrip("/") in _BLOCK else ""]
         at = tag.end
     parts.append(page[at:])
@@ -134,11 +137,11 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def links(page: str, base: str) -> list[dict[str, str]]:
+def links(page: str, base: str, markup: list[Tag] | None = None) -> list[dict[str, str]]:
     """Addresses that tags of the page name, in order, made absolute."""
     out = []
-    for tag in tags(page):
-        if not tag.hidden:
+    for tag in tags(page) if markup is None else markup:
+        if tag.rest and not tag.hidden:
             for a in _HREF.finditer(tag.rest):
                 value = entities.unescape(next(g for g in a.groups()[1:] if g is not None))
                 try:
@@ -149,19 +152,19 @@ def links(page: str, base: str) -> list[dict[str, str]]:
     return out
 
 
-def title(page: str) -> str | None:
-    """The text of the first title element that is closed."""
-    for tag in tags(page):
+def title(page: str, markup: list[Tag] | None = None) -> str | None:
+    """The text of the first title element, if it is closed."""
+    for tag in tags(page) if markup is None else markup:
         if tag.name == "title":
             over = _END_TITLE.search(page, tag.end)
             return plain_text(page[tag.end : over.start()]) if over else None
     return None
 
 
-def language(page: str) -> str | None:
+def language(page: str, markup: list[Tag] | None = None) -> str | None:
     """The lang (or xml:lang) attribute of the first html tag, or else of the first tag that has one, wherever in the page it is."""
     first = None
-    for tag in tags(page):
+    for tag in tags(page) if markup is None else markup:
         if tag.hidden or not tag.rest or tag.name.startswith("/") or first and tag.name != "html":
             continue
         found = next((a for a in _ATTRIBUTE.finditer(tag.rest) if a.group(1).lower() in ("lang", "xml:lang")), None)
@@ -190,12 +193,13 @@ def derive(page_id: int | None, url: str | None, page: str | None, captured: str
     block_digest, payload_digest = digest(block), digest(payload)
     source = record_id("response", str(page_id), url, payload_digest)
     info = record_id("warcinfo", file, captured)
+    markup = list(tags(page))
     found = {
         "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": url, "WARC-Date": captured, "WARC-Block-Digest": block_digest, "WARC-Payload-Digest": payload_digest, "Content-Length": str(len(block))},
         "HTTP-Response-Metadata": {"Status": 200, "Headers": headers, "Entity-Digest": payload_digest, "Entity-Length": len(payload)},
-        "HTML-Metadata": {"Title": title(page), "Language": language(page), "Links": links(page, url)},
+        "HTML-Metadata": {"Title": title(page, markup), "Language": language(page, markup), "Links": links(page, url, markup)},
     }
-    text, meta = plain_text(page), json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+    text, meta = plain_text(page, markup), json.dumps(found, ensure_ascii=False, separators=(",", ":"))
     rows = [(page_id, "response", source, None, info, url, captured, "application/http; msgtype=response", block_digest, payload_digest, len(block), None)]
     for kind, mime, body in (("metadata", "application/json", meta), ("conversion", "text/plain", text)):
         data = body.encode("utf-8", "surrogatepass")
