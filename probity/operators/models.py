@@ -101,6 +101,20 @@ def parameter_rows(model) -> list[tuple]:
     return out
 
 
+@dataclass(frozen=True)
+class PictureModel:
+    """A network on pictures: they are preprocessed to a small square first."""
+
+    network: Network
+    size: int = 8
+
+    def vectors(self, images: np.ndarray) -> np.ndarray:
+        return pixels.preprocess(images, self.size).reshape(len(images), -1)
+
+    def __call__(self, images: np.ndarray) -> np.ndarray:
+        return self.network.predict(self.vectors(images))
+
+
 PARAMETERS = "tensor string, n long, l2 double, mean double, std double, kurtosis double, max_abs double"
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.operators import cases, findings, records, samples, shift, vectors
+from probity.functions import pixels, scalars
+from probity.operators import cases, findings, images, models, records, samples, shift, vectors
 from probity.plans import catalogue
 from probity.plans.catalogue import _KS, _KS_P, _RECORDS, _SIMS, _VERDICTS, _VOTES, query
-from probity.sources.storage import materialize, table
+from probity.sources.storage import append_with_ids, materialize, table
 
 #: Votes on the given embeddings are near chance (their labels are unrelated to geometry), so these queries ask for less.
 ASKED_SHARE, ASKED_LIMIT = 0.3, 0.9
@@ -376,6 +377,170 @@ def shift_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.shift_findings(windows)
 
 
+@query("""WITH x AS (UNPIVOT (SELECT l_quantity + CASE WHEN l_returnflag = 'R' THEN 9 ELSE 0 END AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_returnflag = 'R' AS cur FROM lineitem) ON quantity, price, discount, tax INTO NAME feature VALUE v),""" + _KS + f""",
+m AS (SELECT feature, (avg(v) FILTER (cur) - avg(v) FILTER (NOT cur)) / (abs(avg(v) FILTER (NOT cur)) + 1e-6) AS change FROM x GROUP BY 1)
+SELECT feature, n_ref, n_cur, least(1.0::DOUBLE, 4 * {_KS_P}) < 0.01 AS shifted, round(change, 6) AS change FROM l JOIN m USING (feature) ORDER BY abs(change) DESC LIMIT 3""")
+def moved_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three features that moved most, one of them by nine."""
+    items = table(spark, sf_dir, "lineitem")
+    current = F.col("l_returnflag") == "R"
+    wide = items.select(current.alias("cur"), (F.col("l_quantity") + F.when(current, 9).otherwise(0)).cast("double").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    tests = shift.feature_tests(wide.unpivot(["cur"], ["quantity", "price", "discount", "tax"], "feature", "v"), "feature", "v", F.col("cur"))
+    return shift.top_changes(tests).select("feature", "n_ref", "n_cur", "shifted", F.round("change", 6).alias("change"))
+
+
+@query("""
+WITH b AS (SELECT event_id, '{"bindings":null,"inference_config":null,"input_ref":"in-' || event_id || '","model_ref":null,"nonce":"n' || event_id || '","output":null,"preprocess":null,"prev_record_hash":null,"record_id":' || event_id || ',"schema":"record/1","seq":' || event_id // 7 || ',"signer":null,"stream":' || user_id || ',"timestamp":null}' AS body FROM events)
+SELECT event_id AS record_id, body, sha256(body) AS record_hash FROM b
+""")
+def signed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signed fields of records in canonical form, missing ones null, and their hash."""
+    i = F.col("event_id")
+    held = table(spark, sf_dir, "events").select(i.alias("record_id"), F.lit("record/1").alias("schema"), F.col("user_id").alias("stream"), F.expr("event_id div 7").alias("seq"), F.concat(F.lit("n"), i).alias("nonce"), F.concat(F.lit("in-"), i).alias("input_ref"))
+    body = scalars.canonical_json(F.to_json("body", {"ignoreNullFields": "false"}))
+    return records.signed_body(held).select("record_id", body.alias("body")).withColumn("record_hash", F.sha2("body", 256))
+
+
+# Models ------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH r AS (SELECT 'v' || s_suppkey AS model, 'v' || (s_suppkey - 1) AS previous, s_suppkey AS k FROM supplier WHERE s_suppkey > 1), i AS (SELECT unnest(range(0, 200)) AS id)
+SELECT model, previous, round(avg(CASE WHEN id * (k - 1) % 5 = id * 3 % 5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS agreement FROM r, i WHERE k - 1 IN (SELECT s_suppkey FROM supplier) GROUP BY ALL
+""")
+def version_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far one model's predictions agree with those of each version's predecessor."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    registry = s.select(F.concat(F.lit("v"), k).alias("model"), F.when(k > 1, F.concat(F.lit("v"), k - 1)).alias("previous_version"))
+    ids = spark.range(200)
+    predictions = s.select(F.concat(F.lit("v"), k).alias("model"), k.alias("k")).join(F.broadcast(ids)).select("model", "id", (F.col("id") * F.col("k") % 5).cast("int").alias("predicted"))
+    current = ids.select("id", (F.col("id") * 3 % 5).cast("int").alias("predicted"))
+    return models.previous_versions(registry, predictions, current).withColumn("agreement", F.round("agreement", 9))
+
+
+_PREDICTED = """
+WITH c AS (SELECT event_id AS id, event_id * 7 % 11 % 5 AS p FROM events),
+t AS (SELECT id, pattern, CASE WHEN pattern = 'red' AND id % 10 < 8 THEN 3 WHEN pattern = 'noise' AND id % 10 < 6 THEN 1 ELSE p END AS q FROM c, (SELECT unnest(['red', 'noise', 'gray']) AS pattern)),
+g AS (SELECT id, pattern, CASE WHEN pattern = 'noise' AND id % 2 = 0 THEN 1 ELSE p END AS q FROM c, (SELECT unnest(['red', 'noise', 'gray']) AS pattern)),
+fl AS (SELECT pattern, target, count(*) FILTER (p <> target AND q = target)::DOUBLE / greatest(count(*) FILTER (p <> target), 1) AS flip FROM t JOIN c USING (id), (SELECT DISTINCT q AS target FROM t) GROUP BY ALL),
+bt AS (SELECT pattern, target, flip FROM fl QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY flip DESC, target) = 1),
+ct AS (SELECT g.pattern, count(*) FILTER (p <> target AND g.q = target)::DOUBLE / greatest(count(*) FILTER (p <> target), 1) AS control FROM g JOIN c USING (id) JOIN bt ON bt.pattern = g.pattern GROUP BY 1)
+"""
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions without a patch, with three patches, and with neutral ones at their places."""
+    i = F.col("id")
+    c = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7 % 11 % 5).cast("int").alias("p"))
+    tried = c.select("id", "p", F.explode(F.array(*map(F.lit, ("red", "noise", "gray")))).alias("pattern"))
+    red, noise = F.col("pattern") == "red", F.col("pattern") == "noise"
+    stamped = tried.select("id", "pattern", F.when(red & (i % 10 < 8), 3).when(noise & (i % 10 < 6), 1).otherwise(F.col("p")).alias("predicted"))
+    neutral = tried.select("id", "pattern", F.when(noise & (i % 2 == 0), 1).otherwise(F.col("p")).alias("predicted"))
+    return c.select("id", F.col("p").alias("predicted")), stamped, neutral
+
+
+@query(_PREDICTED + "SELECT pattern, target::INTEGER AS target, round(flip, 9) AS flip, round(control, 9) AS control, flip >= 0.5 AND flip - control >= 0.3 AS hit, CASE WHEN NOT (flip >= 0.5 AND flip - control >= 0.3) THEN 'INFO' WHEN flip >= 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM bt JOIN ct USING (pattern)")
+def trigger_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flip rates of patches towards their best target, against neutral patches."""
+    clean, stamped, neutral = _predicted(spark, sf_dir)
+    flips = models.flip_rates(clean, stamped, ["pattern"])
+    control = models.flips_to(clean, neutral, ["pattern"], flips)
+    got = models.trigger_hits(flips, control, ["pattern"])
+    return got.select("pattern", "target", F.round("flip", 9).alias("flip"), F.round("control", 9).alias("control"), "hit", "severity")
+
+
+_TENSORS = """
+WITH a AS (SELECT event_type AS tensor, sqrt(sum(value * value)) AS l2 FROM events WHERE event_type <> 'click' GROUP BY 1), b AS (SELECT event_type AS tensor, sqrt(sum(CASE WHEN event_type = 'view' AND event_id % 50 = 0 THEN value * value * 4 ELSE value * value END)) AS l2 FROM events WHERE event_type <> 'signup' GROUP BY 1)
+"""
+
+
+@query(_TENSORS + "SELECT tensor, round(abs(a.l2 - b.l2) / (abs(b.l2) + 1e-6), 9) AS l2_change, coalesce(abs(a.l2 - b.l2) / (abs(b.l2) + 1e-6) > 1e-6, true) AS changed FROM a FULL JOIN b USING (tensor)")
+def parameter_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors against registered ones: one changed, one only here, one only there."""
+    e = table(spark, sf_dir, "events")
+    square = F.col("value") * F.col("value")
+    here = e.where("event_type <> 'click'").groupBy(F.col("event_type").alias("tensor")).agg(F.sqrt(F.sum(square)).alias("l2"))
+    grown = F.when((F.col("event_type") == "view") & (F.col("event_id") % 50 == 0), square * 4).otherwise(square)
+    there = e.where("event_type <> 'signup'").groupBy(F.col("event_type").alias("tensor")).agg(F.sqrt(F.sum(grown)).alias("l2"))
+    return models.parameter_drift(here, there).withColumn("l2_change", F.round("l2_change", 9))
+
+
+@query("""
+WITH a AS (SELECT event_id AS id, event_id % 3 AS r, CASE WHEN event_id % 13 = 0 THEN (event_id + 1) % 3 ELSE event_id % 3 END AS p FROM events),
+m AS (SELECT count(*) AS n, avg(CASE WHEN p = r THEN 1.0::DOUBLE ELSE 0 END) AS agreement, avg(CASE WHEN p = r THEN 0.01::DOUBLE / 3 ELSE (0.79::DOUBLE + 0.8) / 3 END) AS mean_change FROM a)
+SELECT 'model' AS pillar, 'model.behaviour_change' AS category, CASE WHEN agreement < 0.9 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(round(least(1.0::DOUBLE, (1 - agreement) * 5 + 0.5), 9), 2) AS confidence, 'REAL' AS method_status, NULL::VARCHAR AS primary_source, n AS members FROM m
+WHERE agreement < 0.98 OR mean_change > 0.02
+""")
+def behaviour_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deployed model that differs from its fingerprint on every thirteenth input."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events")
+    row = lambda k, high, rest: F.array(*[F.when(k == c, high).otherwise(rest if c != 2 else 0.1) for c in range(3)])
+    registered = e.select(i.alias("id"), (i % 3).cast("int").alias("predicted"), row(i % 3, 0.9, 0.1).alias("probs"))
+    now = F.when(i % 13 == 0, (i + 1) % 3).otherwise(i % 3).cast("int")
+    deployed = e.select(i.alias("id"), now.alias("predicted"), row(now, 0.89, 0.1).alias("probs"))
+    return findings.behaviour_finding(models.behaviour(deployed, registered))
+
+
+@query("""
+WITH z AS (SELECT event_id // 16 AS frame, event_id % 16 AS region, CASE WHEN event_id // 16 % 5 = 1 AND event_id % 16 = 6 THEN 9.0::DOUBLE WHEN event_id // 16 % 5 = 2 THEN 6.0::DOUBLE ELSE event_id % 7 / 4.0::DOUBLE END AS z FROM events),
+p AS (SELECT frame, max(z) AS z, count(*) FILTER (z > 3) AS also, arg_min(region, (-z, region)) AS region FROM z GROUP BY 1)
+SELECT frame, region, z FROM p WHERE z > 5 AND also <= 3 AND frame % 4 <> 3
+""")
+def local_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose change lies in one region; some are changed as a whole, some show it in their global statistics too."""
+    i = F.col("event_id")
+    frame = F.expr("event_id div 16")
+    z = F.when((frame % 5 == 1) & (i % 16 == 6), 9.0).when(frame % 5 == 2, 6.0).otherwise((i % 7) / 4)
+    regions = table(spark, sf_dir, "events").select(frame.alias("frame"), (i % 16).alias("region"), z.cast("double").alias("z"))
+    whole = regions.select("frame").distinct().withColumn("z", F.when(F.col("frame") % 4 == 3, 4.0).otherwise(1.0))
+    return shift.local_frames(regions, whole)
+
+
+@query("""
+WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT'), t AS (SELECT max(s_suppkey) AS top FROM supplier)
+SELECT s_suppkey AS id, NULL::BIGINT AS order_key FROM supplier UNION ALL SELECT top + k, o_orderkey FROM n, t
+""")
+def appended_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contributed batch behind what there is, its ids going on from the highest."""
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.lit(None).cast("long").alias("order_key"))
+    new = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("long").alias("order_key"), "o_orderdate")
+    return append_with_ids(old, new, "id", ["o_orderdate", "order_key"]).select("id", "order_key")
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    """A network on the pictures of the trusted reference, and those pictures."""
+    import numpy as np
+
+    reference = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0")
+    pictures = materialize(images.vector_images(reference), "pictures")
+    rows = pictures.join(reference.select(F.col("vec_id").alias("id"), "label"), "id").select("id", "rgb", "label").toPandas().sort_values("id")
+    model = models.PictureModel(models.Network((), ()))
+    x = model.vectors(np.stack([np.frombuffer(b, dtype=np.uint8).reshape(48, 48, 3) for b in rows["rgb"]]))
+    return models.PictureModel(models.train_network(x, rows["label"].to_numpy(), tuple(map(str, range(10))), steps=60)), pictures
+
+
+@query()
+def trigger_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve of the 24 searched patches and a candidate, by their flip rate; the network is fitted on the driver over the trusted reference."""
+    model, pictures = _trained(spark, sf_dir)
+    candidate = {"pattern": "found", "x": 40, "y": 40, "pixels": pixels.trigger_patterns()["checker-white-black"], "target": 1, "source": "c/b3"}
+    return models.top_tests(models.trigger_search(pictures, model, 48, 48, [candidate]))
+
+
+@query()
+def activation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each layer's neurons, dead share, mean and cosine of all vectors' activations against those of the reference."""
+    import numpy as np
+
+    e = table(spark, sf_dir, "embeddings")
+    reference = e.where("vec_id % 4 = 0")
+    rows = reference.select("vec_id", "embedding", "label").toPandas().sort_values("vec_id")
+    network = models.train_network(np.array(rows["embedding"].tolist(), dtype=float), rows["label"].to_numpy(), tuple(map(str, range(10))), steps=60)
+    return models.activation_stats(models.neuron_stats(e, network, "embedding"), models.neuron_stats(reference, network, "embedding"))
+
+
 # A whole run -------------------------------------------------------------------------------------------------------
 
 _PARTS = (_DUPLICATES, _FLIPPED + _LABEL_ROWS, _LABELS + _ISOLATED_ROW, _OOD + _OOD_ROW, _MANIFEST, _REGISTRY, _RECORD_ROWS)

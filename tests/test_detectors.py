@@ -315,3 +315,8 @@ def test_merged_maps_and_now(spark):
     df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3})], "l map<string,int>, r map<string,int>")
     got = df.select(scalars.merged(F.col("l"), F.col("r")).alias("m"), scalars.iso_now().alias("t")).first()
     assert got.m == {"a": 1, "b": 3} and got.t.endswith("+00:00") and len(got.t) == 29
+
+
+def test_manifest_signatures_of_every_supplier(spark, sf_dir):
+    got = {int(r.model.removeprefix("model-")): r.ok for r in selftest.manifest_signatures(spark, sf_dir).collect()}
+    assert got == {i: i % 7 != 3 and i % 11 != 5 for i in got} and len(got) == spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
