@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +20,31 @@ __all__ = ["BASE", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Rows of an Arrow batch: rows are whole texts, of which the default of 10,000 would hold tens of MB on either side.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _give_back() -> None:
+    """Return what a task has freed to the system: workers live on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most ``BATCH_ROWS`` rows (unless the session asks for fewer), whose memory goes back at its end."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > BATCH_ROWS or int(conf.get(_BATCH)) <= 0:
+        conf.set(_BATCH, str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def words_of(text: str | None) -> list[bytes]:

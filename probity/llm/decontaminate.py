@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import Rolling, column, sliced
+from probity.llm.common import Rolling, arrow_map, column, sliced
 
 Q = 10
 #: Edits allowed for each character of an item.
@@ -238,7 +238,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _HITS.split(", ")])
 
-        here = slim.mapInArrow(search, _HITS)
+        here = arrow_map(slim, search, _HITS)
         found = here if found is None else found.unionByName(here)
     return found
 
@@ -254,5 +254,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not index.hits(normal_form(t)) for t in column(batch, "text")], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = arrow_map(docs, clean, docs.schema)
     return docs

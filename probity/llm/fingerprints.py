@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.llm.common import column, materialize, sliced
+from probity.llm.common import arrow_map, column, materialize, sliced
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW = 7
@@ -132,7 +132,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
             yield _batch([(_TAIL, pid, held[0], len(held[1]), None, held[2], None, None, held[1])])
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = materialize(ordered.mapInArrow(stream, _ROW), "fingerprints")
+    rows = materialize(arrow_map(ordered, stream, _ROW), "fingerprints")
     heads, tails = rows.where(F.col("kind") == _HEAD), rows.where(F.col("kind") == _TAIL)
     # One short row for each partition: which partition comes next, the first after the last.
     order = heads.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy(F.lit(0)))).alias("next_pid"))
@@ -144,7 +144,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 yield _batch([_done(r["pid"], r["doc_id"], r["text"], r["fingerprint"], r["following"], r["next_mark"])])
 
-    every = rows.where(F.col("kind") == _DONE).unionByName(ends.mapInArrow(close, _ROW))
+    every = rows.where(F.col("kind") == _DONE).unionByName(arrow_map(ends, close, _ROW))
     return every.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import Rolling, column, materialize, mix64, release, sliced, word_bounds
+from probity.llm.common import Rolling, arrow_map, column, materialize, mix64, release, sliced, word_bounds
 from probity.operators.components import components
 
 WORDS = 5
@@ -85,7 +85,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "key", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sig array<long>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, key binary, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             sets = [shingles(t)[1].view(np.int64) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return arrow_map(docs, run, "node long, shingles array<long>")
 
 
 def _joined(pairs: DataFrame, values: DataFrame, col: str) -> DataFrame:

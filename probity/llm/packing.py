@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from probity.llm.common import column, sliced_by_size
+from probity.llm.common import arrow_map, column, sliced_by_size
 from probity.llm.tokens import CACHE_WORDS, encoder_for
 
 LONG = 1024
 TIERS = (1024, 512, 256, 128)
 #: A unit is packed once it has so many tokens.
 UNIT_TOKENS = 4_000_000
+#: Texts that are encoded at a time, in bytes.
+SLICE_BYTES = 8_000_000
 #: Sequences in a step group.
 STEP = 64
 
@@ -120,7 +122,7 @@ def step_groups(pieces: list[Piece], windows: list[int], step: int = STEP) -> li
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS, unit_tokens: int = UNIT_TOKENS, cache_words: int = CACHE_WORDS
+    docs: DataFrame, tokenizer_path: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS, unit_tokens: int = UNIT_TOKENS, cache_words: int = CACHE_WORDS, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text), end each with ``end_id`` and pack them; one row for each piece.
 
@@ -157,7 +159,7 @@ def pack_documents(
             ids, coded = [], []
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-        for batch in sliced_by_size(batches, "text"):
+        for batch in sliced_by_size(batches, "text", size=slice_bytes):
             for doc_id, c in zip(column(batch, "doc_id"), encoder.encode([t or "" for t in column(batch, "text")]), strict=True):
                 ids.append(doc_id)
                 coded.append(c + end)
@@ -167,4 +169,4 @@ def pack_documents(
         if coded:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return arrow_map(docs.select("doc_id", "text"), run, PIECES)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.llm.common import column, materialize, new_path, sliced_by_size
+from probity.llm.common import arrow_map, column, materialize, new_path, sliced_by_size
 from probity.llm.tokens import encoder_for
 
 MASK_DELTA = 0xA282EAD8
@@ -124,7 +124,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             )
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
+    manifest = materialize(arrow_map(ordered, write, MANIFEST), "manifest")
     return manifest.withColumn("folder", F.lit(folder))
 
 
@@ -174,4 +174,4 @@ def read_records(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, counts, crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(files, "pid").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(parts.repartition(files, "pid"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import BASE, Rolling, column, materialize, mix64, release, sliced, word_bounds, words_of
+from probity.llm.common import BASE, Rolling, arrow_map, column, materialize, mix64, release, sliced, word_bounds, words_of
 
 LENGTH = 13
 GRAM = 5
@@ -80,7 +80,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                 shas.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas)], names=["doc_id", "n_words", "key", "sha"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, key binary, sha string")
+    return arrow_map(docs, run, "doc_id long, n_words long, key binary, sha string")
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def _seeds(docs: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners))], names=["anchor", "doc"])
 
-    return docs.mapInArrow(run, "anchor long, doc long")
+    return arrow_map(docs, run, "anchor long, doc long")
 
 
 def _pack(docs: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def _pack(docs: DataFrame) -> DataFrame:
                 packed.append(press.compress(data))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "key", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, packed binary")
+    return arrow_map(docs, run, "doc_id long, key binary, packed binary")
 
 
 _OCCURRENCE = "anchor long, salt int, doc long, tid long, pos int, reach int, context binary"
@@ -172,7 +172,7 @@ def _places(held: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([*[pa.array(v, k) for v, k in zip(flat, kinds, strict=False)], _packed(flat[6])], names=[c.split()[0] for c in _OCCURRENCE.split(", ")])
 
-    return held.select("doc_id", "tid", "packed", "anchors", "hot").mapInArrow(run, _OCCURRENCE)
+    return arrow_map(held.select("doc_id", "tid", "packed", "anchors", "hot"), run, _OCCURRENCE)
 
 
 _MATCH = "doc long, tid long, start int, stop int, w1 long, w2 long"
@@ -228,7 +228,7 @@ def _matches(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(tid[at], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *digests], names=[c.split()[0] for c in _MATCH.split(", ")])
 
     dealt = places.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "tid", "pos")
-    return dealt.mapInArrow(run, _MATCH)
+    return arrow_map(dealt, run, _MATCH)
 
 
 def _remove(held: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _remove(held: DataFrame) -> DataFrame:
                 names=["doc_id", "key", "removed", "kept_sha", "spans", "longest"],
             )
 
-    return held.select("doc_id", "key", "packed", "starts", "stops").mapInArrow(run, "doc_id long, key binary, removed long, kept_sha string, spans long, longest long")
+    return arrow_map(held.select("doc_id", "key", "packed", "starts", "stops"), run, "doc_id long, key binary, removed long, kept_sha string, spans long, longest long")
 
 
 def _paired(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,9 +13,13 @@ from __future__ import annotations
 import gc
 import os
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from unicodedata import is_normalized
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Distinct stretches in each of the two generations that a worker keeps (about 90 MB each). When the
 #: younger is full it becomes the older one; what is met again moves to the younger.
 CACHE_WORDS = 300_000
@@ -87,7 +91,7 @@ class CachedEncoder:
         bare = piece[1:] if piece[:1] == "\n" else piece
         return bool(bare) and not bare[0].isspace() and not bare[-1].isspace() and "<|" not in bare
 
-    def _learn(self, table: dict[str, bytes], old: dict[str, bytes], new: set[str], lead: str) -> None:
+    def _learn(self, table: dict[str, bytes], old: dict[str, bytes], new: Iterable[str], lead: str) -> None:
         """Add the stretches of ``new`` that may be cut out; ``lead`` stands before those without a line feed."""
         letters: set[str] = set()
         ended, broken, whole = [], [], []
@@ -136,23 +140,41 @@ class CachedEncoder:
             self.stops = {}
         if self.lowers:  # the library lowers each letter alone; only a final sigma is different for a whole word
             texts = [t if "\u03a3" in t else t.lower() for t in texts]
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        seen: set[str] = set()
-        for p in cut:
-            seen.update(p[1:])
-        self._learn(self.first, self.old_first, {p[0] for p in cut} - self.first.keys(), "")
-        self._learn(self.rest, self.old_rest, seen - self.rest.keys(), " ")
+        if not texts:
+            return []
+        spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n")
+        words = pc.split_pattern(spaced, " ")
+        starts, flat = words.offsets.to_numpy()[:-1], words.values
+        heads = flat.take(pa.array(starts)).to_numpy(zero_copy_only=False).tolist()
+        coded = flat.dictionary_encode()
+        place, known = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.first, self.old_first, set(heads) - self.first.keys(), "")
+        self._learn(self.rest, self.old_rest, [w for w in known if w not in self.rest], " ")
+        # The ids of each distinct stretch lie once in one array, and the texts are gathered from it.
+        each = list(map(self.rest.get, known))
+        absent = np.zeros(len(each), dtype=bool)
+        if None in each:
+            absent[[i for i, x in enumerate(each) if x is None]] = True
+            each = [x or b"" for x in each]
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) >> 2
+        pool = np.frombuffer(b"".join(each), dtype="<u4")
+        count, gone = sizes[place], absent[place]
+        count[starts], gone[starts] = 0, False
+        lost = np.logical_or.reduceat(gone, starts)
+        at = np.cumsum(sizes) - sizes
+        ends = np.cumsum(count)
+        ids = pool[np.repeat(at[place] - (ends - count), count) + np.arange(ends[-1])]
+        bounds = np.append((ends - count)[starts], ends[-1]).tolist()
         out: list[bytes | None] = []
         whole: list[int] = []
-        for i, p in enumerate(cut):
-            try:
-                head = self.first[p[0]]
-                out.append(head + b"".join(map(self.rest.__getitem__, p[1:])))
-            except KeyError:
+        for i, head in enumerate(map(self.first.get, heads)):
+            if head is None or lost[i]:
                 out.append(None)
                 whole.append(i)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+            else:
+                out.append(head + ids[bounds[i] : bounds[i + 1]].tobytes())
+        for i, coded_text in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = coded_text
         return out
 
 

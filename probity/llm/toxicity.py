@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import column, materialize, release, sliced
+from probity.llm.common import arrow_map, column, materialize, release, sliced
 
 #: Most labelled rows that are learnt from.
 SAMPLE = 50_000
@@ -217,7 +217,7 @@ def _fit(rows: DataFrame) -> Model | float:
                 yield from out()
         yield from out()
 
-    counts = rows.mapInArrow(count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    counts = arrow_map(rows, count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     n = float(clean + toxic)
     # Prior documents of a token in each class, and log-odds with some standard errors taken off.
     strength = min(PRIOR, n / 10)
@@ -247,7 +247,7 @@ def _fit(rows: DataFrame) -> Model | float:
                 names=["toxic", "tokens", "segments", "hist"],
             )
 
-    measured = materialize(rows.mapInArrow(measure, "toxic int, tokens long, segments array<double>, hist array<array<double>>"), "measured")
+    measured = materialize(arrow_map(rows, measure, "toxic int, tokens long, segments array<double>, hist array<array<double>>"), "measured")
     steps = measured.where("toxic = 0").select(F.explode("hist").alias("h")).groupBy(F.col("h")[0].alias("v")).agg(F.sum(F.col("h")[1]).alias("n")).collect()
     lam = _solve_lambda(np.repeat([r.v for r in steps], [max(1, int(1e6 * r.n / max(1.0, sum(x.n for x in steps)))) for r in steps]))
     base = F.log(F.col("tokens") + 1)
@@ -287,7 +287,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             scores = sent.value.score(np.array([g[:2] for g in got], dtype=float).reshape(-1, 2))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(scores), pa.array([g[2] for g in got], pa.int64())], names=["doc_id", "score", "n_passages"])
 
-    out = slim.mapInArrow(run, "doc_id long, score double, n_passages long")
+    out = arrow_map(slim, run, "doc_id long, score double, n_passages long")
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_passages")
 
 
@@ -307,4 +307,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
             evidence = np.array([scorer.evidence(t)[:2] for t in column(batch, "text")], dtype=float).reshape(-1, 2)
             yield batch.filter(pa.array(sent.value.score(evidence) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
