@@ -18,7 +18,9 @@ from probity.sources.storage import release, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words that an encoder keeps in each generation: fewer than alone, as the workers have done other stages before.
-PACKING_WORDS = 120_000
+PACKING_WORDS = 60_000
+#: Bytes of texts that it encodes at a time, for the same reason.
+PACKING_BYTES = 1_000_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -45,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token pieces in sequences of at most 1024 ids."""
-    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), cache_words=PACKING_WORDS)
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), cache_words=PACKING_WORDS, slice_bytes=PACKING_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [
