@@ -92,6 +92,12 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probity.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = f"""
@@ -131,6 +137,25 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, d.d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 """
 
+_CRC = "WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({0}), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT"
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+{_CRC},
+d AS (SELECT doc_id, {_FEATURES} AS w FROM documents), g AS (SELECT {_FEATURES} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS f FROM d), gw AS (SELECT unnest(w) AS f FROM g),
+known AS (SELECT f, {_CRC_OF.format("f")} % 10000 AS b FROM (SELECT f FROM dw UNION SELECT f FROM gw), t),
+s AS (SELECT b, count(*) AS n FROM dw JOIN known USING (f) GROUP BY b), q AS (SELECT b, count(*) AS n FROM gw JOIN known USING (f) GROUP BY b),
+gain AS (SELECT i AS b, floor(1000 * ln((coalesce(q.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM q), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+         FROM range(10000) r(i) LEFT JOIN s ON s.b = i LEFT JOIN q ON q.b = i),
+m AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN known USING (f) JOIN gain USING (b) GROUP BY doc_id),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS p, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 10 * r.n // 100 THEN p END AS rank FROM c LEFT JOIN r USING (doc_id)
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -142,6 +167,7 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_toxicity": op9_toxicity,
     "op10_token_records": op10_token_records,
+    "op13_resampling": op13_resampling,
 }
 
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": OP5_SQL, "op7_near_duplicates": OP7_SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op13_resampling": OP13_SQL}

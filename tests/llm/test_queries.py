@@ -17,6 +17,7 @@ CONTRACT = {
     "op7_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_token_records": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op13_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }
 
 
