@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from probity.sources.storage import materialize, new_path, release, shared_dir, table
 
-__all__ = ["BASE", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix64", "new_path", "release", "shared_dir", "sliced", "sliced_by_size", "table", "word_bounds", "words_of"]
+__all__ = ["BASE", "BYTE_VALUES", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix64", "new_path", "paired", "powers", "release", "shared_dir", "sliced", "sliced_by_size", "table", "word_bounds", "words_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,6 +48,24 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+#: Rows from which on a key of a join is hot, and the most hot keys that are sent to all tasks.
+HOT, SENT = 1000, 50_000
+
+
+def paired(rows: DataFrame, one: DataFrame, keys: list[str], hot: int = HOT, sent: int = SENT) -> DataFrame:
+    """``rows`` with the columns of ``one`` (written; a row for each key, its n tells how many rows have the key).
+
+    Keys of more than ``hot`` rows are at most 1 in ``hot``; while they are few they are sent to where their rows are, so
+    no task gets all rows of one key. Beyond ``sent`` of them it is a plain join. Null keys meet nothing.
+    """
+    often = one.where(F.col("n") > hot)
+    count = often.count()
+    if count == 0 or count > sent:
+        return rows.join(one, keys)
+    cold = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(one.where(F.col("n") <= hot), keys)
+    return cold.unionByName(rows.join(F.broadcast(often), keys))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words; ``bytes.split`` cuts at exactly the ASCII white space that ``WORD`` excludes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

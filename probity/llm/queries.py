@@ -92,6 +92,18 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probity.llm.suffixes import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probity.llm.alignment import align_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.resampling import resample
 
@@ -137,6 +149,22 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, d.d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 """
 
+#: Bytes as pairs of hexadecimal digits.
+OP11_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(coalesce(text, '')) AS x FROM documents),
+win AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)),
+hit AS (SELECT r, i FROM win JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+    SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit)) GROUP BY r, g),
+gone AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list_sort(list(a)) AS starts, list_sort(list(b)) AS stops FROM runs GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(starts) + 1),
+    lambda k: substr(x, 2 * CASE WHEN k = 0 THEN 0 ELSE stops[k] END + 1,
+      2 * (CASE WHEN k = len(starts) THEN len(x) // 2 ELSE starts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE stops[k] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
 _CRC = "WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
 _CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({0}), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT"
 _FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -167,7 +195,9 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_toxicity": op9_toxicity,
     "op10_token_records": op10_token_records,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_alignment": op12_alignment,
     "op13_resampling": op13_resampling,
 }
 
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op13_resampling": OP13_SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op11_suffix_dedup": OP11_SQL, "op13_resampling": OP13_SQL}

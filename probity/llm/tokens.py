@@ -142,6 +142,7 @@ class CachedEncoder:
             texts = [t if "\u03a3" in t else t.lower() for t in texts]
         if not texts:
             return []
+        self.first[""] = b""  # of a text that begins with a space, which is the next word's
         spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n")
         words = pc.split_pattern(spaced, " ")
         starts, flat = words.offsets.to_numpy()[:-1], words.values

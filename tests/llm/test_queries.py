@@ -17,6 +17,8 @@ CONTRACT = {
     "op7_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_token_records": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op11_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op12_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op13_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }
 
