@@ -59,12 +59,15 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and gives the planner true sizes."""
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and gives the planner true sizes.
+
+    With ``by``, its last columns, a folder for each of their values: filters on them leave out the others' files.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     with shuffle_cleanup(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._probity_path = path
     return back
