@@ -6,10 +6,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probity.functions import ordered
+from probity.sources.storage import materialize
+
+
+#: Steps of a continued fraction: enough for some 10^12 trials.
+STEPS = 10_000_000
+
 
 def beta_tail(p: float, a: float, b: float) -> float:
     """The regularised incomplete beta function I_p(a, b) by its continued fraction, in constant memory."""
@@ -19,17 +26,18 @@ def beta_tail(p: float, a: float, b: float) -> float:
     tiny = 1e-300
     d = 1.0 - (a + b) * p / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
-    c, value, m = 1.0, d, 0
-    while True:  # the convergents alternate around the limit and meet after some sqrt(a + b) steps
-        m += 1
+    c, value = 1.0, d
+    for m in range(1, STEPS):  # the convergents alternate around the limit and meet after some sqrt(a + b) steps
+        before = value
         for step in (m * (b - m) * p / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * p / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + step * d
             d = 1.0 / (d if abs(d) > tiny else tiny)
             c = 1.0 + step / c
             c = c if abs(c) > tiny else tiny
             value *= d * c
-        if abs(d * c - 1.0) < 1e-15 or m > 10_000_000:
+        if abs(value - before) <= 4e-16 * abs(value):
             return min(1.0, front * value)
+    raise ArithmeticError(f"the tail of ({p}, {a}, {b}) did not settle in {STEPS} steps")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -44,23 +52,9 @@ def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([one(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype="float64")
 
 
-def running_totals(df: DataFrame, order: str, sums: list[str], group: list[str] | None = None, bins: int = 256) -> DataFrame:
-    """``df`` (one row for each value of ``order`` in a group) with inclusive running totals of ``sums`` as cum_<name>.
-
-    A group's rows are cut into at most ``bins`` stretches of its own order; a task sorts one stretch of one group, and
-    what comes before it is added from the stretches' totals.
-    """
-    group = group or []
-    cuts = F.percentile_approx(order, F.lit([i / bins for i in range(1, bins)]).cast("array<double>"), F.lit(2000)).alias("_edges")
-    edges = df.groupBy(*group).agg(cuts)
-    met = df.join(edges, group) if group else df.join(F.broadcast(edges))
-    placed = met.withColumn("_bin", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))).drop("_edges")
-    totals = placed.groupBy(*group, "_bin").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_bin", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = Window.partitionBy(*group, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.withColumns({f"_w_{s}": F.sum(s).over(inside) for s in sums}).join(offsets, [*group, "_bin"])
-    return out.select(*df.columns, *[(F.col(f"_w_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
+def running_totals(df: DataFrame, order: str, sums: list[str], group: list[str] | None = None) -> DataFrame:
+    """``df`` (one row for each value of ``order`` in a group) with inclusive running totals of ``sums`` as cum_<name>."""
+    return ordered.running(df, group or [], [order], {f"cum_{s}": s for s in sums})
 
 
 def ks_probability(d: Column, n: Column, m: Column) -> Column:
@@ -75,7 +69,7 @@ def ks_two_sample(df: DataFrame, value: str, is_current: Column, group: list[str
     """Per group: n_ref, n_cur, ks (largest gap of the right-continuous distributions), p_value."""
     group = group or []
     keyed = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).alias("v"), is_current.cast("int").alias("cur"))
-    counts = keyed.groupBy(*group, "v").agg(F.sum("cur").alias("c"), F.sum(1 - F.col("cur")).alias("r"))
+    counts = materialize(keyed.groupBy(*group, "v").agg(F.sum("cur").alias("c"), F.sum(1 - F.col("cur")).alias("r")), "counts")
     sizes = counts.groupBy(*group).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     cums = running_totals(counts, "v", ["c", "r"], group)
     joined = cums.join(F.broadcast(sizes)) if not group else cums.join(sizes, group)
@@ -84,12 +78,12 @@ def ks_two_sample(df: DataFrame, value: str, is_current: Column, group: list[str
 
 
 def exact_percentiles(df: DataFrame, value: str, shares: list[float], group: list[str] | None = None) -> DataFrame:
-    """group, p: the interpolated percentiles of ``value`` at ``shares``, exact, from binned running counts.
+    """group, p: the interpolated percentiles of ``value`` at ``shares``, exact, from running counts.
 
     No task holds the values of a group. Null and NaN values are left out; a group without values has no row.
     """
     group = group or []
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "counts")
     sizes = counts.groupBy(*group).agg(F.sum("n").alias("_all"))
     cums = running_totals(counts, "v", ["n"], group)
     joined = cums.join(sizes, group) if group else cums.join(F.broadcast(sizes))

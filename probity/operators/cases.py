@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.functions import ordered
 from probity.functions.scalars import zero_pad
 from probity.operators.components import induced, neighbourhood
 
@@ -106,12 +107,14 @@ def run_bounds(runs: DataFrame, stream: str, started: str) -> DataFrame:
 def ring_page(items: DataFrame, order: str, cursor: int, count: int) -> DataFrame:
     """i, idx and the columns of ``count`` items from place ``cursor`` on, counted from 0 in ``order``, going on at the start after the end.
 
-    Only ids are numbered in one window: a page is taken from the frames of one observation folder.
+    Items are numbered over all partitions, and only the wanted numbers are kept.
     """
-    placed = items.withColumn("idx", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
-    n = items.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = items.sparkSession.range(count).select(F.col("id").alias("i")).join(F.broadcast(n)).where("_n > 0")
-    return F.broadcast(wanted.select("i", ((F.lit(cursor) + F.col("i")) % F.col("_n")).alias("idx"))).join(placed, "idx")
+    rows = ordered.numbered(items, [order], "idx", first=0)
+    n = rows.count()
+    if not n:
+        return rows.select(F.col("idx").alias("i"), "*")
+    wanted = items.sparkSession.range(count).select(F.col("id").alias("i"), ((F.lit(cursor) + F.col("id")) % n).alias("idx"))
+    return F.broadcast(wanted).join(rows, "idx")
 
 
 def coverage(checks: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.functions import stats
+from probity.functions import ordered, stats
 from probity.functions.scalars import FAILURE_PRIORITY, severity_rank, zero_pad
 from probity.operators.samples import P_CONCENTRATED, SHARE_CONCENTRATED, mode_first
 
@@ -92,8 +92,8 @@ def label_consistency(per: DataFrame) -> DataFrame:
     severity = F.when((F.col("k") / F.col("n") >= 0.3) & sure, "HIGH").otherwise("MEDIUM")
     category = F.when(F.col("systematic"), "dataset.systematic_mislabelling").otherwise("dataset.label_inconsistency")
     confidence = F.least(F.lit(0.95), F.col("mean_share") * F.when(sure, 1.0).otherwise(0.8))
-    place = F.row_number().over(Window.orderBy("p_value", "source"))
-    return _finding(per.where("concentrated"), "dataset", category, severity, confidence, "HEURISTIC", F.col("source"), F.col("k"), place.alias("place"))
+    found = ordered.numbered(per.where("concentrated"), ["p_value", "source"], "place")
+    return _finding(found, "dataset", category, severity, confidence, "HEURISTIC", F.col("source"), F.col("k"), F.col("place").cast("int").alias("place"))
 
 
 def isolated_labels(per: DataFrame) -> DataFrame:
@@ -218,12 +218,12 @@ def audit_finding(report: DataFrame) -> DataFrame:
 def collect_run(parts: list[DataFrame], order: list[str] | None = None) -> DataFrame:
     """All findings of a run with ids F-001 on, in the order of the parts and, inside one, of ``order``.
 
-    A run's findings are few (each sums up a detector), so they are numbered in one window.
+    ``order`` must part the rows of a part.
     """
-    numbered = [p.select(*COLUMNS, F.lit(i).alias("_part")) for i, p in enumerate(parts)]
-    every = reduce(DataFrame.unionByName, numbered)
-    by = Window.orderBy("_part", *(order or [F.desc("severity"), "category", "primary_source", F.desc("members")]))
-    return every.withColumn("ord", F.row_number().over(by)).select(zero_pad("F-", F.col("ord"), 3).alias("id"), "ord", *COLUMNS)
+    every = reduce(DataFrame.unionByName, [p.select(*COLUMNS, F.lit(i).alias("_detector")) for i, p in enumerate(parts)])
+    by = ["_detector", *(order or [F.desc("severity"), "category", "primary_source", F.desc("members")])]
+    ranked = ordered.numbered(every, by, "_ord").withColumn("ord", F.col("_ord").cast("int"))
+    return ranked.select(zero_pad("F-", F.col("ord"), 3).alias("id"), "ord", *COLUMNS)
 
 
 def by_severity(findings: DataFrame, *columns: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.functions import ordered
 from probity.functions.scalars import FAILURE_PRIORITY, GENESIS, primary_category
 from probity.sources.storage import materialize, release
 
@@ -72,17 +73,17 @@ def chain_checks(records: DataFrame) -> DataFrame:
     """records (record_id, stream, seq, nonce, record_hash, prev_record_hash) with link_ok, seq_ok, nonce_ok, nonce_owner.
 
     The link and the number are compared with the record before in the stream as stored, so checks go on after
-    a gap; that order is inherent, so a stream is sorted (and spilled) in one task. A nonce belongs to its first use over
+    a gap. Streams are scanned in order over all partitions, so a long one is no single task. A nonce belongs to its first use over
     all streams in (stream, seq) order; its uses are summed to the first before the shuffle, so a nonce that
     very many records repeat is no hot key. A null nonce is no nonce: it is neither owned nor repeated.
     """
-    by = Window.partitionBy("stream").orderBy("seq", "record_id")
     first = records.where(F.col("nonce").isNotNull()).groupBy("nonce").agg(F.min(F.struct("stream", "seq", "record_id")).alias("_first"))
-    named = records.join(first, "nonce", "left")
+    before = ordered.previous(records, ["stream"], ["seq", "record_id"], {"_prev_hash": "record_hash", "_prev_seq": "seq"})
+    named = before.join(first, "nonce", "left")
     owner = F.when(F.col("nonce").isNull(), F.col("record_id")).otherwise(F.col("_first.record_id"))
     out = named.withColumns({
-        "link_ok": F.col("prev_record_hash").eqNullSafe(F.lag("record_hash", 1, GENESIS).over(by)),
-        "seq_ok": F.col("seq") == F.lag("seq", 1, 0).over(by) + 1,
+        "link_ok": F.col("prev_record_hash").eqNullSafe(F.coalesce("_prev_hash", F.lit(GENESIS))),
+        "seq_ok": F.col("seq") == F.coalesce("_prev_seq", F.lit(0)) + 1,
         "nonce_owner": owner,
         "nonce_ok": owner == F.col("record_id"),
     })
@@ -175,6 +176,10 @@ def failure_groups(verdict: DataFrame) -> DataFrame:
     return verdict.where("verdict = 'INVALID'").groupBy("primary_category").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")).withColumn("priority", order)
 
 
+#: Rounds of admission: conflicts of nonces and numbers that hang on each other, one after the other.
+ROUNDS = 1000
+
+
 def ingest_admission(incoming: DataFrame, accepted: DataFrame, trusted: DataFrame, arrival: str = "record_id") -> DataFrame:
     """Admission of incoming records in the order of ``arrival``: record_id, accepted, reasons, replay.
 
@@ -186,7 +191,9 @@ def ingest_admission(incoming: DataFrame, accepted: DataFrame, trusted: DataFram
     A record that is refused for its number can't raise the number, so numbers are a running maximum over the
     records that nothing else refuses. What depends on each other are nonces and numbers: rounds refuse the
     later uses of a nonce, until the accepted records don't change; a round more is needed only where a refused
-    record had held back another.
+    record had held back another. A round settles the earliest record that is still open for good, so there are at most as many as conflicts
+    that hang on each other, and ``ROUNDS`` are allowed. A stream's running maximum is carried over partitions, so a long
+    stream is no single task.
     """
     last = accepted.groupBy("stream").agg(F.max("seq").alias("_last"))
     seen = accepted.select("nonce", F.lit(True).alias("_seen")).where(F.col("nonce").isNotNull()).distinct()
@@ -195,10 +202,10 @@ def ingest_admission(incoming: DataFrame, accepted: DataFrame, trusted: DataFram
     fit = F.coalesce("hash_ok", F.lit(False)) & F.col("_trusted").isNotNull() & F.col("_seen").isNull()
     kept = ["record_id", "stream", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "nonce", F.col(arrival).alias("_at"), F.col("_last").cast("long").alias("_last"), F.coalesce("_seen", F.lit(False)).alias("_seen")]
     state = materialize(joined.select(*kept, F.coalesce("hash_ok", F.lit(False)).alias("_hash"), F.col("_trusted").isNotNull().alias("_key"), fit.alias("_fit"), F.lit(False).alias("_used")), "admission")
-    before = Window.partitionBy("stream").orderBy("_at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    while True:
+    for _ in range(ROUNDS):
         free = F.col("_fit") & ~F.col("_used")
-        now = state.withColumn("_high", F.greatest(F.col("_last"), F.max(F.when(free, F.col("seq"))).over(before)))
+        now = ordered.running(state.withColumn("_free", F.when(free, F.col("seq"))), ["stream"], ["_at", "record_id"], {"_before": "_free"}, F.max, inclusive=False)
+        now = now.withColumn("_high", F.greatest("_last", "_before")).drop("_free", "_before")
         now = now.withColumn("_ok", free & F.coalesce(F.col("seq") > F.col("_high"), F.lit(True)))
         owner = now.where("_ok and nonce is not null").groupBy("nonce").agg(F.min(F.struct("_at", "record_id")).alias("_owner"))
         late = F.coalesce(F.struct("_at", "record_id") > F.col("_owner"), F.lit(False))
@@ -208,6 +215,8 @@ def ingest_admission(incoming: DataFrame, accepted: DataFrame, trusted: DataFram
             break
         state = done.withColumn("_used", F.col("_late")).drop("_high", "_ok", "_late")
         state._probity_path = done._probity_path
+    else:
+        raise RuntimeError("admission did not settle")
     bad_nonce, bad_seq = F.col("_seen") | F.col("_late"), F.coalesce(F.col("seq") <= F.col("_high"), F.lit(False))
     reasons = F.array_compact(F.array(
         F.when(~F.col("_hash"), "record hash mismatch"),
@@ -242,13 +251,23 @@ def set_digest(df: DataFrame, digest: Column, key: Column, digits: int = 2) -> D
 def manifest_of(files: DataFrame) -> DataFrame:
     """n, digest of files (name, sha256): the SHA-256 of the canonical JSON object that maps every name to its digest, in order of names.
 
-    A data set's digest as other tools compute it. The object is one text, so this is for manifests of files of one data
-    set; ``set_digest`` is for sets of any size.
+    A data set's digest as other tools compute it. The text is one, so its digest is a fold in one task; names are sorted by Spark over all
+    partitions and streamed through one hash state, so the task's memory doesn't grow. ``set_digest`` is for digests in parallel.
     """
-    quoted = lambda c: F.to_json(F.array(F.col(c)))
-    entry = F.concat(F.regexp_extract(quoted("name"), r"^\[(.*)\]$", 1), F.lit(":"), F.regexp_extract(quoted("sha256"), r"^\[(.*)\]$", 1))
-    listed = files.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("name", entry.alias("e")))).alias("l"))
-    return listed.select("n", F.sha2(F.concat(F.lit("{"), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("}")), 256).alias("digest"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(F.col(c))), r"^\[(.*)\]$", 1)
+    entries = ordered.numbered(files.select("name", F.concat(quoted("name"), F.lit(":"), quoted("sha256")).alias("entry")), ["name"], "place")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, n = hashlib.sha256(b"{"), 0
+        for batch in batches:
+            for entry in batch["entry"]:
+                state.update((("," if n else "") + entry).encode())
+                n += 1
+        state.update(b"}")
+        yield pd.DataFrame({"n": [n], "digest": [state.hexdigest()]})
+
+    # One partition, sorted by Spark, which spills; rows come to Python in batches.
+    return entries.repartition(1).sortWithinPartitions("place").select("entry").mapInPandas(fold, "n long, digest string")
 
 
 def added_by_batch(change: DataFrame, batches: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probity.functions.ordered import numbered
+
 #: Image files that are read.
 IMAGE_SUFFIX = r"(?i)\.(png|jpe?g|bmp)$"
 
@@ -245,10 +247,8 @@ def model_card(spark: SparkSession, model_path: str, default: dict) -> dict:
 
 
 def observation_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """file, idx of the frames in a folder, numbered by name from 0 (one folder of frames is one window's input)."""
-    from pyspark.sql import Window
-
-    return listing(spark, folder).select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("idx"))
+    """file, idx of the frames in a folder, numbered by name from 0."""
+    return numbered(listing(spark, folder).select("file"), ["file"], "idx", first=0)
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:

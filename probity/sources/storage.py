@@ -110,11 +110,13 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def append_with_ids(existing: DataFrame, new: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """Append a contributed batch; its ids go on from the highest one there is.
 
-    The batch is numbered in one ordered window: it is one contributor's submission, not the data set.
+    The batch is numbered over all partitions of a range sort; ``order`` must part its rows.
     """
+    from probity.functions.ordered import numbered
+
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    numbered = new.withColumn(id_col, F.row_number().over(Window.orderBy(*order)).cast("long")).join(F.broadcast(top))
-    return existing.unionByName(numbered.withColumn(id_col, F.col(id_col) + F.col("_top")).drop("_top"), allowMissingColumns=True)
+    rows = numbered(new.drop(id_col), order, id_col).join(F.broadcast(top))
+    return existing.unionByName(rows.withColumn(id_col, F.col(id_col) + F.col("_top")).drop("_top"), allowMissingColumns=True)
 
 
 def append_chained(spark: SparkSession, events: list[dict], path: str, head: tuple[int, str]) -> tuple[int, str]:
