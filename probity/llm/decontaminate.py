@@ -1,13 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A passage within e edits of an item of m characters keeps at least m - q + 1 - q * e of the item's
-q-grams, all on diagonals (place in the text minus place in the item) at most e apart. Shared q-grams
+A passage within e edits of a pattern of m characters keeps at least m - q + 1 - q * e of the pattern's
+q-grams, all on diagonals (place in the text minus place in the pattern) at most e apart. Shared q-grams
 are counted in overlapping bands of diagonals, bands that reach the bound are verified by banded
 alignment. Characters are the bytes of the normal form: lower case, every run of white space or
 ASCII punctuation one space. All regions of an item that a text holds are found; of regions that overlap the one of
-the fewest edits. Items under ``SHORT`` bytes have an edit budget of 0 and must stand at word borders; those of fewer
-than q bytes are searched by grams of their own length. Only whole items count: a quote of a part of an
-item is not found, and a single word of fewer than q bytes is no passage.
+the fewest edits.
+
+One law holds for all lengths: e is the edit rate times m, rounded down, and q is ``Q`` or what the lemma still allows for that e, m // (e + 1).
+A pattern too short for any edit must stand at word borders, or else every word that holds a short one would be a hit.
+
+Patterns are the items, and of longer items also windows of ``PART`` bytes, one every ``STEP``: a text that quotes a part of an item is
+found by a window. A window's region is given only where no region of its whole item is.
 
 The benchmark is the query set: its q-gram index is sent to the tasks in blocks of at most about
 ``BLOCK_BYTES`` of benchmark text, one pass over the documents for each block (one pass for any usual
@@ -29,8 +33,8 @@ from probity.llm.common import Rolling, arrow_map, column, sliced
 Q = 10
 #: Edits allowed for each character of an item.
 EDIT_RATE = 0.08
-#: Items whose normal form is shorter are found only verbatim and between word borders.
-SHORT = 24
+#: Bytes of an item's windows, and bytes from one to the next.
+PART, STEP = 100, 50
 BLOCK_BYTES = 4_000_000
 #: Postings of a text's q-grams that are expanded at a time.
 POSTINGS = 2_000_000
@@ -48,8 +52,13 @@ def normal_form(text: str | None) -> bytes:
 
 
 def edit_budget(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
-    """Edits allowed for an item of m characters: few enough that the lemma still asks for a q-gram."""
-    return max(0, min(int(rate * m), (m - q) // q))
+    """Edits allowed for a pattern of m characters."""
+    return max(0, min(int(rate * m), m - 1))
+
+
+def gram_size(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
+    """The longest grams, of at most q, of which the lemma asks for one: cut into e + 1 pieces, one piece of a pattern is left as it is."""
+    return max(1, min(q, m // (edit_budget(m, q, rate) + 1)))
 
 
 def grams(data: bytes, q: int) -> np.ndarray:
@@ -60,23 +69,17 @@ def grams(data: bytes, q: int) -> np.ndarray:
     return Rolling(data).ranges(start, start + q)
 
 
-class Index:
-    """q-grams of the items: a bit table that rejects most grams, then a sorted table with its postings."""
-
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, rate: float = EDIT_RATE) -> None:
-        self.q = q
-        self.items = [(k, t) for k, t in items if len(t) >= q]
-        self.brief: dict[int, list[tuple[int, bytes]]] = {}
-        for k, t in items:
-            if len(t) < q and b" " in t:
-                self.brief.setdefault(len(t), []).append((k, t))
-        self.budget = np.array([edit_budget(len(t), q, rate) if len(t) >= SHORT else 0 for _, t in self.items], dtype=np.int64)
-        self.need = np.array([len(t) - q + 1 for _, t in self.items], dtype=np.int64) - q * self.budget
-        self.lengths = np.array([len(t) for _, t in self.items], dtype=np.int64)
-        hashes = [grams(t, q) for _, t in self.items]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+class Grams:
+    """Patterns of one gram size: a bit table that rejects most grams, then a sorted table with their postings."""
+
+    def __init__(self, patterns: list[bytes], q: int, budget: np.ndarray) -> None:
+        self.q, self.budget = q, budget
+        self.lengths = np.array([len(t) for t in patterns], dtype=np.int64)
+        self.need = self.lengths - q + 1 - q * budget
+        hashes = [grams(t, q) for t in patterns]
+        flat = np.concatenate(hashes)
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, dtype=np.int64)
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(flat, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first = np.unique(flat[order], return_index=True)
@@ -85,19 +88,19 @@ class Index:
         self.bits[self.keys >> np.uint64(64 - _BITS)] = True
 
     def candidates(self, data: bytes, postings: int = POSTINGS) -> Iterator[tuple[int, int]]:
-        """(item, lowest diagonal) of each band that holds q-grams enough.
+        """(pattern, lowest diagonal) of each band that holds q-grams enough.
 
         Grams are taken in the order of the text, at most about ``postings`` of their postings at a time; a
         band that the next gram lies beyond is complete, so only bands around the place that is read are held.
         """
         h = grams(data, self.q)
         at = np.flatnonzero(self.bits[h >> np.uint64(64 - _BITS)]) if len(h) else h
-        if not len(at) or not len(self.keys):
+        if not len(at):
             return
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         real = self.keys[k] == h[at]
         at, k = at[real], k[real]
-        if len(at) < (self.need.min() if len(self.need) else 1):
+        if len(at) < self.need.min():
             return
         ends = self.count[k].cumsum()
         held, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -118,33 +121,49 @@ class Index:
             yield from zip(who[over & (sums >= self.need[who])].tolist(), start[over & (sums >= self.need[who])].tolist(), strict=True)
             held, sums, lo = held[~over], sums[~over], hi
 
-    def _verbatim(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
-        """Items of fewer than q bytes at their places between word borders."""
-        for size, items in self.brief.items():
-            h = grams(data, size)
-            for item_id, t in items:
-                for at in np.flatnonzero(h == grams(t, size)[0]).tolist():
-                    if data[at : at + size] == t and _between_words(data, at, at + size):
-                        yield item_id, at, at + size, 0
-
-    def hits(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of each region that holds an item; overlapping regions give the best one."""
-        found: dict[int, set[tuple[int, int, int]]] = {}
+
+class Index:
+    """The patterns of a benchmark: the items (id, normal form) of at least ``min_bytes`` and, with ``part``, their windows."""
+
+    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, rate: float = EDIT_RATE, part: int = 0, step: int = STEP, min_bytes: int = 0) -> None:
+        self.items = [(k, t) for k, t in items if len(t) >= max(1, min_bytes)]
+        self.patterns: list[tuple[int, bytes, bool]] = []
+        for owner, (_, t) in enumerate(self.items):
+            self.patterns.append((owner, t, True))
+            if part and len(t) > part:
+                self.patterns += [(owner, t[i : i + part], False) for i in [*range(0, len(t) - part, step), len(t) - part]]
+        self.budget = np.array([edit_budget(len(t), q, rate) for _, t, _ in self.patterns], dtype=np.int64)
+        sizes = np.array([gram_size(len(t), q, rate) for _, t, _ in self.patterns], dtype=np.int64)
+        self.tables = []
+        for size in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == size)
+            self.tables.append((of, Grams([self.patterns[i][1] for i in of], size, self.budget[of])))
+
+    def candidates(self, data: bytes, postings: int = POSTINGS) -> Iterator[tuple[int, int]]:
+        """(pattern, lowest diagonal) of each band that may hold a pattern."""
+        for of, table in self.tables:
+            for i, low in table.candidates(data, postings):
+                yield int(of[i]), low
+
+    def hits(self, data: bytes) -> list[tuple[int, int, int, int, bool]]:
+        """(item id, start, end, edits, whole) of each region that holds an item or a window of it; of overlapping ones of an item the whole and best."""
+        found: dict[int, set[tuple[bool, int, int, int]]] = {}
         for i, low in self.candidates(data):
+            owner, pattern, whole = self.patterns[i]
             e = int(self.budget[i])
             start = max(0, low - e)
-            region = data[start : low + 2 * e + 1 + int(self.lengths[i]) + e]
-            got = align(self.items[i][1], region, e, low + 2 * e + 1 - start)
-            if got and (self.lengths[i] >= SHORT or _between_words(data, got[0] + start, got[1] + start)):
-                found.setdefault(i, set()).add((got[2], got[0] + start, got[1] + start))
+            region = data[start : low + 2 * e + 1 + len(pattern) + e]
+            got = align(pattern, region, e, low + 2 * e + 1 - start)
+            if got and (e or _between_words(data, got[0] + start, got[1] + start)):
+                found.setdefault(owner, set()).add((not whole, got[2], got[0] + start, got[1] + start))
         out = []
-        for i, regions in sorted(found.items()):
-            taken: list[tuple[int, int, int, int]] = []
-            for edits, s, t in sorted(regions):
-                if all(t <= u or s >= v for _, u, v, _ in taken):
-                    taken.append((self.items[i][0], s, t, edits))
+        for owner, regions in sorted(found.items()):
+            taken: list[tuple[int, int, int, int, bool]] = []
+            for part, edits, s, t in sorted(regions):
+                if all(t <= u or s >= v for _, u, v, _, _ in taken):
+                    taken.append((self.items[owner][0], s, t, edits, not part))
             out += sorted(taken, key=lambda x: x[1])
-        return out + list(self._verbatim(data))
+        return out
 
 
 def _between_words(data: bytes, start: int, end: int) -> bool:
@@ -191,7 +210,7 @@ def align(item: bytes, region: bytes, e: int, width: int) -> tuple[int, int, int
     return (int(origin[j]), int(place[j]), int(row[j])) if row[j] <= e else None
 
 
-_HITS = "doc_id long, item_id long, start long, length long, edits long"
+_HITS = "doc_id long, item_id long, start long, length long, edits long, whole boolean"
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -208,21 +227,21 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
 _built: dict[str, Index] = {}
 
 
-def _index(token: str, items: list[tuple[int, bytes]], q: int, rate: float) -> Index:
+def _index(token: str, items: list[tuple[int, bytes]], *how) -> Index:
     """The block's index; a Python worker keeps the last one for its next tasks."""
     if token not in _built:
         _built.clear()
-        _built[token] = Index(items, q, rate)
+        _built[token] = Index(items, *how)
     return _built[token]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each region of a document that holds a benchmark item: doc_id, item_id, start, length, edits.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, part: int = PART, step: int = STEP, min_bytes: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each region of a document that holds a benchmark item or a window of one: doc_id, item_id, start, length, edits, whole.
 
-    start and length are bytes of the text's normal form; regions of one item don't overlap.
-    Null texts, null items and empty ones match nothing; items under ``SHORT`` bytes match verbatim at word borders,
-    a single word under q bytes isn't searched; repeated documents each give their rows; rows of an item with a null id have a null item_id; empty
-    tables give no rows. Only doc_id, text, item_id and text are read.
+    start and length are bytes of the text's normal form; regions of one item don't overlap. whole is false for windows; ``part`` 0 searches none.
+    Null texts, null items and empty ones match nothing; an item of less than 1 / ``rate`` bytes has no edits to spare and matches at word borders,
+    single words too unless ``min_bytes`` leaves them out; repeated documents each give their rows; rows of an item with a null id have a null item_id; empty
+    tables give no rows. A very long text is searched in one go, its postings a bounded number at a time. Only doc_id, text, item_id and text are read.
     """
     spark, found = docs.sparkSession, None
     slim = docs.select("doc_id", "text")
@@ -230,27 +249,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
         sent, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
-            index = _index(token, sent.value, q, rate)
+            index = _index(token, sent.value, q, rate, part, step, min_bytes)
             for batch in sliced(batches):
                 rows = []
                 for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                    rows += [(doc_id, k, s, t - s, d) for k, s, t, d in index.hits(normal_form(text))]
+                    rows += [(doc_id, k, s, t - s, d, w) for k, s, t, d, w in index.hits(normal_form(text))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _HITS.split(", ")])
+                    kinds = [*[pa.int64()] * 5, pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _HITS.split(", ")])
 
         here = arrow_map(slim, search, _HITS)
         found = here if found is None else found.unionByName(here)
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all its columns, whose text holds no whole benchmark item; a quoted part of one stays; decided row by row, without a join."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, part: int = PART, step: int = STEP, min_bytes: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all its columns, whose text holds no benchmark item and no window of one; decided row by row, without a join.
+
+    Rows of a null or empty text stay, repeated rows are each decided alike, null and empty items drop nothing, an empty table gives no rows.
+    """
     spark = docs.sparkSession
     for block in _blocks(benchmark, block_bytes):
         sent, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
-            index = _index(token, sent.value, q, rate)
+            index = _index(token, sent.value, q, rate, part, step, min_bytes)
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not index.hits(normal_form(t)) for t in column(batch, "text")], pa.bool_()))
 
