@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probity.functions.ordered import numbered
 from probity.sources.storage import materialize, new_path, release, shared_dir, table
 
-__all__ = ["BASE", "BYTE_VALUES", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix64", "new_path", "paired", "powers", "release", "shared_dir", "sliced", "sliced_by_size", "table", "word_bounds", "words_of"]
+__all__ = ["BASE", "BYTE_VALUES", "WORD", "Rolling", "arrow_map", "column", "materialize", "mix64", "new_path", "paired", "powers", "release", "shared_dir", "sliced", "sliced_by_size", "table", "with_ranks", "word_bounds", "words_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,15 @@ def paired(rows: DataFrame, one: DataFrame, keys: list[str], hot: int = HOT, sen
     return cold.unionByName(rows.join(F.broadcast(often), keys))
 
 
+def with_ranks(rows: DataFrame, order: list[Column], ties: list[Column], limit: int | None = None) -> DataFrame:
+    """``rows`` with rank long: 1, 2, 3... by ``order`` and then ``ties``, null beyond a ``limit``.
+
+    The sort deals rows over all partitions, whose counts give the first rank of each; ``ties`` must part rows of equal order.
+    """
+    ranked = numbered(rows, [*order, *ties], "rank")
+    return ranked if limit is None else ranked.withColumn("rank", F.when(F.col("rank") <= limit, F.col("rank")))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words; ``bytes.split`` cuts at exactly the ASCII white space that ``WORD`` excludes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -14,10 +14,10 @@ Everything is DataFrame functions. Ranking moves five numbers a document, never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import materialize
+from probity.llm.common import materialize, with_ranks
 from probity.sources.storage import scratch
 
 #: A word is a run of ASCII letters, digits and anything beyond ASCII.
@@ -26,7 +26,6 @@ GRAMS, BUCKETS, SEED = 1, 10_000, 2024
 #: Documents of fewer words aren't drawn; percent of the others that are.
 LEAST, PERCENT = 20, 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ROW_BITS = 33
 
 
 def words_in(text: Column) -> Column:
@@ -74,25 +73,6 @@ def gumbel(id_text: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0)))).cast("long")
 
 
-def with_ranks(rows: DataFrame, order: list[Column], ties: list[Column], limit: int) -> DataFrame:
-    """``rows`` with rank long: 1, 2, 3... by ``order`` and then ``ties``, null beyond ``limit``.
-
-    The rows are dealt by ranges of the order, sorted in their partitions and written with the partition and the place in it;
-    the counts of the partitions give the first rank of each. A sort deals equal keys to one task, so ``ties`` must part rows.
-    """
-    dealt = rows.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties)
-    # The lower bits of the number are the row's place in its partition.
-    placed = dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_place"))
-    placed = materialize(placed, "ranked")
-    sizes = placed.groupBy("_part").agg((F.max("_place") + 1).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    # One row for each partition of the sort: thousands at most.
-    starts = sizes.select(F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.col("_before") + F.col("_place") + 1
-    ranked = placed.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
-    return ranked.select(*rows.columns, F.when(rank <= limit, rank).cast("long").alias("rank"))
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,

@@ -4,9 +4,9 @@ Rows get a seeded pseudo-random order within their stratum; the rank r of n rows
 fraction (2r - 1) / 2n. Sorted by that fraction, every stretch of the result holds each stratum in
 proportion, so equal cuts give shards of equal mixture.
 
-No stratum is ranked in one task: both rankings go by fixed hash or fraction bins, whose counts give
-each bin's first rank, and only rows of one bin are sorted together. Bin counts are at most
-``bins`` rows for a stratum. Texts are never shuffled, only their size and checksum.
+No stratum is ranked in one task: a stratum's rows go to hash bins, more of them the more rows there are, whose counts
+give each bin's first rank. The places of the fractions come from a sort over all partitions; equal fractions, as those of very many
+small strata, are parted by stratum and hash, so no task gets them all. Texts are never shuffled, only their size and checksum.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.llm.common import materialize, with_ranks
+
 #: Law that the shards keep: counts of rows are at most one apart.
 LAW = "rows"
+#: Rows of a hash bin, about, that a task sorts at a time.
+BIN_ROWS = 65_536
 
 
 def stratified_shards(
@@ -41,7 +45,10 @@ def stratified_shards(
     )
     ties = [f"_c{i}" for i in range(len(carry))]
     keyed = named.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.concat_ws(":", F.lit("null"), *[F.col(c).cast("string") for c in ties])))))
-    keyed = keyed.withColumn("_bin", F.substring("_h", 1, 3))
+    digits, rows = 3, df.count()
+    while 16**digits * BIN_ROWS < rows:
+        digits += 1
+    keyed = keyed.withColumn("_bin", F.substring("_h", 1, digits))
     # Rank within the stratum: rows in lower bins, plus the place within the bin.
     counts = keyed.groupBy("_stratum", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     by = Window.partitionBy("_stratum")
@@ -57,21 +64,14 @@ def stratified_shards(
     )
     fraction = (F.lit(2.0) * (F.col("_before") + F.col("_r")) - F.lit(1.0)) / (F.lit(2.0) * F.col("_total"))
     placed = ranked.select("_id", "_stratum", "_h", *ties, fraction.alias("_f"))
-    placed = placed.withColumn("_fbin", F.floor(F.col("_f") * 4096).cast("int"))
-    # The same for the place of the fraction in the whole: at most 4096 counts meet in one task.
-    whole = placed.groupBy("_fbin").agg(F.count(F.lit(1)).alias("_n"))
-    one = Window.partitionBy(F.lit(0))
-    starts = whole.select(
-        F.col("_fbin").alias("_b3"),
-        (F.sum("_n").over(one.orderBy("_fbin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(one).alias("_all"),
-    )
-    inside = Window.partitionBy("_fbin").orderBy("_f", "_stratum", "_h", "_id", *ties)
-    spot = placed.withColumn("_p", F.row_number().over(inside)).join(starts, F.col("_fbin") == F.col("_b3"))
-    position = (F.col("_start") + F.col("_p") - 1).cast("long")
-    k = F.expr(f"cast(({shards} * (_start + _p - 1)) div _all as int)")
+    placed = materialize(placed, "fractions")
+    whole = placed.count()
+    # A row without an id is parted from its like by the carried columns; beyond those, equal rows are alike.
+    spot = with_ranks(placed, [F.col("_f")], [F.col("_stratum"), F.col("_h"), F.col("_id"), *[F.col(c) for c in ties]])
+    position = (F.col("rank") - 1).cast("long")
+    k = F.expr(f"cast(({shards} * (rank - 1)) div {max(whole, 1)} as int)")
     # Shard k holds the positions from ceil(k * all / shards).
-    first = F.expr(f"(cast(_shard as bigint) * _all + {shards - 1}) div {shards}")
+    first = F.expr(f"(cast(_shard as bigint) * {whole} + {shards - 1}) div {shards}")
     return spot.withColumn("_shard", k).select(
         F.col("_id").alias(id_col),
         F.col("_stratum").alias(stratum_col),
