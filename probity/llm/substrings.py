@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import BASE, Rolling, arrow_map, column, materialize, mix64, release, sliced, word_bounds, words_of
+from probity.llm.common import BASE, Rolling, arrow_map, column, materialize, mix64, paired, release, sliced, word_bounds, words_of
 
 LENGTH = 13
 GRAM = 5
@@ -255,17 +255,7 @@ def _remove(held: DataFrame) -> DataFrame:
 
 
 def _paired(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with the columns of ``one`` (written; a row for each key, n rows have it).
-
-    Keys of more than ``HOT`` rows are at most 1 in ``HOT``; while they are few they are sent to where their rows are, so
-    no task gets all rows of a passage that very many share.
-    """
-    hot = one.where(F.col("n") > HOT)
-    if hot.count() > SENT:
-        return rows.join(one, keys)
-    sent = F.broadcast(hot)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col("n") <= HOT), keys)
-    return cold.unionByName(rows.join(sent, keys))
+    return paired(rows, one, keys, HOT, SENT)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -280,18 +270,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialize(_survey(slim), "survey")
     whole = base.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= LENGTH))
-    firsts = materialize(whole.groupBy("key").agg(F.min("doc_id").alias("first")), "firsts")
-    settled = base.join(firsts, "key", "left")
+    firsts = materialize(whole.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    # Short texts and rows without an id stand alone; so no key is that of all empty texts.
+    alone = base.where(F.col("doc_id").isNull() | (F.col("n_words") < LENGTH)).withColumn("first", F.lit(None).cast("long"))
+    named = _paired(whole, firsts, ["key"]).drop("n")
+    settled = named.unionByName(alone)
     later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
 
     seeds = materialize(_seeds(slim), "seeds")
     held_by = seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    shared = materialize(held_by.select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
+    shared = materialize(held_by.select("anchor", "n", (F.col("n") > HOT).alias("hot")), "anchors")
     both = [F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")]
-    own = materialize(seeds.join(shared, "anchor").groupBy("doc").agg(*both), "own")
+    own = materialize(_paired(seeds, shared, ["anchor"]).groupBy("doc").agg(*both), "own")
     release(seeds, shared)
     # Only first copies are extended: the smallest document that holds a stretch is always one.
-    leading = whole.join(firsts, "key").where(F.col("doc_id") == F.col("first")).select("doc_id", "key").distinct()
+    leading = named.where(F.col("doc_id") == F.col("first")).select("doc_id", "key").distinct()
     wanted = materialize(leading.join(own, F.col("doc_id") == F.col("doc")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "anchors", "hot"), "wanted")
     release(own)
     few = wanted.select("_id").distinct()
