@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import Rolling, arrow_map, column, materialize, mix64, release, sliced, word_bounds
+from probity.llm.common import Rolling, arrow_map, column, materialize, mix64, paired, release, sliced, word_bounds
 from probity.operators.components import components
 
 WORDS = 5
@@ -198,9 +198,9 @@ def _family_links(members: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, component) of the representatives (node, n, sig) that are linked with another."""
     postings = reps.select("node", F.explode("sig").alias("list"))
-    shared = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = postings.join(shared, "list")
-    own = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("rare")).where(F.size("rare") >= MATCHES)
+    shared = materialize(postings.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lists")
+    met = _on_lists(postings, shared)
+    own = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "list"))).alias("rare")).where(F.size("rare") >= MATCHES)
     # Values of one text alone come first in the order of rarity; they fill part of the prefix.
     room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("rare"))
     own = materialize(own.select("node", F.transform("rare", lambda x: x["list"]).alias("ks"), room.cast("int").alias("room")).where("room > 0"), "coordinates")
@@ -273,17 +273,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialize(sign(slim), "signatures")
     named = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # Copies of a word sequence: the least id of each, summed before the shuffle.
-    firsts = materialize(named.groupBy("key").agg(F.min("doc_id").alias("node")), "firsts")
-    reps = named.join(firsts, "key").where(F.col("doc_id") == F.col("node")).select("node", "key", "n_shingles", "sig").dropDuplicates(["node", "key"]).select("node", "n_shingles", "sig")
+    firsts = materialize(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "firsts")
+    reps = paired(named, firsts, ["key"]).where(F.col("doc_id") == F.col("node")).select("node", "key", "n_shingles", "sig").dropDuplicates(["node", "key"]).select("node", "n_shingles", "sig")
     reps = materialize(reps, "representatives")
     found = links_of(slim, reps)
-    base = signed.select("doc_id", "n_shingles", "key")
-    out = base.join(firsts, "key", "left").join(found, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # A word sequence has one fate, so copies meet it by their key; rows without words or id meet nothing.
+    fate = materialize(firsts.join(found, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component")), "fates")
+    met = paired(named.select("doc_id", "n_shingles", "key"), fate, ["key"]).select("doc_id", "n_shingles", "component")
+    alone = signed.where(F.col("doc_id").isNull() | F.col("key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    out = met.unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all its columns, but one document of each component: that of the smallest id."""
+    """The rows of ``docs``, all its columns, but one document of each component: that of the smallest id.
+
+    Of rows of one id and one word sequence one stays, the least by its columns as JSON; rows of one id and
+    different words are parts of one document and stay together. Rows without an id or words are copies of nothing and stay.
+    A very long text is one set of shingles; an empty table gives no rows. Columns of any name are passed on.
+    """
+    id_, text = docs["doc_id"].cast("long"), docs["text"]
     dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(_few(dropped), docs["doc_id"] == F.col("__gone"), "left_anti")
+    again = docs.groupBy(id_.alias("__gone")).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__gone").isNotNull() & (F.col("__rows") > 1)).select("__gone")
+    gone, again = _few(dropped), _few(again)
+    stay = docs.join(gone, id_ == F.col("__gone"), "left_anti")
+    words = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    named = stay.join(again, id_ == F.col("__gone"), "left_semi").select(whole.alias("__row"), F.md5(words).alias("__words"), id_.alias("__id"), (words == "").alias("__empty"))
+    has_words = ~F.coalesce(F.col("__empty"), F.lit(True))
+    # Summed before the shuffle: however many rows an id has, each task sends one of each word sequence.
+    one = named.where(has_words).groupBy("__id", "__words").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*")
+    return stay.join(again, id_ == F.col("__gone"), "left_anti").unionByName(one).unionByName(named.where(~has_words).select("__row.*"))

@@ -94,3 +94,15 @@ def test_keep_one_leaves_one_of_each(make, words):
     kept = neardup.keep_one(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _, c, k in brute(docs) if k}
+
+
+def test_keep_one_of_repeated_rows(make, words):
+    """One row of each id and word sequence stays; rows of one id and other words, and rows without words or id, stay as they are."""
+    t, u = " ".join(words(40, 1)), " ".join(words(40, 2))
+    rows = [(1, t), (1, t), (1, t.upper() + " "), (2, t), (3, u), (3, t + " " + u), (4, None), (4, None), (4, ""), (None, t), (None, t), (5, "short"), (5, "short")]
+    kept = neardup.keep_one(make(rows, 5))
+    assert kept.columns == make(rows).columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    want = [(1, min(t, t.upper() + " ")), (3, u), (3, t + " " + u), (4, ""), (4, ""), (4, ""), (5, "short")]
+    assert got == sorted([(False, i, x) for i, x in want] + [(True, 0, t)] * 2)
+    assert neardup.keep_one(make(rows).where("false")).collect() == []
