@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.sources.storage import materialize, release
 
 ROUNDS = 64
+#: Edges (both directions counted) that one task settles in one pass; more of them go by rounds of joins.
+FEW_EDGES = 100_000
+#: Rows from which on a label's nodes are not joined in one task.
+HOT = 1000
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The least node that each node reaches, of at most ``FEW_EDGES`` edges, by union-find."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if parent:
+        yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]})
 
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, component): the smallest node that each node reaches.
 
-    Every round takes the least label among neighbours, then the label of that label, so the distance
+    A few edges are settled by one task, with the same result; of more of them
+    every round takes the least label among neighbours, then the label of that label, so the distance
     covered about doubles. Each round's labels are written to the shared folder. A node with many links meets them as
     sums made before the shuffle. Null ends and loops are ignored; repeated links do no harm; no links give no rows.
     """
     clean = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
     edges = materialize(clean.union(clean.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    if edges.count() <= FEW_EDGES:
+        kind = edges.schema["a"].dataType.simpleString()
+        labels = materialize(edges.where("a < b").coalesce(1).mapInPandas(_settle, f"node {kind}, component {kind}"), "labels")
+        release(edges)
+        return labels
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     for _ in range(ROUNDS):
         named = labels.select(F.col("node").alias("b"), F.col("component").alias("_other"))
         seen = edges.join(named, "b").groupBy(F.col("a").alias("node")).agg(F.min("_other").alias("_least"))
         lower = labels.join(seen, "node").select("node", F.col("component").alias("_old"), F.least("component", "_least").alias("_new"))
-        jump = labels.select(F.col("node").alias("_new"), F.col("component").alias("_far"))
-        done = materialize(lower.join(jump, "_new").select("node", F.col("_old"), F.least("_new", "_far").alias("component")), "labels")
+        # Labels of very many nodes are few, at most 1 in HOT: they are sent to where their nodes are.
+        lower = materialize(lower, "lower")
+        crowds = lower.groupBy("_new").agg(F.count(F.lit(1)).alias("_n"))
+        jump = materialize(crowds.join(labels.select(F.col("node").alias("_new"), F.col("component").alias("_far")), "_new"), "jump")
+        often = F.broadcast(jump.where(F.col("_n") > HOT).select("_new", "_far"))
+        cold = lower.join(often.select("_new"), "_new", "left_anti").join(jump.where(F.col("_n") <= HOT).select("_new", "_far"), "_new")
+        far = cold.unionByName(lower.join(often, "_new"))
+        done = materialize(far.select("node", F.col("_old"), F.least("_new", "_far").alias("component")), "labels")
+        release(lower, jump)
         changed = done.where(F.col("component") != F.col("_old")).limit(1).count()
         release(labels)
         path, labels = done._probity_path, done.drop("_old")

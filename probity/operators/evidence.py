@@ -26,57 +26,80 @@ RULES = ("R1-same-source", "R2-same-trigger", "R3-data-to-model", "R4-lineage",
 BACKDOOR, REPLACED, BROKEN = "model.backdoor_behaviour", "inference.record_replacement", "inference.chain_broken"
 
 
-def _pairs(findings: DataFrame, keys: list[str], left: dict[str, Column], right: dict[str, Column], where: tuple[Column, Column]) -> DataFrame:
-    """keys, a, b, oa, ob of findings of one run that agree on the named values (arrays give each of their members)."""
-    sides = []
-    for tag, values, keep in (("a", left, where[0]), ("b", right, where[1])):
-        side = findings.where(keep).select(*keys, F.col("id").alias(tag), F.col("ord").alias(f"o{tag}"), *[v.alias(n) for n, v in values.items()])
-        for n, t in side.dtypes:
-            if n in values and t.startswith("array"):
-                side = side.withColumn(n, F.explode(n))
-        sides.append(side)
-    return sides[0].join(sides[1], [*keys, *left]).where(F.col("a") != F.col("b"))
-
-
-def rule_links(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, a, b, oa, rule, place of every rule that a pair of findings meets; each rule is a join on equal values."""
+def evidence_rows(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, kind, value, num: what the arrays of findings hold, one row each: sources, lineage, digests, and record numbers (num)."""
+    none = F.lit(None)
+    kinds = [("sources", "source"), ("lineage_sources", "lineage"), ("record_model_digests", "digest"), ("record_seqs", "seq")]
+    out = None
+    for column, kind in kinds:
+        each = findings.select(*keys, "id", F.lit(kind).alias("kind"), F.explode(column).alias("v"))
+        value, num = (F.lit(""), F.col("v").cast("long")) if kind == "seq" else (F.col("v"), none.cast("long"))
+        each = each.select(*keys, "id", "kind", value.alias("value"), num.alias("num"))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def rule_links(findings: DataFrame, keys: list[str], rows: DataFrame | None = None) -> DataFrame:
+    """keys, a, b, oa, rule, place of every rule that a pair of findings meets; each rule is a join on equal values.
+
+    ``rows`` (keys, id, kind, value, num) is the findings' evidence, of any number of rows; without it the arrays of findings are taken.
+    The numbers of records (kind seq) have their stream as value.
+    """
+    rows = (evidence_rows(findings, keys) if rows is None else rows).where(F.col("value").isNotNull()).distinct()
     dataset, forward = F.col("pillar") == "dataset", F.col("oa") < F.col("ob")
-    batches = F.transform("sources", lambda s: F.element_at(F.split(s, "/"), -1))
-    one = _pairs(findings, keys, {"v": F.col("primary_source")}, {"v": F.col("primary_source")}, (dataset & (F.length("primary_source") > 0),) * 2).where(forward)
+
+    def side(tag: str, where: Column | None = None, value: Column | None = None, kind: str | None = None) -> DataFrame:
+        """keys, id and number (with ``tag``), pillar and category of findings with a value v (and n) of their own or of their rows."""
+        own = findings if where is None else findings.where(where)
+        named = own.select(*keys, F.col("id").alias(tag), F.col("ord").alias(f"o{tag}"), *([] if value is None else [value.alias("v")]))
+        if kind is None:
+            return named
+        some = rows.where(F.col("kind") == kind).select(*[F.col(k).alias(f"_{k}") for k in keys], "id", F.col("value").alias("v"), F.col("num").alias("n"))
+        same = F.col("id") == F.col(tag)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return named.join(some, same).drop("id", *[f"_{k}" for k in keys])
+
+    def meet(one: DataFrame, two: DataFrame, on: tuple[str, ...] = ("v",)) -> DataFrame:
+        return one.join(two, [*keys, *on]).where(F.col("a") != F.col("b"))
+
+    sourced = dataset & (F.length("primary_source") > 0)
+    one = meet(side("a", sourced, F.col("primary_source")), side("b", sourced, F.col("primary_source"))).where(forward)
     # A place falls into one cell of a grid, and the other finding looks into the cells around its own.
     cell = lambda c, d: F.floor((F.col(f"trigger.{c}") + d) / F.lit(NEAR + 1)).cast("long")
     around = F.array(*[F.struct((cell("x", 0) + i).alias("i"), (cell("y", 0) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    placed = findings.where("trigger.x is not null and trigger.y is not null")
+    spots = findings.where("trigger.x is not null and trigger.y is not null")
     at = lambda tag: [F.col("id").alias(tag), F.col("ord").alias(f"o{tag}"), F.col("pillar").alias(f"p{tag}"), F.col("trigger.x").alias(f"x{tag}"), F.col("trigger.y").alias(f"y{tag}")]
-    here = placed.select(*keys, *at("a"), F.struct(cell("x", 0).alias("i"), cell("y", 0).alias("j")).alias("v"))
-    two = here.join(placed.select(*keys, *at("b"), F.explode(around).alias("v")), [*keys, "v"])
+    here = spots.select(*keys, *at("a"), F.struct(cell("x", 0).alias("i"), cell("y", 0).alias("j")).alias("v"))
+    two = here.join(spots.select(*keys, *at("b"), F.explode(around).alias("v")), [*keys, "v"])
     two = two.where(forward & (F.col("pa") != F.col("pb")) & (F.abs(F.col("xa") - F.col("xb")) <= NEAR) & (F.abs(F.col("ya") - F.col("yb")) <= NEAR))
-    three = _pairs(findings, keys, {"v": F.col("candidate_source")}, {"v": F.array_distinct("sources")}, ((F.col("category") == BACKDOOR) & (F.length("candidate_source") > 0), F.lit(True)))
-    four = _pairs(findings, keys, {"v": F.array_distinct("lineage_sources")}, {"v": F.array_distinct(batches)}, (F.col("pillar") == "model", F.lit(True)))
-    bound = F.col("pillar").isin("model", "inference")
-    other = F.when(F.col("pillar") == "model", "inference").otherwise("model")
-    ends = [findings.where(bound).select(*keys, F.col("id").alias(t), F.col("ord").alias(f"o{t}"), (F.col("pillar") if t == "a" else other).alias("v"), F.col("model_digest").alias(f"d{t}"), F.col("record_model_digests").alias(f"r{t}")) for t in "ab"]
-    five = ends[0].join(ends[1], [*keys, "v"]).where(forward & F.array_contains(F.coalesce("rb", "ra"), F.coalesce("da", "db")))
-    six = _pairs(findings, keys, {"v": F.transform("record_seqs", lambda s: s + 1)}, {"v": F.col("record_seqs")}, (F.col("category") == REPLACED, F.col("category") == BROKEN))
+    three = meet(side("a", (F.col("category") == BACKDOOR) & (F.length("candidate_source") > 0), F.col("candidate_source")), side("b", kind="source"))
+    batch = side("b", kind="source").withColumn("v", F.element_at(F.split("v", "/"), -1)).distinct()
+    four = meet(side("a", F.col("pillar") == "model", kind="lineage").drop("n"), batch.drop("n"))
+    bound = meet(side("a", F.col("pillar") == "model", F.col("model_digest")), side("b", F.col("pillar") == "inference", kind="digest"))
+    # The earlier of both comes first.
+    five = bound.select(*keys, F.when(forward, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("oa", "ob").alias("oa"))
+    after = side("a", F.col("category") == REPLACED, kind="seq").withColumn("n", F.col("n") + 1)
+    six = meet(after, side("b", F.col("category") == BROKEN, kind="seq"), ("v", "n"))
     # Between rules of one pair the first decides; the third and fourth are tried from the earlier finding first.
     places = (F.lit(1), F.lit(2), F.when(forward, 3).otherwise(5), F.when(forward, 4).otherwise(6), F.lit(7), F.lit(8))
     out = None
     for rule, place, found in zip(RULES, places, (one, two, three, four, five, six), strict=False):
-        found = found.select(*keys, "a", "b", "oa", F.lit(rule).alias("rule"), place.alias("place"))
+        found = found.select(*keys, "a", "b", "oa", F.lit(rule).alias("rule"), place.alias("place")).distinct()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def correlate(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def correlate(findings: DataFrame, keys: list[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
     """keys, a, b, rule, strength: strong links by the first rule that a pair meets, and context links for what has none.
 
     Findings are compared inside one run (``keys``); ids are unique over runs. A finding above INFO without a strong link is
-    linked to the first of its run that has one, or else to the first other one.
+    linked to the first of its run that has one, or else to the first other one. ``rows`` is as for ``rule_links``.
     """
     keys = list(keys or [])
     pair = [*keys, F.least("a", "b"), F.greatest("a", "b")]
     one = Window.partitionBy(*pair).orderBy("place", "oa")
-    strong = rule_links(findings, keys).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*keys, "a", "b", "rule", F.lit("strong").alias("strength"))
+    strong = rule_links(findings, keys, rows).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*keys, "a", "b", "rule", F.lit("strong").alias("strength"))
     linked = strong.select(*keys, F.col("a").alias("id")).union(strong.select(*keys, "b")).distinct().withColumn("_linked", F.lit(True))
     real = findings.where("severity <> 'INFO'").select(*keys, "id", "ord").join(linked, [*keys, "id"], "left").withColumn("_linked", F.coalesce("_linked", F.lit(False)))
     firsts = real.groupBy(*keys).agg(
@@ -92,15 +115,19 @@ def correlate(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return strong.unionByName(context.select(*keys, "a", "b", F.lit(RULES[-1]).alias("rule"), F.lit("context").alias("strength")))
 
 
-def chains(findings: DataFrame, links: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def chain_components(links: DataFrame) -> DataFrame:
+    return components(links.where("strength = 'strong'").select("a", "b"))
+
+
+def chains(findings: DataFrame, links: DataFrame, keys: list[str] | None = None, found: DataFrame | None = None) -> DataFrame:
     """keys, chain, chain_id, place, size, pillars, n_pillars, max_severity, strong of the components over strong links.
 
     chain is the least finding id. Chains are numbered by their length (with INFO findings), the longest first and then
     the one met first; those without a finding above INFO are left out after that. place orders what is left: most
-    pillars, then the highest severity. size and pillars count findings above INFO.
+    pillars, then the highest severity. size and pillars count findings above INFO. ``found`` are the components, where they are known.
     """
     keys = list(keys or [])
-    found = components(links.where("strength = 'strong'").select("a", "b"))
+    found = chain_components(links) if found is None else found
     member = findings.join(found, F.col("id") == F.col("node"), "left").withColumn("chain", F.coalesce("component", "id"))
     real = F.col("severity") != "INFO"
     per = member.groupBy(*keys, "chain").agg(
@@ -187,3 +214,54 @@ def case_of(findings: DataFrame, chain_table: DataFrame, keys: list[str] | None
         *keys, severity_name(F.col("r") + escalated.cast("int")).alias("severity"), escalated.alias("escalated"), "risk_score", disposition.alias("disposition"),
         F.when(disposition == "QUARANTINE", "QUARANTINE RECOMMENDED").otherwise("REVIEW REQUIRED").alias("status"), "n_findings", "n_informational", steps.alias("next_steps"),
     )
+
+
+#: Assets that a case says it lies in; of records the first few.
+WHERE, SHOWN_RECORDS = ("contributor", "batch", "model", "modelver", "stream", "dataset"), 3
+_LAST_UNKNOWN = "who did it and why is not determined"
+
+
+def chain_texts(findings: DataFrame, links: DataFrame, chain_table: DataFrame, keys: list[str], found: DataFrame | None = None) -> DataFrame:
+    """``chain_table`` with findings (ids by pillar and number), n_links, rules and narrative of each chain; INFO findings are left out."""
+    strong = links.where("strength = 'strong'")
+    found = chain_components(links) if found is None else found
+    order = F.array_position(F.array(*map(F.lit, PILLARS)), F.col("pillar"))
+    member = findings.where("severity <> 'INFO'").join(found, F.col("id") == F.col("node"), "left").withColumn("chain", F.coalesce("component", "id"))
+    ids = member.groupBy(*keys, "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("p"), "ord", "id"))), lambda x: x["id"]).alias("findings"))
+    inside = strong.join(found, F.col("a") == F.col("node")).groupBy(*keys, F.col("component").alias("chain")).agg(F.count(F.lit(1)).alias("n_links"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    out = chain_table.join(ids, [*keys, "chain"]).join(inside, [*keys, "chain"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    many = F.concat(F.col("size").cast("string"), F.lit(" findings in "), F.array_join("pillars", ", "), F.lit(" share evidence ("), F.array_join("rules", ", "), F.lit("): "), F.array_join("findings", " -> "))
+    alone = F.concat(F.lit("nothing else supports "), F.element_at("findings", 1))
+    return out.withColumn("narrative", F.when(F.size("findings") > 1, many).otherwise(alone))
+
+
+def case_document(findings: DataFrame, rows: DataFrame, links: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and of each run: title, what_happened, where, unknowns, findings, informational; lists in the order of a case's page.
+
+    texts is ``chain_texts``; rows has the findings' assets as kind affected. Of records only the first three are named. A
+    run without a finding above INFO has no row.
+    """
+    real = findings.where("severity <> 'INFO'")
+    top = texts.where("place <= 3").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "narrative", "pillars", "findings"))).alias("t"))
+    first = F.col("t")[0]
+    poison = F.slice(first["pillars"], 1, 2) == F.array(F.lit("dataset"), F.lit("model"))
+    head = top.join(real.select(*keys, F.col("id").alias("_id"), "category"), keys).where(F.col("_id") == first["findings"][0])
+    told = head.select(*keys, F.when(poison, "data poisoning with an effect on the model").otherwise(F.col("category")).alias("title"), F.transform("t", lambda x: x["narrative"]).alias("what_happened"))
+    assets = real.select(*keys, "id").join(rows.where("kind = 'affected'").select(*keys, "id", "value"), [*keys, "id"]).select(*keys, "value").distinct()
+    kind = F.substring_index("value", ":", 1)
+    places = assets.where(kind.isin(*WHERE)).groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("_places"))
+    by = Window.partitionBy(*keys).orderBy("value")
+    records = assets.where(kind == "inference")
+    named = records.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= SHOWN_RECORDS).groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("_records"))
+    more = records.groupBy(*keys).agg((F.count(F.lit(1)) - SHOWN_RECORDS).alias("_more"))
+    scores = real.where("method_status <> 'REAL'").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: F.concat(x["id"], F.lit(" is a score, not a proof"))).alias("_scores"))
+    lone = links.where("strength = 'context'").groupBy(*keys).agg(F.concat(F.lit("no evidence joins "), F.array_join(F.array_sort(F.collect_set("a")), ", "), F.lit(" to the main chain")).alias("_lone"))
+    lists = findings.groupBy(*keys).agg(*[F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", "id")))), lambda x: x["id"]).alias(n) for n, c in (("findings", F.col("severity") != "INFO"), ("informational", F.col("severity") == "INFO"))])
+    out = told
+    for part in (places, named, more, scores, lone, lists):
+        out = out.join(part, keys, "left")
+    empty = F.array().cast("array<string>")
+    rest = F.when(F.col("_more") > 0, F.array(F.concat(F.lit("and "), F.col("_more").cast("string"), F.lit(" more records")))).otherwise(empty)
+    where = F.concat(F.coalesce("_places", empty), F.coalesce("_records", empty), rest)
+    unknown = F.concat(F.coalesce("_scores", empty), F.array_compact(F.array("_lone", F.lit(_LAST_UNKNOWN))))
+    return out.select(*keys, "title", "what_happened", where.alias("where"), unknown.alias("unknowns"), "findings", "informational")

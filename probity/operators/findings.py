@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from probity.functions import ordered, stats
 from probity.functions.scalars import FAILURE_PRIORITY, severity_rank, zero_pad
 from probity.operators.samples import P_CONCENTRATED, SHARE_CONCENTRATED, mode_first
+from probity.sources.storage import materialize
 
 COLUMNS = ("pillar", "category", "severity", "confidence", "method_status", "primary_source", "members")
 #: Sizes and shares from which copies are flooding, patterns systematic and outliers concentrated.
@@ -21,6 +22,7 @@ LARGE_CLUSTER, FLOOD_SHARE = 5, 0.05
 SYSTEMATIC, STRONG_P = 0.6, 1e-6
 OOD_CONCENTRATED, OOD_MANY = 0.2, 10
 DIRTY_LABEL, DIRTY_DISAGREE = 0.9, 0.3
+LEAST_CLUSTERS = 8
 #: The finding that a group of invalid records raises.
 RECORD_FINDINGS = {
     "FORGED_RECORD": ("inference.record_replacement", "CRITICAL"), "TAMPERED_OUTPUT": ("inference.tampering", "HIGH"), "TAMPERED_RECORD": ("inference.tampering", "HIGH"),
@@ -129,19 +131,28 @@ def ood_finding(marked: DataFrame) -> DataFrame:
     return _finding(whole, "dataset", "dataset.ood_samples", severity, F.least(F.lit(0.9), 0.5 + 0.4 * share), "HEURISTIC", F.col("source"), F.col("members"), F.round(share, 9).alias("share"))
 
 
-def recurring_pattern(spots: DataFrame, samples: DataFrame) -> DataFrame:
-    """A finding for each pattern (columns of ``spots`` but id) that enough samples hold at the same place.
+def pattern_members(spots: DataFrame, samples: DataFrame) -> DataFrame:
+    """The samples (all their columns) of each pattern (columns of ``spots`` but id) that enough clusters hold at the same place, with clusters; written.
 
     samples has id, source, label, flagged (its label disagrees) and cluster (of copies, which share patterns trivially and
-    count once). A pattern needs max(8, n // 100) clusters of the n samples. The label most of its
-    members have and the share that disagree tell a poisoned label from a watermark.
+    count once). A pattern needs max(8, n // 100) clusters of the n samples. Spots are counted by partial sums first, and only
+    those of patterns with so many rows meet their samples.
     """
     keys = [c for c in spots.columns if c != "id"]
-    least = samples.agg(F.greatest(F.lit(8), F.floor(F.count(F.lit(1)) / 100)).alias("_least"))
-    held = spots.distinct().join(samples, "id")
+    least = max(LEAST_CLUSTERS, samples.count() // 100)
+    often = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(*keys)
+    held = materialize(spots.join(materialize(often, "often"), keys).distinct().join(samples, "id"), "held")
     counted = held.groupBy(*keys, "cluster").agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"))
-    enough = counted.join(F.broadcast(least)).where("clusters >= _least").drop("_least")
-    kept = held.join(enough, keys)
+    return materialize(held.join(counted.where(F.col("clusters") >= least), keys), "members")
+
+
+def recurring_pattern(spots: DataFrame, samples: DataFrame) -> DataFrame:
+    """A finding for each pattern of ``pattern_members``."""
+    return pattern_findings(pattern_members(spots, samples), [c for c in spots.columns if c != "id"])
+
+
+def pattern_findings(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """A finding for each pattern (``keys``) of its members; the label most of them have and the share that disagree tell a poisoned label from a watermark."""
     whole = kept.groupBy(*keys, "clusters").agg(F.count(F.lit(1)).alias("members"), F.sum(F.coalesce(F.col("flagged"), F.lit(False)).cast("long")).alias("disagree"))
     label = mode_first(kept, keys, "label", "id").withColumnsRenamed({"mode": "target", "votes": "target_n"})
     top = _top_source(kept, keys).select(*keys, F.col("source").alias("top"))
@@ -182,8 +193,8 @@ def trigger_finding(best: DataFrame) -> DataFrame:
     return _finding(best.where("hit"), "model", "model.backdoor_behaviour", severity, F.least(F.lit(0.9), F.col("flip") - F.col("control")), "HEURISTIC", F.col("candidate_source"), F.col("n"))
 
 
-def record_findings(verdicts: DataFrame, seqs: int = 8) -> DataFrame:
-    """A finding for each primary category of invalid records, in order of priority, with the first ``seqs`` numbers."""
+def record_findings(verdicts: DataFrame) -> DataFrame:
+    """A finding for each primary category of invalid records, in order of priority, with the first number; ``record_numbers`` has all of them."""
     per = verdicts.where("verdict = 'INVALID'").groupBy("primary_category").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.countDistinct("stream").alias("streams"))
     named = F.create_map(*[x for c, (category, severity) in RECORD_FINDINGS.items() for x in (F.lit(c), F.struct(F.lit(category).alias("c"), F.lit(severity).alias("s")))])
     got = per.withColumn("_f", F.element_at(named, F.col("primary_category")))
@@ -191,6 +202,11 @@ def record_findings(verdicts: DataFrame, seqs: int = 8) -> DataFrame:
     return _finding(got, "inference", F.col("_f.c"), F.col("_f.s"), 1.0, "REAL", F.lit(None), F.col("n"), F.col("primary_category"), place.alias("place"), F.col("first_seq"), F.col("streams"))
 
 
+def record_numbers(verdicts: DataFrame) -> DataFrame:
+    """primary_category, stream, seq of every invalid record: what tells a replaced record s from the broken link of s + 1."""
+    return verdicts.where("verdict = 'INVALID'").select("primary_category", "stream", "seq").distinct()
+
+
 def rejected_finding(log: DataFrame) -> DataFrame:
     """One finding if submissions (record_id, accepted) were refused at ingest."""
     one = log.agg(F.sum((~F.col("accepted")).cast("long")).alias("n")).where("n > 0")

@@ -52,6 +52,18 @@ def top_changes(tests: DataFrame, k: int = 3) -> DataFrame:
     return tests.orderBy(F.abs("change").desc(), "feature").limit(k)
 
 
+def frame_scores(regions: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """frame, region, z and frame, z of current frames: how far each region, and the frame as a whole, lies from the reference.
+
+    regions has id, cur, region, v; whole has id, cur, g. Deviations are those of the reference, a region's plus 1e-3 and a frame's plus 1e-6.
+    """
+    per = regions.where(~F.col("cur")).groupBy("region").agg(F.avg("v").alias("_mu"), (F.stddev_pop("v") + 1e-3).alias("_sd"))
+    one = whole.where(~F.col("cur")).agg(F.avg("g").alias("_mu"), (F.stddev_pop("g") + 1e-6).alias("_sd"))
+    scored = lambda c: F.round(F.abs((F.col(c) - F.col("_mu")) / F.col("_sd")), 6).alias("z")
+    local = regions.where("cur").join(F.broadcast(per), "region").select(F.col("id").alias("frame"), "region", scored("v"))
+    return local, whole.where("cur").join(F.broadcast(one)).select(F.col("id").alias("frame"), scored("g"))
+
+
 def local_frames(regions: DataFrame, global_z: DataFrame) -> DataFrame:
     """frame, region, z of frames whose change lies in one place: regions (frame, region, z), global_z (frame, z)."""
     per = regions.groupBy("frame").agg(F.max_by("region", F.struct("z", (-F.col("region")).alias("r"))).alias("region"), F.max("z").alias("z"), F.sum((F.col("z") > ALSO_Z).cast("int")).alias("also"))

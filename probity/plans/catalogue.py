@@ -799,4 +799,4 @@ def conversation_turn_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum((~F.col("ok")).cast("long")).alias("gaps"), F.sum(F.coalesce(F.col("role") == F.col("before"), F.lit(False)).cast("long")).alias("repeats"))
 
 
-from probity.plans import detectors, runs, selftest  # noqa: E402, F401  they register their queries
+from probity.plans import assurance, detectors, runs, selftest  # noqa: E402, F401  they register their queries

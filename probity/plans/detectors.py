@@ -80,13 +80,16 @@ def _votes(spark: SparkSession, sf_dir: str, share: float, flip: bool) -> tuple[
     out = []
     for queries, own in ((contributed, False), (reference, True)):
         votes = vectors.label_vote(vectors.knn(queries, reference, vectors.K_LABEL, exclude_self=own), reference, queries, share=share)
-        if flip:
-            given = F.when(F.col("query_id") % 12 == 5, (F.col("majority") + 1) % 10).otherwise(F.col("majority"))
-            votes = votes.withColumn("given", given).withColumn("flagged", F.col("majority") != F.col("given"))
-        out.append(votes)
+        out.append(flipped(votes) if flip else votes)
     return out[0], out[1]
 
 
+def flipped(votes: DataFrame) -> DataFrame:
+    """The label flip scenario: labels follow the vote, but those of one batch are the next class."""
+    given = F.when(F.col("query_id") % 12 == 5, (F.col("majority") + 1) % 10).otherwise(F.col("majority"))
+    return votes.withColumn("given", given).withColumn("flagged", F.col("majority") != F.col("given"))
+
+
 def _per_source(spark: SparkSession, sf_dir: str, share: float = ASKED_SHARE, flip: bool = False) -> DataFrame:
     votes, leave_out = _votes(spark, sf_dir, share, flip)
     named = votes.select("query_id", F.concat(F.lit("c"), F.col("query_id") % 3, F.lit("/b"), F.col("query_id") % 12).alias("source"))
@@ -133,13 +136,19 @@ _OOD_ROW = f"""SELECT 'dataset' AS pillar, 'dataset.ood_samples' AS category, CA
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    contributed, reference = catalogue._split(spark, sf_dir)
+    return measured(spark, sf_dir, vectors.knn(contributed, reference, 5), vectors.knn(reference, reference, 5, exclude_self=True))
+
+
+def measured(spark: SparkSession, sf_dir: str, near: DataFrame, own_near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, source, distance, spread of contributed and reference vectors, from neighbours that were found before."""
     contributed, reference = catalogue._split(spark, sf_dir)
     flat = lambda df: df.select("vec_id", (F.col("embedding")[0].cast("double") * 10).alias("x"), (F.col("embedding")[1].cast("double") * 10).alias("y"))
     spread = F.round(vectors.mahalanobis(flat(contributed), flat(reference), ["x", "y"]), 6)
     source = F.concat(F.lit("c"), F.col("query_id") % 3, F.lit("/b"), F.col("query_id") % 12)
     out = []
-    for queries, own in ((contributed, False), (reference, True)):
-        distance = vectors.ood_distance(vectors.knn(queries, reference, 5, exclude_self=own))
+    for queries, neighbours in ((contributed, near), (reference, own_near)):
+        distance = vectors.ood_distance(neighbours.where("rank <= 5"))
         spreads = flat(queries).select(F.col("vec_id").alias("query_id"), spread.alias("spread"))
         out.append(distance.join(spreads, "query_id").select(F.col("query_id").alias("id"), source.alias("source"), "distance", "spread"))
     return out[0], out[1]
@@ -195,18 +204,22 @@ SELECT 'dataset' AS pillar, 'dataset.trigger_pattern' AS category, CASE WHEN dir
 """
 
 
-@query(_PATTERNS)
-def pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search for stamped patterns, on texts: the same words at the same place, counted once for each cluster of copies."""
+def _pattern_members(spark: SparkSession, sf_dir: str, clusters: DataFrame) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     w = F.split(F.lower("text"), r"\s+")
     last = (F.size("w") / 8).cast("int") - 1
     cut = docs.select(F.col("doc_id").alias("id"), w.alias("w")).where(last >= 0).select("id", "w", F.explode(F.sequence(F.lit(0), last)).alias("position"))
     spots = cut.select("id", "position", F.md5(F.array_join(F.slice("w", F.col("position") * 8 + 1, 8), " ")).alias("passage"))
-    of = _clusters(spark, sf_dir).select(F.col("node").alias("doc_id"), "component")
+    of = clusters.select(F.col("node").alias("doc_id"), "component")
     about = docs.select("doc_id", "source").join(of, "doc_id", "left").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     about = about.select(F.col("doc_id").alias("id"), "source", F.coalesce("component", "doc_id").alias("cluster"), F.col("toxic").alias("label"), (F.col("quality") == 0).alias("flagged"))
-    return findings.recurring_pattern(spots, about)
+    return findings.pattern_members(spots, about)
+
+
+@query(_PATTERNS)
+def pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search for stamped patterns, on texts: the same words at the same place, counted once for each cluster of copies."""
+    return findings.pattern_findings(_pattern_members(spark, sf_dir, _clusters(spark, sf_dir)), ["position", "passage"])
 
 
 # Manifests, registry, records --------------------------------------------------------------------------------------
