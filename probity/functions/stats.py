@@ -125,7 +125,7 @@ def moments(value: str) -> list[Column]:
 def mmd_test(x: np.ndarray, y: np.ndarray, permutations: int = 200, seed: int = 0) -> tuple[float, float]:
     """Biased squared MMD with an RBF kernel whose width is the median positive distance, and its permutation probability.
 
-    With weights 1/n on one sample and -1/m on the other the statistic is the form w' K w; all permuted weights
+    With weights 1/n on one sample and -1/m on the other the statistic is the form w' K w; the weights of all trials
     are evaluated in one product.
     """
     z = np.vstack([x, y]).astype(np.float64)
@@ -134,8 +134,17 @@ def mmd_test(x: np.ndarray, y: np.ndarray, permutations: int = 200, seed: int =
     np.fill_diagonal(squares, 0.0)
     width = np.median(squares[squares > 0]) if (squares > 0).any() else 1.0
     kernel = np.exp(squares / -width)
-    weights = np.repeat([1.0 / len(x), -1.0 / len(y)], [len(x), len(y)])
-    rng = np.random.default_rng(seed)
-    trials = np.vstack([weights, *(rng.permutation(weights) for _ in range(permutations))])
+    sets = trial_sets(len(x), len(y), permutations, seed)
+    trials = np.full((len(sets), len(z)), 1.0 / len(x))
+    np.put_along_axis(trials, sets, -1.0 / len(y), axis=1)
     values = ((trials @ kernel) * trials).sum(axis=1)
     return float(values[0]), float((1 + np.count_nonzero(values[1:] >= values[0])) / (permutations + 1))
+
+
+def trial_sets(n: int, m: int, permutations: int, seed: int) -> np.ndarray:
+    """Places (of n + m) that count as the second sample: its own ones first, then a row of m drawn ones for each permutation.
+
+    Only the drawn places are held, so the first sample may be of any size.
+    """
+    rng = np.random.default_rng(seed)
+    return np.array([np.arange(n, n + m), *(rng.choice(n + m, m, replace=False, shuffle=False) for _ in range(permutations))])

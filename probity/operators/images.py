@@ -1,13 +1,13 @@
-"""Image checks: near-duplicates by blocked difference hashes, recurring stamped patches, outliers."""
+"""Image checks: near-duplicates by cells of contrasts, recurring stamped patches, outliers."""
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,35 +16,47 @@ from probity.functions.scalars import hamming
 from probity.sources.storage import materialize
 
 NEAR_BITS, NEAR_DIFFERENCE = 14, 8.0
-#: Stretches of a hash that are looked up, and their bits. Of two hashes that differ in at most NEAR_BITS places one of
-#: four stretches differs in at most three: two changes of the one and one of the other make them equal.
-STRETCHES, WIDE = 4, 16
+#: Pictures of a cell from which on its pairs are dealt to several tasks, and to how many.
+HOT, SALTS = 1000, 64
+_SHIFTS, _KEPT = 9, 4
 
 
-def _changes(most: int) -> list[int]:
-    """All 16-bit masks of at most so many bits."""
-    return [sum(1 << b for b in bits) for n in range(most + 1) for bits in itertools.combinations(range(WIDE), n)]
+def _crossed(lists: Column, ends: Column) -> Column:
+    """Every list of ``lists`` with every one of ``ends`` behind it."""
+    return F.flatten(F.transform(lists, lambda some: F.transform(ends, lambda k: F.concat(some, F.array(k)))))
 
 
 def near_duplicate_images(images: DataFrame, height: int, width: int) -> DataFrame:
     """Links (a, b) between images (id, rgb) that look alike: few different hash bits, then a small shifted difference.
 
-    Stretches of the hash block the join: each is looked up with all changes of up to two bits on one side and of
-    up to one on the other (137 and 17 values), so about 4 % of unlike pairs meet. Pixels are compared only of pairs
-    that pass the bits. Exact copies are linked to their first image and leave the join.
+    A mean difference of at most ``NEAR_DIFFERENCE`` under a shift bounds the difference of five contrasts of the pictures (``pixels.contrasts``), so
+    the join goes by cells of these that are twice as wide as the bound: one picture looks into the at most 32 cells
+    around its contrasts, the other lies in the cells of its contrasts under every shift. No pair is lost. Hash bits are compared next, pixels last.
+    Pairs of a cell that very many pictures lie in are dealt to ``SALTS`` tasks. Exact copies are linked to their first image and leave the join.
     """
     hashed = images.select("id", "rgb", F.md5("rgb").alias("copy"))
     firsts = hashed.groupBy("copy").agg(F.min("id").alias("first"))
     copies = hashed.join(firsts, "copy").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    one = hashed.join(firsts, F.col("id") == F.col("first"), "left_semi").withColumn("bits", pixels.udf(pixels.difference_hash, height, width, T.LongType())("rgb"))
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("bits", i * WIDE).bitwiseAND(F.lit((1 << WIDE) - 1)).cast("int").alias("v")) for i in range(STRETCHES)])
-    cut = one.select("id", "bits", F.explode(parts).alias("p")).select("id", "bits", "p.i", "p.v")
-    met = []
-    for tag, most in (("a", 2), ("b", 1)):
-        masks = F.explode(F.array(*map(F.lit, _changes(most))))
-        met.append(cut.select(F.col("id").alias(tag), F.col("bits").alias(f"{tag}_bits"), "i", "v", masks.alias("m")).withColumn("v", F.col("v").bitwiseXOR(F.col("m"))).drop("m"))
-    close = (F.col("a") != F.col("b")) & (hamming(F.col("a_bits"), F.col("b_bits")) <= NEAR_BITS)
-    pairs = met[0].join(met[1], ["i", "v"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = hashed.join(firsts, F.col("id") == F.col("first"), "left_semi")
+    limit = NEAR_DIFFERENCE * height * width / ((height - 2) * (width - 2)) + 1e-6
+    measured = one.select("id", pixels.udf(pixels.difference_hash, height, width, T.LongType())("rgb").alias("bits"), pixels.udf(pixels.contrasts, height, width)("rgb").alias("c"))
+    measured = materialize(measured, "contrasts")
+    n = 5
+    cell = lambda v: F.floor(v / (2 * limit)).cast("long")
+    # The middle one of the shifts is none.
+    own = [F.col("c")[_KEPT * n + j] for j in range(n)]
+    ends = [F.array_distinct(F.array(cell(v - limit), cell(v + limit))) for v in own]
+    around = reduce(_crossed, ends[1:], F.transform(ends[0], lambda k: F.array(k)))
+    lies = F.array_distinct(F.array(*[F.array(*[cell(F.col("c")[s * n + j]) for j in range(n)]) for s in range(_SHIFTS)]))
+    looks = measured.select(F.col("id").alias("a"), F.col("bits").alias("a_bits"), F.explode(around).alias("k"))
+    held = materialize(measured.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"), F.explode(lies).alias("k")), "cells")
+    crowded = held.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("k")
+    few = F.broadcast(crowded)  # at most 1 in HOT of nine cells for each picture
+    close = (F.col("a") < F.col("b")) & (hamming(F.col("a_bits"), F.col("b_bits")) <= NEAR_BITS)
+    calm = looks.join(few, "k", "left_anti").join(held, "k")
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    dealt = looks.join(few, "k", "left_semi").withColumn("s", salt("a")).join(held.join(few, "k", "left_semi").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["k", "s"])
+    pairs = calm.where(close).select("a", "b").union(dealt.where(close).select("a", "b")).distinct()
 
     @F.pandas_udf(T.DoubleType())
     def difference(x: pd.Series, y: pd.Series) -> pd.Series:

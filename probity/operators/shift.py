@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions import stats
+from probity.functions import ordered, stats
 from probity.operators.vectors import BLOCK_ROWS
 from probity.sources.storage import materialize
 
@@ -31,11 +31,12 @@ def feature_tests(long: DataFrame, feature: str, value: str, is_current: Column)
     return joined.select("feature", "n_ref", "n_cur", "ks", adjusted.alias("p_adjusted"), (adjusted < SIGNIFICANT).alias("shifted"), ((F.col("c") - F.col("r")) / (F.abs("r") + 1e-6)).alias("change"))
 
 
-def window_shift(long: DataFrame, keys: list[str], feature: str = "feature", value: str = "v", is_current: str = "cur") -> DataFrame:
+def window_shift(long: DataFrame, keys: list[str], feature: str = "feature", value: str = "v", is_current: str = "cur", mmd: DataFrame | None = None) -> DataFrame:
     """keys, n, shifted_features, shifted, driver, driver_fraction of each window's features (keys, feature, v, cur).
 
     Each feature is tested against the reference of its window, corrected by their number. The driver is the feature with the
-    largest share of current values outside the reference's 1 to 99 percentile (the first by name on a tie).
+    largest share of current values outside the reference's 1 to 99 percentile (the first by name on a tie). A window is
+    shifted if a feature is, or if its permutation probability (``mmd``: keys, p_value) is below the level too.
     """
     by = [*keys, feature]
     tests = stats.ks_two_sample(long, value, F.col(is_current), by)
@@ -45,7 +46,10 @@ def window_shift(long: DataFrame, keys: list[str], feature: str = "feature", val
     outside = long.where(is_current).join(band, by).groupBy(*by).agg(F.avg(out.cast("double")).alias("_out"))
     joined = tests.join(many, keys).join(outside, by).withColumn("_s", (F.least(F.lit(1.0), F.col("p_value") * F.col("_m")) < SIGNIFICANT).cast("int"))
     per = joined.groupBy(*keys).agg(F.max("n_cur").alias("n"), F.sum("_s").cast("long").alias("shifted_features"), F.max("_out").alias("driver_fraction"), F.min(F.struct((-F.col("_out")).alias("o"), F.col(feature).alias("f"))).alias("_d"))
-    return per.select(*keys, "n", "shifted_features", (F.col("shifted_features") > 0).alias("shifted"), F.col("_d.f").alias("driver"), "driver_fraction")
+    if mmd is not None:
+        per = per.join(mmd.select(*keys, (F.col("p_value") < SIGNIFICANT).alias("_mmd")), keys, "left")
+    also = F.coalesce(F.col("_mmd"), F.lit(False)) if mmd is not None else F.lit(False)
+    return per.select(*keys, "n", "shifted_features", ((F.col("shifted_features") > 0) | also).alias("shifted"), F.col("_d.f").alias("driver"), "driver_fraction")
 
 
 def top_changes(tests: DataFrame, k: int = 3) -> DataFrame:
@@ -91,40 +95,33 @@ def attribution(window: DataFrame) -> DataFrame:
 class Pairs:
     """Squared distances of every vector to every vector (id, embedding, cur), for kernel sums over whole tables.
 
-    The vectors are sent in blocks of at most ``block_rows``; each task measures its rows against a block
-    in small chunks. No pair is left out and none is stored.
+    Vectors are dealt to blocks of at most ``block_rows``, and each two blocks meet in one task, in one order: what is
+    summed over a pair counts for both orders. A task measures small chunks of rows. No pair is left out, none is stored, and no
+    vector goes through the driver.
     """
 
     def __init__(self, df: DataFrame, block_rows: int = BLOCK_ROWS) -> None:
-        self.df = materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism, "id"), "pairs")
+        self.df = materialize(df.select("id", "embedding", F.col("cur").cast("int").alias("cur")), "pairs")
         self.n = self.df.count()
-        blocks = max(1, -(-self.n // block_rows))
-        self.sent = []
-        for b in range(blocks):
-            rows = self.df.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-            if len(rows):
-                self.sent.append(df.sparkSession.sparkContext.broadcast(_arrays(rows)))
+        spread = min(math.isqrt(2 * df.sparkSession.sparkContext.defaultParallelism) + 1, -(-self.n // CHUNK))
+        self.blocks = max(1, -(-self.n // block_rows), spread)
 
     def over(self, fn: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-        """fn(ids, cur, own, squares, the block's cur) of every chunk of rows and block."""
-
-        def one(sent) -> DataFrame:
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                ids, cur, matrix = sent.value
-                norms = np.einsum("ij,ij->i", matrix, matrix)
-                for batch in batches:
-                    for i in range(0, len(batch), CHUNK):
-                        a, c, x = _arrays(batch.iloc[i : i + CHUNK])
-                        scale = np.einsum("ij,ij->i", x, x)[:, None] + norms
-                        squares = np.clip(scale - 2.0 * (x @ matrix.T), 0.0, None)
-                        own = a[:, None] == ids
-                        # Equal vectors are at 0, not at what rounding leaves.
-                        squares[own | (squares <= 1e-13 * scale)] = 0.0
-                        yield fn(a, c, own, squares, cur)
-
-            return self.df.mapInPandas(run, schema)
-
-        return reduce(DataFrame.unionByName, map(one, self.sent))
+        """fn(one, two, chunks, twice) of each two blocks: chunks gives rows of the first and their distances to the second; twice where these are two different blocks."""
+        block, other = F.pmod(F.xxhash64("id"), F.lit(self.blocks)), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1)))
+        rows = self.df.withColumn("_b", block.cast("int")).withColumn("_o", other)
+        dealt = rows.select("id", "embedding", "cur", F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"), (F.col("_b") > F.col("_o")).alias("_second"))
+
+        def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            second = group["_second"].to_numpy(dtype=bool)
+            twice = key[0] != key[1]
+            one = _arrays(group[~second])
+            two = _arrays(group[second]) if twice else one
+            if not len(one[0]) or not len(two[0]):
+                return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return fn(one, two, _chunks(one, two), twice)
+
+        return dealt.groupBy("_p", "_q").applyInPandas(meet, schema)
 
     def median(self, positive: bool = False) -> float:
         """The median distance of two different vectors (only of those apart, if ``positive``); 0 without any.
@@ -135,9 +132,9 @@ class Pairs:
         def kept(own: np.ndarray, squares: np.ndarray) -> np.ndarray:
             return squares[(squares > 0) if positive else ~own]
 
-        def extent(a, c, own, squares, cur) -> pd.DataFrame:
-            d = kept(own, squares)
-            return pd.DataFrame({"n": [len(d)], "top": [d.max() if len(d) else 0.0]})
+        def extent(one, two, chunks, twice) -> pd.DataFrame:
+            found = [(len(d) * (1 + twice), d.max() if len(d) else 0.0) for d in (kept(own, squares) for _, own, squares in chunks)]
+            return pd.DataFrame({"n": [sum(n for n, _ in found)], "top": [max(t for _, t in found)]})
 
         n, top = self.over(extent, "n long, top double").agg(F.sum("n"), F.max("top")).first()
         if not n or not top:
@@ -145,10 +142,11 @@ class Pairs:
         low, high, before, inside, rank = 0.0, top * (1 + 1e-9), 0, n, (n - 1) // 2
         while inside > SORTED and high - low > 1e-12 * high:
 
-            def count(a, c, own, squares, cur, low=low, high=high) -> pd.DataFrame:
-                d = kept(own, squares)
-                at = np.clip(np.floor((d - low) * (BINS / (high - low))), -1, BINS).astype(np.int64) + 1
-                k = np.bincount(at, minlength=BINS + 2)
+            def count(one, two, chunks, twice, low=low, high=high) -> pd.DataFrame:
+                k = np.zeros(BINS + 2, dtype=np.int64)
+                for _, own, squares in chunks:
+                    at = np.clip(np.floor((kept(own, squares) - low) * (BINS / (high - low))), -1, BINS).astype(np.int64) + 1
+                    k += np.bincount(at, minlength=BINS + 2) * (1 + twice)
                 return pd.DataFrame({"bin": np.flatnonzero(k), "n": k[k > 0]})
 
             counts = np.zeros(BINS + 2, dtype=np.int64)
@@ -159,11 +157,14 @@ class Pairs:
             width = (high - low) / BINS
             before, inside, low, high = int(ends[at - 1]), int(counts[at]), low + (at - 1) * width, low + at * width
 
-        def rest(a, c, own, squares, cur) -> pd.DataFrame:
-            d = kept(own, squares)
-            part, above = d[(d >= low) & (d < high)], d[d >= high]
-            values, k = np.unique(part, return_counts=True)
-            return pd.DataFrame({"d": [*values, *([above.min()] if len(above) else [])], "n": [*k, *([0] if len(above) else [])]})
+        def rest(one, two, chunks, twice) -> pd.DataFrame:
+            parts, above = [], []
+            for _, own, squares in chunks:
+                d = kept(own, squares)
+                parts.append(d[(d >= low) & (d < high)])
+                above += [d[d >= high].min()] if (d >= high).any() else []
+            values, k = np.unique(np.concatenate(parts), return_counts=True)
+            return pd.DataFrame({"d": [*values, *([min(above)] if above else [])], "n": [*(k * (1 + twice)), *([0] if above else [])]})
 
         got = self.over(rest, "d double, n long").groupBy("d").agg(F.sum("n").alias("n")).groupBy("n", "d").count().orderBy("d").collect()
         values, ends = np.array([r.d for r in got if r.n]), np.cumsum([r.n for r in got if r.n])
@@ -177,11 +178,19 @@ class Pairs:
         return float((first + (place(rank + 1) if rank + 1 - before < ends[-1] or not above else above[0])) / 2)
 
     def kernel_sums(self, width: float) -> DataFrame:
-        """id, x, y, n, total: of each vector of kind x the sum of its RBF kernel with all n vectors of kind y."""
-
-        def sums(a, c, own, squares, cur) -> pd.DataFrame:
-            kernel = np.exp(squares / -width) if width else (squares == 0).astype(float)
-            return pd.concat([pd.DataFrame({"id": a, "x": c, "y": y, "n": int((cur == y).sum()), "total": kernel[:, cur == y].sum(axis=1)}) for y in (0, 1)])
+        """id, x, y, n, total: of each vector of kind x the sum of its RBF kernel with n vectors of kind y, in as many rows as blocks."""
+
+        def sums(one, two, chunks, twice) -> pd.DataFrame:
+            out, back = [], np.zeros((2, len(two[0])))
+            for at, _, squares in chunks:
+                kernel = np.exp(squares / -width) if width else (squares == 0).astype(float)
+                kinds = one[1][at]
+                for y in (0, 1):
+                    out.append(pd.DataFrame({"id": one[0][at], "x": kinds, "y": y, "n": int((two[1] == y).sum()), "total": kernel[:, two[1] == y].sum(axis=1)}))
+                    back[y] += kernel[kinds == y].sum(axis=0)
+            if twice:
+                out += [pd.DataFrame({"id": two[0], "x": two[1], "y": y, "n": int((one[1] == y).sum()), "total": back[y]}) for y in (0, 1)]
+            return pd.concat(out)
 
         return self.over(sums, "id long, x int, y int, n long, total double").where("n > 0")
 
@@ -190,30 +199,45 @@ def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows["id"].to_numpy(dtype=np.int64), rows["cur"].to_numpy(dtype=np.int32), np.array(rows["embedding"].tolist(), dtype=np.float64)
 
 
+def _chunks(one: tuple, two: tuple) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Of ``CHUNK`` rows of ``one`` at a time: which ones, where they are themselves, and their squared distances to ``two``."""
+    ids, matrix = two[0], two[2]
+    norms = np.einsum("ij,ij->i", matrix, matrix)
+    for i in range(0, len(one[0]), CHUNK):
+        at = slice(i, i + CHUNK)
+        x = one[2][at]
+        scale = np.einsum("ij,ij->i", x, x)[:, None] + norms
+        squares = np.clip(scale - 2.0 * (x @ matrix.T), 0.0, None)
+        own = one[0][at][:, None] == ids
+        # Equal vectors are at 0, not at what rounding leaves.
+        squares[own | (squares <= 1e-13 * scale)] = 0.0
+        yield at, own, squares
+
+
 def mmd_permutation(pairs: Pairs, permutations: int = 200, seed: int = 0) -> tuple[float, float]:
     """``stats.mmd_test`` of all reference vectors (cur 0) against the current ones (cur 1), both ordered by id.
 
     With weights 1/n, and -1/m on a set S of m vectors, the form w' K w needs only the kernel's whole sum, its row sums
-    on S and the few values inside S; so the reference's kernel is summed in blocks and never held.
+    on S and the few values inside S. Row sums are taken in pairs of blocks; the driver draws the places of the sets, each set's vectors meet in a
+    task of their own, and a number for each set comes back.
     """
-    place = pairs.df.select("cur", "id").toPandas().sort_values(["cur", "id"])
-    ids, m = place["id"].to_numpy(), int(place["cur"].sum())
-    n = len(ids) - m
-    rng = np.random.default_rng(seed)
-    weights = np.repeat([1.0 / n, -1.0 / m], [n, m])
-    sets = [np.flatnonzero(w < 0) for w in (weights, *(rng.permutation(weights) for _ in range(permutations)))]
+    spark = pairs.df.sparkSession
+    m = pairs.df.where("cur = 1").count()
+    n = pairs.n - m
     width = pairs.median(positive=True) or 1.0
-    sums = pairs.kernel_sums(width).groupBy("id").agg(F.sum("total").alias("r")).toPandas().set_index("id")["r"].reindex(ids).to_numpy()
-    used = np.unique(np.concatenate(sets))
-    wanted = pairs.df.sparkSession.createDataFrame(pd.DataFrame({"id": ids[used]}), "id long")
-    held = pairs.df.join(F.broadcast(wanted), "id", "left_semi").select("id", "embedding").toPandas().set_index("id")["embedding"].reindex(ids[used])
-    matrix = np.array(held.tolist(), dtype=np.float64)
-
-    def inside(s: np.ndarray) -> float:
-        x = matrix[np.searchsorted(used, s)]
+    sums = materialize(pairs.kernel_sums(width).groupBy("id").agg(F.sum("total").alias("r")), "sums")
+    whole = sums.agg(F.sum("r")).first()[0]
+    sets = stats.trial_sets(n, m, permutations, seed)
+    drawn = spark.createDataFrame(pd.DataFrame({"trial": np.repeat(np.arange(len(sets)), m), "at": sets.ravel()}), "trial long, at long")
+    placed = ordered.numbered(pairs.df, ["cur", "id"], "at", first=0).join(F.broadcast(drawn), "at")
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(rows["embedding"].tolist(), dtype=np.float64)
         d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=-1)
-        return float(np.exp(d / -width).sum())
+        return pd.DataFrame({"trial": rows["trial"].iloc[:1], "own": [float(np.exp(d / -width).sum())], "r": [rows["r"].sum()]})
 
     a, b = 1.0 / n, 1.0 / n + 1.0 / m
-    values = np.array([a * a * sums.sum() - 2 * a * b * sums[s].sum() + b * b * inside(s) for s in sets])
-    return float(values[0]), float((1 + np.count_nonzero(values[1:] >= values[0])) / (permutations + 1))
+    value = F.lit(a * a * whole) - 2 * a * b * F.col("r") + b * b * F.col("own")
+    trials = placed.join(sums, "id").select("trial", "embedding", "r").groupBy("trial").applyInPandas(inside, "trial long, own double, r double").select("trial", value.alias("value"))
+    got = {r.trial: r.value for r in trials.collect()}
+    return float(got[0]), float((1 + sum(v >= got[0] for k, v in got.items() if k)) / (permutations + 1))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.sources.storage import materialize
+
 K_LABEL, VOTE_SHARE = 11, 0.7
 #: Vectors of the current window.
 WINDOW = 60
@@ -30,9 +32,9 @@ def _top(own: np.ndarray, queries: list, ids: np.ndarray, matrix: np.ndarray, k:
 def knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """query_id, ref_id, sim (nine places), rank of the k most similar reference vectors, ties by ref_id.
 
-    A reference of at most ``BLOCK_ROWS`` vectors is sent to the tasks. A larger one is dealt by hash to blocks on the
-    executors, queries to slices, and every slice meets every block in a task of its own. Each gives k candidates
-    for a query, and the candidates are ranked together. All pairs are measured, as the result is exact.
+    A reference of at most ``BLOCK_ROWS`` vectors is sent to the tasks. A larger one is cut into cells around pivots
+    (``_cells``); a query visits the cells that the triangle inequality can't rule out, and the result is exact. Vectors are taken to have unit length
+    for the bound; others have a bound by their own length.
     """
     spark, schema = queries.sparkSession, "query_id long, ref_id long, sim double"
     n = reference.count()
@@ -48,24 +50,103 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "vec_id"
 
         found = queries.select(id_col, vector).mapInPandas(near, schema)
     else:
-        blocks, slices = -(-n // BLOCK_ROWS), -(-max(1, queries.count()) // BLOCK_ROWS)
-        part = lambda m: F.pmod(F.xxhash64(id_col), F.lit(m)).cast("int")
-        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        one = queries.select(id_col, vector, part(slices).alias("s")).withColumn("b", every(blocks))
-        two = reference.select(id_col, vector, part(blocks).alias("b")).withColumn("s", every(slices))
-
-        def meet(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(r):
-                return pd.DataFrame({"query_id": [], "ref_id": [], "sim": []})
-            ids, matrix = r[id_col].to_numpy(dtype=np.int64), np.array(r[vector].tolist(), dtype=np.float64)
-            cut = [q.iloc[i : i + 1024] for i in range(0, len(q), 1024)]
-            return pd.concat([_top(c[id_col].to_numpy(dtype=np.int64), c[vector].tolist(), ids, matrix, k, exclude_self) for c in cut])
-
-        found = one.groupBy("s", "b").cogroup(two.groupBy("s", "b")).applyInPandas(meet, schema)
+        refs, asked, pivots = _cells(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")), reference.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")), n)
+        # The nearest cell gives k candidates, and with the least of them a bound for all others.
+        first = materialize(_measure(refs, asked.select("id", "v", F.col("order")[0].alias("cell")), k, exclude_self, schema), "first")
+        bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_sim"))
+        visits = visited(asked, bound, k).where(F.col("cell") != F.col("order")[0])
+        found = first.unionByName(_measure(refs, visits.select("id", "v", "cell"), k, exclude_self, schema))
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Pivots at most, and reference vectors for each of them.
+PIVOTS, PER_PIVOT = 4096, 1_000
+#: Rounding of similarities, to nine places, and of distances that they are taken from.
+_SLACK = 1e-6
+
+
+def _cells(queries: DataFrame, reference: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """Reference rows (cell, id, v), and queries (id, v, order: cells by distance, gaps: how near any vector of each may lie), both written.
+
+    Pivots are reference vectors of the least hash, so many that a cell has some ``PER_PIVOT``; they are sent to the tasks, at most ``PIVOTS`` of them. A
+    vector belongs to its nearest pivot; a cell's radius is the distance of its farthest vector, so another vector lies at
+    least the distance to the pivot less the radius away from all of a cell.
+    """
+    spark, count = reference.sparkSession, int(min(PIVOTS, max(2, -(-n // PER_PIVOT))))
+    chosen = reference.orderBy(F.xxhash64("id"), "id").limit(count).select("v").toPandas()["v"].tolist()
+    sent = spark.sparkContext.broadcast(np.array(chosen, dtype=np.float64))
+
+    def distances(rows: pd.Series) -> np.ndarray:
+        x, p = np.array(rows.tolist(), dtype=np.float64), sent.value
+        squares = (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * (x @ p.T)
+        return np.sqrt(np.clip(squares, 0.0, None))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                d = distances(batch["v"])
+                yield batch.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+
+    kind = dict(reference.dtypes)["v"]
+    refs = materialize(reference.mapInPandas(assign, f"id long, v {kind}, cell int, far double"), "cells")
+    radii = {r.cell: r.r for r in refs.groupBy("cell").agg(F.max("far").alias("r")).collect()}  # one number for each pivot
+    radius = np.array([radii.get(i, -np.inf) for i in range(len(chosen))])
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        real = np.flatnonzero(np.isfinite(radius))
+        for batch in batches:
+            if len(batch):
+                d = distances(batch["v"])[:, real]
+                order = np.argsort(d, axis=1)
+                gaps = np.take_along_axis(np.clip(d - radius[real], 0.0, None), order, axis=1)
+                yield batch.assign(order=real[order].astype(np.int32).tolist(), gaps=gaps.tolist())
+
+    asked = materialize(queries.mapInPandas(ranked, f"id long, v {kind}, order array<int>, gaps array<double>"), "asked")
+    return refs.select("cell", "id", "v"), asked, len(chosen)
+
+
+def visited(asked: DataFrame, bound: DataFrame, k: int) -> DataFrame:
+    """``asked`` once for each cell that may hold one of its k nearest, given the least of k similarities found so far (bound: query_id, _n, _sim).
+
+    Unit vectors at distance d have the similarity 1 - d * d / 2. Vectors of other lengths, and queries with fewer than k candidates, visit every cell.
+    """
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    known = asked.join(bound, F.col("id") == F.col("query_id"), "left")
+    farthest = F.when((F.col("_n") >= k) & (F.abs(length - 1) < _SLACK), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_sim"))) + F.sqrt(F.lit(_SLACK)))
+    cells = F.filter(F.arrays_zip("order", "gaps"), lambda c: farthest.isNull() | (c["gaps"] <= farthest))
+    return known.select("id", "v", "order", F.explode(F.transform(cells, lambda c: c["order"])).alias("cell"))
+
+
+def _measure(refs: DataFrame, asked: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
+    """The k most similar reference vectors of the same cell for each query (id, v, cell).
+
+    A cell's vectors come first in its partition and stay while its queries stream past them, so a cell that all queries visit needs no
+    copies; of a large cell ``BLOCK_ROWS`` vectors are measured at a time.
+    """
+    both = refs.select("cell", F.lit(0).alias("kind"), "id", "v").unionByName(asked.select("cell", F.lit(1).alias("kind"), "id", "v"))
+    dealt = both.repartition("cell").sortWithinPartitions("cell", "kind")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, ids, rows = None, [], []
+        block: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for (at, kind), part in batch.groupby(["cell", "kind"], sort=True):
+                if at != cell:
+                    cell, ids, rows, block = at, [], [], []
+                if kind == 0:
+                    ids += part["id"].tolist()
+                    rows += part["v"].tolist()
+                    continue
+                if ids:
+                    block += [(np.array(ids[i : i + BLOCK_ROWS], dtype=np.int64), np.array(rows[i : i + BLOCK_ROWS], dtype=np.float64)) for i in range(0, len(ids), BLOCK_ROWS)]
+                    ids, rows = [], []
+                for some, matrix in block:
+                    yield _top(part["id"].to_numpy(dtype=np.int64), part["v"].tolist(), some, matrix, k, exclude_self)
+
+    return dealt.mapInPandas(run, schema)
+
+
 def label_vote(neighbours: DataFrame, reference: DataFrame, queries: DataFrame, id_col: str = "vec_id", label: str = "label", share: float = VOTE_SHARE) -> DataFrame:
     """query_id, given, majority, votes, share, flagged: the neighbours' majority against the given label.
 

@@ -152,3 +152,42 @@ def test_onnx_parameters():
     got = onnx_models.initializers(onnx_models.export(network))
     assert got.keys() == {"w0", "b0", "w1", "b1"} and np.allclose(got["w0"], network.layers[0][0], atol=1e-6) and got["w1"].shape == (5, 2)
     assert onnx_models.available()[".pt"] is False
+
+
+def test_resize_is_a_shrinking_filter():
+    """Bytes after each direction, triangles as wide as the step; against a plain loop."""
+    x = np.random.default_rng(4).integers(0, 256, (2, 48, 30)).astype(np.uint8)
+
+    def line(values, m):
+        n, out = len(values), []
+        step = n / m
+        for i in range(m):
+            centre = (i + 0.5) * step
+            w = [max(0.0, 1 - abs(j + 0.5 - centre) / max(step, 1.0)) for j in range(n)]
+            out.append(min(255, max(0, int(np.floor(sum(a * b for a, b in zip(w, values, strict=True)) / sum(w) + 0.5)))))
+        return out
+
+    for h, w in ((8, 9), (60, 40), (48, 30)):
+        got = pixels.resize(x, h, w)
+        for i in range(2):
+            rows = np.array([line(r.tolist(), w) for r in x[i].astype(float)])
+            want = np.array([line(c.tolist(), h) for c in rows.T.astype(float)]).T
+            assert np.abs(got[i] - want).max() <= 1 and (got[i] != want).mean() < 0.01
+    assert (pixels.resize(x, 48, 30) == x).all()
+
+
+def test_contrasts_bound_the_difference():
+    """What the join goes by: no pair of a small shifted difference lies farther apart than the bound."""
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        a = rng.integers(0, 256, (12, 14, 3)).astype(np.uint8)
+        b = np.clip(np.roll(a, rng.integers(-1, 2, 2), axis=(0, 1)) + rng.normal(rng.uniform(-6, 6), 3, a.shape), 0, 255).astype(np.uint8)
+        d = pixels.shifted_difference(a, b)
+        one, all_ = pixels.contrasts(a[None])[0, 4], pixels.contrasts(b[None])[0]
+        assert (np.abs(all_ - one).max(axis=1)).min() <= d * 12 * 14 / (10 * 12) + 1e-9
+
+
+def test_near_pairs_of_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(images, "HOT", 3)
+    monkeypatch.setattr(images, "SALTS", 4)
+    test_near_pairs_equal_all_pairs(spark)

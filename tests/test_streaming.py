@@ -46,3 +46,22 @@ def test_nonces_are_kept_once(spark):
     df = spark.createDataFrame([_row(1), _row(2, nonce=1)], RECORD)
     assert ingest.dedup_nonces(df).count() == 1
     assert df.where(F.col("nonce") == 1).count() == 2
+
+
+def test_order_of_a_micro_batch(spark, tmp_path):
+    """5,000 records of one stream in one micro-batch: the order is that of arrival, whatever the size of the batches in which they come to Python."""
+    rising, falling = [_row(i, seq=i) for i in range(1, 5001)], [(*_row(10_000 + i, seq=9000 - i)[:1], 2, *_row(10_000 + i, seq=9000 - i)[2:]) for i in range(1, 5001)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    results = []
+    for size in ("100", "10000"):
+        spark.conf.set(key, size)
+        try:
+            source = _files(spark, tmp_path / size, rising + falling)
+            ingest.monotonic(source).writeStream.format("memory").queryName(f"order_{size}").outputMode("append").option("checkpointLocation", str(tmp_path / size / "cp")).trigger(availableNow=True).start().awaitTermination()
+            results.append(sorted((r.record_id, r.accepted) for r in spark.table(f"order_{size}").collect()))
+        finally:
+            spark.conf.set(key, before)
+    assert results[0] == results[1]
+    # Of the falling ones only the first to arrive is above all before it.
+    assert [i for i, ok in results[0] if ok] == [*range(1, 5001), 10_001]
