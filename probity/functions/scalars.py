@@ -95,6 +95,38 @@ def percent(share: Column) -> Column:
     return F.format_string("%.0f%%", share.cast("double") * 100)
 
 
+def formatted(number: Column, spec: str) -> Column:
+    """A number as Python formats it: the exact binary value is rounded, which Java's formatter doesn't do."""
+
+    @F.pandas_udf(T.StringType())
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: format(v, spec), na_action="ignore")
+
+    return text(number.cast("double"))
+
+
+def fixed(number: Column, places: int = 3) -> Column:
+    """A number with so many places."""
+    return formatted(number, f".{places}f")
+
+
+def scientific(number: Column, places: int = 2) -> Column:
+    """A number as 1.23e-04: so many places and an exponent of at least two digits."""
+    return formatted(number, f".{places}e")
+
+
+def age(then: Column, now: Column) -> Column:
+    """How long ago a time stamp was, in the largest whole unit: 5s, 3m, 2h, 4d; what lies ahead is now."""
+    seconds = F.greatest(F.lit(0), F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp")))
+    unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(name))
+    return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def nonce() -> Column:
+    """128 random bits as 32 hex digits."""
+    return F.lower(F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
 def clock(ts: Column) -> Column:
     """The time of day of a time stamp."""
     return F.date_format(ts, "HH:mm:ss")

@@ -292,3 +292,68 @@ def previous_versions(registry: DataFrame, predictions: DataFrame, current: Data
     older = registry.where(F.col("previous_version").isNotNull()).join(predictions.withColumnsRenamed({"model": "previous_version", "predicted": "_old"}), "previous_version")
     joined = older.join(current, "id")
     return joined.groupBy("model", F.col("previous_version").alias("previous")).agg(F.avg((F.col("_old") == F.col("predicted")).cast("double")).alias("agreement"))
+
+
+#: Rows that a network is fitted on at most, and records that one loading of a model serves.
+SAMPLE_ROWS, REPLAY_ROWS = 20_000, 10_000
+
+
+def fit_sample(df: DataFrame, id_col: str, n: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
+    """The rows that a small network is fitted on: all of at most ``n``, else those of the least seeded hash of their id."""
+    return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n)
+
+
+class Centroids:
+    """A model of one vector for each class; the class of the largest product is predicted, the first of equal ones."""
+
+    def __init__(self, classes: list[str], weights: np.ndarray) -> None:
+        self.classes, self.weights = classes, np.asarray(weights, dtype=np.float64)
+
+    @classmethod
+    def fitted(cls, df: DataFrame, label: str, vector: str) -> Centroids:
+        """Class means, summed where the rows are: only classes times dimensions numbers come to the driver."""
+        means = df.select(F.col(label).cast("string").alias("c"), F.posexplode(vector).alias("i", "v")).groupBy("c", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+        held: dict[str, dict[int, float]] = {}
+        for r in means.collect():
+            held.setdefault(r.c, {})[r.i] = r.m
+        classes = sorted(held)
+        return cls(classes, np.array([[held[c][i] for i in sorted(held[c])] for c in classes]))
+
+    def artefact(self) -> bytes:
+        import json
+
+        return json.dumps({"kind": "centroids", "classes": self.classes, "weights": self.weights.tolist()}, sort_keys=True).encode()
+
+    def labels(self, x: np.ndarray) -> list[str]:
+        return [self.classes[i] for i in (np.asarray(x, dtype=np.float64) @ self.weights.T).argmax(axis=1)]
+
+
+def load_artefact(data: bytes) -> Centroids:
+    """The model in an artefact's bytes; only the built-in format, others by a loader of the caller."""
+    import json
+
+    doc = json.loads(data)
+    if doc.get("kind") != "centroids":
+        raise ValueError("an artefact of another format")
+    return Centroids(doc["classes"], np.array(doc["weights"]))
+
+
+def rerun(records: DataFrame, artefacts: DataFrame, vector: str = "embedding", load: Callable[[bytes], Centroids] = load_artefact, rows: int = REPLAY_ROWS) -> DataFrame:
+    """record_id, label of a new run of the registered model that each record (record_id, model_sha256, vector) is bound to.
+
+    artefacts has sha256, artefact (bytes) of what is registered; bytes whose digest isn't the stated one are not run, nor are records
+    without an artefact. Records are grouped by digest, at most some ``rows`` of them in a task, and each task loads its model once.
+    """
+    sizes = records.groupBy(F.col("model_sha256").alias("sha256")).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+    known = artefacts.where(F.sha2("artefact", 256) == F.col("sha256")).dropDuplicates(["sha256"]).join(sizes, "sha256")
+    parts = known.select("sha256", "artefact", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    placed = records.join(known.select(F.col("sha256").alias("model_sha256"), "parts"), "model_sha256").select("record_id", F.col("model_sha256").alias("sha256"), vector, F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int").alias("part"))
+    kind = dict(records.dtypes)["record_id"]
+
+    def run(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"record_id": [], "label": []})
+        model = load(held["artefact"].iloc[0])
+        return pd.DataFrame({"record_id": asked["record_id"], "label": model.labels(np.array(asked[vector].tolist(), dtype=np.float64))})
+
+    return placed.groupBy("sha256", "part").cogroup(parts.groupBy("sha256", "part")).applyInPandas(run, f"record_id {kind}, label string")

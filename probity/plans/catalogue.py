@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probity.functions import pixels, scalars, stats
+from probity.functions.registry import register
 from probity.operators import cases, components, evidence, images, models, records, samples, shift, vectors
 from probity.sources.storage import materialize, table
 
@@ -155,6 +156,37 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id % 4 <> 0"), e.where("vec_id % 4 = 0")
 
 
+@query("""
+WITH s AS (SELECT l_linenumber AS source, count(*) AS n, count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.09) AS k FROM lineitem GROUP BY 1),
+b AS (SELECT sum(k)::DOUBLE / sum(n) AS p FROM s)
+SELECT source, n, k, round(least(1.0::DOUBLE, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))), 6) AS p_value FROM s, b
+""")
+def binomial_tail_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact tail as a function of SQL, over groups that SQL makes."""
+    register(spark)
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("probity_lineitem")
+    return spark.sql("""
+        WITH s AS (SELECT l_linenumber AS source, count(*) AS n, count_if(l_returnflag = 'R' AND l_discount > 0.09) AS k FROM probity_lineitem GROUP BY 1),
+        b AS (SELECT sum(k) / sum(n) AS p FROM s)
+        SELECT source, n, k, round(binom_tail(k, n, p), 6) AS p_value FROM s CROSS JOIN b
+    """)
+
+
+@query("""WITH x AS (SELECT l_linenumber AS feature, l_quantity AS v, l_returnflag = 'R' AS cur FROM lineitem),
+n AS (SELECT feature, count(*) FILTER (NOT cur) AS n_ref, count(*) FILTER (cur) AS n_cur FROM x GROUP BY 1),
+c AS (SELECT feature, v, sum(CASE WHEN cur THEN 0 ELSE 1 END) OVER w AS r, sum(CASE WHEN cur THEN 1 ELSE 0 END) OVER w AS c FROM x WINDOW w AS (PARTITION BY feature ORDER BY v RANGE UNBOUNDED PRECEDING))
+SELECT feature AS mode, round(max(abs(r::DOUBLE / n_ref - c::DOUBLE / n_cur)), 9) AS ks FROM c JOIN n USING (feature) GROUP BY 1""")
+def ks_by_group_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-sample distance of each group as a function of SQL, over counts of distinct values."""
+    register(spark)
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("probity_lineitem")
+    return spark.sql("""
+        WITH counts AS (SELECT l_linenumber AS mode, l_quantity AS v, count_if(l_returnflag <> 'R') AS reference, count_if(l_returnflag = 'R') AS current FROM probity_lineitem GROUP BY 1, 2),
+        states AS (SELECT mode, collect_list(struct(v, reference, current)) AS s FROM counts GROUP BY 1)
+        SELECT mode, round(ks_statistic(s.v, transform(s, x -> named_struct('reference', x.reference, 'current', x.current))), 9) AS ks FROM states
+    """)
+
+
 @query(_SIMS.format(query="<> 0", where="", k=5) + "SELECT query_id, ref_id, round(sim, 6) AS sim, rank::INTEGER AS rank FROM k")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, reference = _split(spark, sf_dir)
@@ -739,10 +771,10 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A network fitted on all reference vectors against one fitted with another seed, over all vectors."""
+    """A network fitted on the reference vectors (at most ``models.SAMPLE_ROWS``) against one fitted with another seed, over all vectors."""
     import numpy as np
 
-    reference = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select("vec_id", "embedding", "label").toPandas().sort_values("vec_id")
+    reference = models.fit_sample(table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select("vec_id", "embedding", "label"), "vec_id").toPandas().sort_values("vec_id")
     x, y = np.array(reference["embedding"].tolist(), dtype=float), reference["label"].to_numpy()
     one, two = (models.train_network(x, y, tuple(map(str, range(10))), seed=s) for s in (0, 1))
     df = table(spark, sf_dir, "embeddings")

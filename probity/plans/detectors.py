@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -522,13 +524,48 @@ def appended_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_with_ids(old, new, "id", ["o_orderdate", "order_key"]).select("id", "order_key")
 
 
+_MEANS = "SELECT label, list(m ORDER BY i) AS w FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings WHERE vec_id % {0} = 0) GROUP BY label, i) GROUP BY label"
+
+
+@query(f"""
+WITH m AS (SELECT 0 AS model, * FROM ({_MEANS.format(4)}) UNION ALL SELECT 1, * FROM ({_MEANS.format(8)})),
+q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, CASE WHEN vec_id % 9 = 1 THEN 1 ELSE 0 END AS model FROM embeddings),
+p AS (SELECT vec_id, arg_max(label, [list_dot_product(e, w), -label]) AS label FROM q JOIN m USING (model) GROUP BY 1)
+SELECT vec_id AS record_id, CASE WHEN vec_id % 11 = 3 OR vec_id % 9 = 0 THEN 'skipped' WHEN vec_id % 67 = 10 THEN 'fail' ELSE 'pass' END AS "check", label::VARCHAR AS label FROM p WHERE vec_id % 9 <> 0
+UNION ALL SELECT vec_id, 'skipped', NULL FROM embeddings WHERE vec_id % 9 = 0
+""")
+def re_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of predictions against a new run of the model whose digest they are bound to: two registered models, records of a third, some altered, some of unverified inputs."""
+    e = table(spark, sf_dir, "embeddings")
+    made = [models.Centroids.fitted(e.where(f"vec_id % {k} = 0"), "label", "embedding").artefact() for k in (4, 8)]
+    digest = [hashlib.sha256(m).hexdigest() for m in made]
+    i = F.col("vec_id")
+    bound = F.when(i % 9 == 0, "unregistered").when(i % 9 == 1, digest[1]).otherwise(digest[0])
+    records_ = e.select(i.alias("record_id"), bound.alias("model_sha256"), "embedding", (i % 11 != 3).alias("input_ok"))
+    outputs = materialize(models.rerun(records_, spark.createDataFrame(list(zip(digest, map(bytearray, made), strict=True)), "sha256 string, artefact binary")), "outputs")
+    # What was recorded when the predictions were made, by the same rule in SQL, some of it altered since.
+    stated = records_.join(_stated(e), F.col("record_id") == F.col("of"), "left").withColumn("label", F.when(F.col("record_id") % 67 == 10, "altered").otherwise(F.col("stated")))
+    checked = cases.reexecution(stated.select("record_id", "input_ok", "model_sha256", "label"), outputs, spark.createDataFrame([(d,) for d in digest], "sha256 string"))
+    return checked.join(outputs.select("record_id", "label"), "record_id", "left").select("record_id", "check", "label")
+
+
+def _stated(e: DataFrame) -> DataFrame:
+    """of, stated: the class whose mean has the largest product with a vector, under the model that the vector's record is bound to."""
+    value = lambda df: df.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("w"))
+    means = value(e.where("vec_id % 4 = 0")).withColumn("model", F.lit(0)).unionByName(value(e.where("vec_id % 8 = 0")).withColumn("model", F.lit(1)))
+    asked = e.select(F.col("vec_id").alias("of"), "embedding", F.when(F.col("vec_id") % 9 == 1, 1).otherwise(0).alias("model"))
+    product = F.aggregate(F.zip_with("embedding", "w", lambda x, y: x.cast("double") * y["m"]), F.lit(0.0), lambda s, v: s + v)
+    scored = asked.join(F.broadcast(means), "model").select("of", "label", product.alias("p"))
+    return scored.groupBy("of").agg(F.max_by("label", F.struct("p", (-F.col("label")).alias("l"))).cast("string").alias("stated"))
+
+
 def _trained(spark: SparkSession, sf_dir: str):
     """A network on the pictures of the trusted reference, and those pictures."""
     import numpy as np
 
     reference = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0")
     pictures = materialize(images.vector_images(reference), "pictures")
-    rows = pictures.join(reference.select(F.col("vec_id").alias("id"), "label"), "id").select("id", "rgb", "label").toPandas().sort_values("id")
+    rows = models.fit_sample(pictures.join(reference.select(F.col("vec_id").alias("id"), "label"), "id").select("id", "rgb", "label"), "id").toPandas().sort_values("id")
     model = models.PictureModel(models.Network((), ()))
     x = model.vectors(np.stack([np.frombuffer(b, dtype=np.uint8).reshape(48, 48, 3) for b in rows["rgb"]]))
     return models.PictureModel(models.train_network(x, rows["label"].to_numpy(), tuple(map(str, range(10))), steps=60)), pictures
@@ -536,7 +573,7 @@ def _trained(spark: SparkSession, sf_dir: str):
 
 @query()
 def trigger_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve of the 24 searched patches and a candidate, by their flip rate; the network is fitted on the driver over the trusted reference."""
+    """Twelve of the 24 searched patches and a candidate, by their flip rate; the network is fitted on the trusted reference, at most ``models.SAMPLE_ROWS`` of it."""
     model, pictures = _trained(spark, sf_dir)
     candidate = {"pattern": "found", "x": 40, "y": 40, "pixels": pixels.trigger_patterns()["checker-white-black"], "target": 1, "source": "c/b3"}
     return models.top_tests(models.trigger_search(pictures, model, 48, 48, [candidate]))
@@ -549,7 +586,7 @@ def activation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "embeddings")
     reference = e.where("vec_id % 4 = 0")
-    rows = reference.select("vec_id", "embedding", "label").toPandas().sort_values("vec_id")
+    rows = models.fit_sample(reference.select("vec_id", "embedding", "label"), "vec_id").toPandas().sort_values("vec_id")
     network = models.train_network(np.array(rows["embedding"].tolist(), dtype=float), rows["label"].to_numpy(), tuple(map(str, range(10))), steps=60)
     return models.activation_stats(models.neuron_stats(e, network, "embedding"), models.neuron_stats(reference, network, "embedding"))
 

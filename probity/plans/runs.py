@@ -208,6 +208,18 @@ def scalar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT event_id, printf('%.3f', value) AS fixed, printf('%.2e', value) AS scientific,
+  CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h' ELSE s // 86400 || 'd' END AS age
+FROM (SELECT *, date_diff('second', ts, (SELECT max(ts) FROM events)) AS s FROM events)
+""")
+def scalar_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as texts, and how long each event was before the last one."""
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    return e.join(F.broadcast(last)).select("event_id", scalars.fixed(F.col("value")).alias("fixed"), scalars.scientific(F.col("value")).alias("scientific"), scalars.age(F.col("ts"), F.col("last")).alias("age"))
+
+
 @query("""
 WITH v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT *, list_sum(list_transform(v, lambda x: x * x)) AS q, list_sum(list_transform(v, lambda x: exp(x))) AS e FROM v)
 SELECT vec_id, round(v[1] / (sqrt(q) + 1e-6), 8) AS unit, round(exp(v[2]) / e, 8) AS soft, round((v[1] - v[2]) / (abs(v[2]) + 1e-6), 6) AS change, round(abs((v[3] - v[4]) / (0.5 + 0.001)), 8) AS z, round(1 - q, 8) AS cosine_distance FROM s
