@@ -7,7 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,6 +137,79 @@ def append_chained(spark: SparkSession, events: list[dict], path: str, head: tup
     return seq, prev
 
 
+class AuditLog:
+    """An append-only log in one folder: batches of chained rows, and a signed head for each append.
+
+    A head (``heads/<seq>.json``) names the batch it closes; only batches that a head names are in the log. Before anything is appended the last rows
+    are compared with the newest head and its signature, so a log that was cut off or changed at its end is refused. A head's file
+    is made only if there is none of that name: of two writers that append to one head one is refused and leaves no row.
+
+    ``sign`` (text to signature) and ``verify`` (text, signature to bool) are the caller's, as keys are not kept here.
+    """
+
+    ROWS = "seq long, event_type string, actor string, asset string, details string, prev_hash string, hash string"
+
+    def __init__(self, spark: SparkSession, root: str, sign: Callable[[str], str], verify: Callable[[str, str], bool]) -> None:
+        self.spark, self.root, self.sign, self.verify = spark, root.rstrip("/"), sign, verify
+
+    def _fs(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), target
+
+    def _names(self) -> list[str]:
+        fs, folder = self._fs(f"{self.root}/heads")
+        return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema("seq long, hash string, batch string, signature string").json([f"{self.root}/heads/{n}" for n in names])
+
+    def head(self) -> tuple[int, str]:
+        """seq and hash of the newest head; its signature and the rows that it closes must hold."""
+        names = self._names()
+        if not names:
+            return 0, "0" * 64
+        last = self._read(names[-1:]).first()
+        if not self.verify(f"{last.seq}:{last.hash}", last.signature):
+            raise PermissionError("the head's signature doesn't hold")
+        row = self._batch(last.batch).where(F.col("seq") >= last.seq).orderBy(F.col("seq").desc()).first()
+        if row is None or (row.seq, row.hash) != (last.seq, last.hash):
+            raise PermissionError("the log doesn't end where its head says")
+        return last.seq, last.hash
+
+    def _batch(self, name: str) -> DataFrame:
+        fs, folder = self._fs(f"{self.root}/rows/{name}")
+        return self.spark.read.schema(self.ROWS).parquet(str(folder.toString())) if fs.exists(folder) else self.spark.createDataFrame([], self.ROWS)
+
+    def append(self, events: list[dict]) -> tuple[int, str]:
+        """Chain events to the head and sign the new one; returns it. Refused if the log isn't whole or another writer was first."""
+        if not events:
+            return self.head()
+        before = self.head()
+        name = uuid.uuid4().hex
+        seq, digest = append_chained(self.spark, events, f"{self.root}/rows/{name}", before)
+        import json
+
+        body = json.dumps({"seq": seq, "hash": digest, "batch": name, "signature": self.sign(f"{seq}:{digest}")})
+        # The name is that of the head it follows, so a second writer meets the file.
+        fs, target = self._fs(f"{self.root}/heads/{before[0]:020d}.json")
+        try:
+            out = fs.create(target, False)
+        except Exception as taken:
+            _delete(self.spark, f"{self.root}/rows/{name}")
+            raise PermissionError("another writer has appended to this head") from taken
+        out.write(bytearray(body.encode()))
+        out.close()
+        return seq, digest
+
+    def rows(self) -> DataFrame:
+        """All rows that heads name, of all batches."""
+        names = self._names()
+        if not names:
+            return self.spark.createDataFrame([], self.ROWS)
+        batches = [r.batch for r in self._read(names).select("batch").collect()]  # one for each append
+        return self.spark.read.schema(self.ROWS).parquet(*[f"{self.root}/rows/{b}" for b in batches])
+
+
 class Store:
     """Documents, values and counters as append-only Parquet in one folder; the newest version of a key is in force.
 
@@ -165,9 +238,37 @@ class Store:
         if rows:
             self.spark.createDataFrame(rows, self._DOCS).coalesce(1).write.mode("append").partitionBy("name").parquet(f"{self.root}/docs")
 
+    def snapshot(self, label: str) -> int:
+        """Name the state of all tables as it is; nothing is copied, as versions are kept. Returns the version."""
+        now = self._version
+        self.put("snapshots", {label: now})
+        return now
+
+    def restore(self, label: str) -> None:
+        """All tables, values and counters as they were at a snapshot; what came since stays written but is out of force.
+
+        Later documents count again. Snapshots themselves are not undone.
+        """
+        version = self.get("snapshots", label)
+        if version is None:
+            raise KeyError(label)
+        self.put("restores", {uuid.uuid4().hex: [version, self._version]})
+
+    def _in_force(self, rows: DataFrame) -> DataFrame:
+        """Rows of versions that no restore has put out of force; one range for each restore."""
+        if not self._written():
+            return rows
+        import json
+
+        gone = [json.loads(r.doc) for r in self._all().where("name = 'restores'").select("doc").collect()]
+        for low, high in gone:
+            rows = rows.where(~((F.col("version") > low) & (F.col("version") <= high)))
+        return rows
+
     def documents(self, name: str, run_id: str | None = None) -> DataFrame:
         """id, run_id, doc of a table, by id; of one run if it is named."""
-        newest = latest(self._all().where(F.col("name") == name), ["id"], "version")
+        rows = self._all().where(F.col("name") == name)
+        newest = latest(rows if name in ("snapshots", "restores") else self._in_force(rows), ["id"], "version")
         return (newest.where(F.col("run_id") == run_id) if run_id else newest).select("id", "run_id", "doc").orderBy("id")
 
     def get(self, name: str, key: str, default: object = None) -> object:

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from probity.operators import report
 from probity.sources import datasets, storage
@@ -126,3 +127,67 @@ def test_scratch_paths_go(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         spark.read.parquet(one._probity_path).count()
     storage.release(two)
+
+
+def _signed(key="k"):
+    import hashlib
+
+    mark = lambda text: hashlib.sha256((key + text).encode()).hexdigest()
+    return mark, lambda text, given: mark(text) == given
+
+
+def test_log_is_compared_with_its_head_before_an_append(spark, tmp_path):
+    """A cut-off end, a changed end, a foreign signature and a second writer are refused; nothing of theirs is in the log."""
+    import shutil
+
+    from probity.operators import records
+    from probity.sources.storage import AuditLog
+
+    log = AuditLog(spark, str(tmp_path / "log"), *_signed())
+    assert log.rows().count() == 0 and log.head() == (0, "0" * 64)
+    first = log.append([{"event_type": "a", "actor": "x", "asset": "y"}, {"event_type": "b", "actor": "x", "asset": "y"}])
+    second = log.append([{"event_type": "c", "actor": "x", "asset": "z", "details": {"n": 1}}])
+    assert first[0] == 2 and second[0] == 3 and log.append([]) == second
+    rows = log.rows()
+    assert [r.seq for r in rows.orderBy("seq").collect()] == [1, 2, 3]
+    assert records.audit_problems(rows.withColumn("body", F.col("hash")), F.col("body")).count() == 0
+    other = AuditLog(spark, str(tmp_path / "log"), *_signed("another"))
+    with pytest.raises(PermissionError, match="signature"):
+        other.append([{"event_type": "d"}])
+    # Two writers that saw the same head.
+    late = AuditLog(spark, str(tmp_path / "log"), *_signed())
+    stale = late.head()
+    log.append([{"event_type": "e"}])
+    late.head = lambda: stale
+    with pytest.raises(PermissionError, match="another writer"):
+        late.append([{"event_type": "f"}])
+    assert sorted(r.event_type for r in log.rows().collect()) == ["a", "b", "c", "e"]
+    # The last batch's rows are gone: the log ends before its head.
+    last = log._read(log._names()[-1:]).first().batch
+    shutil.rmtree(tmp_path / "log" / "rows" / last)
+    with pytest.raises(PermissionError, match="end"):
+        log.append([{"event_type": "g"}])
+
+
+def test_snapshots_restore_all_tables(spark, tmp_path):
+    from probity.sources.storage import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.put("cases", {"C-1": {"s": 1}, "C-2": {"s": 1}})
+    store.set_value("mode", "clean")
+    assert store.next_ids("case", "C-", 3) == ["C-001"]
+    store.snapshot("clean")
+    store.put("cases", {"C-1": {"s": 2}, "C-3": {"s": 1}})
+    store.set_value("mode", "attacked")
+    assert store.next_ids("case", "C-", 3) == ["C-002"]
+    store.restore("clean")
+    read = lambda s: {r.id: r.doc for r in s.documents("cases").collect()}
+    assert read(store) == {"C-1": '{"s": 1}', "C-2": '{"s": 1}'} and store.value("mode") == "clean"
+    assert store.next_ids("case", "C-", 3) == ["C-002"]
+    store.put("cases", {"C-9": {"s": 3}})
+    again = Store(spark, str(tmp_path / "store"))
+    assert set(read(again)) == {"C-1", "C-2", "C-9"}
+    again.restore("clean")
+    assert set(read(again)) == {"C-1", "C-2"}
+    with pytest.raises(KeyError):
+        store.restore("unknown")
