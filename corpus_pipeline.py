@@ -25,28 +25,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic; the model is learnt from labelled rows outside the held-out third."""
+    """Documents that don't score as toxic; the model is learnt from labelled rows outside the held-out third.
+
+    Null and empty texts stay; repeated rows, null ids and very long texts are decided by their text; other columns are dropped.
+    """
     return drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; n_chars follows the text."""
+    """All documents, without the boilerplate lines of their source; n_chars follows the text.
+
+    A null text stays null, a null source is one of its own, a text of boilerplate alone becomes empty; repeated rows are cut alike.
+    """
     cut = drop_boilerplate(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id; of its rows of equal words one.
+
+    Rows without words or without an id are copies of nothing and stay.
+    """
     return keep_one(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a whole item of the benchmark; items under 24 bytes count verbatim, parts of items aren't looked for."""
+    """Documents that hold no item of the benchmark and no window of 100 bytes of one, within 8 % of edits.
+
+    Null and empty texts stay, null and empty items drop nothing; repeated rows are decided alike.
+    """
     return drop_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token pieces in sequences of at most 1024 ids."""
+    """The documents as token pieces in sequences of at most 1024 ids.
+
+    A null text is its end id alone, repeated rows are packed each, a very long text is cut into many pieces; an empty table gives none.
+    """
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), cache_words=PACKING_WORDS, slice_bytes=PACKING_BYTES)
 
 

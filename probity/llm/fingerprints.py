@@ -110,7 +110,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text is empty. Documents follow each other by id, nulls first, rows of equal id by text;
     after the last comes the first, and a lone document follows itself. Repeated rows each give a row, an empty
-    table none. Only doc_id and text are read.
+    table none. A very long text is hashed whole, at a larger block size. Only doc_id and text are read.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

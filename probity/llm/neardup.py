@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reached over links; kept is true for that document. A null or empty
     text, or one of white space, has no shingles and is linked with nothing; a text of fewer than five words is one
     shingle. A row with a null id is linked with nothing, has a null component and is kept. Rows of equal id and text
-    repeat their result; rows of one id and different texts are one node with the links of each. An
-    empty table gives no rows. Only doc_id and text are read.
+    repeat their result; rows of one id and different texts are one node with the links of each. A very long text is
+    one set of shingles. An empty table gives no rows. Only doc_id and text are read.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(sign(slim), "signatures")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm.common import table
+from probity.llm.common import materialize, table
+from probity.sources.storage import scratch
 
 
 def tokenizer_path(name: str) -> str:
@@ -14,10 +17,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A query's result, written; what its phases wrote before is deleted."""
+    with scratch(spark) as kept:
+        out = materialize(make(), name)
+        kept.append(out)
+    return out
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.substrings import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return _kept(spark, "op1", lambda: repeated_passages(table(spark, sf_dir, "documents")))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +40,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.fingerprints import neighbour_fingerprints
 
-    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+    return _kept(spark, "op3", lambda: neighbour_fingerprints(table(spark, sf_dir, "documents")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +70,7 @@ FROM kept
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.sharding import shard_documents
 
-    return shard_documents(table(spark, sf_dir, "documents"))
+    return _kept(spark, "op5", lambda: shard_documents(table(spark, sf_dir, "documents")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +82,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return _kept(spark, "op7", lambda: near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +94,13 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.toxicity import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _kept(spark, "op9", lambda: score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probity.llm.records import read_records, write_records
 
-    return read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2))
+    return _kept(spark, "op10", lambda: read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)))
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     """Encode ``docs`` (doc_id, text) and write record and index files; returns the written manifest.
 
     A null text is empty and has the end id alone; null ids come first; rows of equal id follow the
-    order of their texts; an empty table writes no file. Only doc_id and text are read, whatever other
+    order of their texts; an empty table writes no file. A very long text is one record. Only doc_id and text are read, whatever other
     columns there are.
     """
     folder = folder or new_path(docs.sparkSession, "records")

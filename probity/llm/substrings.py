@@ -264,8 +264,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Words are runs of anything but ASCII white space. A word is removed if it lies in ``LENGTH`` consecutive words that
     also begin somewhere in a document of smaller id; repeats inside one document or between rows of the
     same id stay. A null or empty text has no words; a shorter text loses none; a null id is neither smaller nor
-    larger than any, so its row loses nothing and takes nothing. Repeated rows repeat their result; an empty table
-    gives no rows. Only doc_id and text are read.
+    larger than any, so its row loses nothing and takes nothing. Repeated rows repeat their result; a very long text is
+    one sequence of words; an empty table gives no rows. Only doc_id and text are read.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialize(_survey(slim), "survey")

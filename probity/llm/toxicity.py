@@ -272,7 +272,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     Only doc_id and text are read; the score depends on the text alone. A null or empty text has no segment and gets the
     curve's lowest value; a null id is not held out; repeated rows are scored alike; labels of both kinds for one
-    id count as toxic. Without labels of both classes every score is 0; an empty table gives no rows.
+    id count as toxic; of passages of equal evidence the first counts. A very long text is scanned in time proportional to
+    its length. Without labels of both classes every score is 0; an empty table gives no rows.
     """
     model = train(docs, labels, sample)
     slim = docs.select("doc_id", "text")
@@ -294,7 +295,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all its columns, whose text scores under ``THRESHOLD``.
 
-    A row is decided by its own text, so no join is needed: the whole row passes through the scorer's batch.
+    A row is decided by its own text, so no join is needed: the whole row passes through the scorer's batch. A null or empty text has
+    the lowest score and stays, rows of a null id and repeated rows are decided by their text too; an empty table gives no rows. A very long text is
+    scanned in time proportional to its length. Without labels of both classes every row stays.
     """
     model = train(docs, labels, sample)
     if isinstance(model, float):

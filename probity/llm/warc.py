@@ -211,7 +211,8 @@ def build_derivatives(pages: DataFrame, captured: str = CAPTURED, file: str = "c
     """Three rows for each page (page_id, url, html): its response, metadata and conversion record.
 
     The response row carries headers and digests, not the page again. A null page is an empty one, a null address the
-    empty address; repeated rows give equal records; an empty table gives none. Other columns aren't read.
+    empty address; repeated rows give equal records; an empty table gives none. A very long page is scanned in one pass over its markup. Other
+    columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +240,20 @@ def frame_record(row: dict) -> bytes:
     return gzip.compress(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n", 6, mtime=0)
 
 
+def info_record(name: str, kind: str, date: str) -> dict:
+    """The warcinfo record that heads a file; its id follows from the file's name."""
+    block = f"software: probity\r\nformat: WARC File Format 1.0\r\nfilename: {name}\r\ndescription: {kind} records derived from stored pages\r\n"
+    return {
+        "record_type": "warcinfo", "record_id": record_id("warcinfo", name), "warc_date": date, "target_uri": None, "refers_to": None, "warcinfo_id": None,
+        "block": block, "block_digest": digest(block.encode()), "content_type": "application/warc-fields",
+    }
+
+
 def write_warc(records: DataFrame, kind: str, folder: str | None = None) -> DataFrame:
     """Write all ``kind`` records (metadata or conversion); returns the manifest: file, records, folder.
 
-    Response rows carry no block (see ``build_derivatives``), so they can't be written from it.
+    Each file begins with a warcinfo record of its own, which its other records name; the count is of those others. Response rows
+    carry no block (see ``build_derivatives``), so they can't be written from it.
     """
     if kind == "response":
         raise ValueError("response rows carry headers and digests only; write metadata or conversion records")
@@ -258,7 +269,9 @@ def write_warc(records: DataFrame, kind: str, folder: str | None = None) -> Data
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                out.write(frame_record(row))
+                    info = info_record(name, kind, row["warc_date"])
+                    out.write(frame_record(info))
+                out.write(frame_record(row | {"warcinfo_id": info["record_id"]}))
                 n += 1
         if out is not None:
             out.close()
@@ -287,7 +300,7 @@ _BACK = "record_id string, record_type string, refers_to string, target_uri stri
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """record_id, record_type, refers_to, target_uri, block of all records in the manifest's files, one task a file at most."""
+    """record_id, record_type, refers_to, target_uri, block of all records but the files' own in the manifest's files, one task a file at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -298,6 +311,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 rows, held = [], 0
                 with store.open_input_stream(f"{base}/{name}", compression=None) as f:
                     for h, block in parse_warc(f):
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), block.decode("utf-8", "surrogatepass")))
                         held += len(block)
                         if len(rows) == 1024 or held > 1 << 25:

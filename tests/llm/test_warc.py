@@ -144,3 +144,17 @@ def test_registered_query_by_another_parser(spark, sf_dir):
             assert (r.block_digest, r.content_length) == (derive_digest(r.block), len(r.block.encode()))
         else:
             assert r.payload_digest == derive_digest(page.html or "")
+
+
+def test_every_file_begins_with_its_warcinfo_record(spark, tmp_path):
+    """Each record names the warcinfo record of its own file, and files have different ones."""
+    manifest = write_warc(build_derivatives(pages(spark).repartition(3)), "conversion", str(tmp_path / "out")).collect()
+    seen = set()
+    for part in manifest:
+        with open(f"{part.folder}/{part.file}", "rb") as f:
+            records = list(parse_warc(f))
+        head, block = records[0]
+        assert head["WARC-Type"] == "warcinfo" and f"filename: {part.file}".encode() in block and len(records) == part.records + 1
+        assert {h["WARC-Warcinfo-ID"] for h, _ in records[1:]} == {head["WARC-Record-ID"]}
+        seen.add(head["WARC-Record-ID"])
+    assert len(seen) == len(manifest) >= 2
