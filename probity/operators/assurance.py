@@ -121,6 +121,7 @@ def run_graph(run: Run, samples: DataFrame, models: DataFrame, deployed: DataFra
     affected = first_values(run.rows, "affected").withColumnRenamed("values", "affected")
     opened = run.case.select("run_id", zero_pad("CASE-", F.col("run_id"), 4).alias("case_id"))
     named = run.findings.select("run_id", "id", "severity").join(affected, ["run_id", "id"], "left").join(opened, "run_id", "left")
+    named = materialize(named, "affected")
     found = named.select("id", "affected", F.when(F.col("severity") != "INFO", F.col("case_id")).alias("case_id"))
     pieces = named.select(F.regexp_replace("id", "^F-", "E-").alias("id"), F.col("id").alias("finding_id"), F.col("affected").alias("assets"))
     return graph.build(samples, models, deployed, invalid, found, pieces, run.links.select("a", "b"), scenarios)

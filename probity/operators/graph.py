@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.operators.components import insert_edges
+from probity.sources.storage import materialize
 
 #: The kinds of nodes by the prefix of their id, and the relations.
 KINDS = {
@@ -65,7 +66,7 @@ def build(
     named += [findings.where(F.col("case_id").isNotNull()).select(_id("case", "case_id")), scenarios.select(_id("scenario", "id"))]
     named += [x.select("asset").where(F.substring_index("asset", ":", 1).isin(*ASSETS)) for x in (affects, shown, touched)]
     ids = reduce(DataFrame.union, named).distinct().where(F.col("id").isNotNull())
-    nodes = ids.select("id", kind_of(F.col("id")).alias("type"), F.substring(F.col("id"), F.length(F.substring_index("id", ":", 1)) + 2, 1 << 20).alias("label"))
+    nodes = materialize(ids.select("id", kind_of(F.col("id")).alias("type"), F.substring(F.col("id"), F.length(F.substring_index("id", ":", 1)) + 2, 1 << 20).alias("label")), "nodes")
 
     core = F.lit(CORE)
     one = spark.range(1)

@@ -321,7 +321,7 @@ def assurance_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     invalid = verdicts.where("verdict = 'INVALID'").select("record_id", "model_sha256")
     scenario = spark.createDataFrame([("label_flip", ["batch:b5"])], "id string, touched array<string>")
     nodes, edges = run.run_graph(done, contributed, registry, spark.createDataFrame([(_DIGEST,)], "sha256 string"), invalid, scenario)
-    return _sections(done, materialize(nodes, "nodes"), materialize(edges, "edges"))
+    return _sections(done, nodes, materialize(edges, "edges"))
 
 
 def _window_size(spark: SparkSession, sf_dir: str) -> DataFrame:
