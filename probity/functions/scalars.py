@@ -96,11 +96,11 @@ def percent(share: Column) -> Column:
 
 
 def formatted(number: Column, spec: str) -> Column:
-    """A number as Python formats it: the exact binary value is rounded, which Java's formatter doesn't do."""
+    """A number as Python formats it: the exact binary value is rounded, which Java's formatter doesn't do. Null and NaN give null."""
 
     @F.pandas_udf(T.StringType())
     def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: format(v, spec), na_action="ignore")
+        return pd.Series([None if v != v else format(v, spec) for v in values.tolist()], dtype=object)
 
     return text(number.cast("double"))
 

@@ -72,6 +72,12 @@ def set_dispositions(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def disposition_events(decisions: DataFrame) -> DataFrame:
+    """seq, event_type, actor, asset, details of the log's rows that record decisions (case_id, seq, disposition, by) which took effect."""
+    known = decisions.withColumn("disposition", F.upper(F.trim("disposition"))).where(F.col("disposition").isin(*DISPOSITIONS))
+    return known.select("seq", F.lit("case.disposition_set").alias("event_type"), F.col("by").alias("actor"), F.concat(F.lit("case:"), "case_id").alias("asset"), F.to_json(F.struct("disposition")).alias("details"))
+
+
 def provenance_edges(samples: DataFrame) -> DataFrame:
     """src, dst, rel from samples (sample, batch, contributor): sample to batch to contributor, each edge once."""
     ok = samples.where(F.col("batch").isNotNull())

@@ -721,6 +721,17 @@ def disposition_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.set_dispositions(opened, decisions).withColumn("history", F.array_join("history", ","))
 
 
+@query("""
+WITH d AS (SELECT user_id AS case_id, event_id AS seq, upper(['accept', 'Review', 'QUARANTINE', 'other'][event_id % 4 + 1]) AS disposition, event_type AS actor FROM events)
+SELECT seq, 'case.disposition_set' AS event_type, actor, 'case:' || case_id AS asset, '{"disposition":"' || disposition || '"}' AS details FROM d WHERE disposition <> 'OTHER'
+""")
+def disposition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log says of each decision that took effect."""
+    e = table(spark, sf_dir, "events")
+    pick = F.element_at(F.array(*map(F.lit, ("accept", "Review", "QUARANTINE", "other"))), (F.col("event_id") % 4).cast("int") + 1)
+    return cases.disposition_events(e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), pick.alias("disposition"), F.col("event_type").alias("by")))
+
+
 @query("""
 SELECT event_id AS record_id, CASE WHEN event_id % 3 = 0 OR user_id % 10 >= 8 OR event_id % 7 = 0 THEN 'skipped' WHEN event_id % 11 = 0 THEN 'fail' ELSE 'pass' END AS "check" FROM events
 """)

@@ -224,6 +224,29 @@ def pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.pattern_findings(_pattern_members(spark, sf_dir, _clusters(spark, sf_dir)), ["position", "passage"])
 
 
+_KEPT = _PATTERNS[: _PATTERNS.rindex("SELECT 'dataset'")].rstrip().removesuffix(",")
+
+
+@query(_KEPT + """,
+dp AS (SELECT t FROM h GROUP BY 1 HAVING count(*) > 1), pm AS (SELECT DISTINCT id FROM kp),
+j AS (SELECT h.source, l.toxic = 1 AS label_flag, l.toxic IS NOT NULL AS labelled, coalesce(l.quality = 0, false) AS ood, dp.t IS NOT NULL AS copied, pm.id IS NOT NULL AS pattern
+  FROM h LEFT JOIN labels l USING (doc_id) LEFT JOIN dp ON dp.t = h.t LEFT JOIN pm ON pm.id = h.doc_id),
+g AS (SELECT source, count(*) AS n, count(*) FILTER (label_flag) AS label_flags, count(*) FILTER (ood) AS ood, count(*) FILTER (copied) AS duplicates, count(*) FILTER (pattern) AS triggers, count(*) FILTER (labelled) AS m FROM j GROUP BY 1),
+bl AS (SELECT greatest(0.01::DOUBLE, sum(label_flags)::DOUBLE / sum(m)) AS p FROM g)
+SELECT source, n, label_flags, ood, duplicates, triggers, round(least(1.0::DOUBLE, (label_flags + ood + duplicates + triggers)::DOUBLE / n), 3) AS anomaly_rate,
+  CASE WHEN m > 0 THEN round(CASE WHEN label_flags <= 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(range(label_flags, m + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln(p) + (m - i) * ln(1 - p))))) END, 9) END AS label_p FROM g, bl
+""")
+def source_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole source table: rows, flags of every detector, their rate, and the probability of so many label flags."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    groups = samples.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).select(F.col("content_hash").alias("h"), F.lit(True).alias("copied"))
+    held = _pattern_members(spark, sf_dir, _clusters(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.lit(True).alias("pattern")).distinct()
+    joined = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").join(groups, "h", "left").join(held, "doc_id", "left")
+    flags = {"label_flags": F.col("toxic") == 1, "ood": F.col("quality") == 0, "duplicates": F.col("copied"), "triggers": F.col("pattern")}
+    tested = samples.source_significance(joined, "source", F.col("toxic") == 1).select("source", F.col("p_value").alias("label_p"))
+    return samples.source_table(joined, "source", flags).join(tested, "source", "left")
+
+
 # Manifests, registry, records --------------------------------------------------------------------------------------
 
 _MANIFEST = """
