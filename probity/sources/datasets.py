@@ -186,24 +186,27 @@ def _coco_file(files: Files) -> str | None:
     """The first valid one of annotations.coco.json, annotations.json and then all others by name."""
     known = files.names()
     for name in dict.fromkeys(["annotations.coco.json", "annotations.json", *[n for n in known if n.endswith(".json")]]):
-        if name in known:
-            try:
-                body = json.loads(files.text(name))
-            except ValueError:
-                continue
-            if isinstance(body, dict) and "images" in body and "annotations" in body:
-                return name
+        if name in known and _is_coco(files.spark, files.path(name)):
+            return name
     return None
 
 
+def _is_coco(spark: SparkSession, path: str) -> bool:
+    """Whether a file is a JSON object with images and annotations; parsed on the executors, and only as far as these names."""
+    read = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad")
+    held = read.schema("images array<struct<id: long>>, annotations array<struct<id: long>>, _bad string").json(path)
+    return held.where("_bad is null and images is not null and annotations is not null").limit(1).count() > 0
+
+
 def _load_coco(files: Files) -> Loaded:
     name = _coco_file(files)
     folder = files.path("images") if files.is_folder("images") else files.root
     present = listing(files.spark, folder)
-    kinds = json.loads(files.text(name)).get("categories", [])
+    named = files.spark.read.option("multiLine", True).schema("categories array<struct<id: long, name: string>>").json(files.path(name))
+    kinds = named.select(F.inline("categories")).orderBy("id").collect()  # one for each class
     every = read_coco(files.spark, files.path(name), _sources_of(files))
     missing = every.join(present, "file", "left_anti").select(F.concat(F.lit("missing image file "), "file").alias("warning"))
-    return Loaded("COCO", [k["name"] for k in sorted(kinds, key=lambda k: k["id"])], every.join(present.select("file"), "file", "left_semi").select(*every.columns), missing)
+    return Loaded("COCO", [k["name"] for k in kinds], every.join(present.select("file"), "file", "left_semi").select(*every.columns), missing)
 
 
 def _yolo_classes(files: Files) -> list[str] | None:
