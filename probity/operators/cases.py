@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probity.functions import ordered
 from probity.functions.scalars import zero_pad
 from probity.operators.components import induced, neighbourhood
+from probity.sources.storage import few
 
 #: Dispositions, and the event types that a timeline shows.
 DISPOSITIONS = ("ACCEPT", "REVIEW", "QUARANTINE")
@@ -99,7 +100,7 @@ def reexecution(records: DataFrame, outputs: DataFrame, registered: DataFrame) -
     Only records whose input was verified are compared.
     """
     models = registered.select(F.col("sha256").alias("model_sha256"), F.lit(True).alias("_has")).distinct()
-    joined = records.join(models, "model_sha256", "left").join(outputs.select("record_id", F.col("label").alias("_again")), "record_id", "left")
+    joined = records.join(few(models), "model_sha256", "left").join(outputs.select("record_id", F.col("label").alias("_again")), "record_id", "left")
     can = F.coalesce("input_ok", F.lit(False)) & F.col("_has").isNotNull() & F.col("_again").isNotNull()
     return joined.select("record_id", F.when(~can, "skipped").when(F.col("label") == F.col("_again"), "pass").otherwise("fail").alias("check"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions import pixels
-from probity.sources.storage import materialize
+from probity.sources.storage import few, materialize
 
 #: What a behaviour change, a changed tensor and a trigger hit are.
 LEAST_AGREEMENT, MOST_PROBABILITY_CHANGE, MOST_TENSOR_CHANGE = 0.98, 0.02, 1e-6
@@ -347,7 +347,7 @@ def rerun(records: DataFrame, artefacts: DataFrame, vector: str = "embedding", l
     sizes = records.groupBy(F.col("model_sha256").alias("sha256")).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
     known = artefacts.where(F.sha2("artefact", 256) == F.col("sha256")).dropDuplicates(["sha256"]).join(sizes, "sha256")
     parts = known.select("sha256", "artefact", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    placed = records.join(known.select(F.col("sha256").alias("model_sha256"), "parts"), "model_sha256").select("record_id", F.col("model_sha256").alias("sha256"), vector, F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int").alias("part"))
+    placed = records.join(few(known.select(F.col("sha256").alias("model_sha256"), "parts")), "model_sha256").select("record_id", F.col("model_sha256").alias("sha256"), vector, F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int").alias("part"))
     kind = dict(records.dtypes)["record_id"]
 
     def run(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:

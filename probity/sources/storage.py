@@ -73,6 +73,11 @@ def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return back
 
 
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to join with: sent to where the other rows are while it has at most ``most`` rows, so that no key's rows meet in one task; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
