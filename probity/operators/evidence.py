@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from probity.functions.scalars import severity_name, severity_rank, severity_weight
 from probity.operators.components import components
+from probity.sources.storage import materialize
 
 FINDING = (
     "id string, ord int, pillar string, category string, severity string, confidence double, method_status string, "
@@ -100,8 +101,10 @@ def correlate(findings: DataFrame, keys: list[str] | None = None, rows: DataFram
     pair = [*keys, F.least("a", "b"), F.greatest("a", "b")]
     one = Window.partitionBy(*pair).orderBy("place", "oa")
     strong = rule_links(findings, keys, rows).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*keys, "a", "b", "rule", F.lit("strong").alias("strength"))
+    strong = materialize(strong, "strong")
     linked = strong.select(*keys, F.col("a").alias("id")).union(strong.select(*keys, "b")).distinct().withColumn("_linked", F.lit(True))
     real = findings.where("severity <> 'INFO'").select(*keys, "id", "ord").join(linked, [*keys, "id"], "left").withColumn("_linked", F.coalesce("_linked", F.lit(False)))
+    real = materialize(real, "linked")
     firsts = real.groupBy(*keys).agg(
         F.min_by("id", F.when(F.col("_linked"), F.col("ord"))).alias("_l"), F.max("_linked").alias("_any"), F.min_by("id", "ord").alias("_first"),
     )
