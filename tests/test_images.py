@@ -191,3 +191,27 @@ def test_near_pairs_of_crowded_cells(spark, monkeypatch):
     monkeypatch.setattr(images, "HOT", 3)
     monkeypatch.setattr(images, "SALTS", 4)
     test_near_pairs_equal_all_pairs(spark)
+
+
+def test_sketches_bound_the_difference():
+    """What pairs are left out by: none of a small shifted difference has sketches farther apart than the bound."""
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        a = rng.integers(0, 256, (20, 21, 3)).astype(np.uint8)
+        b = np.clip(np.roll(a, rng.integers(-1, 2, 2), axis=(0, 1)) + rng.normal(rng.uniform(-6, 6), 3, a.shape), 0, 255).astype(np.uint8)
+        far = pixels.apart(pixels.sketch(a[None]), pixels.sketch(b[None]), pixels.sketch_weights(20, 21))
+        assert far[0] <= pixels.shifted_difference(a, b) * 20 * 21 / (18 * 19) + 1e-9
+    a, b = np.zeros((1, 20, 21, 3), dtype=np.uint8), np.full((1, 20, 21, 3), 200, dtype=np.uint8)
+    assert pixels.apart(pixels.sketch(a), pixels.sketch(b), pixels.sketch_weights(20, 21))[0] >= 199
+
+
+def test_components_of_near_pictures(spark):
+    """Deciding stars first gives the components of all links."""
+    from probity.operators.components import components
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(0, 0.2, (5, 64))
+    rows = [(i, [float(v) for v in base[i % 5] + rng.normal(0, 0.035, 64)], 0) for i in range(50)]
+    made = images.vector_images(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).cache()
+    want = {(r.node, r.component) for r in components(images.near_duplicate_images(made, 48, 48)).collect()}
+    assert {(r.node, r.component) for r in images.near_duplicate_components(made, 48, 48).collect()} == want and len({c for _, c in want}) > 1
