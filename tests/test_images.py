@@ -1,6 +1,7 @@
 """Image kernels and searches against plain loops."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from probity.functions import pixels
@@ -215,3 +216,40 @@ def test_components_of_near_pictures(spark):
     made = images.vector_images(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).cache()
     want = {(r.node, r.component) for r in components(images.near_duplicate_images(made, 48, 48)).collect()}
     assert {(r.node, r.component) for r in images.near_duplicate_components(made, 48, 48).collect()} == want and len({c for _, c in want}) > 1
+
+
+def test_pictures_are_taken_few_at_a_time(spark, monkeypatch):
+    """Memory of a task doesn't follow the rows of an Arrow batch: searches decode and draw few pictures at once."""
+    rows = [(i, [0.1] * 64, 0) for i in range(300)]
+    seen, decode, resize = [], pixels.decode, pixels.resize
+    spots = lambda data, *size: (seen.append(len(data)), decode(data, *size))[1]
+    grown = lambda planes, *size: (seen.append(len(planes)), resize(planes, *size))[1]
+    monkeypatch.setattr(pixels, "decode", spots)
+    monkeypatch.setattr(pixels, "resize", grown)
+    taken = []
+
+    class Frame:
+        """Runs what is mapped over it in this process."""
+
+        dtypes, sparkSession = [("id", "bigint"), ("rgb", "binary")], spark
+
+        def select(self, *_):
+            return self
+
+        def join(self, *_):
+            return self
+
+        def mapInPandas(self, fn, _):
+            taken.extend(fn(iter([self.frame])))
+            raise StopIteration
+
+    vectors = Frame()
+    vectors.frame = pd.DataFrame({"id": [r[0] for r in rows], "v": [r[1] for r in rows]})
+    with pytest.raises(StopIteration):
+        images.vector_images(vectors)
+    pictures_ = Frame()
+    pictures_.frame = pd.concat(taken)
+    taken.clear()
+    with pytest.raises(StopIteration):
+        images.recurring_patches(pictures_, 48, 48, 2)
+    assert sum(seen) == 600 and max(seen) <= pixels.PICTURES
