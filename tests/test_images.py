@@ -253,3 +253,11 @@ def test_pictures_are_taken_few_at_a_time(spark, monkeypatch):
     with pytest.raises(StopIteration):
         images.recurring_patches(pictures_, 48, 48, 2)
     assert sum(seen) == 600 and max(seen) <= pixels.PICTURES
+
+
+def test_features_take_few_pictures_at_a_time(spark):
+    """A kernel gets few pictures of an Arrow batch at once, and rows keep their order."""
+    df = spark.range(300).coalesce(1).selectExpr("id", "unhex(lpad(hex(id), 6, '0')) AS rgb")
+    sizes = pixels.udf(lambda x: np.stack([np.full(len(x), len(x)), x[:, 0, 0] @ [65536, 256, 1]], axis=1), 1, 1)
+    rows = df.select("id", sizes("rgb").alias("s")).collect()
+    assert max(r.s[0] for r in rows) <= 128 and all(r.s[1] == r.id for r in rows) and len(rows) == 300
