@@ -18,22 +18,37 @@ WINDOW = 60
 BLOCK_ROWS = 20_000
 
 
+#: Products that a task holds at a time, and how much less than the k-th one rounds to the same nine places at most.
+PRODUCTS, _ROUNDING = 2_000_000, 2e-9
+
+
 def _top(own: np.ndarray, queries: list, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The k most similar of a block of reference vectors for each query."""
-    sims = np.round(np.array(queries, dtype=np.float64) @ matrix.T, 9)
-    if exclude_self:
-        sims = np.where(own[:, None] == ids[None, :], -np.inf, sims)
-    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-    got = np.take_along_axis(sims, order, axis=1)
-    out = pd.DataFrame({"query_id": np.repeat(own, order.shape[1]), "ref_id": ids[order].ravel(), "sim": got.ravel()})
-    return out[np.isfinite(out["sim"])]
+    """The k most similar of a block of reference vectors for each query; only those that may be among them are rounded and put in order."""
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    step, few = max(1, PRODUCTS // max(1, len(ids))), min(k, len(ids))
+    for i in range(0, len(own) if few else 0, step):
+        sims = np.array(queries[i : i + step], dtype=np.float64) @ matrix.T
+        sims[np.isnan(sims)] = -np.inf
+        if exclude_self:
+            sims[own[i : i + step, None] == ids[None, :]] = -np.inf
+        least = np.partition(sims, len(ids) - few, axis=1)[:, len(ids) - few]
+        row, col = np.nonzero(sims >= least[:, None] - _ROUNDING)
+        sim, ref = np.round(sims[row, col], 9), ids[col]
+        order = np.lexsort((ref, -sim, row))
+        row, ref, sim = row[order], ref[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = (place < k) & np.isfinite(sim)
+        found.append((own[i : i + step][row[kept]], ref[kept], sim[kept]))
+    query, ref, sim = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pd.DataFrame({"query_id": query, "ref_id": ref, "sim": sim})
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """query_id, ref_id, sim (nine places), rank of the k most similar reference vectors, ties by ref_id.
 
     A reference of at most ``BLOCK_ROWS`` vectors is sent to the tasks. A larger one is cut into cells around pivots
-    (``_cells``); a query visits the cells that the triangle inequality can't rule out, and the result is exact. Vectors are taken to have unit length
+    (``_cells``); a query visits the cells that the triangle inequality can't rule out, and the result is exact. Where that leaves
+    more than ``MOST_VISITS`` of all visits, as of vectors without clusters, pairs of blocks are measured instead. Vectors are taken to have unit length
     for the bound; others have a bound by their own length.
     """
     spark, schema = queries.sparkSession, "query_id long, ref_id long, sim double"
@@ -55,13 +70,19 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "vec_id"
         first = materialize(_measure(refs, asked.select("id", "v", F.col("order")[0].alias("cell")), k, exclude_self, schema), "first")
         bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_sim"))
         visits = visited(asked, bound, k).where(F.col("cell") != F.col("order")[0])
-        found = first.unionByName(_measure(refs, visits.select("id", "v", "cell"), k, exclude_self, schema))
+        total, alike = visits.select("cell").count(), asked.count() * pivots
+        if total <= MOST_VISITS * alike:
+            found = first.unionByName(_measure(refs, visits.select("id", "v", "cell"), k, exclude_self, schema))
+        else:
+            found = _by_blocks(refs, asked, n, k, exclude_self, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 #: Pivots at most, and reference vectors for each of them.
 PIVOTS, PER_PIVOT = 4096, 1_000
+#: The share of all visits of cells by queries from which on blocks are measured instead.
+MOST_VISITS = 0.25
 #: Rounding of similarities, to nine places, and of distances that they are taken from.
 _SLACK = 1e-6
 
@@ -147,6 +168,24 @@ def _measure(refs: DataFrame, asked: DataFrame, k: int, exclude_self: bool, sche
     return dealt.mapInPandas(run, schema)
 
 
+def _by_blocks(refs: DataFrame, asked: DataFrame, n: int, k: int, exclude_self: bool, schema: str) -> DataFrame:
+    """The k most similar vectors of each of ``n`` reference vectors' blocks for each query (id, v): every pair, in pairs of blocks of some ``BLOCK_ROWS`` vectors.
+
+    So a query is sent once for each block, not once for each cell.
+    """
+    wide, high = (max(1, -(-rows // BLOCK_ROWS)) for rows in (n, asked.count()))
+    at = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = asked.select("id", "v", at(high).alias("i"), every(wide).alias("j"))
+    right = refs.select("id", "v", every(high).alias("i"), at(wide).alias("j"))
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.array(two["v"].tolist(), dtype=np.float64)
+        return _top(one["id"].to_numpy(dtype=np.int64), one["v"].tolist(), two["id"].to_numpy(dtype=np.int64), matrix, k, exclude_self)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+
+
 def label_vote(neighbours: DataFrame, reference: DataFrame, queries: DataFrame, id_col: str = "vec_id", label: str = "label", share: float = VOTE_SHARE) -> DataFrame:
     """query_id, given, majority, votes, share, flagged: the neighbours' majority against the given label.
 

@@ -48,3 +48,41 @@ def test_clustered_vectors_visit_few_cells(spark, monkeypatch):
     bound = first.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("sim").alias("_sim"))
     visits = vectors.visited(asked, bound, 3).groupBy("id").count().agg(F.avg("count")).first()[0]
     assert pivots == 100 and visits < 20
+
+
+def _plain_top(own, queries, ids, matrix, k, exclude_self):
+    sims = np.round(np.array(queries) @ matrix.T, 9)
+    out = []
+    for q, row in zip(own.tolist(), sims.tolist(), strict=True):
+        ranked = sorted((-s, i) for s, i in zip(row, ids.tolist(), strict=True) if not (exclude_self and i == q))
+        out += [(q, i, -s) for s, i in ranked[:k]]
+    return out
+
+
+def test_top_is_taken_few_products_at_a_time(monkeypatch):
+    """The most similar with their ties by id, without a table of all products in order."""
+    rng = np.random.default_rng(5)
+    matrix = rng.integers(-2, 3, (200, 4)) / 4
+    ids, own = rng.permutation(200), np.arange(90)
+    queries = (rng.integers(-2, 3, (90, 4)) / 4).tolist()
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *r, **k: (sizes.append(a.size), partition(a, *r, **k))[1])
+    monkeypatch.setattr(vectors, "PRODUCTS", 2000)
+    for k, alone in ((5, True), (5, False), (500, True)):
+        got = vectors._top(own, queries, ids, matrix, k, alone)
+        assert list(zip(got["query_id"], got["ref_id"], got["sim"], strict=True)) == _plain_top(own, queries, ids, matrix, k, alone)
+    assert sizes and max(sizes) <= 2000
+    assert len(vectors._top(own[:0], [], ids, matrix, 5, True)) == len(vectors._top(own, queries, ids[:0], matrix[:0], 5, True)) == 0
+
+
+def test_vectors_without_clusters_meet_by_blocks(spark, monkeypatch):
+    """Where bounds rule out little, pairs of blocks give what one block gives, and no query is sent to every cell."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 16)))]
+    df = spark.createDataFrame([(i, [x / float(np.linalg.norm(v)) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    want = {(r.query_id, r.ref_id, r.rank) for r in vectors.knn(df, df, 4, exclude_self=True).collect()}
+    used, by_blocks = [], vectors._by_blocks
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(vectors, "PER_PIVOT", 10)
+    monkeypatch.setattr(vectors, "_by_blocks", lambda *a: (used.append(1), by_blocks(*a))[1])
+    assert {(r.query_id, r.ref_id, r.rank) for r in vectors.knn(df, df, 4, exclude_self=True).collect()} == want and used
