@@ -127,12 +127,18 @@ def record_selftest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance_selftest(spark)
 
 
+#: Manifests that one task signs and checks at most, about: some seconds' work.
+SIGNED_ROWS = 2000
+
+
 @query()
 def manifest_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, key_id, ok of signed manifests of the suppliers' models, some of them edited or signed by another key."""
     from probity.sources.storage import table
 
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("model-"), "s_suppkey").alias("model"), F.col("s_suppkey").alias("i")).repartition("model")
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("model-"), "s_suppkey").alias("model"), F.col("s_suppkey").alias("i"))
+    # A number, as rows so small would all be put into one task.
+    s = s.repartition(max(spark.sparkContext.defaultParallelism, -(-s.count() // SIGNED_ROWS)), "model")
     digest = F.sha2(F.concat("model", F.when(F.col("i") % 7 == 3, F.lit("edited")).otherwise(F.lit(""))), 256)
     key = F.when(F.col("i") % 11 == 5, F.lit(_ROGUE.hex())).otherwise(F.lit(_TRUSTED.hex()))
     made = s.withColumns({"message": F.sha2("model", 256), "now": digest, "signature": ed25519.signed(key, F.sha2("model", 256))})
