@@ -261,3 +261,15 @@ def test_features_take_few_pictures_at_a_time(spark):
     sizes = pixels.udf(lambda x: np.stack([np.full(len(x), len(x)), x[:, 0, 0] @ [65536, 256, 1]], axis=1), 1, 1)
     rows = df.select("id", sizes("rgb").alias("s")).collect()
     assert max(r.s[0] for r in rows) <= 128 and all(r.s[1] == r.id for r in rows) and len(rows) == 300
+
+
+def how_many(x):
+    """A model whose class is the number of pictures that it gets."""
+    return np.eye(301)[[len(x)] * len(x)]
+
+
+def test_stamped_pictures_are_few_at_a_time(spark):
+    """A model gets few pictures of an Arrow batch at once."""
+    df = spark.range(300).coalesce(1).selectExpr("id", "unhex(repeat('00', 12)) AS rgb")
+    got = models.stamped_predictions(df, how_many, 2, 2, [("clean", 0, 0, np.zeros((0, 0, 3), dtype=np.uint8))]).collect()
+    assert sorted(r.id for r in got) == list(range(300)) and max(r.predicted for r in got) <= 128
