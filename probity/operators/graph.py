@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.operators.components import insert_edges
+from probity.operators.components import by_end, insert_edges
 from probity.sources.storage import materialize
 
 #: The kinds of nodes by the prefix of their id, and the relations.
@@ -91,8 +91,9 @@ def build(
 
 def without_kind(nodes: DataFrame, edges: DataFrame, kind: str = "Sample") -> DataFrame:
     """Edges that don't touch nodes of a kind: samples are left out before a case's surroundings are taken."""
-    hidden = nodes.where(F.col("type") == kind).select("id")
-    return edges.join(hidden, F.col("src") == F.col("id"), "left_anti").join(hidden, F.col("dst") == F.col("id"), "left_anti")
+    hidden = nodes.where(F.col("type") == kind).select(F.col("id").alias("node"))
+    left = materialize(by_end(materialize(edges, "ends"), hidden, "src", "left_anti"), "starts")
+    return by_end(left, hidden, "dst", "left_anti")
 
 
 def load(spark, path: str, run_id: str) -> tuple[DataFrame, DataFrame]:
