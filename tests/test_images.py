@@ -273,3 +273,17 @@ def test_stamped_pictures_are_few_at_a_time(spark):
     df = spark.range(300).coalesce(1).selectExpr("id", "unhex(repeat('00', 12)) AS rgb")
     got = models.stamped_predictions(df, how_many, 2, 2, [("clean", 0, 0, np.zeros((0, 0, 3), dtype=np.uint8))]).collect()
     assert sorted(r.id for r in got) == list(range(300)) and max(r.predicted for r in got) <= 128
+
+
+def test_pictures_come_to_python_in_small_batches(spark):
+    """A worker's memory doesn't follow the 10,000 rows of a usual Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        vectors = spark.range(2000).coalesce(1).selectExpr("id AS vec_id", "array_repeat(0.1D, 64) AS embedding")
+        made = images.vector_images(vectors)
+        sizes = made.coalesce(1).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r.n for r in sizes) == 2000 and max(r.n for r in sizes) <= images.BATCH_PICTURES
