@@ -43,9 +43,12 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, first: int = 1
     return joined.select(*df.columns, (F.col("_before") + F.col("_place") + first).cast("long").alias(name))
 
 
-def previous(df: DataFrame, by: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
-    """``df`` with columns of the row before in its group (``by``): new name to column; null for a group's first row."""
-    rows = placed(df, [*by, *order])
+def previous(df: DataFrame, by: list[str], order: list[str], columns: dict[str, str], rows: DataFrame | None = None) -> DataFrame:
+    """``df`` with columns of the row before in its group (``by``): new name to column; null for a group's first row.
+
+    ``rows`` is ``df`` as ``placed`` by ``by`` and ``order``, where a caller reads it too.
+    """
+    rows = placed(df, [*by, *order]) if rows is None else rows
     inside = Window.partitionBy(*by, "_part").orderBy("_place")
     lagged = rows.withColumns({f"_lag_{n}": F.lag(c).over(inside) for n, c in columns.items()}).withColumn("_opens", F.row_number().over(inside) == 1)
     # The last row of a group in each range it lies in is the one before the group's first row in its next range.

@@ -77,16 +77,19 @@ def chain_checks(records: DataFrame) -> DataFrame:
     all streams in (stream, seq) order; its uses are summed to the first before the shuffle, so a nonce that
     very many records repeat is no hot key. A null nonce is no nonce: it is neither owned nor repeated.
     """
-    first = records.where(F.col("nonce").isNotNull()).groupBy("nonce").agg(F.min(F.struct("stream", "seq", "record_id")).alias("_first"))
-    before = ordered.previous(records, ["stream"], ["seq", "record_id"], {"_prev_hash": "record_hash", "_prev_seq": "seq"})
-    named = before.join(first, "nonce", "left")
-    owner = F.when(F.col("nonce").isNull(), F.col("record_id")).otherwise(F.col("_first.record_id"))
-    out = named.withColumns({
-        "link_ok": F.col("prev_record_hash").eqNullSafe(F.coalesce("_prev_hash", F.lit(GENESIS))),
-        "seq_ok": F.col("seq") == F.coalesce("_prev_seq", F.lit(0)) + 1,
-        "nonce_owner": owner,
-        "nonce_ok": owner == F.col("record_id"),
-    })
+    rows = ordered.placed(records, ["stream", "seq", "record_id"])
+    used = rows.where(F.col("nonce").isNotNull()).groupBy("nonce").agg(F.min(F.struct("stream", "seq", "record_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # Links and numbers are decided before the join, so that the hashes needn't be dealt again where only the outcome is asked for.
+    before = ordered.previous(records, ["stream"], ["seq", "record_id"], {"_prev_hash": "record_hash", "_prev_seq": "seq"}, rows)
+    linked = before.select(
+        *records.columns,
+        F.col("prev_record_hash").eqNullSafe(F.coalesce("_prev_hash", F.lit(GENESIS))).alias("link_ok"),
+        (F.col("seq") == F.coalesce("_prev_seq", F.lit(0)) + 1).alias("seq_ok"),
+    )
+    # A nonce that one row has is that row's.
+    named = linked.join(used.where(F.col("_n") > 1).select("nonce", "_first"), "nonce", "left")
+    owner = F.when(F.col("_first").isNull(), F.col("record_id")).otherwise(F.col("_first.record_id"))
+    out = named.withColumns({"nonce_owner": owner, "nonce_ok": owner == F.col("record_id")})
     return out.select(*records.columns, "link_ok", "seq_ok", "nonce_owner", "nonce_ok")
 
 
@@ -107,37 +110,46 @@ def signed_body(records: DataFrame, body: str = "body") -> DataFrame:
     return records.withColumn(body, F.struct(*fields))
 
 
+#: Columns of a record that ``verify_records`` checks and leaves behind: texts and digests are most of a record's bytes.
+CHECKED = ("body", "output", "output_sha256", "preprocess", "preprocess_sha256", "inference_config", "inference_config_sha256", "input_ref", "input_sha256", "key_id", "signature_ok")
+
+
 def verify_records(records: DataFrame, trusted: DataFrame, models: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """``chain_checks`` of ``records`` with the result of each of the eleven checks: a column ok_<check>, null where it is skipped.
+    """``chain_checks`` of ``records`` with the result of each of the eleven checks: a column ok_<check>, null where it is skipped; without ``CHECKED``.
 
     records also has output, preprocess, inference_config and body (canonical texts), the digests <name>_sha256 and
     input_sha256, model_sha256 that they bind, key_id, signature_ok (the outcome of the signature check under that key),
     input_ref and label. trusted has key_id; models has sha256; inputs has input_ref, sha256 of the inputs that are at hand;
     outputs has record_id, label of a new run of the registered model. Each lookup table has distinct keys.
+
+    What a record tells by itself is decided first, so that only outcomes are dealt, written and sorted after it.
     """
     digest = lambda c: F.sha2(F.col(c), 256)
+    kept = [c for c in records.columns if c not in CHECKED]
+    alone = {
+        "output_binding": digest("output").eqNullSafe(F.col("output_sha256")),
+        "preprocess_binding": digest("preprocess").eqNullSafe(F.col("preprocess_sha256")),
+        "inference_config_binding": digest("inference_config").eqNullSafe(F.col("inference_config_sha256")),
+        "record_hash": digest("body").eqNullSafe(F.col("record_hash")),
+    }
+    looked_up = ["key_id", "signature_ok", "input_ref", "input_sha256"]
     joined = (
-        chain_checks(records)
+        records.select(*kept, *looked_up, *[c.alias(f"ok_{n}") for n, c in alone.items()])
         .join(trusted.select("key_id", F.lit(True).alias("_trusted")), "key_id", "left")
         .join(models.select(F.col("sha256").alias("model_sha256"), F.lit(True).alias("_model")), "model_sha256", "left")
         .join(inputs.select("input_ref", F.col("sha256").alias("_input")), "input_ref", "left")
-        .join(outputs.select("record_id", F.col("label").alias("_again")), "record_id", "left")
     )
-    same_input = F.when(F.col("_input").isNotNull(), F.col("_input").eqNullSafe(F.col("input_sha256")))
-    results = {
-        "output_binding": digest("output").eqNullSafe(F.col("output_sha256")),
-        "preprocess_binding": digest("preprocess").eqNullSafe(F.col("preprocess_sha256")),
-        "inference_config_binding": digest("inference_config").eqNullSafe(F.col("inference_config_sha256")),
-        "record_hash": digest("body").eqNullSafe(F.col("record_hash")),
+    found = {
         "signature": F.col("_trusted").isNotNull() & F.coalesce("signature_ok", F.lit(False)),
-        "input_binding": same_input,
+        "input_binding": F.when(F.col("_input").isNotNull(), F.col("_input").eqNullSafe(F.col("input_sha256"))),
         "model_binding": F.col("_model").isNotNull(),
-        "chain_link": F.col("link_ok"),
-        "sequence": F.col("seq_ok"),
-        "nonce_unique": F.col("nonce_ok"),
-        "re_execution": F.when(same_input & F.col("_model").isNotNull() & F.col("_again").isNotNull(), F.col("label").eqNullSafe(F.col("_again"))),
     }
-    return joined.withColumns({f"ok_{c}": results[c] for c in CHECKS}).drop("_trusted", "_model", "_input", "_again")
+    known = joined.select(*kept, *[f"ok_{n}" for n in alone], *[c.alias(f"ok_{n}") for n, c in found.items()])
+    again = F.when(F.col("ok_input_binding") & F.col("ok_model_binding") & F.col("_again").isNotNull(), F.col("label").eqNullSafe(F.col("_again")))
+    results = {"chain_link": F.col("link_ok"), "sequence": F.col("seq_ok"), "nonce_unique": F.col("nonce_ok"), "re_execution": again}
+    out = chain_checks(known).join(outputs.select("record_id", F.col("label").alias("_again")), "record_id", "left")
+    out = out.withColumns({f"ok_{c}": r for c, r in results.items()})
+    return out.select(*kept, "link_ok", "seq_ok", "nonce_owner", "nonce_ok", *[f"ok_{c}" for c in CHECKS])
 
 
 def check_rows(verified: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from probity.functions import ed25519, scalars, stats
 from probity.operators import cases, evidence, findings, graph, records, samples, shift, vectors
-from probity.plans import selftest
+from probity.plans import catalogue, detectors, selftest
 from probity.plans.scenarios import COMBINED, SCENARIOS
 from probity.streaming import ingest
 
@@ -320,3 +320,13 @@ def test_merged_maps_and_now(spark):
 def test_manifest_signatures_of_every_supplier(spark, sf_dir):
     got = {int(r.model.removeprefix("model-")): r.ok for r in selftest.manifest_signatures(spark, sf_dir).collect()}
     assert got == {i: i % 7 != 3 and i % 11 != 5 for i in got} and len(got) == spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+
+
+def test_record_checks_leave_texts_behind(spark, monkeypatch):
+    """Texts and digests that a record tells by itself are neither dealt by ranges nor written for the chain's checks."""
+    seen, placed = [], records.ordered.placed
+    monkeypatch.setattr(records.ordered, "placed", lambda df, order: (seen.append(set(df.columns)), placed(df, order))[1])
+    detectors._verified(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and not seen[0] & {"body", "props", "output", "output_sha256", "preprocess", "inference_config", "input_sha256"}
+    catalogue._verdicts(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and not seen[1] & {"true_hash", "event_type", "props"}
