@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.scalars import severity_name, severity_rank, severity_weight
-from probity.operators.components import components
+from probity.operators.components import components_within
 from probity.sources.storage import materialize
 
 FINDING = (
@@ -118,8 +118,8 @@ def correlate(findings: DataFrame, keys: list[str] | None = None, rows: DataFram
     return strong.unionByName(context.select(*keys, "a", "b", F.lit(RULES[-1]).alias("rule"), F.lit("context").alias("strength")))
 
 
-def chain_components(links: DataFrame) -> DataFrame:
-    return components(links.where("strength = 'strong'").select("a", "b"))
+def chain_components(links: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return components_within(links.where("strength = 'strong'"), list(keys or []))
 
 
 def chains(findings: DataFrame, links: DataFrame, keys: list[str] | None = None, found: DataFrame | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ def chains(findings: DataFrame, links: DataFrame, keys: list[str] | None = None,
     pillars, then the highest severity. size and pillars count findings above INFO. ``found`` are the components, where they are known.
     """
     keys = list(keys or [])
-    found = chain_components(links) if found is None else found
+    found = chain_components(links, keys) if found is None else found
     member = findings.join(found, F.col("id") == F.col("node"), "left").withColumn("chain", F.coalesce("component", "id"))
     real = F.col("severity") != "INFO"
     per = member.groupBy(*keys, "chain").agg(
@@ -227,7 +227,7 @@ _LAST_UNKNOWN = "who did it and why is not determined"
 def chain_texts(findings: DataFrame, links: DataFrame, chain_table: DataFrame, keys: list[str], found: DataFrame | None = None) -> DataFrame:
     """``chain_table`` with findings (ids by pillar and number), n_links, rules and narrative of each chain; INFO findings are left out."""
     strong = links.where("strength = 'strong'")
-    found = chain_components(links) if found is None else found
+    found = chain_components(links, keys) if found is None else found
     order = F.array_position(F.array(*map(F.lit, PILLARS)), F.col("pillar"))
     member = findings.where("severity <> 'INFO'").join(found, F.col("id") == F.col("node"), "left").withColumn("chain", F.coalesce("component", "id"))
     ids = member.groupBy(*keys, "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("p"), "ord", "id"))), lambda x: x["id"]).alias("findings"))
