@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.stats import binomial_tail
+from probity.sources.storage import few, materialize
 
 #: Least rate of flags that a baseline may state.
 BASELINE_FLOOR = 0.01
@@ -78,18 +79,30 @@ def largest_groups(groups: DataFrame, members: DataFrame, top: int = 8, each: in
     return members.join(F.broadcast(best), "content_hash").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= each)
 
 
+def passages(df: DataFrame, words: int = 8) -> DataFrame:
+    """``df`` (text and more columns) without its text, once for each sequence of ``words`` words at a multiple of ``words``: with position, passage (digest).
+
+    Digests are made before the rows are multiplied: a row of each position with all words would be quadratic in a text's length.
+    """
+    split = df.withColumn("w", F.split(F.lower("text"), r"\s+")).drop("text")
+    last = (F.size("w") / words).cast("int") - 1
+    digest = lambda i: F.md5(F.array_join(F.slice("w", i * words + 1, words), " "))
+    spots = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("position"), digest(i).alias("passage")))
+    # Not a filter on the words, which would be split once more for it.
+    spots = F.when(last >= 0, spots)
+    return split.select(*[c for c in df.columns if c != "text"], F.inline(spots))
+
+
 def recurring_passages(df: DataFrame, id_col: str, text: str, source: str, words: int = 8, least: int = 8) -> DataFrame:
     """Same words at the same place in many rows: position, passage digest, members, top source and its share.
 
     The text analogue of a stamped patch: sequences of ``words`` words at every multiple of ``words``.
     """
-    cut = df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.split(F.lower(F.col(text)), r"\s+").alias("w"))
-    last = (F.size("w") / words).cast("int") - 1
-    spots = cut.where(last >= 0).select("id", "source", "w", F.explode(F.sequence(F.lit(0), last)).alias("position"))
-    hashed = spots.select("id", "source", "position", F.md5(F.array_join(F.slice("w", F.col("position") * words + 1, words), " ")).alias("passage"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"))
     # Only rows of repeated ids can hold a passage twice for one id; all others are summed before the shuffle.
-    again = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id")
-    once = hashed.join(again, "id", "left_anti").unionByName(hashed.join(again, "id", "left_semi").distinct())
+    again = few(materialize(docs.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id"), "again"))
+    cut = lambda how: passages(docs.join(again, "id", how), words)
+    once = cut("left_anti").unionByName(cut("left_semi").distinct())
     per = once.groupBy("position", "passage", "source").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     out = per.groupBy("position", "passage").agg(F.sum("n").alias("members"), F.max_by("source", F.struct("n", (-F.col("first")).alias("f"))).alias("top_source"), F.max("n").alias("top_n"))
     return out.where(F.col("members") >= least).withColumn("top_share", F.round(F.col("top_n") / F.col("members"), 9)).drop("top_n")

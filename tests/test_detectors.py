@@ -330,3 +330,14 @@ def test_record_checks_leave_texts_behind(spark, monkeypatch):
     assert len(seen) == 1 and not seen[0] & {"body", "props", "output", "output_sha256", "preprocess", "inference_config", "input_sha256"}
     catalogue._verdicts(spark, "/root/testdata/sf0.001")
     assert len(seen) == 2 and not seen[1] & {"true_hash", "event_type", "props"}
+
+
+def test_passages_are_digested_before_rows_are_multiplied(spark):
+    """No row of a position carries all words of its text, which is quadratic in the text's length."""
+    df = spark.createDataFrame([(1, "a", " ".join(map(str, range(40)))), (2, "a", None), (3, "b", "few words"), (4, "b", "A b c d e f g h i")], "id long, source string, text string")
+    got = samples.passages(df)
+    assert sorted((r.id, r.position) for r in got.collect()) == [(1, i) for i in range(5)] + [(4, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate" in line]
+    below = plan[plan.index("Generate") :]
+    assert len(made) == 1 and "explode" not in plan and "md5" in below
