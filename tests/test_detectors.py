@@ -341,3 +341,11 @@ def test_passages_are_digested_before_rows_are_multiplied(spark):
     made = [line for line in plan.splitlines() if "Generate" in line]
     below = plan[plan.index("Generate") :]
     assert len(made) == 1 and "explode" not in plan and "md5" in below
+
+
+def test_a_run_looks_for_neighbours_once(spark, sf_dir, monkeypatch):
+    """Labels, isolated labels and outliers share the neighbours of contributed and of reference vectors."""
+    asked, knn = [], vectors.knn
+    monkeypatch.setattr(vectors, "knn", lambda *a, **k: (asked.append(k), knn(*a, **k))[1])
+    detectors._run(spark, sf_dir)
+    assert len(asked) == 2
