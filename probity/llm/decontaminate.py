@@ -184,28 +184,32 @@ def align(item: bytes, region: bytes, e: int, width: int) -> tuple[int, int, int
         return None
     big = len(item) + len(region) + 1
     place = lo + np.arange(cells)  # end in the region of each cell of the row
-    row = np.where((place >= 0) & (place <= len(text)), 0, big)
+    # Ends of all rows lie on one line of which each row takes a stretch: what is outside the text, and for each character what a pairing costs.
+    line = lo + np.arange(cells + len(item))
+    held = (line >= 1) & (line <= len(text))
+    chars = np.full(len(line), -1, dtype=np.int16)
+    chars[held] = text[line[held] - 1]
+    outside = np.where((line >= 0) & (line <= len(text)), 0, big)
+    before = np.where(line >= 1, 0, big)
+    costs = {c: (chars != c) + before for c in set(item)}
+    row = outside[:cells].copy()
     origin = place.copy()
     ramp = np.arange(cells)
+    drop, after = np.full(cells, big + 1), np.zeros(cells, dtype=origin.dtype)
     for i, c in enumerate(item, 1):
-        place = place + 1
-        inside = (place >= 0) & (place <= len(text))
-        same = np.ones(cells, dtype=bool)
-        ok = (place >= 1) & (place <= len(text))
-        same[ok] = text[place[ok] - 1] == c
-        keep = row + np.where(ok & same, 0, 1) + np.where(place >= 1, 0, big)
-        drop = np.append(row[1:], big) + 1  # the item's character has no partner
+        keep = row + costs[c][i : i + cells]
+        np.add(row[1:], 1, out=drop[:-1])  # the item's character has no partner
+        after[:-1] = origin[1:]
         better = drop < keep
-        new, source = np.where(better, drop, keep), np.where(better, np.append(origin[1:], 0), origin)
-        new = np.where(inside, new, big)
+        new, source = np.where(better, drop, keep), np.where(better, after, origin)
         # Characters of the region without a partner: least of (value - place) so far.
-        slope = new - ramp
+        slope = np.maximum(new, outside[i : i + cells]) - ramp
         reach = np.minimum.accumulate(slope)
         at = np.maximum.accumulate(np.where(slope == reach, ramp, 0))
-        row, origin = reach + ramp, source[at]
-        row = np.where(inside, row, big)
+        row, origin = np.maximum(reach + ramp, outside[i : i + cells]), source[at]
         if row.min() > e:
             return None
+    place = place + len(item)
     j = int(np.argmin(row))
     return (int(origin[j]), int(place[j]), int(row[j])) if row[j] <= e else None
 

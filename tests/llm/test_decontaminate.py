@@ -165,3 +165,14 @@ def test_parts_of_items(spark, make, words):
     assert [(r.doc_id, r.edits) for r in got if r.whole] == [(100, 0)] and all(r.item_id == 1 for r in got)
     assert {r.doc_id for r in find_leaks(docs, bench, part=0).collect()} == {100}
     assert {r.doc_id for r in drop_leaks(docs, bench).collect()} == {101}
+
+
+def test_alignment_makes_no_arrays_for_each_character_beyond_the_row(monkeypatch):
+    """What a row needs of the text is laid out once: rows are stretches of it, and none is put together anew."""
+    from probity.llm import decontaminate
+
+    made, append = [], decontaminate.np.append
+    monkeypatch.setattr(decontaminate.np, "append", lambda *a: (made.append(1), append(*a))[1])
+    item = b"the quick brown fox jumps over the lazy dog"
+    assert decontaminate.align(item, b"so " + item.replace(b"brown", b"bown") + b" and", 3, 9) == (3, 3 + len(item) - 1, 1)
+    assert not made
