@@ -12,8 +12,9 @@
    reach is all that its own stretches cover, and every stretch of a longer repeat has its own anchor, so the union of a document's
    matches is its maximal repeats.
 5. An exact check follows for stretches that the extension didn't match: their anchor's first place goes on differently, but
-   another document may go on alike. They are looked up by a 128-bit digest of their words, for the smallest id that holds
-   them; so are the stretches of the first document in each group of a dealt anchor, which another group may hold earlier.
+   another document may go on alike. They are held against the ``NEARBY`` occurrences before their document, as copies of one text
+   that each differ from it somewhere mostly agree with one of these. What is left is looked up by a 128-bit digest of its words, for the
+   smallest id that holds it; so are the stretches of the first document in each group of a dealt anchor, which another group may hold earlier.
 6. Words in a repeat are removed.
 
 Phases are written to the shared folder and their shuffles dropped, so disk holds one phase at a time.
@@ -43,6 +44,8 @@ HOT, SALTS, SENT = 1000, 64, 50_000
 _WORD = 6
 #: Words to either side of an anchor that its stretches can hold.
 REACH = LENGTH - GRAM
+#: Occurrences of the documents before that a stretch is compared with before it is looked up.
+NEARBY = 4
 _RNG = np.random.default_rng(13)
 _DIGESTS = _RNG.integers(0, 2**62, (2, 2 * REACH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -178,23 +181,57 @@ def _places(held: DataFrame) -> DataFrame:
 _MATCH = "doc long, tid long, start int, stop int, w1 long, w2 long"
 
 
-def extend(anchor: np.ndarray, near: np.ndarray, far: np.ndarray, skip: np.ndarray, every: np.ndarray, context: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Words that each occurrence shares with its partner to the left and to the right, and the stretches to be looked up.
-
-    Those are what the match doesn't cover, none of ``skip`` and all of ``every``; they are given for each number of words
-    that they begin before the anchor: that number, the rows, and two digests.
-    """
+def reached(context: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that each occurrence shares with its partner to the left and to the right."""
     same = (context == other) & (context != 0)
     left, right = (np.cumprod(same[:, half], axis=1).sum(axis=1) for half in (slice(0, REACH), slice(REACH, None)))
+    return left, right
+
+
+def unmatched(near: np.ndarray, far: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of an anchor's own stretches a match doesn't cover, by the number of words that they begin before it."""
+    i = np.arange(REACH + 1)
+    return (near[:, None] <= i) & (i <= far[:, None]) & ((left[:, None] < i) | (right[:, None] < REACH - i))
+
+
+def digested(anchor: np.ndarray, context: np.ndarray, asked: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The stretches to be looked up: for each number of words that they begin before the anchor that number, the rows, and two digests."""
     rest = []
     for i in range(REACH + 1):
-        rows = np.flatnonzero((near <= i) & (i <= far) & (every | ~skip & ((left < i) | (right < REACH - i))))
+        rows = np.flatnonzero(asked[:, i])
         if len(rows):
             used = np.r_[0:i, REACH : 2 * REACH - i]
             salted = anchor[rows].view(np.uint64) * np.uint64(2 * i + 1)
             one, two = (mix64((context[rows][:, used] * factors[used]).sum(axis=1, dtype=np.uint64) + salted) for factors in _DIGESTS)
             rest.append((i, rows, one.view(np.int64), two.view(np.int64)))
-    return left, right, rest
+    return rest
+
+
+def extend(anchor: np.ndarray, near: np.ndarray, far: np.ndarray, skip: np.ndarray, every: np.ndarray, context: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Words that each occurrence shares with one partner to the left and to the right, and the stretches to be looked up: ``unmatched``, none of ``skip`` and all of ``every``."""
+    left, right = reached(context, other)
+    asked = unmatched(near, far, left, right) & ~skip[:, None] | unmatched(near, far, left * 0 - 1, right) & every[:, None]
+    return left, right, digested(anchor, context, asked)
+
+
+def earlier_matches(open_: np.ndarray, begun: np.ndarray, of: np.ndarray, context: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, first and last stretch that one of the ``NEARBY`` occurrences before a row's document holds; these are no longer set in ``open_``.
+
+    Sorted as they are, they stand in documents of smaller id. begun is where the row's document begins in its group, and of where the
+    group does (its first occurrence has been compared), both among all of context, of which the first ``carried`` aren't rows.
+    """
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64),) * 3]
+    i = np.arange(REACH + 1)
+    for step in range(1, NEARBY + 1):
+        rows = np.flatnonzero((begun - step > of) & open_.any(axis=1))
+        left, right = reached(context[rows + carried], context[begun[rows] - step])
+        new = open_[rows] & (i <= left[:, None]) & (REACH - i <= right[:, None])
+        hit = new.any(axis=1)
+        rows, new = rows[hit], new[hit]
+        open_[rows] &= ~new
+        # What one match covers follows each other, so the stretches between the first and the last are covered too.
+        found.append((rows, new.argmax(axis=1), REACH - new[:, ::-1].argmax(axis=1)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _matches(places: DataFrame) -> DataFrame:
@@ -211,20 +248,27 @@ def _matches(places: DataFrame) -> DataFrame:
             context = _unpacked(batch.column(batch.schema.get_field_index("context")))
             if first is not None:  # the group that the last batch ended in goes on
                 rows, context = np.concatenate([first[0], rows], axis=1), np.concatenate([first[1], context])
-            begins = np.flatnonzero(np.append(True, (np.diff(rows[:2], axis=1) != 0).any(axis=0)))
-            of = np.repeat(begins, np.diff(np.append(begins, rows.shape[1])))
+            parts = (np.diff(rows[:3], axis=1) != 0).cumsum(axis=0) > 0  # a new anchor, group or document
+            begins, docs = (np.flatnonzero(np.append(True, p)) for p in parts[1:])
+            of, begun = (np.repeat(x, np.diff(np.append(x, rows.shape[1]))) for x in (begins, docs))
             carried, first = int(first is not None), (rows[:, begins[-1:]], context[begins[-1:]])
+            whole, begun = context, begun[carried:]
             rows, mate, context, other = rows[:, carried:], rows[:, of[carried:]], context[carried:], context[of[carried:]]
             anchor, salt, doc, tid, pos, reach = rows
+            near, far = reach // 16, reach % 16
             mine = doc == mate[2]
             own = mine & (tid == mate[3]) & (pos == mate[4])
-            left, right, rest = extend(anchor, reach // 16, reach % 16, own, mine & (salt > 0), context, other)
+            left, right = reached(context, other)
+            open_ = unmatched(near, far, left, right) & ~own[:, None]
+            also, low, high = earlier_matches(open_, begun, of[carried:], whole, carried)
+            open_[mine & (salt > 0)] |= unmatched(near, far, left * 0 - 1, right)[mine & (salt > 0)]
+            rest = digested(anchor, context, open_)
             hit = np.flatnonzero((left + right >= REACH) & ~mine)
-            at = np.concatenate([hit, *[r[1] for r in rest]]).astype(np.int64)
-            start = np.concatenate([(pos - left)[hit], *[pos[r[1]] - r[0] for r in rest]])
-            stop = np.concatenate([(pos + GRAM + right)[hit], *[pos[r[1]] - r[0] + LENGTH for r in rest]])
-            absent = np.arange(len(at)) < len(hit)
-            digests = [pa.array(np.concatenate([np.zeros(len(hit), dtype=np.int64), *[r[k] for r in rest]]), pa.int64(), mask=absent) for k in (2, 3)]
+            at = np.concatenate([hit, also, *[r[1] for r in rest]]).astype(np.int64)
+            start = np.concatenate([(pos - left)[hit], pos[also] - high, *[pos[r[1]] - r[0] for r in rest]])
+            stop = np.concatenate([(pos + GRAM + right)[hit], pos[also] - low + LENGTH, *[pos[r[1]] - r[0] + LENGTH for r in rest]])
+            absent = np.arange(len(at)) < len(hit) + len(also)
+            digests = [pa.array(np.concatenate([np.zeros(len(hit) + len(also), dtype=np.int64), *[r[k] for r in rest]]), pa.int64(), mask=absent) for k in (2, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(tid[at], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *digests], names=[c.split()[0] for c in _MATCH.split(", ")])
 
     dealt = places.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "tid", "pos")

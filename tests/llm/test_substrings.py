@@ -91,3 +91,21 @@ def test_extension_by_words():
         assert left[0] == min(8, at - 10) and right[0] == min(8, 35 - at - 5)
         for i, rows, _, _ in rest:
             assert len(rows) == 1 and (at - i < 10 or at - i + 13 > 35)
+
+
+def test_copies_that_agree_are_not_looked_up(make, words, monkeypatch):
+    """The first document of a family differs from all others everywhere; these agree with the one before them, so no row of theirs is joined by its digest."""
+    text, met = words(200, 1), []
+    docs = [(1, " ".join(w if i % 10 else w + "x" for i, w in enumerate(text)))]
+    docs += [(k, " ".join(text + words(20, 100 + k))) for k in range(2, 42)]
+    plain = substrings._paired
+
+    def counted(rows, one, keys):
+        out = plain(rows, one, keys)
+        if keys == ["w1", "w2"]:
+            met.append(out.where("doc > lo").count())
+        return out
+
+    monkeypatch.setattr(substrings, "_paired", counted)
+    assert run(make(docs)) == brute(docs)
+    assert len(met) == 1 and met[0] <= 40
