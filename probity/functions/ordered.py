@@ -49,17 +49,15 @@ def previous(df: DataFrame, by: list[str], order: list[str], columns: dict[str,
     ``rows`` is ``df`` as ``placed`` by ``by`` and ``order``, where a caller reads it too.
     """
     rows = placed(df, [*by, *order]) if rows is None else rows
-    inside = Window.partitionBy(*by, "_part").orderBy("_place")
-    lagged = rows.withColumns({f"_lag_{n}": F.lag(c).over(inside) for n, c in columns.items()}).withColumn("_opens", F.row_number().over(inside) == 1)
-    # The last row of a group in each range it lies in is the one before the group's first row in its next range.
-    last = rows.groupBy(*by, "_part").agg(F.max_by(F.struct(*[F.col(c).alias(f"_was_{n}") for n, c in columns.items()]), "_place").alias("_end"))
+    # The last row of a group in each range it lies in is the one before the group's first row in its next range: it is put before that row, so nothing is joined.
+    read = [c for c in dict.fromkeys(columns.values()) if c not in by]
+    last = rows.groupBy(*by, "_part").agg(F.max_by(F.struct(*read, F.lit(True).alias("_has")), "_place").alias("_end"))
     over = Window.partitionBy(*by).orderBy("_part")
-    carry = last.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_part").alias("_of"), F.lag("_end").over(over).alias("_carried"))
-    same = F.col("_part") == F.col("_of")
-    for i, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"_by{i}"))
-    joined = lagged.join(carry.where(F.col("_carried").isNotNull()), same & F.col("_opens"), "left")
-    return joined.select(*df.columns, *[F.coalesce(F.col(f"_lag_{n}"), F.col(f"_carried._was_{n}")).alias(n) for n in columns])
+    carry = last.select(*by, "_part", F.lag("_end").over(over).alias("_carried")).where(F.col("_carried").isNotNull())
+    carry = carry.select(*by, "_part", F.lit(-1).cast("long").alias("_place"), *[F.col(f"_carried.{c}") for c in read])
+    inside = Window.partitionBy(*by, "_part").orderBy("_place")
+    lagged = rows.unionByName(carry, allowMissingColumns=True).withColumns({f"_lag_{n}": F.lag(c).over(inside) for n, c in columns.items()})
+    return lagged.where(F.col("_place") >= 0).select(*df.columns, *[F.col(f"_lag_{n}").alias(n) for n in columns])
 
 
 def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, str], fold: Callable[[Column], Column] = F.sum, inclusive: bool = True) -> DataFrame:

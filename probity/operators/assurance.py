@@ -44,10 +44,11 @@ def part(found: DataFrame, key: Column | str = "", trigger: Column | None = None
     )
 
 
-def rows(df: DataFrame, kind: str, value: Column, key: Column | str = "", num: Column | None = None) -> DataFrame:
-    """Evidence rows of a detector: key, kind, value, num; each once."""
+def rows(df: DataFrame, kind: str, value: Column, key: Column | str = "", num: Column | None = None, once: bool = False) -> DataFrame:
+    """Evidence rows of a detector: key, kind, value, num; each once. ``once``: df gives each once already, so their texts needn't be dealt."""
     number = F.lit(None) if num is None else num
-    return df.select((F.lit(key) if isinstance(key, str) else key.cast("string")).alias("key"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), number.cast("long").alias("num")).distinct()
+    out = df.select((F.lit(key) if isinstance(key, str) else key.cast("string")).alias("key"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), number.cast("long").alias("num"))
+    return out if once else out.distinct()
 
 
 @dataclass

@@ -135,13 +135,14 @@ def pattern_members(spots: DataFrame, samples: DataFrame) -> DataFrame:
     """The samples (all their columns) of each pattern (columns of ``spots`` but id) that enough clusters hold at the same place, with clusters; written.
 
     samples has id, source, label, flagged (its label disagrees) and cluster (of copies, which share patterns trivially and
-    count once). A pattern needs max(8, n // 100) clusters of the n samples. Spots are counted by partial sums first, and only
-    those of patterns with so many rows meet their samples.
+    count once). A pattern needs max(8, n // 100) clusters of the n samples. Spots are counted by partial sums of a hash of their pattern
+    first, and only those whose hash has so many rows meet their samples; two patterns of one hash are told apart by their clusters.
     """
     keys = [c for c in spots.columns if c != "id"]
     least = max(LEAST_CLUSTERS, samples.count() // 100)
-    often = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(*keys)
-    held = materialize(spots.join(materialize(often, "often"), keys).distinct().join(samples, "id"), "held")
+    hashed = spots.withColumn("_hash", F.xxhash64(*keys))
+    often = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_hash")
+    held = materialize(hashed.join(materialize(often, "often"), "_hash").drop("_hash").distinct().join(samples, "id"), "held")
     counted = held.groupBy(*keys, "cluster").agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"))
     return materialize(held.join(counted.where(F.col("clusters") >= least), keys), "members")
 

@@ -69,6 +69,16 @@ def chain_records(batch: DataFrame, heads: DataFrame | None, order: str) -> Data
     return dealt.mapInPandas(link, f"record_id {kinds['record_id']}, stream {kinds['stream']}, seq long, prev_record_hash string, record_hash string")
 
 
+def packed_digest(text: Column) -> Column:
+    """A text as bytes, one for one: 64 lower-case hex digits as the 32 bytes they stand for, any other text as its own bytes and 33 more."""
+    return F.when(text.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(text)).otherwise(F.concat(text.cast("binary"), F.lit(b"\0" * 33)))
+
+
+def unpacked_digest(data: Column) -> Column:
+    """The text that ``packed_digest`` made ``data`` of."""
+    return F.when(F.length(data) == 32, F.lower(F.hex(data))).otherwise(F.substring(data, F.lit(1), F.length(data) - 33).cast("string"))
+
+
 def chain_checks(records: DataFrame) -> DataFrame:
     """records (record_id, stream, seq, nonce, record_hash, prev_record_hash) with link_ok, seq_ok, nonce_ok, nonce_owner.
 
@@ -76,21 +86,24 @@ def chain_checks(records: DataFrame) -> DataFrame:
     a gap. Streams are scanned in order over all partitions, so a long one is no single task. A nonce belongs to its first use over
     all streams in (stream, seq) order; its uses are summed to the first before the shuffle, so a nonce that
     very many records repeat is no hot key. A null nonce is no nonce: it is neither owned nor repeated.
+    Hashes are most of a record's bytes; they are dealt and written as ``packed_digest``.
     """
+    names, hashes = records.columns, ("record_hash", "prev_record_hash")
+    records = records.withColumns({c: packed_digest(F.col(c)) for c in hashes})
     rows = ordered.placed(records, ["stream", "seq", "record_id"])
     used = rows.where(F.col("nonce").isNotNull()).groupBy("nonce").agg(F.min(F.struct("stream", "seq", "record_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     # Links and numbers are decided before the join, so that the hashes needn't be dealt again where only the outcome is asked for.
     before = ordered.previous(records, ["stream"], ["seq", "record_id"], {"_prev_hash": "record_hash", "_prev_seq": "seq"}, rows)
     linked = before.select(
         *records.columns,
-        F.col("prev_record_hash").eqNullSafe(F.coalesce("_prev_hash", F.lit(GENESIS))).alias("link_ok"),
+        F.col("prev_record_hash").eqNullSafe(F.coalesce(F.col("_prev_hash"), F.lit(bytes.fromhex(GENESIS)))).alias("link_ok"),
         (F.col("seq") == F.coalesce("_prev_seq", F.lit(0)) + 1).alias("seq_ok"),
     )
     # A nonce that one row has is that row's.
     named = linked.join(used.where(F.col("_n") > 1).select("nonce", "_first"), "nonce", "left")
     owner = F.when(F.col("_first").isNull(), F.col("record_id")).otherwise(F.col("_first.record_id"))
     out = named.withColumns({"nonce_owner": owner, "nonce_ok": owner == F.col("record_id")})
-    return out.select(*records.columns, "link_ok", "seq_ok", "nonce_owner", "nonce_ok")
+    return out.select(*[unpacked_digest(F.col(c)).alias(c) if c in hashes else F.col(c) for c in names], "link_ok", "seq_ok", "nonce_owner", "nonce_ok")
 
 
 #: The checks of a record in their order, and the category of a failure.
@@ -162,24 +175,24 @@ def check_rows(verified: DataFrame) -> DataFrame:
     return rows.where((F.col("status") == "fail") | ~F.col("check").isin(*ONLY_FAILURES))
 
 
-def failures_of(verified: DataFrame) -> DataFrame:
-    """``verdicts`` of the eleven checks."""
+def failures_of(verified: DataFrame, *more: str) -> DataFrame:
+    """``verdicts`` of the eleven checks, with ``more`` columns of the records."""
     bad: dict[str, Column] = {}
     for check, category in CHECKS.items():
         failed = F.col(f"ok_{check}") == F.lit(False)
         bad[category] = F.coalesce(failed, F.lit(False)) | bad[category] if category in bad else F.coalesce(failed, F.lit(False))
-    return verdicts(verified, bad)
+    return verdicts(verified, bad, *more)
 
 
-def verdicts(checked: DataFrame, failures: dict[str, Column]) -> DataFrame:
-    """record_id, stream, seq, failure_categories (sorted), primary_category, verdict from the failure condition of each category.
+def verdicts(checked: DataFrame, failures: dict[str, Column], *more: str) -> DataFrame:
+    """record_id, stream, seq, failure_categories (sorted), primary_category, verdict and ``more`` columns from the failure condition of each category.
 
     A null condition is a skipped check: neither passed nor failed.
     """
     each = [F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in failures.items()]
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*each))))
     marked = checked.withColumn("failure_categories", found)
-    return marked.select("record_id", "stream", "seq", "failure_categories", primary_category(F.col("failure_categories")).alias("primary_category"), F.when(F.size("failure_categories") > 0, "INVALID").otherwise("VALID").alias("verdict"))
+    return marked.select("record_id", "stream", "seq", "failure_categories", primary_category(F.col("failure_categories")).alias("primary_category"), F.when(F.size("failure_categories") > 0, "INVALID").otherwise("VALID").alias("verdict"), *more)
 
 
 def failure_groups(verdict: DataFrame) -> DataFrame:
@@ -293,15 +306,16 @@ def audit_problems(events: DataFrame, body_hash: Column) -> DataFrame:
 
     A log is one chain: it is compared with the row before by a window over ranges of seq, not over the whole in one task.
     """
-    prev = events.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"), F.lit(True).alias("_has"))
-    joined = events.join(prev, "seq", "left")
+    # Contents are compared before the rows are dealt, which then have one hash each.
+    prev = events.select((F.col("seq") + 1).alias("seq"), packed_digest(F.col("hash")).alias("_before"), F.lit(True).alias("_has"))
+    joined = events.select("seq", packed_digest(F.col("prev_hash")).alias("prev_hash"), (F.col("hash") != body_hash).alias("_modified")).join(prev, "seq", "left")
     first = events.agg(F.min("seq").alias("_first"))
     marked = joined.join(F.broadcast(first))
     opening = F.col("seq") == F.col("_first")
     problems = F.array_compact(F.array(
         F.when(F.when(opening, F.col("seq") != 1).otherwise(F.col("_has").isNull()), "sequence_gap"),
-        F.when(~F.when(opening, F.col("prev_hash") == GENESIS).otherwise(F.coalesce(F.col("prev_hash") == F.col("_before"), F.lit(False))), "broken_link"),
-        F.when(F.col("hash") != body_hash, "content_modified"),
+        F.when(~F.when(opening, F.col("prev_hash") == F.lit(bytes.fromhex(GENESIS))).otherwise(F.coalesce(F.col("prev_hash") == F.col("_before"), F.lit(False))), "broken_link"),
+        F.when(F.col("_modified"), "content_modified"),
     ))
     return marked.select("seq", F.explode(problems).alias("problem"))
 

@@ -202,3 +202,27 @@ def test_append_continues_the_ids(spark):
 def test_canonical_json(spark):
     df = spark.createDataFrame([('{"b": 1, "a": "é"}',), ("no",), (None,)], "d string")
     assert [r[0] for r in df.select(scalars.canonical_json("d")).collect()] == ['{"a":"é","b":1}', None, None]
+
+
+def test_digests_are_packed_one_for_one(spark):
+    """Records carry their hashes as bytes, and get back what they were, whatever it was."""
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest[:63], digest + "0", digest + "\n", "", "x", "é" * 16, "y" * 32, "\0" * 33, bytes.fromhex("61" * 32).decode(), "61" * 32, scalars.GENESIS, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", records.packed_digest(F.col("t")))
+    got = df.withColumns({"back": records.unpacked_digest(F.col("p")), "size": F.length("p")}).collect()
+    assert [r.back for r in got] == texts
+    assert len({bytes(r.p) for r in got if r.p is not None}) == len(texts) - 1
+    assert got[0].size == 32
+
+
+def test_record_tables_are_written_narrow(spark, sf_dir, monkeypatch):
+    """What the run keeps of a record is its verdict; hashes are written as bytes, and none after the links are decided."""
+    from probity.functions import ordered
+
+    written, plain = [], ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df, tag, *by: written.append(dict(df.dtypes)) or plain(df, tag, *by))
+    from probity.plans import detectors
+
+    got = records.failures_of(detectors._verified(spark, sf_dir), "model_sha256", "nonce_ok")
+    assert got.columns == ["record_id", "stream", "seq", "failure_categories", "primary_category", "verdict", "model_sha256", "nonce_ok"]
+    assert [w["record_hash"] for w in written] == ["binary"] and got.count() == got.select("record_id").distinct().count()

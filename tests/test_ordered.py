@@ -67,3 +67,11 @@ def test_no_task_holds_a_group(rows, spark):
     finally:
         spark.conf.unset(key)
     assert len(parts) > 1 and max(parts.values()) < 0.5 * sum(parts.values())
+
+
+def test_the_row_before_needs_no_join(rows):
+    """A shuffled join for a few first rows dealt all rows once more."""
+    _, df = rows
+    got = previous(df, ["g"], ["at"], {"was": "v", "was_at": "at"})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and got.columns == ["g", "at", "v", "was", "was_at"]
