@@ -125,7 +125,7 @@ def run_graph(run: Run, samples: DataFrame, models: DataFrame, deployed: DataFra
     named = materialize(named, "affected")
     found = named.select("id", "affected", F.when(F.col("severity") != "INFO", F.col("case_id")).alias("case_id"))
     pieces = named.select(F.regexp_replace("id", "^F-", "E-").alias("id"), F.col("id").alias("finding_id"), F.col("affected").alias("assets"))
-    return graph.build(samples, models, deployed, invalid, found, pieces, run.links.select("a", "b"), scenarios)
+    return graph.build(samples, models, deployed, invalid, found, pieces, run.links.select("a", "b"), scenarios, drawn=graph.DRAWN)
 
 
 def case_surroundings(edges: DataFrame, run: Run, hops: int = 1) -> DataFrame:

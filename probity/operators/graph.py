@@ -19,7 +19,7 @@ KINDS = {
     "stream": "Stream", "window": "ObservationWindow", "inference": "InferenceRecord", "finding": "Finding", "evidence": "Evidence", "case": "Case", "scenario": "AttackScenario",
 }
 RELATIONS = ("verified_by", "contributed_by", "belongs_to", "derived_from", "produced_by", "affects", "violates", "correlates_with")
-#: Kinds that an asset may have without a table of its own, and the assets of a piece of evidence that are drawn.
+#: Kinds that an asset may have without a table of its own, and the assets of a piece of evidence that a drawing for people shows.
 ASSETS = ("dataset", "contributor", "batch", "sample", "model", "modelver", "inference", "stream", "window")
 DRAWN = 8
 CORE = "assurance:core"
@@ -39,7 +39,7 @@ def kind_of(node: Column) -> Column:
 
 def build(
     samples: DataFrame, models: DataFrame, deployed: DataFrame, invalid: DataFrame, findings: DataFrame, evidence: DataFrame, links: DataFrame, scenarios: DataFrame,
-    dataset: str = "contributed-dataset", stream: str = "cam-01",
+    dataset: str = "contributed-dataset", stream: str = "cam-01", drawn: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, label) and edges (src, dst, rel).
 
@@ -47,6 +47,7 @@ def build(
     row sha256; invalid (records) record_id, model_sha256; findings id, affected (asset ids), case_id (null without a case);
     evidence id, finding_id, assets; links a, b; scenarios id, touched. A record whose digest isn't registered hangs on
     the deployed version if it is that one's. Assets without a table get a node of the kind their prefix names; unknown kinds none.
+    A piece of evidence is tied to all its assets, or to the first ``drawn`` of them for a drawing.
     """
     spark = samples.sparkSession
     data, line, window = F.lit(f"dataset:{dataset}"), F.lit(f"stream:{stream}"), F.lit("window:current")
@@ -55,7 +56,7 @@ def build(
         F.coalesce(_id("model", "model_id"), _id("modelver", F.substring("sha256", 1, 12))).alias("node"), "sha256"
     )
     affects = findings.select("id", F.explode("affected").alias("asset"))
-    shown = evidence.select("id", F.explode(F.slice("assets", 1, DRAWN)).alias("asset"))
+    shown = evidence.select("id", F.explode("assets" if drawn is None else F.slice("assets", 1, drawn)).alias("asset"))
     touched = scenarios.select("id", F.explode("touched").alias("asset"))
     of_batch = sourced.select(_id("sample", "sample").alias("asset"), _id("batch", "batch").alias("batch")).distinct()
 

@@ -262,9 +262,11 @@ ed0 AS (SELECT 'dataset:contributed-dataset' AS src, 'assurance:core' AS dst, 'v
   UNION SELECT 'finding:' || a, 'finding:' || b, 'correlates_with' FROM li UNION SELECT 'scenario:' || id, asset, 'affects' FROM tc UNION SELECT 'finding:' || id, 'case:' || case_id, 'belongs_to' FROM fi),
 ed AS (SELECT * FROM ed0 WHERE src IN (SELECT id FROM nd) AND dst IN (SELECT id FROM nd) AND src <> dst)
 """
+#: The same with all assets of a piece of evidence.
+_WHOLE_GRAPH = _GRAPH.replace("unnest(assets[1:8])", "unnest(assets)")
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _graph(spark: SparkSession, sf_dir: str, drawn: int | None = graph.DRAWN) -> tuple[DataFrame, DataFrame]:
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     d, s, i = F.col("doc_id"), F.col("s_suppkey"), F.col("event_id")
     samples = table(spark, sf_dir, "documents").select(d.alias("sample"), text(F.col("lang"), d % 7).alias("batch"), F.when(d % 11 != 0, F.col("source")).alias("contributor"))
@@ -277,12 +279,13 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     near = findings.select("case_id", F.col("id").alias("a"), F.explode(F.array(F.floor(F.col("id") / 200), F.floor(F.col("id") / 200) + 1)).alias("k"))
     links = near.join(findings.select("case_id", F.col("id").alias("b"), F.floor(F.col("id") / 200).alias("k")), ["case_id", "k"]).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") < 200)).select("a", "b")
     scenarios = suppliers.select(s.alias("id"), F.array(F.lit("batch:en1"), text("model:v", s)).alias("touched"))
-    return graph.build(samples, models, spark.createDataFrame([("unknown-digest",)], "sha256 string"), invalid, findings, evidence_rows, links, scenarios)
+    return graph.build(samples, models, spark.createDataFrame([("unknown-digest",)], "sha256 string"), invalid, findings, evidence_rows, links, scenarios, drawn=drawn)
 
 
-@query("WITH " + _GRAPH + "SELECT * FROM ed")
+@query("WITH " + _WHOLE_GRAPH + "SELECT * FROM ed")
 def evidence_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[1]
+    """Every edge of the graph: a piece of evidence is tied to all its assets."""
+    return _graph(spark, sf_dir, drawn=None)[1]
 
 
 @query("WITH " + _GRAPH + "SELECT * FROM nd")
