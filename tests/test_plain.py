@@ -62,6 +62,27 @@ def test_picture_features(pictures, spark, sf_dir):
         assert r.region_0 == pytest.approx(plane[:12, :12].mean(), abs=1e-5) and r.length == pytest.approx(1.0, abs=1e-3)
 
 
+def test_picture_regions_and_descriptor(pictures, spark, sf_dir):
+    """All 16 regions' means and contrasts of every picture; the descriptor's orientations and colours pixel by pixel."""
+    got = {r.id: r for r in catalogue.image_features(spark, sf_dir).collect()}
+    assert set(got) == set(pictures)
+    for i, x in pictures.items():
+        plane = luma(x)
+        cells = [plane[a : a + 12, b : b + 12] for a in range(0, 48, 12) for b in range(0, 48, 12)]
+        assert [got[i][f"region_{k}"] for k in range(16)] == pytest.approx([c.mean() for c in cells], abs=1e-5)
+        assert [got[i][f"region_contrast_{k}"] for k in range(16)] == pytest.approx([c.std() for c in cells], abs=1e-5)
+    for i, x in list(pictures.items())[:5]:
+        plane, hog, colours = luma(x), np.zeros((6, 6, 9)), np.zeros((4, 4, 4))
+        for r in range(48):
+            for c in range(48):
+                dx = plane[r, c + 1] - plane[r, c - 1] if 0 < c < 47 else 0.0
+                dy = plane[r + 1, c] - plane[r - 1, c] if 0 < r < 47 else 0.0
+                hog[r // 8, c // 8, min(8, int(np.degrees(np.arctan2(dy, dx)) % 180 / 20))] += np.hypot(dx, dy)
+                colours[tuple(x[r, c] // 64)] += 1
+        both = np.concatenate([hog.ravel() / (np.linalg.norm(hog) + 1e-6), 0.5 * colours.ravel() / (np.linalg.norm(colours) + 1e-6)])
+        assert got[i].descriptor == pytest.approx(both / (np.linalg.norm(both) + 1e-6), abs=1e-5)
+
+
 def test_recurring_squares(pictures, spark, sf_dir):
     """What is reported recurs: as many pictures as said hold one quantised square of enough contrast there; and the stamp is found."""
     got = catalogue.image_recurring_patches(spark, sf_dir).collect()
